@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name -> (module, function). A module is imported when its query is asked for.
 _NAMES = {
     "op1_packing": "packing",
+    "op5_quality_rules": "quality",
+    "op6_near_duplicates": "near_dup",
 }
 
 
@@ -14,5 +16,11 @@ def queries() -> dict:
     return {name: getattr(import_module(f"folioscope.llm.{module}"), name) for name, module in _NAMES.items()}
 
 
+#: Query name -> (module, constant) with its DuckDB SQL.
+_ORACLES = {
+    "op5_quality_rules": ("quality", "ORACLE_SQL"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(import_module(f"folioscope.llm.{module}"), constant) for name, (module, constant) in _ORACLES.items()}
