@@ -9,6 +9,7 @@ _NAMES = {
     "op1_packing": "packing",
     "op5_quality_rules": "quality",
     "op6_near_duplicates": "near_dup",
+    "op7_source_mix": "mixing",
 }
 
 
