@@ -10,6 +10,7 @@ _NAMES = {
     "op5_quality_rules": "quality",
     "op6_near_duplicates": "near_dup",
     "op7_source_mix": "mixing",
+    "op8_secret_scan": "secrets",
 }
 
 
