@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> (module, function). A module is imported when its query is asked for.
 _NAMES = {
     "op1_packing": "packing",
+    "op3_repeated_substrings": "substrings",
     "op5_quality_rules": "quality",
     "op6_near_duplicates": "near_dup",
     "op7_source_mix": "mixing",
