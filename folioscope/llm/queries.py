@@ -8,6 +8,7 @@ from importlib import import_module
 _NAMES = {
     "op1_packing": "packing",
     "op3_repeated_substrings": "substrings",
+    "op4_language_id": "langid",
     "op5_quality_rules": "quality",
     "op6_near_duplicates": "near_dup",
     "op7_source_mix": "mixing",
