@@ -13,6 +13,7 @@ _NAMES = {
     "op6_near_duplicates": "near_dup",
     "op7_source_mix": "mixing",
     "op8_secret_scan": "secrets",
+    "op9_toxicity": "toxicity",
 }
 
 
