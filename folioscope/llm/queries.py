@@ -14,6 +14,7 @@ _NAMES = {
     "op7_source_mix": "mixing",
     "op8_secret_scan": "secrets",
     "op9_toxicity": "toxicity",
+    "op10_html_text": "html_text",
 }
 
 
