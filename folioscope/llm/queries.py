@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> (module, function). A module is imported when its query is asked for.
 _NAMES = {
     "op1_packing": "packing",
+    "op2_exact_topk": "topk",
     "op3_repeated_substrings": "substrings",
     "op4_language_id": "langid",
     "op5_quality_rules": "quality",
@@ -24,6 +25,7 @@ def queries() -> dict:
 
 #: Query name -> (module, constant) with its DuckDB SQL.
 _ORACLES = {
+    "op2_exact_topk": ("topk", "ORACLE_SQL"),
     "op5_quality_rules": ("quality", "ORACLE_SQL"),
 }
 
