@@ -22,17 +22,21 @@ DOCUMENT_CUT, SENTENCE_CUT, TRUNCATION = 0, 4, 24
 #: Tokens packed by one run of the dynamic program, and texts tokenised at a time.
 BLOCK_TOKENS, SLICE_BYTES = 128 * WINDOW, 1 << 20
 #: Words kept per Python worker with their ids; the table starts anew when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# The tokenizer's own pattern, written out for Latin-1: contractions, letters, single numerals, other marks.
+_LETTERS, _NUMERALS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^\s{_LETTERS}{_NUMERALS}]+")
+#: Words for which that pattern, Python's lower case and no normalisation give what the tokenizer gives.
+_PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
 _STATE: dict = {}
 
 
 class WordTokenizer:
     """Ids of whole texts by a public tokenizer that treats white space as a mere separator.
 
-    Words of plain ASCII letters, digits and marks are split by the tokenizer's own pattern and
-    encoded by its model; all other words go through the whole tokenizer. Ids are kept by word.
+    Words of Latin-1 letters, numerals and marks are split by the tokenizer's own pattern and encoded
+    by its model; all other words go through the whole tokenizer. Ids are kept by word.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,15 +46,23 @@ class WordTokenizer:
         self.model = self.whole.model
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        # the model sees bytes as printable characters: itself for most, from U+0100 on for the rest
+        shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+        rest = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.bytes = {b: rest.get(b, chr(b)) for b in range(256)}
+        stops = [i for t, i in self.whole.get_vocab().items() if t[0] in ".!?" and t.endswith("</w>")]
+        self.stops = np.zeros(self.whole.get_vocab_size(), bool)
+        self.stops[stops] = True
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         return ids
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and "<|" not in word:
+        if _PLAIN.fullmatch(word) and "<|" not in word or not word:
             return b"".join([self._piece(p) for p in _PIECES.findall(word.lower())])
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -63,10 +75,8 @@ class WordTokenizer:
         words, known = text.replace("\n", " ").split(" "), self.words
         for word in set(words).difference(known):
             known[word] = self._word(word)
-        found = [known[w] for w in words]
-        last = [i + 1 for i, w in enumerate(words) if w[-1:] in (".", "!", "?") and w]
-        ends = np.cumsum([0, *map(len, found)])[last] // 4 if last else np.zeros(0, np.int64)
-        return np.frombuffer(b"".join(found), "<u4"), ends
+        ids = np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        return ids, np.flatnonzero(self.stops[ids]) + 1
 
 
 def cut_windows(n: int, documents: np.ndarray, sentences: np.ndarray, window: int = WINDOW) -> list[int]:
@@ -79,11 +89,12 @@ def cut_windows(n: int, documents: np.ndarray, sentences: np.ndarray, window: in
     """
     if n <= 0:
         return []
-    price = dict.fromkeys(sentences.tolist(), SENTENCE_CUT) | dict.fromkeys(documents.tolist(), DOCUMENT_CUT)
+    step = max(1, window // 64)
+    ends = sentences[np.unique(sentences // step, return_index=True)[1]]  # the first sentence end of each step will do
+    price = dict.fromkeys(ends.tolist(), SENTENCE_CUT) | dict.fromkeys(documents.tolist(), DOCUMENT_CUT)
     price = {p: c for p, c in price.items() if 0 < p < n}
     hard = {p + window for p in [0, *price] if p + window < n}
     known = sorted({0, n, *price, *hard})
-    step = max(1, window // 64)
     for a, b in zip(known, known[1:]):
         if b - a > step:
             hard.update(range(a + step, b, step))
