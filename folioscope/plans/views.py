@@ -117,13 +117,15 @@ packet_refs as (
 
 def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Generated and approved boxes of a page (an order): eighths of a page side, shifted by line number and quantity."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").cast("long").alias("q"), "l_returnflag", "l_linestatus")
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).agg(
+        F.max("l_quantity").cast("long").alias("q"), F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus")
+    )
     review, scope = (F.col("l_orderkey") % 200).alias("review_id"), F.col("l_orderkey").alias("page_scope")
     stratum = F.when(F.col("l_orderkey") % 9 == 0, "spread").otherwise("page").alias("stratum")
     x, y = (F.col("n") - 1) % 2 * 4, F.floor((F.col("n") - 1) / 2) * 2
     eighth = lambda c: (c / 8.0).cast("double")
     generated = line.where("n % 5 <> 4 or q % 2 = 0").select(
-        review, scope, stratum, F.col("n").alias("box_id"), F.col("n").alias("ord"), eighth(x + F.when(F.col("q") % 3 == 0, 1).otherwise(0)).alias("x"), eighth(y).alias("y"), eighth(F.lit(4.0) - F.col("q") % 2).alias("w"), eighth(F.lit(2.0)).alias("h")
+        review, scope, stratum, F.col("n").alias("box_id"), F.col("n").alias("ord"), eighth(x + F.when(F.col("q") % 9 == 0, 2).when(F.col("q") % 3 == 0, 1).otherwise(0)).alias("x"), eighth(y).alias("y"), eighth(F.lit(4.0) - F.col("q") % 2).alias("w"), eighth(F.lit(2.0)).alias("h")
     )
     approved = line.where("l_returnflag <> 'R' or q % 4 <> 0").select(
         review, scope, stratum, F.col("n").alias("box_id"), (F.lit(20) - F.col("n") + F.col("q") % 3 * 5).alias("ord"), eighth(x).alias("x"), eighth(y).alias("y"), eighth(F.when(F.col("q") % 7 == 0, 8.0).otherwise(4.0)).alias("w"), eighth(F.when(F.col("q") % 5 == 0, 4.0).otherwise(2.0)).alias("h"),
@@ -133,10 +135,10 @@ def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 BOXES = """
-line as (select l_orderkey, cast(l_linenumber as bigint) n, cast(trunc(l_quantity) as bigint) q, l_returnflag, l_linestatus from lineitem),
+line as (select l_orderkey, cast(l_linenumber as bigint) n, cast(trunc(max(l_quantity)) as bigint) q, max(l_returnflag) l_returnflag, max(l_linestatus) l_linestatus from lineitem group by 1, 2),
 generated as (
   select l_orderkey % 200 review_id, l_orderkey page_scope, case when l_orderkey % 9 = 0 then 'spread' else 'page' end stratum, n box_id, n ord,
-         ((n - 1) % 2 * 4 + case when q % 3 = 0 then 1 else 0 end) / 8.0 x, ((n - 1) // 2 * 2) / 8.0 y, (4.0 - q % 2) / 8.0 w, 2.0 / 8.0 h
+         ((n - 1) % 2 * 4 + case when q % 9 = 0 then 2 when q % 3 = 0 then 1 else 0 end) / 8.0 x, ((n - 1) // 2 * 2) / 8.0 y, (4.0 - q % 2) / 8.0 w, 2.0 / 8.0 h
   from line where n % 5 <> 4 or q % 2 = 0),
 approved as (
   select l_orderkey % 200 review_id, l_orderkey page_scope, case when l_orderkey % 9 = 0 then 'spread' else 'page' end stratum, n box_id, 20 - n + q % 3 * 5 ord,
