@@ -66,12 +66,12 @@ reports as (
   join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
   group by all),
 keyed as (select *, 'cmp_' || substr(sha256('geometry_detector_version=' || geometry_detector_version || '|iou_threshold=' || iou_threshold), 1, 12) comparability_key from reports)
-""" % ", ".join(f"count(*) filter (where {p}) {m}" for m, p in RATES.items())
+""" % ", ".join(f"count(*) filter (where {p}) \"{m}\"" for m, p in RATES.items())
 
 POINTS = REPORTS + """,
 points as (select report_id, run_seq, publisher, title_group, series, issue, measured, event, geometry_detector_version, iou_threshold, comparability_key, den,
                   unnest([%s]) metric, unnest([%s]) num from keyed)
-""" % (", ".join(f"'{m}'" for m in RATES), ", ".join(RATES))
+""" % (", ".join(f"'{m}'" for m in RATES), ", ".join(f'"{m}"' for m in RATES))
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
