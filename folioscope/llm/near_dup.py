@@ -331,3 +331,21 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = similarity_join(docs)
     return out.select("doc_id", "class_id", "n_links", "n_text_links", "copy_id", "n_copies")
+
+
+ORACLE_SQL = """
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                         when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from d),
+n as (select doc_id, count(*) n from s group by 1),
+h as (select doc_id, md5(string_agg(g, chr(10) order by g)) h from s group by 1),
+c as (select doc_id, h, min(doc_id) over (partition by h) copy_id, count(*) over (partition by h) n_copies from h),
+p as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 5 * k >= 4 * (x.n + y.n - k)),
+reach as (select a, b from l union select r.a, l.b from reach r join l on r.b = l.a),
+k as (select a doc_id, min(b) low from reach group by 1),
+t as (select l.a doc_id, count(*) n_links, count(distinct y.h) - max((y.h = x.h)::int) n_text_links from l join c x on x.doc_id = l.a join c y on y.doc_id = l.b group by 1)
+select d.doc_id, least(d.doc_id, coalesce(low, d.doc_id)) class_id, coalesce(n_links, 0) n_links, cast(coalesce(n_text_links, 0) as bigint) n_text_links,
+       coalesce(copy_id, d.doc_id) copy_id, coalesce(n_copies, 1) n_copies
+from d left join c using (doc_id) left join k using (doc_id) left join t using (doc_id)
+"""

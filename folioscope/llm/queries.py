@@ -27,6 +27,8 @@ def queries() -> dict:
 _ORACLES = {
     "op2_exact_topk": ("topk", "ORACLE_SQL"),
     "op5_quality_rules": ("quality", "ORACLE_SQL"),
+    "op6_near_duplicates": ("near_dup", "ORACLE_SQL"),
+    "op8_secret_scan": ("secrets", "ORACLE_SQL"),
 }
 
 

@@ -186,3 +186,31 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(render(F.col("secrets"), only=BASE), 256).alias("base_sha256"), render(F.col("secrets")).alias("spans"),
     )
+
+
+def _oracle() -> str:
+    """The same spans in SQL: what a split leaves between the matches gives their places."""
+    parts = []
+    for k, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(
+            f"select doc_id, {k} k, '{rule.kind}' kind, unnest(list_transform(regexp_extract_all(t, '{pattern}', 0), lambda x: length(x))) len, "
+            f"unnest(list_transform(regexp_extract_all(t, '{pattern}', {rule.group}), lambda x: length(x))) tested, "
+            f"unnest(list_transform(regexp_split_to_array(t, '{pattern}')[:-2], lambda x: length(x))) gap, {rule.least} least, "
+            f"unnest(range(len(regexp_extract_all(t, '{pattern}', 0)))) i from d"
+        )
+    base = ", ".join(f"'{b}'" for b in BASE)
+    return f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+m as ({' union all '.join(parts)}),
+p as (select *, sum(gap + len) over (partition by doc_id, k order by i) fin from m),
+s as (select doc_id, k, kind, cast(fin - len as bigint) start, cast(fin as bigint) fin from p where tested >= least),
+a as (select doc_id, count(*) filter (where k = 0) n_assign, count(*) filter (where k = 1) n_access, count(*) filter (where k = 2) n_hex,
+             string_agg(kind || ':' || start || ':' || fin, ',' order by start, k) filter (where kind in ({base})) base,
+             string_agg(kind || ':' || start || ':' || fin, ',' order by start, k) spans from s group by 1)
+select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from d left join a using (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle()
