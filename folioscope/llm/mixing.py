@@ -128,8 +128,8 @@ def _quotas(shards: DataFrame, targets: DataFrame, depth: int, seed: int) -> Dat
     return node.select(F.col("source").alias("quota_source"), F.col("node").alias("quota_shard"), "epochs", F.col("quota").cast("long").alias("quota"))
 
 
-def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, seed: int = 7, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """``docs`` with a struct ``mix``: size, source_size, target, epochs, part, taken, shard, place.
+def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, seed: int = 7, column: str = "mix") -> DataFrame:
+    """``docs`` with a struct ``column``: size, source_size, target, epochs, part, taken, shard, place.
 
     A row's size is its number of words. Each source is to give ``target`` words: its whole rows
     ``epochs`` times, and ``part`` words more from rows drawn without replacement. Rows are dealt by
@@ -138,36 +138,34 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
     are taken in hashed order until the quota is met, the last in part, so a source's sum is exact.
     ``place`` is the row's position in its shard's own shuffle.
 
-    The draw depends on (seed, key, text) only, so reruns agree. Equal rows are told apart by nothing and
-    may swap places. A null source is a source of its own, a null or empty text has size 0 and is
-    never drawn. All other columns are kept (one named ``mix`` is replaced). Empty in, empty out.
+    The draw depends on (seed, doc_id, text) only, so reruns agree. Equal rows are told apart by nothing
+    and may swap places. A null source is a source of its own, a null or empty text has size 0 and is
+    never drawn. All other columns are kept (one named like ``column`` is replaced). Empty in, empty out.
     """
-    rows = docs.drop("mix").count()
+    docs = docs.drop(column)
+    rows = docs.count()
     depth = min(MAX_DEPTH, max(0, (rows // SHARD_ROWS).bit_length()))
-    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD_PATTERN)).cast("long")
-    spot = F.xxhash64(F.col(key), F.col(text), F.lit(seed))
-    sized = docs.drop("mix").withColumn(
-        "mix", F.struct(size.alias("size"), spot.alias("spot"), F.shiftrightunsigned(spot, 63 - depth + 1).alias("shard") if depth else F.lit(0).cast("long").alias("shard"))
-    )
-    light = docs.select(F.col(source).alias("source"), size.alias("size"), spot.alias("spot"))
-    shards = shared_table(light.groupBy("source", (F.shiftrightunsigned("spot", 64 - depth) if depth else F.lit(0).cast("long")).alias("shard")).agg(F.sum("size").alias("words")), "shards")
+    size = F.regexp_count(whole_text(), F.lit(WORD_PATTERN)).cast("long")
+    spot = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
+    shard = F.shiftrightunsigned(spot, 64 - depth) if depth else F.lit(0).cast("long")
+    light = docs.select("source", size.alias("size"), shard.alias("shard"))
+    shards = shared_table(light.groupBy("source", "shard").agg(F.sum("size").alias("words")), "shards")
     targets = shared_table(source_targets(shards.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs), "targets")
     quotas = _quotas(shards, targets, depth, seed)
     named = targets.select(F.col("source").alias("target_source"), "source_size", "target")
-    given = quotas.join(named, quotas["quota_source"].eqNullSafe(named["target_source"])).drop("target_source")
-    joined = sized.join(given, F.col(source).eqNullSafe(F.col("quota_source")) & (F.col("mix.shard") == F.col("quota_shard")), "left")
-    order = Window.partitionBy(F.col(source), F.col("mix.shard")).orderBy(F.col("mix.spot"), F.col(key))
-    drawn = joined.withColumn("_before", F.sum("mix.size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("mix.size"))
-    part = F.least(F.col("mix.size"), F.greatest(F.lit(0), F.coalesce("quota", F.lit(0)) - F.col("_before")))
-    rounds = F.coalesce("epochs", F.lit(0))
-    return drawn.withColumn(
-        "mix",
-        F.struct(
-            F.col("mix.size"), F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
-            rounds.alias("epochs"), part.alias("part"), (rounds * F.col("mix.size") + part).cast("long").alias("taken"),
-            F.col("mix.shard"), F.xxhash64("mix.spot", F.lit(seed + 1)).alias("place"),
-        ),
-    ).select(*[c for c in docs.columns if c != "mix"], "mix")
+    given = quotas.join(named, quotas["quota_source"].eqNullSafe(named["target_source"]))
+    given = given.select("quota_source", "quota_shard", F.struct("source_size", "target", "epochs", "quota").alias("_given"))
+    sized = docs.withColumn("_own", F.struct(size.alias("size"), spot.alias("spot"), shard.alias("shard")))
+    joined = sized.join(given, F.col("source").eqNullSafe(F.col("quota_source")) & (F.col("_own.shard") == F.col("quota_shard")), "left")
+    order = Window.partitionBy("source", "_own.shard").orderBy("_own.spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = joined.withColumn("_before", F.sum("_own.size").over(order) - F.col("_own.size"))
+    part = F.least(F.col("_own.size"), F.greatest(F.lit(0), F.coalesce("_given.quota", F.lit(0)) - F.col("_before")))
+    rounds = F.coalesce("_given.epochs", F.lit(0))
+    mix = F.struct(
+        F.col("_own.size"), F.coalesce("_given.source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("_given.target", F.lit(0.0)).alias("target"),
+        rounds.alias("epochs"), part.alias("part"), (rounds * F.col("_own.size") + part).cast("long").alias("taken"), F.col("_own.shard"), F.xxhash64("_own.spot", F.lit(seed + 1)).alias("place"),
+    )
+    return drawn.select(*docs.columns, mix.alias(column))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
@@ -175,16 +173,15 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of ``docs``; rows come shard by shard in the shard's own shuffle.
     """
-    mixed = draw(docs, **options)
-    whole = F.when(F.col("mix.part") > 0, F.col("mix.epochs") + 1).otherwise(F.col("mix.epochs"))
-    copies = mixed.where("mix.taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)))
-    cut = (F.col("_copy") > F.col("mix.epochs")) & (F.col("mix.part") < F.col("mix.size"))
+    mixed = draw(docs, **options, column="_mix")
+    whole = F.col("_mix.epochs") + (F.col("_mix.part") > 0).cast("long")
+    copies = mixed.where("_mix.taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)))
+    cut = (F.col("_copy") > F.col("_mix.epochs")) & (F.col("_mix.part") < F.col("_mix.size"))
     words = F.regexp_extract_all(whole_text(), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("mix.part").cast("int")), "")).otherwise(F.col("text"))
-    out = copies.withColumn("text", text)
+    out = copies.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_mix.part").cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.sortWithinPartitions("mix.shard", "mix.place", "_copy").select(*docs.columns)
+    return out.sortWithinPartitions("_mix.shard", "_mix.place", "_copy").select(*docs.columns)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

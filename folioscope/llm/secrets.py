@@ -158,8 +158,9 @@ def render(spans: Column, rules: tuple[Rule, ...] = RULES, only: tuple[str, ...]
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, mask: str = "[secret]", column: str = "secrets") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask``; spans that overlap become one."""
+    column = "_found_secrets"
     scanned = scan(docs, column=column)
     walked = F.aggregate(
         column,
