@@ -25,7 +25,7 @@ from folioscope.llm.common import _BASE_INVERSE as BASE_INVERSE
 
 LENGTH = 400
 SLICE_BYTES = 1 << 20
-#: Segments sorted at a time; more are taken only for one key.
+#: Segments sorted at a time. A key with more of them is not sorted in one place but counted window by window.
 SORT_SEGMENTS = 16_384
 
 
@@ -210,6 +210,36 @@ def _sorted_buckets(length: int):
     return run
 
 
+def _windows(length: int):
+    """One row per window of each segment: its digest and its place in the segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                segs, digests, places, seen = [], [], [], []
+                part = batch.slice(at, 512)
+                for seg, content, least, most, n in zip(*(part.column(c).to_pylist() for c in ("seg", "content", "least", "most", "seen"))):
+                    for k in range(most - least + 1):
+                        segs.append(seg)
+                        digests.append(hashlib.blake2b(content[k : k + length], digest_size=16).digest())
+                        places.append(k)
+                        seen.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.array(digests, pa.binary()), pa.array(places, pa.int32()), pa.array(seen, pa.int64())], names=["seg", "window", "place", "seen"])
+
+    return run
+
+
+def _count_windows(distinct: DataFrame, length: int) -> DataFrame:
+    """What the sorted buckets give, for keys with too many segments for one bucket: windows are counted by digest.
+
+    Counts are summed per task before they are shuffled, and no window's rows have to meet in one task.
+    """
+    rows = distinct.select("seg", "content", "least", "most", "seen").mapInArrow(_windows(length), "seg binary, window binary, place int, seen long")
+    often = rows.groupBy("window").agg(F.sum("seen").alias("n")).where("n > 1").select("window")
+    hits = rows.join(often, "window").groupBy("seg").agg(F.collect_set("place").alias("from"))
+    return hits.select("seg", "from", F.col("from").alias("to"))
+
+
 def _cut(length: int):
     """Remove the covered bytes of each text."""
 
@@ -257,9 +287,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     wanted = keyed.select("tid", "key").join(shared, "key").groupBy("tid").agg(F.collect_list("key").alias("keys"))
     cut = texts.select("tid", "text").join(wanted, "tid").select("tid", "text", "keys").mapInArrow(_segments(length), SEGMENT)
     segments = shared_table(cut, "segments")
-    distinct = segments.groupBy("seg").agg(F.first(F.struct("key", "lead", "content", "left", "least", "most")).alias("s"), F.sum(F.size("tids")).alias("seen")).select("seg", "s.*", "seen")
-    ranges = distinct.repartitionByRange("lead", "key").sortWithinPartitions("lead", "key", "seg")
+    crowded = segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SORT_SEGMENTS).select("key")
+
+    def distinct(some: DataFrame) -> DataFrame:
+        whole = some.groupBy("seg").agg(F.first(F.struct("key", "lead", "content", "left", "least", "most")).alias("s"), F.sum(F.size("tids")).alias("seen"))
+        return whole.select("seg", "s.*", "seen")
+
+    ranges = distinct(segments.join(crowded, "key", "left_anti")).repartitionByRange("lead", "key").sortWithinPartitions("lead", "key", "seg")
     judged = ranges.select("seg", "key", "content", "left", "least", "most", "seen").mapInArrow(_sorted_buckets(length), "seg binary, `from` array<int>, `to` array<int>")
+    if not crowded.isEmpty():
+        judged = judged.unionByName(_count_windows(distinct(segments.join(crowded, "key", "left_semi")), length))
     places = segments.select("seg", F.explode(F.arrays_zip("tids", "starts")).alias("p")).select("seg", F.col("p.tids").alias("tid"), F.col("p.starts").alias("at"))
     hits = places.join(judged, "seg").groupBy("tid").agg(
         F.flatten(F.collect_list(F.transform("from", lambda k: k + F.col("at")))).alias("starts"),

@@ -143,7 +143,9 @@ def brute_removed(texts, length):
     return out
 
 
-def test_repeated_substrings(spark, docs, odd, nothing):
+@pytest.mark.parametrize("most", [substrings.SORT_SEGMENTS, 2])
+def test_repeated_substrings(spark, docs, odd, nothing, monkeypatch, most):
+    monkeypatch.setattr(substrings, "SORT_SEGMENTS", most)
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 60").collect()]
     rows += [(1000, "a" * 700), (1001, "abc\n" * 200), (1002, "zz" + rows[3][1]), (1003, rows[4][1]), (1004, "é" * 500)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
