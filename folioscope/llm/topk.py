@@ -142,14 +142,17 @@ def search(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> Data
     seeds = distinct.orderBy(F.desc("spot"), "vec_id").limit(SEEDS).select("vec_id", "q").collect()
     seed_ids = np.array([r["vec_id"] for r in seeds], np.int64)
     seed_rows = _matrix(pa.array([r["q"] for r in seeds], pa.list_(pa.int64())), width)
-    ranges = min(MAX_RANGES, -(-count // CANDIDATE_BLOCK))
+    needed = -(-count // CANDIDATE_BLOCK)
+    ranges = min(MAX_RANGES, needed)
+    parts = -(-needed // ranges)  # beyond MAX_RANGES a range is dealt further by hash
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
         splits = sorted(set(distinct.agg(F.percentile_approx("spot", shares, 10 * ranges + 1000)).first()[0]))
         distinct = distinct.withColumn("slot", F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s < F.col("spot"))))
     else:
         distinct = distinct.withColumn("slot", F.lit(0))
-    slots = ranges
+    distinct = distinct.withColumn("slot", (F.col("slot") * parts + F.pmod(F.xxhash64("vec_id"), F.lit(parts))).cast("int"))
+    slots = ranges * parts
     queries = whole.where(F.col("vec_id") % query_step == 0)
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     left = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))

@@ -118,7 +118,7 @@ def brute_topk(rows, k, step):
 
 
 def test_topk(spark, sf, monkeypatch):
-    for name, value in (("CANDIDATE_BLOCK", 60), ("QUERY_BLOCK", 8), ("SEEDS", 30), ("CHUNK", 16)):
+    for name, value in (("CANDIDATE_BLOCK", 60), ("MAX_RANGES", 3), ("QUERY_BLOCK", 8), ("SEEDS", 30), ("CHUNK", 16)):
         monkeypatch.setattr(topk, name, value)
     table = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     same([tuple(r) for r in topk.search(table).collect()], brute_topk([tuple(r) for r in table.collect()], 20, 20))
