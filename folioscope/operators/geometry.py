@@ -9,7 +9,19 @@ from folioscope.functions.columns import area_band, iou, rate, resize_shares
 
 MATCH, OVERLAP = 0.5, 0.2
 TARGET = (0.95, 0.99)
-KEYS = ("review_id", "stratum", "page_scope")
+#: A page within a review; ``page_key`` is the page's name, or a mark for a missing one, and never null.
+PAGE = ("review_id", "stratum", "page_key")
+KEYS = (*PAGE, "page_scope")
+
+
+def located(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with their ``page_key``, dealt out by page: all joins, counts and windows below stay within that.
+
+    A missing page is one page of its own, so that it matches a missing page and no other.
+    """
+    if "page_key" in boxes.columns:
+        return boxes
+    return boxes.withColumn("page_key", F.coalesce(F.col("page_scope").cast("string"), F.lit("\0"))).repartition(*PAGE)
 
 
 def matches(generated: DataFrame, approved: DataFrame, least: float = MATCH) -> DataFrame:
@@ -18,13 +30,11 @@ def matches(generated: DataFrame, approved: DataFrame, least: float = MATCH) ->
     The page is part of the join key (a missing page equals a missing page), so the work is the product of
     the boxes within a page, never within a review; the IoU is what is left to test.
     """
-    g = generated.select(*[F.col(c).alias(f"g_{c}") for c in (*KEYS, "x", "y", "w", "h")], F.col("box_id").alias("gen_id"), F.col("ord").alias("gen_ord"))
-    a = approved.where("not deleted").select(*KEYS, *[F.col(c).alias(f"a{c}") for c in "xywh"], F.col("box_id").alias("app_id"), F.col("ord").alias("app_ord"))
-    score = iou(F.col("g_x"), F.col("g_y"), F.col("g_w"), F.col("g_h"), F.col("ax"), F.col("ay"), F.col("aw"), F.col("ah"))
-    same = (F.col("g_review_id") == F.col("review_id")) & (F.col("g_stratum") == F.col("stratum")) & F.col("g_page_scope").eqNullSafe(F.col("page_scope"))
-    return g.join(a, same & (score >= least)).select(
-        *KEYS, "gen_id", "app_id", "gen_ord", "app_ord", F.col("g_w").alias("gw"), F.col("g_h").alias("gh"), "aw", "ah", score.alias("iou")
-    )
+    g = located(generated).select(*PAGE, *[F.col(c).alias(f"g{c}") for c in "xywh"], F.col("box_id").alias("gen_id"), F.col("ord").alias("gen_ord"))
+    a = located(approved.where("not deleted")).select(*KEYS, *[F.col(c).alias(f"a{c}") for c in "xywh"], F.col("box_id").alias("app_id"), F.col("ord").alias("app_ord"))
+    score = iou(*[F.col(f"{side}{c}") for side in "ga" for c in "xywh"])
+    pairs = g.join(a, list(PAGE)).withColumn("iou", score).where(F.col("iou") >= least)
+    return pairs.select(*KEYS, "gen_id", "app_id", "gen_ord", "app_ord", "gw", "gh", "aw", "ah", "iou")
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:
@@ -35,11 +45,11 @@ def best_matches(pairs: DataFrame) -> DataFrame:
 
 def _sides(generated: DataFrame, approved: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each box with its number of matches."""
-    by_gen = pairs.groupBy(*KEYS, F.col("gen_id").alias("box_id")).agg(F.count("*").alias("hits"))
-    by_app = pairs.groupBy(*KEYS, F.col("app_id").alias("box_id")).agg(F.count("*").alias("hits"))
-    keys = [*KEYS, "box_id"]
-    g = generated.select(*keys, "w", "h").join(by_gen, keys, "left").fillna(0, ["hits"])
-    a = approved.where("not deleted").select(*keys, "w", "h").join(by_app, keys, "left").fillna(0, ["hits"])
+    by_gen = pairs.groupBy(*PAGE, F.col("gen_id").alias("box_id")).agg(F.count("*").alias("hits"))
+    by_app = pairs.groupBy(*PAGE, F.col("app_id").alias("box_id")).agg(F.count("*").alias("hits"))
+    keys = [*PAGE, "box_id"]
+    g = located(generated).select(*keys, "page_scope", "w", "h").join(by_gen, keys, "left").fillna(0, ["hits"])
+    a = located(approved.where("not deleted")).select(*keys, "page_scope", "w", "h").join(by_app, keys, "left").fillna(0, ["hits"])
     return g, a
 
 
@@ -52,14 +62,14 @@ def geometry_delta(generated: DataFrame, approved: DataFrame, pairs: DataFrame)
     g, a = _sides(generated, approved, pairs)
     best = best_matches(pairs)
     g_part = g.groupBy("review_id", "stratum").agg(
-        F.count("*").alias("generated"), F.count_if(F.col("hits") >= 1).alias("matched_generated"), F.count_if(F.col("hits") > 1).alias("merged"), F.count_if(F.col("hits") == 0).alias("false_panels"), F.countDistinct("page_scope").alias("pages")
+        F.count("*").alias("generated"), F.count_if(F.col("hits") >= 1).alias("matched_generated"), F.count_if(F.col("hits") > 1).alias("merged"), F.count_if(F.col("hits") == 0).alias("false_panels"), F.countDistinct("page_key").alias("pages")
     )
     a_part = a.groupBy("review_id", "stratum").agg(
         F.count("*").alias("approved"), F.count_if(F.col("hits") >= 1).alias("matched_approved"), F.count_if(F.col("hits") > 1).alias("split"), F.count_if(F.col("hits") == 0).alias("missing")
     )
     one_to_one = pairs.withColumn("_g", F.count("*").over(Window.partitionBy(*KEYS, "gen_id"))).withColumn("_a", F.count("*").over(Window.partitionBy(*KEYS, "app_id")))
     same = one_to_one.where("_g = 1 and _a = 1").groupBy("review_id", "stratum").agg(F.count("*").alias("unchanged"))
-    earned = best.groupBy("review_id", "stratum").agg(F.bround(F.sum("iou"), 6).alias("earned"), F.countDistinct("page_scope", "gen_id").alias("credited"))
+    earned = best.groupBy("review_id", "stratum").agg(F.bround(F.sum("iou"), 6).alias("earned"), F.countDistinct("page_key", "gen_id").alias("credited"))
     keys = ["review_id", "stratum"]
     joined = g_part.join(a_part, keys, "full_outer").join(same, keys, "left").join(earned, keys, "left")
     counts = ("generated", "matched_generated", "merged", "false_panels", "pages", "approved", "matched_approved", "split", "missing", "unchanged", "credited")
@@ -96,12 +106,10 @@ def resize_bias(best: DataFrame) -> DataFrame:
 
 def page_overlaps(generated: DataFrame, least: float = OVERLAP) -> DataFrame:
     """Pairs of generated boxes on one page that overlap each other."""
-    box = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("review_id", "stratum", "page_scope", "box_id", "x", "y", "w", "h")]
-    a, b = generated.select(*box("a")), generated.select(*box("b"))
+    side = lambda p: located(generated).select(*PAGE, *[F.col(c).alias(f"{p}_{c}") for c in ("page_scope", "box_id", "x", "y", "w", "h")])
     score = iou(*[F.col(f"{p}_{c}") for p in "ab" for c in "xywh"])
-    same = (F.col("a_review_id") == F.col("b_review_id")) & (F.col("a_stratum") == F.col("b_stratum")) & F.col("a_page_scope").eqNullSafe(F.col("b_page_scope"))
-    pairs = a.join(b, same & (F.col("a_box_id") < F.col("b_box_id")) & (score >= least))
-    return pairs.select(F.col("a_review_id").alias("review_id"), F.col("a_page_scope").alias("page_scope"), F.col("a_box_id").alias("first_id"), F.col("b_box_id").alias("second_id"), F.bround(score, 6).alias("iou"))
+    pairs = side("a").join(side("b"), list(PAGE)).where((F.col("a_box_id") < F.col("b_box_id")) & (score >= least))
+    return pairs.select("review_id", F.col("a_page_scope").alias("page_scope"), F.col("a_box_id").alias("first_id"), F.col("b_box_id").alias("second_id"), F.bround(score, 6).alias("iou"), "page_key")
 
 
 def reading_order(best: DataFrame) -> DataFrame:
@@ -109,13 +117,12 @@ def reading_order(best: DataFrame) -> DataFrame:
 
     The self-join is within a page, as the order starts anew on each.
     """
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in (*KEYS, "app_id", "gen_ord", "app_ord")]
-    a, b = best.select(*side("a")), best.select(*side("b"))
-    same = (F.col("a_review_id") == F.col("b_review_id")) & (F.col("a_stratum") == F.col("b_stratum")) & F.col("a_page_scope").eqNullSafe(F.col("b_page_scope"))
-    pairs = a.join(b, same & (F.col("a_app_id") < F.col("b_app_id")))
+    side = lambda p: best.select(*PAGE, *[F.col(c).alias(f"{p}_{c}") for c in ("app_id", "gen_ord", "app_ord")])
+    pairs = side("a").join(side("b"), list(PAGE)).where("a_app_id < b_app_id")
     turn = F.signum((F.col("a_gen_ord") - F.col("b_gen_ord")) * (F.col("a_app_ord") - F.col("b_app_ord")))
-    counted = pairs.groupBy(F.col("a_review_id").alias("review_id"), F.col("a_page_scope").alias("page_scope")).agg(F.count_if(turn > 0).alias("concordant"), F.count_if(turn < 0).alias("discordant"))
-    pages = best.select("review_id", "page_scope").distinct().join(counted, ["review_id", "page_scope"], "left").fillna(0, ["concordant", "discordant"])
+    counted = pairs.groupBy(*PAGE).agg(F.count_if(turn > 0).alias("concordant"), F.count_if(turn < 0).alias("discordant"))
+    pages = best.select(*KEYS).distinct().join(counted, list(PAGE), "left").fillna(0, ["concordant", "discordant"])
+    pages = pages.groupBy("review_id", "page_scope", "page_key").agg(F.sum("concordant").alias("concordant"), F.sum("discordant").alias("discordant"))
     return pages.withColumn("agreement", rate(F.col("concordant"), F.col("concordant") + F.col("discordant"), 1.0))
 
 
@@ -128,16 +135,16 @@ def panel_size_recall(generated: DataFrame, approved: DataFrame, pairs: DataFram
 
 def page_diagnostics(generated: DataFrame, approved: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per page: boxes on both sides, recall, overlaps, order agreement, false, missing and deleted boxes."""
-    keys = ["review_id", "page_scope"]
+    keys = ["review_id", "page_key"]
     g, a = _sides(generated, approved, pairs)
     g_part = g.groupBy(*keys).agg(F.count("*").alias("generated"), F.count_if(F.col("hits") == 0).alias("false_panels"))
     a_part = a.groupBy(*keys).agg(F.count("*").alias("approved"), F.count_if(F.col("hits") > 0).alias("matched"), F.count_if(F.col("hits") == 0).alias("missing"))
-    deleted = approved.groupBy(*keys).agg(F.count_if("deleted").alias("deleted"))
+    deleted = located(approved).groupBy(*keys).agg(F.count_if("deleted").alias("deleted"))
     overlaps = page_overlaps(generated).groupBy(*keys).agg(F.count("*").alias("overlap_pairs"))
     order = reading_order(best_matches(pairs)).select(*keys, "agreement")
     out = g_part.join(a_part, keys, "full_outer").join(deleted, keys, "left").join(overlaps, keys, "left").join(order, keys, "left")
     out = out.fillna(0, ["generated", "false_panels", "approved", "matched", "missing", "deleted", "overlap_pairs"]).fillna(1.0, ["agreement"])
-    return out.withColumn("recall", rate(F.col("matched"), F.col("approved")))
+    return out.withColumn("recall", rate(F.col("matched"), F.col("approved"))).withColumn("page_scope", F.nullif(F.col("page_key"), F.lit("\0"))).drop("page_key")
 
 
 def correction_ledger(generated: DataFrame, approved: DataFrame, pairs: DataFrame) -> DataFrame:

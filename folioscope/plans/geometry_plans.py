@@ -9,7 +9,7 @@ from folioscope.plans import views as V
 
 
 def _all(spark, d):
-    generated, approved = V.boxes(spark, d)
+    generated, approved = (G.located(x) for x in V.boxes(spark, d))
     return generated, approved, G.matches(generated, approved)
 
 
@@ -34,11 +34,11 @@ def resize_bias(spark, d):
 
 
 def page_overlap(spark, d):
-    return G.page_overlaps(V.boxes(spark, d)[0])
+    return G.page_overlaps(V.boxes(spark, d)[0]).drop("page_key")
 
 
 def reading_order(spark, d):
-    return G.reading_order(G.best_matches(_all(spark, d)[2]))
+    return G.reading_order(G.best_matches(_all(spark, d)[2])).drop("page_key")
 
 
 def panel_size_recall(spark, d):
@@ -46,7 +46,7 @@ def panel_size_recall(spark, d):
 
 
 def page_diagnostics(spark, d):
-    return G.page_diagnostics(*_all(spark, d))
+    return G.page_diagnostics(*_all(spark, d)).withColumn("page_scope", F.col("page_scope").cast("long"))
 
 
 def box_corrections(spark, d):
