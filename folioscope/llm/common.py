@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscope.storage import shared_table  # noqa: F401  (the operators take it from here)
+
 #: Word rule shared by the word-based operators: runs without a space, tab, newline, VT, FF or CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -30,27 +30,6 @@ def id_fold(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet below the cluster's shared checkpoint folder and read it back.
-
-    The table cuts the lineage: a lost executor costs a re-read. Without a configured folder (unit
-    tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, remembered in that setting, if it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one piece take about ``most_bytes`` (one row at least)."""
     for batch in batches:
