@@ -20,8 +20,8 @@ TREES, TREE_DEPTH = 24, 6
 TARGET_RECALL = 0.99999
 #: Pairs of which fewer signature values agree are not followed (of TREES * TREE_DEPTH; 7 deviations below 0.8).
 LEAST_AGREEMENT = 0.58
-#: Documents in one block of the exact comparison, and shingles multiplied at a time.
-BLOCK_DOCUMENTS, BLOCK_COLUMNS = 512, 4096
+#: Documents and shingles that one block of the exact comparison holds on average, and shingles multiplied at a time.
+BLOCK_DOCUMENTS, BLOCK_SHINGLES, BLOCK_COLUMNS = 512, 1_000_000, 4096
 SLICE_BYTES = 2 << 20
 
 _VALUES = TREES * TREE_DEPTH
@@ -270,17 +270,14 @@ def _verify(key: tuple, table: pa.Table) -> pa.Table:
 def exact_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
     """Exact comparison of all sets within each candidate cluster, by pairs of blocks.
 
-    ``clusters`` gives a set's cluster; a cluster of m sets is dealt into m / BLOCK_DOCUMENTS blocks and
-    each pair of blocks is a task's group of its own, so none holds more than two blocks.
+    ``clusters`` gives a set's cluster; it is dealt into blocks by number and by size of its sets, and each
+    pair of blocks is a task's group of its own, so none holds more than two blocks.
     Returns rows (set_key, other, n_texts, n_docs): partial counts, and edges where ``other`` is set.
     """
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    dealt = (
-        clusters.join(sizes, "component")
-        .withColumn("blocks", F.ceil(F.col("m") / BLOCK_DOCUMENTS).cast("int"))
-        .select(F.col("vertex").alias("set_key"), "component", "blocks", F.expr("cast(pmod(xxhash64(vertex), blocks) as int)").alias("block"))
-    )
-    members = dealt.join(sets.select("set_key", "rep_id", "rep_text", "copies"), "set_key")
+    within = clusters.withColumnRenamed("vertex", "set_key").join(sets.select("set_key", "rep_id", "rep_text", "copies", "n_shingles"), "set_key")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCUMENTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = within.groupBy("component").agg(blocks.alias("blocks"))
+    members = within.join(sizes, "component").withColumn("block", F.expr("cast(pmod(xxhash64(set_key), blocks) as int)"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(whole_text().cast("binary")).alias("text_key"), whole_text().alias("text"))
     found = members.join(texts, (members["rep_text"] == texts["text_key"]) & members["rep_id"].eqNullSafe(texts["doc_id"]))
     found = found.select("set_key", "component", "blocks", "block", "copies", "text").dropDuplicates(["set_key"])
@@ -306,8 +303,8 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     worded = rows.where("n_shingles > 0")
     sets = shared_table(
         worded.groupBy("set_key").agg(
-            F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min("signature").alias("signature")
-        ).select("set_key", "copy_id", "copies", "signature", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text")),
+            F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles")
+        ).select("set_key", "copy_id", "copies", "signature", "n_shingles", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text")),
         "sets",
     )
     clusters = components(candidate_links(sets))

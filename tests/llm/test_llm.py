@@ -267,8 +267,9 @@ def test_near_duplicates(docs, odd, nothing):
     assert near_dup.similarity_join(nothing).count() == 0
 
 
-def test_a_large_cluster_is_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_DOCUMENTS", 16)
+@pytest.mark.parametrize("limit", [("BLOCK_DOCUMENTS", 16), ("BLOCK_SHINGLES", 3000)])
+def test_a_large_cluster_is_compared_in_blocks(spark, monkeypatch, limit):
+    monkeypatch.setattr(near_dup, *limit)
     base = [f"b{k}" for k in range(300)]
     rng = np.random.default_rng(5)
     rows = []
