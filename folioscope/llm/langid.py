@@ -180,17 +180,17 @@ def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, passage): a bounded sample of the labelled documents outside the held-out fold.
 
     For each language up to SAMPLE_DOCUMENTS documents, those of least hash, and of each SAMPLE_PASSAGES
-    passages of PASSAGE characters at hashed places anywhere in its text. A first threshold on the hash,
-    taken from the languages' counts, keeps what the window sees small.
+    passages of PASSAGE characters at hashed places anywhere in its text. Passages are cut where the texts
+    are read, and each task keeps its first few by language before anything is moved.
     """
     able = docs.where((id_fold() != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     able = able.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("spot"))
-    counts = able.groupBy("lang").count()
-    near = able.join(counts, "lang").where(F.col("spot") / float(1 << 63) < F.lit(3.0 * SAMPLE_DOCUMENTS) / F.col("count"))
-    first = near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text"))).where(F.col("at") <= SAMPLE_DOCUMENTS)
     place = lambda k: F.pmod(F.xxhash64("spot", k), F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1).cast("int") + 1
     passages = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_PASSAGES)), lambda k: F.substring("text", place(k), F.lit(PASSAGE)))
-    return first.select("lang", "spot", F.posexplode(passages).alias("k", "passage")).orderBy("lang", "spot", "k").select("lang", "passage")
+    cut = able.select("lang", "spot", passages.alias("passages"))
+    order = Window.partitionBy("lang").orderBy("spot", "passages")
+    first = cut.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_DOCUMENTS)
+    return first.select("lang", "at", F.posexplode("passages").alias("k", "passage")).orderBy("lang", "at", "k").select("lang", "passage")
 
 
 def fit(docs: DataFrame) -> Network | None:
