@@ -128,6 +128,29 @@ def _quotas(shards: DataFrame, targets: DataFrame, depth: int, seed: int) -> Dat
     return node.select(F.col("source").alias("quota_source"), F.col("node").alias("quota_shard"), "epochs", F.col("quota").cast("long").alias("quota"))
 
 
+def _part(size: Column, before: Column, quota: Column, rest: Column) -> Column:
+    """Words of a row beyond whole rounds: all where the quota covers it, ``rest`` where the quota ends inside it, else none."""
+    return F.when(before + size <= quota, size).when(before < quota, rest).otherwise(0)
+
+
+def _rounded(light: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
+    """``quotas`` with ``rest``: the words given to the row of (source, shard) inside which the quota ends.
+
+    The shards of a source together still need some words of those rows. They are dealt to the rows in
+    hashed order, each whole, until none are left; only the row that meets the last word is given a part.
+    A source has one such row for each of its shards, and the window runs over these.
+    """
+    joined = light.join(quotas, light["source"].eqNullSafe(quotas["quota_source"]) & (light["shard"] == quotas["quota_shard"]))
+    order = Window.partitionBy("source", "shard").orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = joined.where("quota > 0").withColumn("before", F.sum("size").over(order) - F.col("size"))
+    ends = drawn.where("before < quota and before + size > quota").withColumn("turn", F.xxhash64("spot", F.lit(seed + 2)))
+    whole = Window.partitionBy("source")
+    dealt = whole.orderBy("turn", "doc_id", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.sum(F.col("quota") - F.col("before")).over(whole) - (F.sum("size").over(dealt) - F.col("size"))
+    rest = ends.select(F.col("source").alias("s"), F.col("shard").alias("n"), F.greatest(F.lit(0), F.least(F.col("size"), left)).alias("rest"))
+    return quotas.join(rest, quotas["quota_source"].eqNullSafe(rest["s"]) & (quotas["quota_shard"] == rest["n"]), "left").drop("s", "n")
+
+
 def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, seed: int = 7, column: str = "mix") -> DataFrame:
     """``docs`` with a struct ``column``: size, source_size, target, epochs, part, taken, shard, place.
 
@@ -135,8 +158,9 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
     ``epochs`` times, and ``part`` words more from rows drawn without replacement. Rows are dealt by
     hash into shards of some SHARD_ROWS rows; the quota beyond whole rounds is split down a binary tree
     over the shards by the multivariate hypergeometric law, and within its shard each source's rows
-    are taken in hashed order until the quota is met, the last in part, so a source's sum is exact.
-    ``place`` is the row's position in its shard's own shuffle.
+    are taken whole in hashed order as far as the quota reaches. What the shards' quotas leave is dealt
+    over the shards to whole rows again (``_rounded``), so a source's sum is exact and one row of a
+    source at most is taken in part. ``place`` is the row's position in its shard's own shuffle.
 
     The draw depends on (seed, doc_id, text) only, so reruns agree. Equal rows are told apart by nothing
     and may swap places. A null source is a source of its own, a null or empty text has size 0 and is
@@ -148,18 +172,18 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
     size = F.regexp_count(whole_text(), F.lit(WORD_PATTERN)).cast("long")
     spot = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
     shard = F.shiftrightunsigned(spot, 64 - depth) if depth else F.lit(0).cast("long")
-    light = docs.select("source", size.alias("size"), shard.alias("shard"))
+    light = shared_table(docs.select("doc_id", "source", size.alias("size"), spot.alias("spot"), shard.alias("shard")), "sizes")
     shards = shared_table(light.groupBy("source", "shard").agg(F.sum("size").alias("words")), "shards")
     targets = shared_table(source_targets(shards.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs), "targets")
-    quotas = _quotas(shards, targets, depth, seed)
+    quotas = _rounded(light, shared_table(_quotas(shards, targets, depth, seed), "quotas"), seed)
     named = targets.select(F.col("source").alias("target_source"), "source_size", "target")
     given = quotas.join(named, quotas["quota_source"].eqNullSafe(named["target_source"]))
-    given = given.select("quota_source", "quota_shard", F.struct("source_size", "target", "epochs", "quota").alias("_given"))
+    given = given.select("quota_source", "quota_shard", F.struct("source_size", "target", "epochs", "quota", "rest").alias("_given"))
     sized = docs.withColumn("_own", F.struct(size.alias("size"), spot.alias("spot"), shard.alias("shard")))
     joined = sized.join(given, F.col("source").eqNullSafe(F.col("quota_source")) & (F.col("_own.shard") == F.col("quota_shard")), "left")
     order = Window.partitionBy("source", "_own.shard").orderBy("_own.spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     drawn = joined.withColumn("_before", F.sum("_own.size").over(order) - F.col("_own.size"))
-    part = F.least(F.col("_own.size"), F.greatest(F.lit(0), F.coalesce("_given.quota", F.lit(0)) - F.col("_before")))
+    part = _part(F.col("_own.size"), F.col("_before"), F.coalesce("_given.quota", F.lit(0)), F.coalesce("_given.rest", F.lit(0)))
     rounds = F.coalesce("_given.epochs", F.lit(0))
     mix = F.struct(
         F.col("_own.size"), F.coalesce("_given.source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("_given.target", F.lit(0.0)).alias("target"),
@@ -171,7 +195,7 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves: each row once per whole round, and its first ``part`` words once more.
 
-    Columns are those of ``docs``; rows come shard by shard in the shard's own shuffle.
+    A text is cut only where ``part`` is below its size, in one row of a source at most. Columns are those of ``docs``; rows come shard by shard in the shard's own shuffle.
     """
     mixed = draw(docs, **options, column="_mix")
     whole = F.col("_mix.epochs") + (F.col("_mix.part") > 0).cast("long")

@@ -325,6 +325,26 @@ def test_mix(spark, docs, odd, nothing, monkeypatch):
     assert mixing.draw(nothing).count() == 0
 
 
+def test_mix_takes_whole_rows(spark, monkeypatch):
+    """Sources with few rows in a shard, or fewer rows than shards: one row of each at most is cut, in draw and in mixture."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(int(rng.integers(5, 60)))), None if i % 50 == 7 else "many" if i % 3 else f"s{i % 5}") for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = mixing.draw(table).select("source", "mix.*").collect()
+    cut = collections.Counter(r["source"] for r in drawn if 0 < r["part"] < r["size"])
+    assert max(cut.values(), default=0) <= 1
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in drawn:
+        assert r["taken"] == r["epochs"] * r["size"] + r["part"]
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 1 for s, t in brute_targets(dict(sizes)).items())
+    texts = {i: t for i, t, _ in rows}
+    short = collections.Counter(r["source"] for r in mixing.mixture(table).collect() if r["text"] != texts[r["doc_id"]])
+    assert max(short.values(), default=0) <= 1
+
+
 def test_the_split_follows_the_hypergeometric_law(spark):
     df = spark.range(4000).select(F.lit(12.0).alias("quota"), F.lit(30.0).alias("left"), F.lit(20.0).alias("right"), mixing._uniform(F.col("id"), 3).alias("draw"))
     x = np.array([r["first"] for r in mixing._split(df).collect()])
