@@ -85,48 +85,60 @@ def cut_windows(n: int, documents: np.ndarray, sentences: np.ndarray, window: in
     A window costs ``window - length`` tokens of padding, nothing at a power of two, plus the price of
     the cut at its end. With best[i] the least cost of the first i tokens, best[j] = min over
     j - window <= i < j of (best[i] + i) + window - j + price(j): a sliding minimum, kept in a
-    monotone queue. The powers of two are looked up one by one.
+    monotone queue. Points a power of two apart are paired beforehand. All document and sentence ends
+    are points; of the other places those that a window, or ``step`` tokens, part from an end.
     """
     if n <= 0:
         return []
     step = max(1, window // 64)
-    ends = sentences[np.unique(sentences // step, return_index=True)[1]]  # the first sentence end of each step will do
-    price = dict.fromkeys(ends.tolist(), SENTENCE_CUT) | dict.fromkeys(documents.tolist(), DOCUMENT_CUT)
-    price = {p: c for p, c in price.items() if 0 < p < n}
-    hard = {p + window for p in [0, *price] if p + window < n}
-    known = sorted({0, n, *price, *hard})
-    for a, b in zip(known, known[1:]):
-        if b - a > step:
-            hard.update(range(a + step, b, step))
+    inside = lambda p: np.unique(p[(p > 0) & (p < n)]).astype(np.int64)
+    documents, sentences = inside(documents), inside(sentences)
+    priced = np.union1d(documents, sentences)
+    # hard cuts: a window behind each end, and a grid between the documents and the first sentence end of each step
+    thin = np.union1d(documents, sentences[np.unique(sentences // step, return_index=True)[1]])
+    known = np.unique(np.concatenate([[0, n], thin, inside(np.append(thin, 0) + window)]))
+    gaps = np.flatnonzero(np.diff(known) > step)
+    hard = [np.append(priced, 0) + window, known, *[np.arange(a + step, b, step) for a, b in zip(known[gaps].tolist(), known[gaps + 1].tolist())]]
     # the last tokens may also end in windows of powers of two, which take no padding
     rest, at = n % window, n - n % window
     for k in range(rest.bit_length() - 1, -1, -1):
-        hard.add(at)
+        hard.append(np.array([at]))
         at += rest & (1 << k)
-    for p in (q for q in hard if 0 < q < n):
-        price.setdefault(p, TRUNCATION)
-    price[n] = 0
-    points = [0, *sorted(price)]
-    best, before, where = [0.0], [0], {0: 0}
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
+    places = np.concatenate([[0], np.union1d(priced, inside(np.concatenate(hard))), [n]]).astype(np.int64)
+    prices = np.full(len(places), TRUNCATION)
+    prices[np.searchsorted(places, sentences)] = SENTENCE_CUT
+    prices[np.searchsorted(places, documents)] = DOCUMENT_CUT
+    prices[-1] = 0
+    # pairs of points a power of two apart, but for whole windows, which the queue sees
+    heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in (1 << k for k in range(window.bit_length()) if 1 << k < window):
+        i = np.searchsorted(places, places - size)
+        heads.append(np.flatnonzero(places[i] == places - size))
+        tails.append(i[heads[-1]])
+    order = np.argsort(np.concatenate(heads), kind="stable")
+    tails = np.concatenate(tails)[order].tolist()
+    upto = np.searchsorted(np.concatenate(heads)[order], np.arange(len(places)), "right").tolist()
+    points, price = places.tolist(), prices.tolist()
+    best, before, seen = [0], [0], 0
+    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])
     for j in range(1, len(points)):
         p = points[j]
-        while points[queue[0][1]] < p - window:
+        while queue[0][2] < p - window:
             queue.popleft()
-        cost, source = queue[0][0] + window - p, queue[0][1]
-        for size in powers:
-            i = where.get(p - size)
-            if i is not None and best[i] < cost:
+        key, source, _ = queue[0]
+        cost = key + window - p
+        while seen < upto[j]:
+            i = tails[seen]
+            seen += 1
+            if best[i] < cost:
                 cost, source = best[i], i
-        cost += price[p]
+        cost += price[j]
         best.append(cost)
         before.append(source)
-        where[p] = j
         key = cost + p
         while queue and queue[-1][0] >= key:
             queue.pop()
-        queue.append((key, j))
+        queue.append((key, j, p))
     ends, j = [], len(points) - 1
     while j:
         ends.append(points[j])

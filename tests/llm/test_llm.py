@@ -104,6 +104,28 @@ def test_cuts_are_optimal_on_small_windows():
         assert at == n and cost == best[n]
 
 
+def test_cuts_see_every_sentence_end():
+    """Against all cuts at all tokens, in windows long enough for the grid of other places to be coarse."""
+    rng, window = np.random.default_rng(2), 128
+    for _ in range(8):
+        n = int(rng.integers(300, 1200))
+        documents = np.unique(np.append(rng.integers(1, n + 1, 4), n))
+        sentences = np.flatnonzero(rng.random(n) < 0.3) + 1
+        price = np.full(n + 1, packing.TRUNCATION)
+        price[sentences] = packing.SENTENCE_CUT
+        price[documents] = packing.DOCUMENT_CUT
+        pad = lambda size: 0 if size & (size - 1) == 0 else window - size
+        best = [0] + [0] * n
+        for j in range(1, n + 1):
+            best[j] = min(best[i] + pad(j - i) for i in range(max(0, j - window), j)) + price[j]
+        cost, at = 0, 0
+        for e in packing.cut_windows(n, documents, sentences, window):
+            assert 0 < e - at <= window
+            cost += pad(e - at) + price[e]
+            at = e
+        assert at == n and cost == best[n]
+
+
 def brute_topk(rows, k, step):
     q = {}
     for i, v in rows:
