@@ -31,8 +31,8 @@ _MULTIPLIERS = mix64(np.arange(1, _VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 def prefix_depth(threshold: float, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = TREE_DEPTH) -> int:
     """The longest prefix that still finds a pair at the threshold with the target chance.
 
-    Matches are first asked for at full depth; the prefix is shortened until 1 - (1 - s**k)**trees
-    reaches the target.
+    From full depth down, the first k at which 1 - (1 - s**k)**trees reaches the target. It depends on
+    these values only, not on what is found.
     """
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
@@ -163,7 +163,7 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_links(sets: DataFrame, threshold: float = THRESHOLD[0] / THRESHOLD[1]) -> DataFrame:
     """Links (a, b) of set keys that share a prefix in some tree and whose signatures agree.
 
-    Every tree sorts its signatures by prefix; sets with a prefix of their own drop out before
+    Every tree is one band, hashed at the fixed depth of ``prefix_depth``; sets with a prefix of their own drop out before
     anything wide is moved. A bucket yields a spanning forest, never its pairs.
     """
     depth = prefix_depth(threshold)
