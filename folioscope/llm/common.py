@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.storage import shared_table  # noqa: F401  (the operators take it from here)
@@ -30,6 +30,35 @@ def id_fold(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 5, F.lit(0))
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores in front as keep it apart from all columns of the frames."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once for each row however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """What ``step`` has gathered before each element of an array, starting from ``zero``.
+
+    Arrays grow by being copied; done in chunks the work stays nearly in proportion to the array's length.
+    """
+    grow = lambda array, start: F.aggregate(
+        array,
+        F.struct(F.filter(F.array(zero), lambda x: F.lit(False)).alias("all"), start.alias("now")),
+        lambda acc, x: F.struct(F.concat(acc["all"], F.array(acc["now"])).alias("all"), step(acc["now"], x).alias("now")),
+        lambda acc: acc["all"],
+    )
+    pieces = F.transform(F.filter(F.sequence(F.lit(0), F.size(values), F.lit(chunk)), lambda i: i < F.size(values)), lambda i: F.slice(values, i + 1, chunk))
+    heads = lambda cut: grow(F.transform(cut, lambda c: F.aggregate(c, zero, step)), zero)
+    return let(pieces, lambda cut: F.flatten(F.zip_with(cut, heads(cut), grow)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one piece take about ``most_bytes`` (one row at least)."""
     for batch in batches:

@@ -6,11 +6,18 @@ Only DataFrame and SQL functions are used here. Positions are counted in code po
 from __future__ import annotations
 
 from dataclasses import dataclass
+from re import _constants as ops
+from re import _parser as regex
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import whole_text
+from folioscope.llm.common import let, running, shared_table, unused, whole_text
+
+#: Strings and options that the analysis of a pattern keeps apart; beyond them it demands less, never more.
+MOST_STRINGS, MOST_OPTIONS = 48, 96
+#: Rows of equal text are dealt over so many keys, so that a text with many copies does not meet at one.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -18,39 +25,95 @@ class Rule:
     """A kind of secret.
 
     ``pattern`` is matched leftmost, without overlap; a match counts if group ``group`` is at least
-    ``least`` characters long. ``literals`` are what the pattern demands, in lower case: one of the
-    inner tuples must occur with all its strings. None means that nothing is mandatory.
+    ``least`` characters long. The trigrams that a text must hold are derived from the pattern.
     """
 
     kind: str
     pattern: str
     group: int
     least: int
-    literals: tuple[tuple[str, ...], ...] | None
 
 
 #: The base rules come first; their order breaks ties between spans of equal start.
 RULES = (
-    Rule(
-        "assign",
-        r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        2,
-        6,
-        (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)),
-    ),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, (("akia",),)),
-    Rule("hex", r"[0-9a-f]+", 0, 24, None),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, (("-----begin", "private key-----"),)),
-    Rule("hosted_token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})", 0, 1, (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",), ("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-)
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("hosted_token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})", 0, 1),
+)
 BASE = ("assign", "access", "hex")
 
-
-def trigram_query(rule: Rule) -> tuple[frozenset[str], ...] | None:
-    """The rule's Boolean trigram query as an OR of ANDs; None if the rule demands no trigram."""
-    if rule.literals is None:
-        return None
-    return tuple(frozenset(s[i : i + 3] for s in strings for i in range(len(s) - 2)) for strings in rule.literals)
+#: A Boolean trigram query: one of the options must occur with all its trigrams. An empty option is met by every text.
+Query = frozenset[frozenset[str]]
+_ANY: Query = frozenset({frozenset()})
+
+
+def _either(options) -> Query:
+    """The options without those that demand all of another one and more; any text if there are too many."""
+    options = set(options)
+    least = {o for o in options if not any(p < o for p in options)}
+    return frozenset(least) if len(least) <= MOST_OPTIONS else _ANY
+
+
+def _both(a: Query, b: Query) -> Query:
+    both = _either(x | y for x in a for y in b) if len(a) * len(b) <= MOST_OPTIONS**2 else _ANY
+    return a if both == _ANY else both  # one side alone demands less, which is safe
+
+
+def _spelled(strings: set[str]) -> Query:
+    return _either(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings)
+
+
+def _needs(items) -> tuple[set[str] | None, Query]:
+    """Of a parsed sequence: all strings it can match, lower-cased, if they are few (else None), and its query."""
+    run, query, whole = {""}, _ANY, True
+    for op, argument in items:
+        strings, inner = _need(op, argument)
+        if strings is not None and len(run) * len(strings) <= MOST_STRINGS:
+            run = {a + b for a in run for b in strings}
+        else:
+            query, run, whole = _both(_both(query, _spelled(run)), inner if strings is None else _spelled(strings)), {""}, False
+    query = _both(query, _spelled(run))
+    return (run if whole else None), query
+
+
+def _need(op, argument) -> tuple[set[str] | None, Query]:
+    if op is ops.LITERAL:
+        return {chr(argument).lower()}, _ANY
+    if op is ops.IN:
+        kinds = {kind for kind, _ in argument}
+        letters = {chr(x).lower() for kind, x in argument if kind is ops.LITERAL}
+        return (letters if kinds == {ops.LITERAL} and len(letters) <= MOST_STRINGS else None), _ANY
+    if op is ops.SUBPATTERN:
+        return _needs(argument[-1])
+    if op is ops.ATOMIC_GROUP:
+        return _needs(argument)
+    if op is ops.BRANCH:
+        parts = [_needs(p) for p in argument[1]]
+        strings = None if any(s is None for s, _ in parts) else set().union(*(s for s, _ in parts))
+        return (strings if strings is not None and len(strings) <= MOST_STRINGS else None), _either(o for _, q in parts for o in q)
+    if op in (ops.MAX_REPEAT, ops.MIN_REPEAT, ops.POSSESSIVE_REPEAT):
+        low, high, inner = argument
+        strings, query = _needs(inner)
+        if (low, high) == (0, 1) and strings is not None:
+            return strings | {""}, _ANY
+        if low == high == 1:
+            return strings, query
+        return None, (query if low else _ANY)
+    if op in (ops.AT, ops.ASSERT, ops.ASSERT_NOT):
+        return {""}, _ANY
+    return None, _ANY
+
+
+def trigram_query(rule: Rule) -> Query | None:
+    """What a text must hold for the rule's pattern to match: an OR of ANDs of lower-case trigrams; None if nothing.
+
+    Read off the parsed pattern: alternatives are options, sequences of few possible strings are spelled
+    out, optional parts may be absent, and whatever is repeated or a wide class breaks the string.
+    """
+    query = _needs(regex.parse(rule.pattern))[1]
+    return None if frozenset() in query else query
 
 
 def dictionary(rules: tuple[Rule, ...] = RULES) -> list[str]:
@@ -101,22 +164,19 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def _matches(text: Column, rule: Rule, order: int) -> Column:
     """Spans (start, order, end) of one rule. What a split leaves between the matches gives their places."""
+    lengths = lambda array: F.transform(array, lambda m: F.length(m))
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    gaps = F.split(text, rule.pattern, -1)
-    walked = F.aggregate(
-        F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), F.transform(found, lambda m: F.length(m)).alias("len"), F.transform(tested, lambda m: F.length(m)).alias("test")),
-        F.struct(F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("spans"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(
-            F.when(
-                x["test"] >= rule.least,
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind"), (acc["at"] + x["gap"] + x["len"]).alias("end")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-            (acc["at"] + x["gap"] + F.coalesce(x["len"], F.lit(0))).alias("at"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return walked
+    parts = F.struct(lengths(found).alias("len"), lengths(tested).alias("test"), lengths(F.split(text, rule.pattern, -1)).alias("gap"))
+
+    def spans(x: Column) -> Column:
+        steps = F.zip_with(F.slice(x["gap"], 1, F.size(x["len"])), x["len"], lambda g, n: g + n)
+        ends = F.zip_with(running(steps, F.lit(0), lambda a, n: a + n), steps, lambda a, n: a + n)
+        rows = F.arrays_zip(ends.alias("end"), x["len"].alias("len"), x["test"].alias("test"))
+        kept = F.filter(rows, lambda r: r["test"] >= rule.least)
+        return F.transform(kept, lambda r: F.struct((r["end"] - r["len"]).alias("start"), F.lit(order).alias("kind"), r["end"].alias("end")))
+
+    return let(parts, spans)
 
 
 _NONE = "array<struct<start:int,kind:int,end:int>>"
@@ -127,27 +187,31 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "secret
 
     ``kind`` is the rule's place in ``rules``; start and end are code points, end exclusive. Rules with
     mandatory trigrams are matched only in the texts that the index yields; a rule without any (long
-    hexadecimal runs) scans every text, in full.
+    hexadecimal runs) scans every text, in full. The texts found by the index (their digests) are a table
+    of their own; Spark may send it to the texts if it is small, and moves both sides otherwise.
 
-    A null text is empty and has no span. Equal texts share one entry of the index. Rows and other
-    columns are kept as they are; a column named like ``column`` is replaced.
+    A null text is empty and has no span. Rows and other columns are kept as they are, whatever their
+    names; one named like ``column`` is replaced. Equal texts share entries of the index, dealt over
+    SALTS keys by ``doc_id`` (one key without that column). An empty table gives no rows.
     """
     docs = docs.drop(column)
-    key = F.md5(whole_text().cast("binary"))
-    index = build_index(docs.select(key.alias("text_key"), F.lower(whole_text()).alias("lowered")), rules)
-    found = candidates(index, rules).select(F.col("text_key").alias("_key"), F.col("rules").alias("_rules"))
-    marked = docs.withColumn("_text_key", key).join(found, F.col("_text_key") == F.col("_key"), "left")
+    own, key, mask = (unused(n, docs) for n in ("_text_key", "_found_key", "_found_rules"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) if "doc_id" in docs.columns else F.lit(0)
+    named = F.concat_ws(":", F.md5(whole_text().cast("binary")), salt)
+    index = build_index(docs.select(named.alias("text_key"), F.lower(whole_text()).alias("lowered")), rules)
+    found = shared_table(candidates(index, rules), "candidates").select(F.col("text_key").alias(key), F.col("rules").alias(mask))
+    marked = docs.withColumn(own, named).join(found, F.col(own) == F.col(key), "left")
     text = whole_text()
     spans = []
     for k, rule in enumerate(rules):
         matches = _matches(text, rule, k)
         if trigram_query(rule) is not None:
-            matches = F.when(F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0, matches).otherwise(F.array().cast(_NONE))
+            matches = F.when(F.coalesce(F.col(mask), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0, matches).otherwise(F.array().cast(_NONE))
         elif rule.kind == "hex":
             # a text without one long run cannot match; this test is a scan of the whole text
             matches = F.when(text.rlike(f"[0-9a-f]{{{rule.least}}}"), matches).otherwise(F.array().cast(_NONE))
         spans.append(matches)
-    return marked.withColumn(column, F.array_sort(F.concat(*spans))).drop("_text_key", "_key", "_rules")
+    return marked.withColumn(column, F.array_sort(F.concat(*spans))).drop(own, key, mask)
 
 
 def render(spans: Column, rules: tuple[Rule, ...] = RULES, only: tuple[str, ...] | None = None) -> Column:
@@ -158,23 +222,39 @@ def render(spans: Column, rules: tuple[Rule, ...] = RULES, only: tuple[str, ...]
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+#: Spans replaced in one piece of a text.
+PIECE_SPANS = 256
+
+
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every found span replaced by ``mask``; spans that overlap become one."""
-    column = "_found_secrets"
+    """``docs`` with every found span replaced by ``mask``; spans that overlap become one.
+
+    Rows, columns and nulls stay; ``n_chars``, if there is one, follows the text. A text is cut into pieces of
+    PIECE_SPANS spans first, so that the work does not grow with spans times length.
+    """
+    column = unused("_found_secrets", docs)
     scanned = scan(docs, column=column)
-    walked = F.aggregate(
-        column,
-        F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("parts"), s["end"].alias("at")),
-        ).otherwise(F.struct(acc["parts"].alias("parts"), F.greatest(acc["at"], s["end"]).alias("at"))),
-    )
-    held = scanned.withColumn("_walk", F.when(F.size(column) > 0, walked))
-    rest = F.concat(F.array_join("_walk.parts", ""), F.substring(F.col("text"), F.col("_walk.at") + 1, F.lit(2147483647)))
-    out = held.withColumn("text", F.when(F.col("_walk").isNotNull(), rest).otherwise(F.col("text"))).drop("_walk", column)
+    text = F.col("text")
+
+    def masked(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        rows = F.arrays_zip(F.transform(spans, lambda s: s["start"]).alias("start"), running(ends, F.lit(0), lambda a, x: F.greatest(a, x)).alias("after"))
+        heads = F.filter(rows, lambda h: h["start"] >= h["after"])  # spans that begin behind all earlier ones
+
+        def joined(h: Column) -> Column:
+            firsts = F.filter(F.sequence(F.lit(1), F.size(h), F.lit(PIECE_SPANS)), lambda i: i <= F.size(h))
+            return F.array_join(F.transform(firsts, lambda i: let(F.slice(h, i, PIECE_SPANS), piece)), "")
+
+        def piece(part: Column) -> Column:
+            base = F.get(part, F.lit(0))["after"]
+            held = F.substring(text, base + 1, F.element_at(part, -1)["start"] - base)
+            return let(held, lambda x: F.array_join(F.transform(part, lambda s: F.concat(F.substring(x, s["after"] - base + 1, s["start"] - s["after"]), F.lit(mask))), ""))
+
+        return F.concat(let(heads, joined), F.substring(text, F.array_max(ends) + 1, F.lit(2147483647)))
+
+    out = scanned.withColumn("text", F.when(F.size(column) > 0, let(F.col(column), masked)).otherwise(text)).drop(column)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(text.isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
