@@ -8,16 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD_PATTERN, shared_table, whole_text
+from folioscope.llm.common import WORD_PATTERN, let, running, shared_table, unused, whole_text
 
 #: Weights by rank of the source's name, repeating.
 WEIGHTS = (1, 2, 3)
 #: A source is used at most so many times.
 MOST_EPOCHS = 3
-#: Rows that one output shard holds on average, and the deepest tree.
-SHARD_ROWS, MAX_DEPTH = 4096, 24
-#: Above this spread a split's deviate is drawn from the normal curve, below it from the exact law.
-EXACT_SPREAD = 40.0
+#: Rows that one output shard holds on average, words of a block (the unit of the quotas), and words behind
+#: a quota whose rows may be given what whole blocks leave.
+SHARD_ROWS, BLOCK_WORDS, MARGIN_WORDS = 4096, 64, 512
 
 
 def _uniform(*parts: Column | int) -> Column:
@@ -51,53 +50,55 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     return chosen.select("source", "source_size", target.alias("target"))
 
 
-def _split(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``first``: how many of ``quota`` words, drawn without replacement from left + right, fall left.
+def _split(quota: Column, left: Column, right: Column, draw: Column) -> Column:
+    """How many of ``quota`` blocks, drawn without replacement from left + right, fall left: the hypergeometric law, inverted at ``draw``.
 
-    The hypergeometric law, inverted at ``draw``: with a small spread by summing the exact ratios of
-    neighbouring probabilities around the mean; with a large one by its normal curve.
+    The exact ratios of neighbouring probabilities are summed over all values within eight deviations of
+    the mean; what lies beyond weighs less than a double can tell. The number of terms grows with the
+    root of the number of blocks, at every size alike.
     """
-    q, a, b = F.col("quota"), F.col("left"), F.col("right")
-    total = a + b
-    out = nodes.withColumn("_mean", F.when(total > 0, q * a / total).otherwise(0.0))
-    out = out.withColumn("_spread", F.when(total > 1, F.sqrt(F.col("_mean") * (b / total) * (total - q) / (total - 1))).otherwise(0.0))
-    out = out.withColumn("_low", F.greatest(F.lit(0.0), q - b)).withColumn("_high", F.least(q, a))
-    out = out.withColumn("_from", F.greatest(F.col("_low"), F.ceil(F.col("_mean") - 8 * F.col("_spread") - 2)))
-    out = out.withColumn("_steps", F.least(F.lit(int(17 * EXACT_SPREAD)), F.least(F.col("_high"), F.floor(F.col("_mean") + 8 * F.col("_spread") + 2)) - F.col("_from")).cast("int"))
-    # log of p(x + 1) / p(x) from each step to the next; their running sum is the log weight
-    x = lambda k: F.col("_from") + k
-    ratio = lambda k: F.log((a - x(k)) * (q - x(k))) - F.log((x(k) + 1) * (b - q + x(k) + 1))
-    small = (F.col("_spread") <= EXACT_SPREAD) & (F.col("_steps") > 0)
-    steps = F.when(small, F.sequence(F.lit(0), F.col("_steps") - 1)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("_ratios", F.transform(steps, ratio))
-    sums = F.aggregate(
-        "_ratios",
-        F.struct(F.array(F.lit(0.0)).alias("logs"), F.lit(0.0).alias("log")),
-        lambda acc, r: F.struct(F.concat(acc["logs"], F.array(acc["log"] + r)).alias("logs"), (acc["log"] + r).alias("log")),
-        lambda acc: acc["logs"],
-    )
-    out = out.withColumn("_logs", sums).withColumn("_top", F.array_max("_logs"))
-    out = out.withColumn("_weights", F.transform("_logs", lambda y: F.exp(y - F.col("_top"))))
-    out = out.withColumn("_share", F.col("draw") * F.aggregate("_weights", F.lit(0.0), lambda acc, y: acc + y))
-    index = F.aggregate(
-        "_weights",
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-        lambda acc, y: F.struct((acc["sum"] + y).alias("sum"), (acc["n"] + (acc["sum"] + y < F.col("_share")).cast("int")).alias("n")),
-        lambda acc: acc["n"],
-    )
-    # Box-Muller; the second uniform comes from the draw's low digits
-    second = F.pmod(F.col("draw") * 1048573.0, F.lit(1.0))
-    normal = F.sqrt(-2.0 * F.log("draw")) * F.cos(second * 6.283185307179586)
-    wide = F.greatest(F.col("_low"), F.round(F.col("_mean") + normal * F.col("_spread")))
-    first = F.when((q <= 0) | (a <= 0), 0.0).when(b <= 0, q).when(small, F.col("_from") + index).when(F.col("_steps") > 0, wide).otherwise(F.col("_from"))
-    return out.withColumn("first", F.least(F.col("_high"), first)).drop(*[c for c in out.columns if c.startswith("_")])
+    total = left + right
+    mean = quota * left / total
+    spread = F.sqrt(mean * (right / total) * ((total - quota) / F.greatest(total - 1, F.lit(1.0))))
+    low, high = F.greatest(F.lit(0.0), quota - right), F.least(quota, left)
+    first = F.greatest(low, F.ceil(mean - 8 * spread - 2).cast("double"))
+    last = F.least(high, F.floor(mean + 8 * spread + 2).cast("double"))
+    bounds = F.struct(first.alias("first"), (last - first).cast("int").alias("steps"))
+
+    def inverted(b: Column) -> Column:
+        x = lambda k: b["first"] + k
+        # log of p(x + 1) / p(x) from each step to the next; their running sum is the log weight
+        ratio = lambda k: F.log((left - x(k)) * (quota - x(k))) - F.log((x(k) + 1) * (right - quota + x(k) + 1))
+        ratios = F.transform(F.filter(F.sequence(F.lit(0), b["steps"]), lambda k: k < b["steps"]), ratio)
+        logs = F.concat(running(F.concat(ratios, F.array(F.lit(0.0))), F.lit(0.0), lambda a, r: a + r))
+        weights = lambda y: let(F.array_max(y), lambda top: F.transform(y, lambda v: F.exp(v - top)))
+        count = lambda w: let(
+            draw * F.aggregate(w, F.lit(0.0), lambda acc, v: acc + v),
+            lambda share: F.aggregate(
+                w,
+                F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
+                lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), (acc["n"] + (acc["sum"] + v < share).cast("int")).alias("n")),
+                lambda acc: acc["n"],
+            ),
+        )
+        return F.least(high, b["first"] + let(let(logs, weights), count))
+
+    return F.when((quota <= 0) | (left <= 0), 0.0).when(right <= 0, quota).when(quota >= total, left).otherwise(let(bounds, inverted))
+
+
+def _blocks(start: Column, words: Column) -> Column:
+    """Blocks that begin among ``words`` words from ``start`` on; blocks of neighbouring nodes add up."""
+    ends = lambda at: F.floor((at + BLOCK_WORDS - 1) / BLOCK_WORDS).cast("double")
+    return ends(start + words) - ends(start)
 
 
 def _quotas(shards: DataFrame, targets: DataFrame, depth: int, seed: int) -> DataFrame:
-    """(source, shard, epochs, quota): whole rounds, and the words to draw beyond them, for each shard.
+    """(source, shard, epochs, quota, source_rest): whole rounds, and the words to draw beyond them, for each shard.
 
-    ``shards`` holds (source, shard, words) sums. The quota of a node is split between its two halves by
-    the hypergeometric law, level by level, so the quotas of a source's shards add up to its own.
+    ``shards`` holds (source, shard, words) sums. A source's words in hashed order of its rows, which is
+    a random permutation, are cut into blocks of BLOCK_WORDS. The blocks to draw are split between the
+    two halves of a node by the hypergeometric law, level by level, so that the shards' quotas follow the multivariate law
+    and add up. ``source_rest`` is what the source's shards are to give in all.
     """
     goal = F.round("target").cast("long")
     node = targets.select(
@@ -105,10 +106,13 @@ def _quotas(shards: DataFrame, targets: DataFrame, depth: int, seed: int) -> Dat
         F.lit(0).cast("long").alias("node"),
         F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
         F.col("source_size").cast("double").alias("words"),
+        F.lit(0.0).alias("start"),
         goal.alias("goal"),
     )
     node = node.withColumn("epochs", F.least("epochs", F.lit(MOST_EPOCHS)))
-    node = node.withColumn("quota", F.greatest(F.lit(0.0), F.least(F.col("goal") - F.col("epochs") * F.col("words"), F.col("words")))).drop("goal")
+    node = node.withColumn("source_rest", F.greatest(F.lit(0.0), F.least(F.col("goal") - F.col("epochs") * F.col("words"), F.col("words"))))
+    node = node.withColumn("blocks", _blocks(F.col("start"), F.col("words")))
+    node = node.withColumn("quota", F.least("blocks", F.floor(F.col("source_rest") / BLOCK_WORDS).cast("double"))).drop("goal")
     for level in range(depth):
         half = shards.groupBy("source", F.shiftright(F.col("shard"), depth - level - 1).alias("child")).agg(F.sum("words").cast("double").alias("child_words"))
         halves = half.groupBy(F.col("source").alias("s"), F.shiftright("child", 1).alias("parent")).agg(
@@ -116,39 +120,42 @@ def _quotas(shards: DataFrame, targets: DataFrame, depth: int, seed: int) -> Dat
             F.sum(F.when(F.col("child") % 2 == 1, F.col("child_words")).otherwise(0.0)).alias("right"),
         )
         joined = node.join(halves, node["source"].eqNullSafe(halves["s"]) & (node["node"] == halves["parent"]))
-        cut = _split(joined.withColumn("draw", _uniform(F.col("source"), F.col("node"), level, seed)))
-        sides = F.explode(
-            F.array(
-                F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("words"), F.col("first").alias("quota")),
-                F.struct((F.col("node") * 2 + 1).alias("node"), F.col("right").alias("words"), (F.col("quota") - F.col("first")).alias("quota")),
-            )
-        )
-        node = cut.select("source", "epochs", sides.alias("side")).select("source", "side.node", "epochs", "side.words", "side.quota").where("words > 0")
+        cut = joined.withColumn("draw", _uniform(F.col("source"), F.col("node"), level, seed))
+        cut = cut.withColumn("left_blocks", _blocks(F.col("start"), F.col("left"))).withColumn("right_blocks", F.col("blocks") - F.col("left_blocks"))
+        cut = cut.withColumn("first", _split(F.col("quota"), F.col("left_blocks"), F.col("right_blocks"), F.col("draw")))
+        side = lambda k, start, words, blocks, quota: F.struct((F.col("node") * 2 + k).alias("node"), start.alias("start"), F.col(words).alias("words"), F.col(blocks).alias("blocks"), quota.alias("quota"))
+        sides = F.array(side(0, F.col("start"), "left", "left_blocks", F.col("first")), side(1, F.col("start") + F.col("left"), "right", "right_blocks", F.col("quota") - F.col("first")))
+        node = cut.select("source", "epochs", "source_rest", F.inline(sides)).where("words > 0")
         node = shared_table(node, "quotas")  # a few rows; cut here, or the plan would double at each level
-    return node.select(F.col("source").alias("quota_source"), F.col("node").alias("quota_shard"), "epochs", F.col("quota").cast("long").alias("quota"))
-
-
-def _part(size: Column, before: Column, quota: Column, rest: Column) -> Column:
-    """Words of a row beyond whole rounds: all where the quota covers it, ``rest`` where the quota ends inside it, else none."""
-    return F.when(before + size <= quota, size).when(before < quota, rest).otherwise(0)
+    quota = F.least(F.col("quota") * BLOCK_WORDS, F.col("words"))
+    return node.select(F.col("source").alias("quota_source"), F.col("node").alias("quota_shard"), "epochs", quota.cast("long").alias("quota"), F.col("source_rest").cast("long").alias("source_rest"))
 
 
 def _rounded(light: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
-    """``quotas`` with ``rest``: the words given to the row of (source, shard) inside which the quota ends.
+    """``quotas`` with ``quota`` moved to the ends of rows, so that each source gives what it is to give.
 
-    The shards of a source together still need some words of those rows. They are dealt to the rows in
-    hashed order, each whole, until none are left; only the row that meets the last word is given a part.
-    A source has one such row for each of its shards, and the window runs over these.
+    The shards' quotas are whole blocks and cover fewer words than the source is to give. What is missing is
+    dealt to the rows that follow the covered ones within MARGIN_WORDS, whole ones, the first of every
+    shard in hashed order before the second of any, until none is left; only the row that meets the last word is
+    given a part. The window over a source holds these few rows of each of its shards.
     """
     joined = light.join(quotas, light["source"].eqNullSafe(quotas["quota_source"]) & (light["shard"] == quotas["quota_shard"]))
-    order = Window.partitionBy("source", "shard").orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    drawn = joined.where("quota > 0").withColumn("before", F.sum("size").over(order) - F.col("size"))
-    ends = drawn.where("before < quota and before + size > quota").withColumn("turn", F.xxhash64("spot", F.lit(seed + 2)))
-    whole = Window.partitionBy("source")
-    dealt = whole.orderBy("turn", "doc_id", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left = F.sum(F.col("quota") - F.col("before")).over(whole) - (F.sum("size").over(dealt) - F.col("size"))
-    rest = ends.select(F.col("source").alias("s"), F.col("shard").alias("n"), F.greatest(F.lit(0), F.least(F.col("size"), left)).alias("rest"))
-    return quotas.join(rest, quotas["quota_source"].eqNullSafe(rest["s"]) & (quotas["quota_shard"] == rest["n"]), "left").drop("s", "n")
+    in_shard = Window.partitionBy("source", "shard")
+    upto = in_shard.orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = joined.where("source_rest > 0 and size > 0").withColumn("before", F.sum("size").over(upto) - F.col("size"))
+    covered = placed.where("before + size <= quota").groupBy("source", "shard").agg(F.sum("size").alias("covered"))
+    sums = covered.groupBy("source").agg(F.sum("covered").alias("given"))
+    beyond = placed.where(F.expr("before + size > quota") & (F.col("before") < F.col("quota") + MARGIN_WORDS))
+    beyond = beyond.withColumn("nth", F.row_number().over(in_shard.orderBy("before", "spot", "doc_id"))).withColumn("turn", F.xxhash64("spot", F.lit(seed + 2)))
+    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    dealt = Window.partitionBy("source").orderBy("nth", "turn", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = beyond.join(sums, same(beyond, sums), "left").select(beyond["source"], "shard", "size", "source_rest", "given", "nth", "turn")
+    left = F.col("source_rest") - F.coalesce("given", F.lit(0)) - (F.sum("size").over(dealt) - F.col("size"))
+    more = room.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), left))).groupBy("source", "shard").agg(F.sum("more").alias("more"))
+    parts = covered.withColumn("more", F.lit(0).cast("long")).unionByName(more.withColumn("covered", F.lit(0).cast("long")))
+    final = parts.groupBy(F.col("source").alias("s"), F.col("shard").alias("n")).agg((F.sum("covered") + F.sum("more")).alias("final"))
+    out = quotas.join(final, quotas["quota_source"].eqNullSafe(final["s"]) & (quotas["quota_shard"] == final["n"]), "left")
+    return out.select("quota_source", "quota_shard", "epochs", F.coalesce("final", F.lit(0)).alias("quota"))
 
 
 def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, seed: int = 7, column: str = "mix") -> DataFrame:
@@ -156,7 +163,7 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
 
     A row's size is its number of words. Each source is to give ``target`` words: its whole rows
     ``epochs`` times, and ``part`` words more from rows drawn without replacement. Rows are dealt by
-    hash into shards of some SHARD_ROWS rows; the quota beyond whole rounds is split down a binary tree
+    hash into shards of some SHARD_ROWS rows; the blocks to draw beyond whole rounds are split down a binary tree
     over the shards by the multivariate hypergeometric law, and within its shard each source's rows
     are taken whole in hashed order as far as the quota reaches. What the shards' quotas leave is dealt
     over the shards to whole rows again (``_rounded``), so a source's sum is exact and one row of a
@@ -164,30 +171,33 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
 
     The draw depends on (seed, doc_id, text) only, so reruns agree. Equal rows are told apart by nothing
     and may swap places. A null source is a source of its own, a null or empty text has size 0 and is
-    never drawn. All other columns are kept (one named like ``column`` is replaced). Empty in, empty out.
+    never drawn. All other columns are kept, whatever their names (one named like ``column`` is replaced). Empty in, empty out.
     """
     docs = docs.drop(column)
     rows = docs.count()
-    depth = min(MAX_DEPTH, max(0, (rows // SHARD_ROWS).bit_length()))
+    depth = max(0, (rows // SHARD_ROWS).bit_length())
     size = F.regexp_count(whole_text(), F.lit(WORD_PATTERN)).cast("long")
     spot = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
     shard = F.shiftrightunsigned(spot, 64 - depth) if depth else F.lit(0).cast("long")
     light = shared_table(docs.select("doc_id", "source", size.alias("size"), spot.alias("spot"), shard.alias("shard")), "sizes")
     shards = shared_table(light.groupBy("source", "shard").agg(F.sum("size").alias("words")), "shards")
     targets = shared_table(source_targets(shards.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs), "targets")
-    quotas = _rounded(light, shared_table(_quotas(shards, targets, depth, seed), "quotas"), seed)
+    quotas = shared_table(_rounded(light, shared_table(_quotas(shards, targets, depth, seed), "quotas"), seed), "quotas")
+    own, given, before = (unused(n, docs) for n in ("_own", "_given", "_before"))
+    at, part_of = unused("_quota_source", docs), unused("_quota_shard", docs)
     named = targets.select(F.col("source").alias("target_source"), "source_size", "target")
-    given = quotas.join(named, quotas["quota_source"].eqNullSafe(named["target_source"]))
-    given = given.select("quota_source", "quota_shard", F.struct("source_size", "target", "epochs", "quota", "rest").alias("_given"))
-    sized = docs.withColumn("_own", F.struct(size.alias("size"), spot.alias("spot"), shard.alias("shard")))
-    joined = sized.join(given, F.col("source").eqNullSafe(F.col("quota_source")) & (F.col("_own.shard") == F.col("quota_shard")), "left")
-    order = Window.partitionBy("source", "_own.shard").orderBy("_own.spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    drawn = joined.withColumn("_before", F.sum("_own.size").over(order) - F.col("_own.size"))
-    part = _part(F.col("_own.size"), F.col("_before"), F.coalesce("_given.quota", F.lit(0)), F.coalesce("_given.rest", F.lit(0)))
-    rounds = F.coalesce("_given.epochs", F.lit(0))
+    all_given = quotas.join(named, quotas["quota_source"].eqNullSafe(named["target_source"]))
+    all_given = all_given.select(F.col("quota_source").alias(at), F.col("quota_shard").alias(part_of), F.struct("source_size", "target", "epochs", "quota").alias(given))
+    sized = docs.withColumn(own, F.struct(size.alias("size"), spot.alias("spot"), shard.alias("shard")))
+    joined = sized.join(all_given, F.col("source").eqNullSafe(F.col(at)) & (F.col(f"{own}.shard") == F.col(part_of)), "left")
+    order = Window.partitionBy("source", f"{own}.shard").orderBy(f"{own}.spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = joined.withColumn(before, F.sum(f"{own}.size").over(order) - F.col(f"{own}.size"))
+    n, start = F.col(f"{own}.size"), F.col(before)
+    part = F.coalesce(F.greatest(F.lit(0), F.least(n, F.col(f"{given}.quota") - start)), F.lit(0))
+    rounds = F.coalesce(f"{given}.epochs", F.lit(0))
     mix = F.struct(
-        F.col("_own.size"), F.coalesce("_given.source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("_given.target", F.lit(0.0)).alias("target"),
-        rounds.alias("epochs"), part.alias("part"), (rounds * F.col("_own.size") + part).cast("long").alias("taken"), F.col("_own.shard"), F.xxhash64("_own.spot", F.lit(seed + 1)).alias("place"),
+        n.alias("size"), F.coalesce(f"{given}.source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce(f"{given}.target", F.lit(0.0)).alias("target"),
+        rounds.alias("epochs"), part.cast("long").alias("part"), (rounds * n + part).cast("long").alias("taken"), F.col(f"{own}.shard").alias("shard"), F.xxhash64(f"{own}.spot", F.lit(seed + 1)).alias("place"),
     )
     return drawn.select(*docs.columns, mix.alias(column))
 
@@ -195,17 +205,20 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves: each row once per whole round, and its first ``part`` words once more.
 
-    A text is cut only where ``part`` is below its size, in one row of a source at most. Columns are those of ``docs``; rows come shard by shard in the shard's own shuffle.
+    A text is cut only where ``part`` is below its size, in one row of a source at most. Columns are those of ``docs``, whatever
+    their names; rows come shard by shard in the shard's own shuffle. Rows without a word are left out; an empty table stays empty.
     """
-    mixed = draw(docs, **options, column="_mix")
-    whole = F.col("_mix.epochs") + (F.col("_mix.part") > 0).cast("long")
-    copies = mixed.where("_mix.taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)))
-    cut = (F.col("_copy") > F.col("_mix.epochs")) & (F.col("_mix.part") < F.col("_mix.size"))
+    mix, copy = unused("_mix", docs), unused("_copy", docs)
+    mixed = draw(docs, **options, column=mix)
+    of = lambda name: F.col(f"{mix}.{name}")
+    whole = of("epochs") + (of("part") > 0).cast("long")
+    copies = mixed.where(of("taken") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), whole)))
+    cut = (F.col(copy) > of("epochs")) & (of("part") < of("size"))
     words = F.regexp_extract_all(whole_text(), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    out = copies.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_mix.part").cast("int")), "")).otherwise(F.col("text")))
+    out = copies.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), of("part").cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.sortWithinPartitions("_mix.shard", "_mix.place", "_copy").select(*docs.columns)
+    return out.sortWithinPartitions(f"{mix}.shard", f"{mix}.place", copy).select(*docs.columns)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
