@@ -17,16 +17,25 @@ from folioscope.llm.common import id_fold, mix64, slices, span_hashes, utf8, who
 SAMPLE_DOCUMENTS = 8000
 #: Leading bytes of a word that are features besides the word, and the numbers of occurrences told apart.
 PREFIXES, OCCURRENCES = (4, 5, 6, 7), (1, 2, 4)
-#: Features kept for training: those that the labels differ on most, in standard deviations.
-MOST_FEATURES, LEAST_DEVIATION = 2048, 4.0
-STEPS, RATE, RIDGE, SWAP_PENALTY = 300, 0.05, 2e-3, 1.0
+#: Features for training: all that at least so many documents hold and whose labels differ by so many standard deviations.
+LEAST_DOCUMENTS, LEAST_DEVIATION = 3, 4.0
+STEPS, RATE, RIDGE, SWAP_PENALTY = 300, 0.05, 2e-3, 4.0
 SLICE_BYTES = 1 << 20
 
-#: Words that name groups of people; each stands for any other in a counterfactual text.
-IDENTITY_TERMS = (
-    "women", "men", "muslims", "christians", "jews", "hindus", "immigrants", "refugees", "gays", "lesbians",
-    "asians", "africans", "europeans", "americans", "mexicans", "germans", "french", "spanish", "blacks", "whites",
-)
+#: Words that name groups of people, by language and number; each stands for any other of its line in a counterfactual text.
+IDENTITY_TERMS = tuple(
+    tuple(line.split())
+    for line in (
+        "women men muslims christians jews hindus immigrants refugees gays lesbians asians africans europeans americans mexicans germans blacks whites",
+        "woman man muslim christian jew hindu immigrant refugee lesbian asian african european american mexican german",
+        "frauen männer muslime christen juden einwanderer flüchtlinge schwule lesben asiaten afrikaner europäer amerikaner türken",
+        "frau mann moslem christ jude einwanderin flüchtling lesbe asiate afrikanerin europäerin amerikanerin türke",
+        "femmes hommes musulmans chrétiens juifs hindous immigrés réfugiés homosexuels lesbiennes asiatiques africains européens américains",
+        "femme homme musulman chrétien juif hindou immigré réfugié homosexuel lesbienne asiatique africain européen américain",
+        "mujeres hombres musulmanes cristianos judíos hindúes inmigrantes refugiados homosexuales lesbianas asiáticos africanos europeos americanos",
+        "mujer hombre musulmán cristiano judío hindú inmigrante refugiado homosexual lesbiana asiático africano europeo americano",
+    )
+)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
@@ -71,12 +80,19 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([r for r, _ in out]).astype(np.int64), np.concatenate([n for _, n in out])
 
 
-def swap_terms(text: str, spot: int, terms: tuple[str, ...] = IDENTITY_TERMS) -> str | None:
-    """The text with each identity term replaced by another one, or None if it holds none."""
-    places = {t: k for k, t in enumerate(terms)}
-    pattern = re.compile(r"\b(" + "|".join(map(re.escape, terms)) + r")\b", re.IGNORECASE)
-    shift = 1 + spot % max(len(terms) - 1, 1)
-    out, n = pattern.subn(lambda m: terms[(places[m[0].lower()] + shift) % len(terms)], text)
+def swap_terms(text: str, spot: int, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> str | None:
+    """The text with each identity term replaced by another one of its line, or None if it holds none."""
+    places: dict[str, tuple[tuple[str, ...], int]] = {}
+    for line in terms:
+        for k, term in enumerate(line):
+            places.setdefault(term, (line, k))
+    pattern = re.compile(r"\b(" + "|".join(sorted(map(re.escape, places), reverse=True)) + r")\b", re.IGNORECASE)
+
+    def other(m: re.Match) -> str:
+        line, k = places[m[0].lower()]
+        return line[(k + 1 + spot % max(len(line) - 1, 1)) % len(line)]
+
+    out, n = pattern.subn(other, text)
     return out if n else None
 
 
@@ -101,12 +117,14 @@ class Model:
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(spot, text, toxic) of at most SAMPLE_DOCUMENTS labelled documents outside the held-out fold.
 
-    The labels are thinned by their hash before they meet the texts.
+    The labels are thinned by their hash before they meet the texts. An id that occurs again counts once, with its
+    least text and greatest label.
     """
     able = labels.where((id_fold() != 0) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     able = able.withColumn("spot", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
     chosen = able.orderBy("spot", "doc_id").limit(SAMPLE_DOCUMENTS)
-    return chosen.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("spot", "text", "toxic")
+    texts = docs.where("text is not null").select("doc_id", "text").join(chosen.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return chosen.join(texts, "doc_id").select("spot", "text", "toxic")
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,29 +136,47 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(names)).astype(np.int64)), pa.array(bad)], names=["name", "n", "bad"])
 
 
-def _train(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
+class Hits:
+    """A 0/1 matrix of texts and features, as the places of its ones."""
+
+    def __init__(self, lists: list[np.ndarray], width: int) -> None:
+        self.shape = len(lists), width
+        self.row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        self.column = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=self.shape[0])
+
+    def transposed_times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=v[self.row], minlength=self.shape[1])
+
+
+def _train(x: Hits, y: np.ndarray, left: Hits, right: Hits) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam; pairs (left, right) of texts and counterfactuals should score alike.
 
-    Loss: cross entropy + SWAP_PENALTY * mean (score difference)**2 + RIDGE * |w|**2.
+    Loss: mean cross entropy + SWAP_PENALTY * mean (score difference)**2 + RIDGE / 2 * |w|**2. The bias comes last.
     """
-    w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    one = lambda a: np.concatenate([a, np.ones((len(a), 1), a.dtype)], 1)
-    x, left, right = one(x), one(left), one(right)
-    score = lambda a: 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
+    width, pairs = x.shape[1], left.shape[0]
+    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+    score = lambda a: 1 / (1 + np.exp(-np.clip(a.times(w[:-1]) + w[-1], -60, 60)))
+    back = lambda a, e: np.append(a.transposed_times(e), e.sum())
     w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     for step in range(1, STEPS + 1):
-        g = x.T @ (score(x) - y) / len(y) + RIDGE * np.concatenate([w[:-1], [0]])
-        if len(left):
+        g = back(x, score(x) - y) / len(y) + RIDGE * np.append(w[:-1], 0)
+        if pairs:
             a, b = score(left), score(right)
-            g += 2 * SWAP_PENALTY * ((left.T @ ((a - b) * a * (1 - a))) - (right.T @ ((a - b) * b * (1 - b)))) / len(left)
+            g += 2 * SWAP_PENALTY * (back(left, (a - b) * a * (1 - a)) - back(right, (a - b) * b * (1 - b))) / pairs
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, terms: tuple[str, ...] = IDENTITY_TERMS) -> Model:
-    """A model learned from the bounded sample; without labels of both kinds a constant score."""
+def fit(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
+    """A model learned from the bounded sample; without labels of both kinds a constant score.
+
+    What reaches the driver are the features of at most SAMPLE_DOCUMENTS texts, as numbers.
+    """
     sample = training_sample(docs, labels)
     n, bad = sample.agg(F.count("*"), F.sum("toxic")).first()
     bad = int(bad or 0)
@@ -150,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, terms: tuple[str, ...] = IDENTITY_TE
     counts = sample.mapInArrow(_feature_counts, "name long, n long, bad long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     rate = bad / n
     deviation = (F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) * (1 - F.col("n") / (n + 1.0)))
-    kept = counts.where("n >= 3").withColumn("dev", F.abs(deviation)).where(F.col("dev") >= LEAST_DEVIATION).orderBy(F.desc("dev"), "name").limit(MOST_FEATURES)
+    kept = counts.where((F.col("n") >= LEAST_DOCUMENTS) & (F.abs(deviation) >= LEAST_DEVIATION)).select("name")
     names = np.sort(np.array([r["name"] for r in kept.collect()], np.int64).view(np.uint64))
     if not len(names):
         return Model(none, np.zeros(0), float(np.log((bad + 0.5) / (n - bad + 0.5))))
@@ -164,24 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, terms: tuple[str, ...] = IDENTITY_TE
                 row, name = features(texts)
                 at = np.minimum(np.searchsorted(names, name), len(names) - 1)
                 known = names[at] == name
-                found = [[] for _ in spots]
-                for r, k in zip(row[known].tolist(), at[known].tolist()):
-                    found[r].append(k)
-                out.append(found)
+                order = np.argsort(row[known], kind="stable")
+                row, at = row[known][order], at[known][order].astype("<i4")
+                ends = np.searchsorted(row, np.arange(len(spots) + 1))
+                out.append([at[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
             out[1] = [f if s is not None else None for f, s in zip(out[1], swapped)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("spot"), batch.column("toxic").cast(pa.int32()), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32()))], names=["spot", "toxic", "own", "swapped"]
-            )
-
-    rows = sample.mapInArrow(hits, "spot long, toxic int, own array<int>, swapped array<int>").collect()
-    rows.sort(key=lambda r: (r["spot"], r["toxic"], r["own"]))
-
-    def table(lists: list[list[int]]) -> np.ndarray:
-        x = np.zeros((len(lists), len(names)), np.float32)
-        for i, f in enumerate(lists):
-            x[i, f] = 1
-        return x
+            columns = [batch.column("spot"), batch.column("toxic").cast(pa.int32()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["spot", "toxic", "own", "swapped"])
 
+    rows = sorted(sample.mapInArrow(hits, "spot long, toxic int, own binary, swapped binary").collect(), key=lambda r: (r["spot"], r["toxic"], bytes(r["own"])))
+    table = lambda lists: Hits([np.frombuffer(x, "<i4") for x in lists], len(names))
     paired = [r for r in rows if r["swapped"] is not None]
     weights, bias = _train(table([r["own"] for r in rows]), np.array([r["toxic"] for r in rows], float), table([r["own"] for r in paired]), table([r["swapped"] for r in paired]))
     return Model(names, weights, bias)
