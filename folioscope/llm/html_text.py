@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import slices
 
 SLICE_BYTES = 2 << 20
-#: Share of the largest fused path score that a path needs to count as content.
+#: Share of the largest path score that a path needs to count as content by itself.
 THRESHOLD = 0.25
-#: Weights of a path's score and its two neighbours' in page order.
+#: Weights of a path's ratios and its two neighbours' in page order.
 SMOOTHING = (0.25, 0.5, 0.25)
-#: Share of the selected text that the content's container must hold.
-HELD = 0.9
+#: Share of all score that the content's container must hold.
+HELD = 0.7
+#: What a tag or mark of boilerplate, and one of an article, multiplies a path's score by.
+BARRED_PRIOR, ARTICLE_PRIOR = 0.002, 8.0
+#: Text that a wider container may add, as a share of what it held.
+WIDENING = 0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -42,18 +46,25 @@ MARKS = frozenset(
 #: Words in a class, id or role that mark the article's own element.
 ARTICLE_MARKS = frozenset("article articlebody content entry main maincontent post story".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: A start tag of the left closes an open one of its set.
 #: An end tag of the left closes at most up to the nearest of the right; a start tag closes an open one of its set.
+#: Elements that hold one run of text; a container is wider than they are.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote caption figcaption summary legend center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،؟]")
 
 
 class Block:
-    """A run of text without a block boundary in it, and the elements around it."""
+    """A run of text without a block boundary in it, and the elements around it.
 
-    __slots__ = ("path", "chain", "text", "link")
+    ``path`` has the tags, ``chain`` the numbers of these elements; ``barred`` tells whether one is marked as boilerplate.
+    """
+
+    __slots__ = ("path", "chain", "text", "link", "barred")
 
-    def __init__(self, path: tuple[str, ...], chain: tuple[int, ...], text: str, link: int) -> None:
-        self.path, self.chain, self.text, self.link = path, chain, text, link
+    def __init__(self, path: tuple[str, ...], chain: tuple[int, ...], text: str, link: int, barred: bool) -> None:
+        self.path, self.chain, self.text, self.link, self.barred = path, chain, text, link, barred
 
 
 def _marks(attributes: str) -> set[str]:
@@ -64,7 +75,7 @@ def _marks(attributes: str) -> set[str]:
 
 
 def blocks(page: str) -> tuple[list[Block], set[int]]:
-    """The page's text blocks outside of marked boilerplate, in page order, and the elements marked as an article."""
+    """The page's text blocks in page order, and the elements marked as an article."""
     out: list[Block] = []
     hinted: set[int] = set()
     names: list[str] = []  # open block elements
@@ -79,7 +90,7 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append(Block(tuple(names), tuple(numbers), text, link))
+                out.append(Block(tuple(names), tuple(numbers), text, link, barred > 0))
         link = 0
 
     def pop(depth: int) -> None:
@@ -90,7 +101,7 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
 
     def text(raw: str) -> None:
         nonlocal link
-        if raw and not barred:
+        if raw:
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
             if in_link:
@@ -145,22 +156,20 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
     return out, hinted
 
 
-def content(found: list[Block], hinted: set[int]) -> list[Block]:
-    """The blocks of the main text.
+def path_scores(found: list[Block], hinted: set[int]) -> dict[tuple, float]:
+    """The fused score of each tag path (paths inside and outside marked boilerplate count apart).
 
-    Per tag path: text outside of links, and punctuation marks, each by the number of blocks on the path.
-    The two are smoothed over the paths in page order, fused by their product with a path's share of the
-    text, and cut at a share of the largest. The selected blocks fix a container, the deepest element that
-    holds nearly all of them; what stands in it is the article, its title and short lines included.
+    Per path: text outside of links, and punctuation marks, each by the number of blocks on the path. The two
+    ratios are smoothed over the paths in page order and fused by their product with the path's own text. Marks of
+    boilerplate or of an article are a prior that multiplies the score; they decide nothing by themselves.
     """
-    if not found:
-        return []
-    paths: dict[tuple[str, ...], list[float]] = {}
+    paths: dict[tuple, list[float]] = {}
     for b in found:
-        entry = paths.setdefault(b.path, [0.0, 0.0, 0.0])
+        entry = paths.setdefault((b.path, b.barred), [0.0, 0.0, 0.0, 0.0])
         entry[0] += max(len(b.text) - b.link, 0)
         entry[1] += len(PUNCTUATION.findall(b.text))
         entry[2] += 1
+        entry[3] += not hinted.isdisjoint(b.chain)
 
     def smooth(values: list[float]) -> list[float]:
         side, mid, _ = SMOOTHING
@@ -168,30 +177,59 @@ def content(found: list[Block], hinted: set[int]) -> list[Block]:
 
     lengths = smooth([e[0] / e[2] for e in paths.values()])
     marks = smooth([e[1] / e[2] for e in paths.values()])
-    score = {p: (1 + x) * (1 + y) * e[0] for (p, e), x, y in zip(paths.items(), lengths, marks)}
-    top = max(score.values())
-    chosen = [b for b in found if score[b.path] >= THRESHOLD * top and (top > 0 or not b.link)]
-    total = sum(len(b.text) for b in chosen)
-    held: dict[int, int] = {}
-    for b in chosen:
+    prior = lambda p, e: (BARRED_PRIOR if p[1] else 1.0) * (ARTICLE_PRIOR if 2 * e[3] > e[2] else 1.0)
+    return {p: prior(p, e) * (1 + x) * (1 + y) * e[0] for (p, e), x, y in zip(paths.items(), lengths, marks)}
+
+
+def content(found: list[Block], hinted: set[int]) -> list[Block]:
+    """The blocks of the main text, by the scores of their tag paths.
+
+    The container is the deepest element whose blocks hold most of the score, blocks of one path sharing it by their length.
+    It is widened while what that adds is little, is headed or on paths of enough score, and is no
+    mere links; up to an element marked as an article at once. What stands in the container is content, its title and
+    short lines included, unless it is marked as boilerplate or its part of the container is mere links.
+    """
+    score = path_scores(found, hinted)
+    top = max(score.values(), default=0.0)
+    size: dict[tuple, int] = {}
+    for b in found:
+        size[b.path, b.barred] = size.get((b.path, b.barred), 0) + len(b.text)
+    weight = [score[b.path, b.barred] * len(b.text) / max(size[b.path, b.barred], 1) for b in found]
+    if top <= 0:
+        return [b for b in found if not b.link and not b.barred]
+    held: dict[int, float] = {}
+    for b, w in zip(found, weight):
         for n in b.chain:
-            held[n] = held.get(n, 0) + len(b.text)
-    container = max((n for n, size in held.items() if size >= HELD * total), default=None)
+            held[n] = held.get(n, 0.0) + w
+    container = max((n for n, w in held.items() if w >= HELD * sum(weight)), default=None)
     if container is None:
-        return chosen if any(b.chain for b in chosen) else found
-    # widen it to the nearest element that is marked as an article, or else past elements that add no mere links
-    chain = next(b for b in chosen if container in b.chain)
-    depth = chain.chain.index(container)
-    around = [k for k in range(depth, -1, -1) if chain.chain[k] in hinted]
-    if around:
-        depth = around[0]
+        return [b for b in found if not b.barred and score[b.path, b.barred] >= THRESHOLD * top]
+    best = next(b for b in found if container in b.chain)
+    depth = best.chain.index(container)
+    while depth > 0 and best.path[depth] in LEAVES:
+        depth -= 1
+    article = next((k for k in range(depth, -1, -1) if best.chain[k] in hinted), None)
+    inside = lambda k: [b for b in found if best.chain[k] in b.chain]
+    if article is not None:
+        depth = article
     else:
-        while depth > 0 and chain.path[depth] not in ("body", "html"):
-            wider = [b for b in found if chain.chain[depth - 1] in b.chain and chain.chain[depth] not in b.chain]
-            if 2 * sum(b.link for b in wider) > sum(len(b.text) for b in wider):
+        while depth > 0 and best.path[depth] not in ("body", "html"):
+            held_now = sum(len(b.text) for b in inside(depth))
+            added = [b for b in inside(depth - 1) if best.chain[depth] not in b.chain and not b.barred]
+            good = all(b.path[-1] in HEADINGS or score[b.path, b.barred] >= THRESHOLD * top for b in added)
+            links = sum(b.link for b in added)
+            if not good or 2 * links > sum(len(b.text) for b in added) or sum(len(b.text) for b in added) > WIDENING * held_now and not all(score[b.path, b.barred] >= THRESHOLD * top for b in added):
                 break
             depth -= 1
-    return [b for b in found if chain.chain[depth] in b.chain]
+    kept = [b for b in inside(depth) if not b.barred]
+    parts: dict[int, list[int]] = {}
+    for b in kept:
+        if len(b.chain) > depth + 1:
+            entry = parts.setdefault(b.chain[depth + 1], [0, 0])
+            entry[0] += b.link
+            entry[1] += len(b.text)
+    linked = {n for n, (link, whole) in parts.items() if 2 * link > whole and whole < WIDENING * sum(len(b.text) for b in kept)}
+    return [b for b in kept if len(b.chain) <= depth + 1 or b.chain[depth + 1] not in linked]
 
 
 def main_text(page: str | None) -> str:
