@@ -82,13 +82,17 @@ def iou(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column,
     return F.when(union > 0, inter / union).otherwise(0.0)
 
 
-def resize_shares(gw: Column, gh: Column, aw: Column, ah: Column) -> tuple[Column, Column, Column]:
-    """Area ratio approved / generated, and the changes of width and height in percent; null without extent."""
-    return (
-        F.when(gw * gh > 0, aw * ah / (gw * gh)),
-        F.when(gw > 0, 100.0 * (aw - gw) / gw),
-        F.when(gh > 0, 100.0 * (ah - gh) / gh),
-    )
+def resize_diag(gx: Column, gy: Column, gw: Column, gh: Column, ax: Column, ay: Column, aw: Column, ah: Column) -> dict[str, Column]:
+    """How a generated box differs from its approved one: area ratio, offsets, relative errors of width and height.
+
+    Positive errors mean that the generated box is too large. Six decimals; null where the approved extent is 0.
+    """
+    relative = lambda g, a: F.when(a != 0, F.bround((g - a) / a, 6))
+    area = aw * ah
+    return {
+        "area_ratio": F.when(area != 0, F.bround(gw * gh / area, 6)), "dx": F.bround(gx - ax, 6), "dy": F.bround(gy - ay, 6),
+        "dw_pct": relative(gw, aw), "dh_pct": relative(gh, ah),
+    }
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -108,10 +112,16 @@ def set_distance(a: Column, b: Column) -> Column:
 
 
 # The limits of the revision classes and the weight of an intervention of each class.
-REVISION_LIMITS = ((0.10, "minor"), (0.35, "moderate"), (0.70, "major"))
+REVISION_LIMITS = ((0.10, "minor_wording_edit"), (0.35, "moderate_rewrite"), (0.70, "major_rewrite"))
 REVISION_WEIGHTS = {
-    "accepted_unchanged": 0.0, "minor": 0.25, "moderate": 0.5, "major": 0.75, "complete_replacement": 1.0, "added": 0.5, "removed": 1.0,
+    "accepted_unchanged": 0.0, "minor_wording_edit": 0.25, "moderate_rewrite": 0.5, "major_rewrite": 0.75, "complete_replacement": 1.0, "added": 0.5, "removed": 1.0,
 }
+# Classes of a changed text, and those of any edit.
+REWRITES = ("minor_wording_edit", "moderate_rewrite", "major_rewrite", "complete_replacement")
+EDITS = (*REWRITES, "added", "removed")
+# Classes of a change of grounding.
+GROUNDING_EDITS = ("grounding_added", "grounding_removed", "revision_changed", "grounding_replaced")
+GROUNDING_CLASSES = ("accepted_unchanged", *GROUNDING_EDITS, "abstention", "unsupported_version")
 
 
 def classify_revision(generated: Column, approved: Column, distance: Column, same: Column | None = None) -> Column:
@@ -138,12 +148,12 @@ def lookup(key: Column, table: Mapping[str, object]) -> Column:
 def classify_grounding(before: Column, after: Column, added: Column, removed: Column, revised: Column) -> Column:
     """Change of an artifact's set of supporting materials, from the sizes of both sets and of the differences."""
     return (
-        F.when((before == 0) & (after == 0), "ungrounded")
-        .when((added == 0) & (removed == 0) & (revised == 0), "unchanged")
-        .when((added > 0) & (removed > 0), "replaced")
-        .when(added > 0, "added")
-        .when(removed > 0, "removed")
-        .otherwise("revised")
+        F.when((before == 0) & (after == 0), "abstention")
+        .when((added == 0) & (removed == 0) & (revised == 0), "accepted_unchanged")
+        .when((added > 0) & (removed > 0), "grounding_replaced")
+        .when(added > 0, "grounding_added")
+        .when(removed > 0, "grounding_removed")
+        .otherwise("revision_changed")
     )
 
 
@@ -153,6 +163,16 @@ def axes_key(prefix: str, axes: Mapping[str, Column]) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("|", *pairs), 256), 1, 12))
 
 
+def fingerprint(versions: Mapping[str, Column]) -> Column:
+    """fp_ and twelve hex digits over the versions of a method: the key under which work counts as done."""
+    return axes_key("fp", versions)
+
+
+def value_sha256(value: Column) -> Column:
+    """SHA-256 of a VARIANT's JSON with sorted keys: equal values, equal digests; null for an absent value."""
+    return F.sha2(F.to_json(value), 256)
+
+
 def changed_axes(now: Mapping[str, Column], before: Mapping[str, Column]) -> Column:
     """Names of the axes whose value differs, in order, joined by commas."""
     return F.concat_ws(",", *[F.when(~now[n].eqNullSafe(before[n]), F.lit(n)) for n in sorted(now)])

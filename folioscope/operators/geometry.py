@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.columns import area_band, iou, rate, resize_shares
+from folioscope.functions.columns import area_band, iou, rate, resize_diag
 
 MATCH, OVERLAP = 0.5, 0.2
 TARGET = (0.95, 0.99)
@@ -34,7 +34,7 @@ def matches(generated: DataFrame, approved: DataFrame, least: float = MATCH) ->
     a = located(approved.where("not deleted")).select(*KEYS, *[F.col(c).alias(f"a{c}") for c in "xywh"], F.col("box_id").alias("app_id"), F.col("ord").alias("app_ord"))
     score = iou(*[F.col(f"{side}{c}") for side in "ga" for c in "xywh"])
     pairs = g.join(a, list(PAGE)).withColumn("iou", score).where(F.col("iou") >= least)
-    return pairs.select(*KEYS, "gen_id", "app_id", "gen_ord", "app_ord", "gw", "gh", "aw", "ah", "iou")
+    return pairs.select(*KEYS, "gen_id", "app_id", "gen_ord", "app_ord", *[f"{side}{c}" for side in "ga" for c in "xywh"], "iou")
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:
@@ -96,12 +96,16 @@ def segmentation_accuracy(delta: DataFrame) -> DataFrame:
     )
 
 
+def resize_diagnostics(best: DataFrame) -> DataFrame:
+    """Best pairs with how the generated box differs from the approved one: area ratio, offsets, width and height errors."""
+    return best.withColumns(resize_diag(*[F.col(f"{side}{c}") for side in "ga" for c in "xywh"]))
+
+
 def resize_bias(best: DataFrame) -> DataFrame:
-    """Mean and median change of area, width and height over best pairs, by review."""
-    ratio, wide, high = resize_shares(F.col("gw"), F.col("gh"), F.col("aw"), F.col("ah"))
-    shares = best.select("review_id", ratio.alias("area_ratio"), wide.alias("width_change"), high.alias("height_change"))
-    stats = [f(c).alias(f"{name}_{c}") for c in ("area_ratio", "width_change", "height_change") for name, f in (("mean", lambda x: F.bround(F.avg(x), 6)), ("median", lambda x: F.bround(F.median(x), 6)))]
-    return shares.groupBy("review_id").agg(F.count("*").alias("pairs"), *stats)
+    """Mean and median of area ratio, width error and height error over best pairs, by review."""
+    names = ("area_ratio", "dw_pct", "dh_pct")
+    stats = [f(c).alias(f"{name}_{c}") for c in names for name, f in (("mean", lambda x: F.bround(F.avg(x), 6)), ("median", lambda x: F.bround(F.median(x), 6)))]
+    return resize_diagnostics(best).groupBy("review_id").agg(F.count("*").alias("pairs"), *stats)
 
 
 def page_overlaps(generated: DataFrame, least: float = OVERLAP) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.columns import REVISION_WEIGHTS, classify_revision, edit_distance, rate, revision_weight, set_distance, token_set
+from folioscope.functions.columns import EDITS, REVISION_WEIGHTS, REWRITES, classify_revision, edit_distance, rate, revision_weight, set_distance, token_set
 
 CATEGORIES = ("abstention", *REVISION_WEIGHTS)
 ACCURACY_TARGET = 0.75
@@ -52,7 +52,7 @@ def metadata_delta(classed: DataFrame) -> DataFrame:
     c = F.col("category")
     counted = classed.groupBy("review_id").agg(
         F.count_if(F.col("generated") != "").alias("generated_populated"), F.count_if(F.col("approved") != "").alias("approved_populated"), F.count("*").alias("expected"),
-        F.count_if(c == "accepted_unchanged").alias("accepted"), F.count_if(c.isin("minor", "moderate", "major", "complete_replacement")).alias("edited"),
+        F.count_if(c == "accepted_unchanged").alias("accepted"), F.count_if(c.isin(*REWRITES)).alias("edited"),
         F.count_if(c == "removed").alias("deleted"), F.count_if(c == "added").alias("added"),
     )
     g, a = F.col("generated_populated"), F.col("approved_populated")
@@ -72,7 +72,7 @@ def revision_benchmark(classed: DataFrame) -> DataFrame:
         F.count_if(F.col("category") != "abstention").alias("comparable"), F.countDistinct("artifact_id").alias("artifacts"), *counts,
         F.bround(F.sum("weight"), 6).alias("weight_sum"), F.bround(F.sum("distance"), 6).alias("distance_sum"), F.bround(F.median("distance"), 6).alias("distance_median"),
     )
-    corrections = sum((F.col(k) for k in ("minor", "moderate", "major", "complete_replacement", "added", "removed")), F.lit(0))
+    corrections = sum((F.col(k) for k in EDITS), F.lit(0))
     return out.select(
         "review_id", F.coalesce("field", F.lit("*")).alias("field"), "comparable", "artifacts", *CATEGORIES, "distance_sum", "distance_median",
         rate(F.col("accepted_unchanged"), F.col("comparable")).alias("accepted_rate"), rate(F.col("weight_sum"), F.col("comparable")).alias("weighted_intervention"),
@@ -80,25 +80,47 @@ def revision_benchmark(classed: DataFrame) -> DataFrame:
     )
 
 
+def with_freshness(classed: DataFrame) -> DataFrame:
+    """Adds ``fresh`` from a record's ``origin``, ``has_origin`` and ``disposition``."""
+    return classed.withColumn("fresh", counts_toward_acceptance(F.col("origin"), F.col("has_origin"), F.col("disposition")))
+
+
 def metadata_accuracy(classed: DataFrame) -> DataFrame:
-    """Per review: acceptance over fresh outputs, how much was fresh, and whether the target is met (null if not all was)."""
-    fresh = classed.where("fresh").groupBy("review_id").agg(
-        F.count_if(F.col("category") == "accepted_unchanged").alias("accepted"), F.count_if(F.col("category") != "abstention").alias("comparable")
+    """Per review: acceptance over the fresh outputs, and whether the target is met.
+
+    ``coverage`` tells whether the disposition flag stands on none, some or all of the outputs that carry no origin.
+    If on some only, fresh and preserved outputs cannot be told apart: the result is provisional
+    and the target is withheld, as it is where nothing fresh can be compared.
+    """
+    c, own = F.col("category"), ~F.col("has_origin")
+    out = classed.groupBy("review_id").agg(
+        F.count_if(F.col("fresh") & (c == "accepted_unchanged")).alias("accepted"), F.count_if(F.col("fresh") & (c != "abstention")).alias("comparable"),
+        F.count_if(own).alias("generation_path"), F.count_if(own & F.col("disposition").isNotNull()).alias("flagged"),
     )
-    whole = classed.groupBy("review_id").agg(F.countDistinct("artifact_id").alias("artifacts"), F.countDistinct(F.when(F.col("fresh"), F.col("artifact_id"))).alias("fresh_artifacts"))
-    joined = whole.join(fresh, "review_id", "left").fillna(0, ["accepted", "comparable"])
-    coverage = F.when(F.col("fresh_artifacts") == 0, "none").when(F.col("fresh_artifacts") == F.col("artifacts"), "all").otherwise("partial")
-    value = rate(F.col("accepted"), F.col("comparable"), None)
-    return joined.select("*", coverage.alias("coverage"), value.alias("accuracy"), F.when((coverage == "all") & value.isNotNull(), value >= ACCURACY_TARGET).alias("meets_target"))
+    coverage = F.when(F.col("flagged") == 0, "none").when(F.col("flagged") == F.col("generation_path"), "all").otherwise("partial")
+    value = rate(F.col("accepted"), F.col("comparable"))
+    able = (coverage != "partial") & (F.col("comparable") > 0)
+    return out.select("review_id", "accepted", "comparable", coverage.alias("coverage"), value.alias("accuracy"), (coverage == "partial").alias("provisional"), F.when(able, value >= ACCURACY_TARGET).alias("meets_target"))
 
 
 def editorial_burden(classed: DataFrame) -> DataFrame:
-    """Per field: edited rows, their share of all edits, mean effort (token set distance), rank."""
-    edited = F.col("category").isin("minor", "moderate", "major", "complete_replacement")
-    effort = set_distance(token_set(F.col("generated")), token_set(F.col("approved")))
-    fields = classed.groupBy("field").agg(F.count("*").alias("fields"), F.count_if(edited).alias("edited"), F.bround(F.avg(F.when(edited, effort)), 6).alias("effort"))
-    whole = Window.partitionBy()
-    return fields.withColumn("share", rate(F.col("edited"), F.sum("edited").over(whole))).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("edited"), "field")))
+    """Per field, over fresh comparable rows: acceptance, edits, their share of all edits, mean effort of an edit, rank.
+
+    Effort is the Jaccard distance of the values' elements where both sides have ``generated_elements`` and
+    ``approved_elements`` (lists, objects), else that of their words. Ranked by edits, effort and name; the
+    windows run over the fields.
+    """
+    edited = F.col("category").isin(*EDITS)
+    words = set_distance(token_set(F.col("generated")), token_set(F.col("approved")))
+    if "generated_elements" in classed.columns:
+        words = F.when(F.col("generated_elements").isNotNull() & F.col("approved_elements").isNotNull(), set_distance(F.col("generated_elements"), F.col("approved_elements"))).otherwise(words)
+    fresh = classed.where(F.col("fresh") & (F.col("category") != "abstention"))
+    fields = fresh.groupBy("field").agg(
+        F.count("*").alias("comparable"), F.count_if(F.col("category") == "accepted_unchanged").alias("accepted"), F.count_if(edited).alias("edited"),
+        F.coalesce(F.bround(F.avg(F.when(edited, F.bround(words, 6))), 6), F.lit(0.0)).alias("effort"),
+    )
+    fields = fields.withColumn("acceptance_rate", rate(F.col("accepted"), F.col("comparable"))).withColumn("share", rate(F.col("edited"), F.sum("edited").over(Window.partitionBy())))
+    return fields.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("edited"), F.desc("effort"), "field")))
 
 
 def edit_class_totals(classed: DataFrame) -> DataFrame:
@@ -107,11 +129,11 @@ def edit_class_totals(classed: DataFrame) -> DataFrame:
 
 
 def weak_fields(classed: DataFrame) -> DataFrame:
-    """Per field: acceptance and edit rates over comparable rows, worst first."""
+    """Per field: acceptance and edit rates over comparable rows, the most edited first."""
     c = F.col("category")
-    out = classed.where("category <> 'abstention'").groupBy("field").agg(F.count("*").alias("comparable"), F.count_if(c == "accepted_unchanged").alias("accepted"), F.count_if(c.isin("minor", "moderate", "major", "complete_replacement")).alias("edited"))
+    out = classed.where("category <> 'abstention'").groupBy("field").agg(F.count("*").alias("comparable"), F.count_if(c == "accepted_unchanged").alias("accepted"), F.count_if(c.isin(*EDITS)).alias("edited"))
     out = out.withColumn("acceptance_rate", rate(F.col("accepted"), F.col("comparable"))).withColumn("edit_rate", rate(F.col("edited"), F.col("comparable")))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy("acceptance_rate", "field")))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("edit_rate"), "field")))
 
 
 def calls_per_panel(outputs: DataFrame) -> DataFrame:
@@ -122,5 +144,17 @@ def calls_per_panel(outputs: DataFrame) -> DataFrame:
 
 def field_corrections(classed: DataFrame) -> DataFrame:
     """One row per artifact with corrected fields, and how many."""
-    edited = classed.where(F.col("category").isin("minor", "moderate", "major", "complete_replacement", "added", "removed"))
+    edited = classed.where(F.col("category").isin(*EDITS))
     return edited.groupBy("review_id", "artifact_id").agg(F.lit("fields_corrected").alias("operation"), F.count("*").alias("fields"))
+
+
+def metadata_corrections(classed: DataFrame, sides: DataFrame) -> DataFrame:
+    """One row per correction of an output's metadata.
+
+    ``sides`` has (review_id, artifact_id, status) as ``pair_fields`` gives it: outputs removed or added at approval and those whose
+    schema versions differ are corrections of their own; of the others, those with edited fields.
+    """
+    kinds = {"generated_only": "artifact_removed_at_approval", "approved_only": "artifact_added_at_approval", "schema_mismatch": "schema_version_mismatch"}
+    operation = F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("status"))
+    whole = sides.select("review_id", "artifact_id", operation.alias("operation"), F.lit(0).cast("long").alias("fields")).where("operation is not null").distinct()
+    return whole.unionByName(field_corrections(classed).select("review_id", "artifact_id", "operation", "fields"))

@@ -33,6 +33,10 @@ def resize_bias(spark, d):
     return G.resize_bias(G.best_matches(_all(spark, d)[2]))
 
 
+def resize_diag(spark, d):
+    return G.resize_diagnostics(G.best_matches(_all(spark, d)[2])).select("review_id", "page_scope", "app_id", "gen_id", "area_ratio", "dx", "dy", "dw_pct", "dh_pct")
+
+
 def page_overlap(spark, d):
     return G.page_overlaps(V.boxes(spark, d)[0]).drop("page_key")
 
@@ -53,7 +57,7 @@ def box_corrections(spark, d):
     return G.correction_ledger(*_all(spark, d))
 
 
-QUERIES = [iou_matches, best_match, geometry_delta, segmentation_accuracy, resize_bias, page_overlap, reading_order, panel_size_recall, page_diagnostics, box_corrections]
+QUERIES = [iou_matches, best_match, geometry_delta, segmentation_accuracy, resize_diag, resize_bias, page_overlap, reading_order, panel_size_recall, page_diagnostics, box_corrections]
 
 SIDES = V.BOXES + """,
 best as (select * from (select *, row_number() over (partition by review_id, stratum, page_scope, app_id order by iou desc, gen_id) k from matches) where k = 1),
@@ -84,6 +88,8 @@ _OVERLAP = """select review_id, page_scope, first_id, second_id, round_even(i /
     cast(greatest(least(x.x + x.w, y.x + y.w) - greatest(x.x, y.x), 0) * greatest(least(x.y + x.h, y.y + y.h) - greatest(x.y, y.y), 0) as double) i
   from generated x join generated y on x.page_scope = y.page_scope and x.review_id = y.review_id and x.box_id < y.box_id) where i / (s - i) >= 0.2"""
 
+_DIAG = """diag as (select *, round_even(gw * gh / (aw * ah), 6) area_ratio, round_even(gx - ax, 6) dx, round_even(gy - ay, 6) dy, round_even((gw - aw) / aw, 6) dw_pct, round_even((gh - ah) / ah, 6) dh_pct from best)"""
+
 ORACLES = {
     "iou_matches": f"with {V.BOXES} select review_id, stratum, page_scope, gen_id, app_id, round_even(iou, 6) iou from matches",
     "best_match": f"with {SIDES} select review_id, page_scope, app_id, gen_id, round_even(iou, 6) iou from best",
@@ -91,9 +97,8 @@ ORACLES = {
  {_R('missing', 'approved')} missing_rate, {_R('unchanged', 'approved')} unchanged_geometry_rate, fp + missing + split + merged corrections, {_R('(fp + missing + split + merged)', 'pages')} corrections_per_page from summed""",
     "segmentation_accuracy": f"""with {SIDES}, v as (select *, approved + generated - credited possible, coalesce(round_even(earned / nullif(approved + generated - credited, 0), 6), 0.0) accuracy from summed)
 select review_id, stratum, round_even(earned, 6) earned, possible, accuracy, case when accuracy >= 0.99 then 'above' when accuracy >= 0.95 then 'within' else 'below' end target from v""",
-    "resize_bias": f"with {SIDES}, s as (select review_id, aw * ah / (gw * gh) r, 100.0 * (aw - gw) / gw w, 100.0 * (ah - gh) / gh h from best) select review_id, count(*) pairs, "
-    + ", ".join(f"round_even({f}({c}), 6) {p}_{n}" for c, n in (("r", "area_ratio"), ("w", "width_change"), ("h", "height_change")) for p, f in (("mean", "avg"), ("median", "median")))
-    + " from s group by 1",
+    "resize_diag": f"with {SIDES}, {_DIAG} select review_id, page_scope, app_id, gen_id, area_ratio, dx, dy, dw_pct, dh_pct from diag",
+    "resize_bias": f"with {SIDES}, {_DIAG} select review_id, count(*) pairs, " + ", ".join(f"round_even({f}({n}), 6) {p}_{n}" for n in ("area_ratio", "dw_pct", "dh_pct") for p, f in (("mean", "avg"), ("median", "median"))) + " from diag group by 1",
     "page_overlap": f"with {V.BOXES} {_OVERLAP}",
     "reading_order": f"with {SIDES} {_ORDERED}",
     "panel_size_recall": f"with {SIDES}, z as (select *, case when w * h >= 0.12 then 'large' when w * h >= 0.03 then 'medium' else 'small' end size_band from a) select review_id, size_band, count(*) approved, count(*) filter (where hits > 0) matched, {_R('count(*) filter (where hits > 0)', 'count(*)')} recall from z group by 1, 2",

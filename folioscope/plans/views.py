@@ -25,6 +25,7 @@ RATES = {
     "merge_rate": "l_quantity < 8",
     "false_rate": "l_returnflag = 'R'",
     "missing_rate": "l_tax > 0.06",
+    "spread_missing_rate": "l_tax > 0.06 and l_linenumber > 4",
 }
 #: The comparability axes of a report, by column of ``reports``.
 AXES = ("geometry_detector_version", "iou_threshold")
@@ -71,7 +72,7 @@ keyed as (select *, 'cmp_' || substr(sha256('geometry_detector_version=' || geom
 POINTS = REPORTS + """,
 points as (select report_id, run_seq, publisher, title_group, series, issue, measured, event, geometry_detector_version, iou_threshold, comparability_key, den,
                   unnest([%s]) metric, unnest([%s]) num from keyed)
-""" % (", ".join(f"'{m}'" for m in RATES), ", ".join(f'"{m}"' for m in RATES))
+""" % (", ".join(f"'{m}'" for m in RATES if m != "spread_missing_rate"), ", ".join(f'"{m}"' for m in RATES if m != "spread_missing_rate"))
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ approved as (
   from line where l_returnflag <> 'R' or q % 4 <> 0),
 pairs as (
   select * from (
-    select g.review_id, g.page_scope, g.stratum, g.box_id gen_id, a.box_id app_id, g.ord gen_ord, a.ord app_ord, cast(g.w as double) gw, cast(g.h as double) gh, cast(a.w as double) aw, cast(a.h as double) ah,
+    select g.review_id, g.page_scope, g.stratum, g.box_id gen_id, a.box_id app_id, g.ord gen_ord, a.ord app_ord, cast(g.x as double) gx, cast(g.y as double) gy, cast(a.x as double) ax, cast(a.y as double) ay, cast(g.w as double) gw, cast(g.h as double) gh, cast(a.w as double) aw, cast(a.h as double) ah,
            cast(greatest(least(g.x + g.w, a.x + a.w) - greatest(g.x, a.x), 0) * greatest(least(g.y + g.h, a.y + a.h) - greatest(g.y, a.y), 0) as double) inter
     from generated g join approved a on g.review_id = a.review_id and g.page_scope = a.page_scope and g.stratum = a.stratum and not a.deleted)
   where inter / (gw * gh + aw * ah - inter) >= 0.5),
@@ -156,39 +157,51 @@ matches as (select *, inter / (gw * gh + aw * ah - inter) iou from pairs)
 
 
 def field_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated and approved values of a field: a user turn and the turn after it; a part's name and its type.
+    """Generated and approved values of a field, whole: a user turn and the turn after it; a part's name and its type.
 
-    Values are cut to 200 printable ASCII characters, as the oracle's edit distance counts bytes.
+    ``disposition`` and ``has_origin``/``origin`` are a record's provenance: of a conversation's eighths one is preserved
+    and one came by inheritance; what else is generated carries no flag where the review is an old one.
     """
-    plain = lambda c: F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", ""), 1, 200)
+    whole = lambda c: F.coalesce(c, F.lit(""))
     turns = table(spark, sf_dir, "conversations")
     later = turns.select(F.col("conv_id").alias("c"), (F.col("turn") - 1).alias("t"), F.col("text").alias("reply"))
     talk = turns.where("role = 'user'").join(later, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t"))).select(
         F.col("conv_id").alias("artifact_id"), F.concat(F.lit("dialogue_"), (F.col("turn") % 4).cast("string")).alias("field"), (F.col("conv_id") % 50).alias("review_id"),
-        F.when(F.col("conv_id") % 6 != 0, plain(F.col("text"))).otherwise("").alias("generated"), F.when(F.col("conv_id") % 10 == 1, plain(F.col("text"))).when(F.col("conv_id") % 10 == 2, "").otherwise(plain(F.col("reply"))).alias("approved"),
-        (F.col("conv_id") % 8 != 0).alias("fresh"),
+        F.when(F.col("conv_id") % 6 != 0, whole(F.col("text"))).otherwise("").alias("generated"), F.when(F.col("conv_id") % 10 == 1, whole(F.col("text"))).when(F.col("conv_id") % 10 == 2, "").otherwise(whole(F.col("reply"))).alias("approved"),
     )
     part = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("artifact_id"), F.lit("title").alias("field"), (F.col("p_partkey") % 50).alias("review_id"), plain(F.col("p_name")).alias("generated"),
-        F.when(F.col("p_size") % 3 == 0, plain(F.col("p_name"))).when(F.col("p_size") % 3 == 1, F.concat(plain(F.col("p_name")), F.lit("s"))).otherwise(plain(F.col("p_type"))).alias("approved"), (F.col("p_partkey") % 8 != 0).alias("fresh"),
+        F.col("p_partkey").alias("artifact_id"), F.lit("title").alias("field"), (F.col("p_partkey") % 50).alias("review_id"), whole(F.col("p_name")).alias("generated"),
+        F.when(F.col("p_size") % 3 == 0, whole(F.col("p_name"))).when(F.col("p_size") % 3 == 1, F.concat(whole(F.col("p_name")), F.lit("s"))).otherwise(whole(F.col("p_type"))).alias("approved"),
+    )
+    rest = F.col("artifact_id") % 8
+    old = (F.col("review_id") % 3 == 0) | (F.col("review_id") % 3 == 1) & (F.col("artifact_id") % 2 == 0)
+    return talk.unionByName(part).select(
+        "*", F.when(rest == 0, "preserved_approved").when((rest != 1) & ~old, "fresh").alias("disposition"), (rest == 1).alias("has_origin"),
+        F.when(rest == 1, F.when(F.col("artifact_id") % 3 == 0, "regenerated").otherwise("inherited")).alias("origin"),
     )
-    return talk.unionByName(part)
 
 
-FIELD_PAIRS = """
-plain_turns as (select conv_id, turn, role, substr(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 200) t from conversations),
-plain_part as (select p_partkey, p_size, substr(regexp_replace(coalesce(p_name, ''), '[^ -~]', '', 'g'), 1, 200) n, substr(regexp_replace(coalesce(p_type, ''), '[^ -~]', '', 'g'), 1, 200) y from part),
-field_pairs as (
-  select a.conv_id artifact_id, 'dialogue_' || (a.turn % 4) field, a.conv_id % 50 review_id, case when a.conv_id % 6 <> 0 then a.t else '' end generated,
-         case when a.conv_id % 10 = 1 then a.t when a.conv_id % 10 = 2 then '' else b.t end approved, a.conv_id % 8 <> 0 fresh
-  from plain_turns a join plain_turns b on a.conv_id = b.conv_id and a.turn = b.turn - 1 where a.role = 'user'
+#: Letters beyond ASCII and the control characters that stand for them, one for one, where DuckDB counts bytes.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüÁáÀàú"
+_CODES = [k for k in range(1, 32) if k not in (9, 10, 11, 12, 13)]
+FIELD_PAIRS = f"""
+field_values as (
+  select a.conv_id artifact_id, 'dialogue_' || (a.turn % 4) field, a.conv_id % 50 review_id, case when a.conv_id % 6 <> 0 then coalesce(a.text, '') else '' end generated,
+         case when a.conv_id % 10 = 1 then coalesce(a.text, '') when a.conv_id % 10 = 2 then '' else coalesce(b.text, '') end approved
+  from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = b.turn - 1 where a.role = 'user'
   union all
-  select p_partkey, 'title', p_partkey % 50, n, case when p_size % 3 = 0 then n when p_size % 3 = 1 then n || 's' else y end, p_partkey % 8 <> 0 from plain_part),
+  select p_partkey, 'title', p_partkey % 50, coalesce(p_name, ''), case when p_size % 3 = 0 then coalesce(p_name, '') when p_size % 3 = 1 then coalesce(p_name, '') || 's' else coalesce(p_type, '') end from part),
+field_pairs as (
+  select *, case when artifact_id % 8 = 0 then 'preserved_approved' when artifact_id % 8 <> 1 and not (review_id % 3 = 0 or review_id % 3 = 1 and artifact_id % 2 = 0) then 'fresh' end disposition,
+         artifact_id % 8 = 1 has_origin, case when artifact_id % 8 = 1 then case when artifact_id % 3 = 0 then 'regenerated' else 'inherited' end end origin,
+         translate(generated, '{_LETTERS}', {' || '.join(f'chr({k})' for k in _CODES[: len(_LETTERS)])}) g1, translate(approved, '{_LETTERS}', {' || '.join(f'chr({k})' for k in _CODES[: len(_LETTERS)])}) a1
+  from field_values),
 revised as (
-  select *, case when greatest(length(generated), length(approved)) > 0 then cast(levenshtein(generated, approved) as double) / greatest(length(generated), length(approved)) else 0.0 end dist from field_pairs),
+  select * exclude (g1, a1), case when greatest(length(generated), length(approved)) > 0 then cast(levenshtein(g1, a1) as double) / greatest(length(generated), length(approved)) else 0.0 end dist,
+         case when has_origin then coalesce(origin in ('generated', 'regenerated'), false) else disposition is null or disposition = 'fresh' end fresh from field_pairs),
 classed as (
   select *, case when generated = '' and approved = '' then 'abstention' when generated = '' then 'added' when approved = '' then 'removed' when generated = approved then 'accepted_unchanged'
-                 when dist <= 0.10 then 'minor' when dist <= 0.35 then 'moderate' when dist <= 0.70 then 'major' else 'complete_replacement' end category,
+                 when dist <= 0.10 then 'minor_wording_edit' when dist <= 0.35 then 'moderate_rewrite' when dist <= 0.70 then 'major_rewrite' else 'complete_replacement' end category,
          case when generated = '' and approved = '' then null when generated = '' or approved = '' then 1.0 else dist end distance
   from revised)
 """
@@ -251,7 +264,7 @@ def materials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("p_partkey") % 13 == 0, "retired").when(F.col("p_size") % 5 == 0, "draft").otherwise("publisher_approved").alias("status"),
         F.when(F.col("p_partkey") % 6 == 0, "special").alias("edition_id"), F.col("p_partkey").alias("revision"),
     )
-    edges = part.where("p_partkey % 3 = 0").select(
+    edges = part.select(
         F.col("p_brand").alias("target_id"), (F.col("p_partkey") % 97).alias("material_id"), level.alias("level"), ((F.col("p_partkey") * 5 + 1) % 101).alias("supersedes_id"),
         F.when(F.col("p_partkey") % 9 == 0, "unbound").otherwise("bound").alias("binding_status"),
     )
@@ -265,14 +278,14 @@ materials as (
          case when p_partkey % 6 = 0 then 'special' end edition_id, p_partkey revision from part),
 edges as (
   select p_brand target_id, p_partkey % 97 material_id, {_LEVEL} "level", (p_partkey * 5 + 1) % 101 supersedes_id, case when p_partkey % 9 = 0 then 'unbound' else 'bound' end binding_status
-  from part where p_partkey % 3 = 0)
+  from part)
 """
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event: an attempt to audit a revision under a methodology fingerprint."""
+    """One row per event: an attempt to audit a revision (a user) under that day's methodology."""
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("revision"), F.concat(F.lit("fp_"), (F.col("event_id") % 3).cast("string")).alias("fingerprint"), F.col("event_id").alias("attempt"), day(F.col("ts")).alias("at"),
+        F.col("user_id").alias("revision"), F.concat(F.lit("fp_"), F.date_format("ts", "MMdd")).alias("fingerprint"), F.col("event_id").alias("attempt"), day(F.col("ts")).alias("at"),
         F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 4 == 0, "failed").otherwise("processed").alias("status"),
         F.when((F.col("event_type") == "error") | (F.col("event_id") % 4 == 0), F.element_at(F.array(*map(F.lit, ("evidence", "publish"))), (F.col("event_id") % 2 + 1).cast("int"))).alias("failure_stage"),
     )
@@ -280,7 +293,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ATTEMPTS = """
 attempts as (
-  select user_id revision, 'fp_' || (event_id % 3) fingerprint, event_id attempt, strftime(ts, '%Y-%m-%d') "at",
+  select user_id revision, 'fp_' || strftime(ts, '%m%d') fingerprint, event_id attempt, strftime(ts, '%Y-%m-%d') "at",
          case when event_type = 'error' or event_id % 4 = 0 then 'failed' else 'processed' end status,
          case when event_type = 'error' or event_id % 4 = 0 then ['evidence', 'publish'][event_id % 2 + 1] end failure_stage
   from events)

@@ -36,8 +36,8 @@ def test_iou_without_area(spark):
 @pytest.mark.parametrize(
     "generated, approved, category, distance",
     [
-        ("x" * 100, "x" * 100, "accepted_unchanged", 0.0), ("x" * 100, "x" * 90 + "y" * 10, "minor", 0.1), ("x" * 100, "x" * 89 + "y" * 11, "moderate", 0.11), ("x" * 100, "x" * 65 + "y" * 35, "moderate", 0.35),
-        ("x" * 100, "x" * 50 + "y" * 50, "major", 0.5), ("x" * 100, "x" * 30 + "y" * 70, "major", 0.7), ("x" * 100, "y" * 100, "complete_replacement", 1.0), (None, None, "abstention", None), ("", "a", "added", 1.0), ("a", None, "removed", 1.0),
+        ("x" * 100, "x" * 100, "accepted_unchanged", 0.0), ("x" * 100, "x" * 90 + "y" * 10, "minor_wording_edit", 0.1), ("x" * 100, "x" * 89 + "y" * 11, "moderate_rewrite", 0.11), ("x" * 100, "x" * 65 + "y" * 35, "moderate_rewrite", 0.35),
+        ("x" * 100, "x" * 50 + "y" * 50, "major_rewrite", 0.5), ("x" * 100, "x" * 30 + "y" * 70, "major_rewrite", 0.7), ("x" * 100, "y" * 100, "complete_replacement", 1.0), (None, None, "abstention", None), ("", "a", "added", 1.0), ("a", None, "removed", 1.0),
     ],
 )
 def test_revision_classes(spark, generated, approved, category, distance):
@@ -46,7 +46,7 @@ def test_revision_classes(spark, generated, approved, category, distance):
 
 
 def test_equal_text_of_other_structure_is_an_edit(spark):
-    assert one(spark, C.classify_revision(F.lit("a"), F.lit("a"), F.lit(0.0), F.lit(False))) == "minor"
+    assert one(spark, C.classify_revision(F.lit("a"), F.lit("a"), F.lit(0.0), F.lit(False))) == "minor_wording_edit"
 
 
 @pytest.mark.parametrize("origin, has, disposition, fresh", [(None, False, None, True), (None, False, "preserved", False), ("generated", True, "preserved", True), ("carried_forward", True, "fresh", False), (None, True, "fresh", False)])
