@@ -19,7 +19,7 @@ ACTIONS: Mapping[str, str] = {
 
 def direction(change: Column, lower_is_better: bool) -> Column:
     better = change < 0 if lower_is_better else change > 0
-    return F.when(F.abs(change) <= STABLE, "stable").when(better, "improving").otherwise("declining")
+    return F.when(F.abs(change) <= STABLE, "stable").when(better, "improving").otherwise("worsening")
 
 
 def trends(scores: DataFrame, metrics: Mapping[str, bool]) -> DataFrame:
@@ -65,14 +65,39 @@ def failure_trends(failures: DataFrame, scores: DataFrame) -> DataFrame:
     return out.select("*", change.alias("change"), direction(change, True).alias("direction"))
 
 
-def new_and_resolved(failures: DataFrame) -> DataFrame:
-    """Failure types that the newest snapshot has and the one before had not, and the reverse."""
-    days = failures.select("dataset", "day").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("day"))))
-    last, before = (failures.join(days.where(F.col("_n") == k), ["dataset", "day"]).select("dataset", "failure") for k in (1, 2))
-    able = days.where("_n = 2").select("dataset")
+def _edges(failures: DataFrame, newest: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Failure types of the last day with failure data, those of the day to compare with, and the datasets with two such days."""
+    days = failures.select("dataset", "day").distinct()
+    latest = days.withColumn("_n", F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("day"))))
+    able = latest.where("_n = 2").select("dataset")
+    first = latest.where("_n = 2") if newest else days.groupBy("dataset").agg(F.min("day").alias("day"))
+    of = lambda d: failures.where("failures > 0").join(d.select("dataset", "day"), ["dataset", "day"]).select("dataset", "failure")
+    return of(latest.where("_n = 1")), of(first), able
+
+
+def new_and_resolved(failures: DataFrame, newest: bool = False) -> DataFrame:
+    """Failure types that the last snapshot has and the first had not (new), and the reverse (resolved).
+
+    With ``newest`` the last snapshot is compared with the one before it instead. Only snapshots that carry failure data count.
+    """
     keys = ["dataset", "failure"]
+    last, before, able = _edges(failures, newest)
     new = last.join(before, keys, "left_anti").join(able, "dataset").withColumn("status", F.lit("new"))
-    return new.unionByName(before.join(last, keys, "left_anti").withColumn("status", F.lit("resolved")))
+    return new.unionByName(before.join(last, keys, "left_anti").join(able, "dataset").withColumn("status", F.lit("resolved")))
+
+
+def stagnant_domains(failures: DataFrame, scores: DataFrame, domains: Mapping[str, str]) -> DataFrame:
+    """Domains whose mean share of failures has hardly moved between the first and the last snapshot and is above 0.
+
+    ``domains`` names each failure type's domain; a type that a snapshot lacks counts as 0 there.
+    """
+    kinds = F.array(*[F.struct(F.lit(f).alias("failure"), F.lit(d).alias("domain")) for f, d in domains.items()])
+    days = failures.select("dataset", "day").distinct().join(scores.select("dataset", "day", "artifacts"), ["dataset", "day"])
+    shares = days.select("*", F.inline(kinds)).join(failures, ["dataset", "day", "failure"], "left").withColumn("share", percent(F.coalesce("failures", F.lit(0)), F.col("artifacts")))
+    means = shares.groupBy("dataset", "day", "domain").agg(F.bround(F.avg("share"), 0).cast("int").alias("share"))
+    out = means.groupBy("dataset", "domain").agg(F.count("*").alias("days"), F.min_by("share", "day").alias("first"), F.max_by("share", "day").alias("last")).where("days >= 2")
+    change = F.col("last") - F.col("first")
+    return out.where((F.abs(change) <= STABLE) & (F.col("last") > 0)).select("dataset", "domain", "first", "last", change.alias("change"))
 
 
 def observed_correlations(failures: DataFrame, scores: DataFrame, actions: Mapping[str, str] = ACTIONS) -> DataFrame:

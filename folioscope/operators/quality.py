@@ -117,13 +117,33 @@ def weak_summary(assessed: DataFrame) -> DataFrame:
     )
 
 
+#: Ranks of a page's impact, which is its worst severity.
+IMPACT_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
+
+
 def page_heatmap(assessed: DataFrame) -> DataFrame:
-    """Per page (null: unpaged): artifacts, weak ones by severity, the worst severity."""
+    """Per page (null: unpaged): artifacts, weak ones by severity, the worst severity, and its place in the dataset's order.
+
+    Pages come by impact, then by number of weak artifacts, then by page, the unpaged last. The window runs over
+    the pages of a dataset, which are already summed.
+    """
     out = assessed.groupBy("dataset", "page").agg(
         F.count("*").alias("artifacts"), F.count_if(F.col("severity").isNotNull()).alias("weak"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")],
         F.max("severity_rank").alias("worst_rank"),
     )
-    return out.withColumn("page_label", F.coalesce(F.col("page").cast("string"), F.lit("unpaged"))).withColumn("impact", F.coalesce(severity_name(F.col("worst_rank")), F.lit("none")))
+    out = out.withColumn("page_label", F.coalesce(F.col("page").cast("string"), F.lit("unpaged"))).withColumn("impact", F.coalesce(severity_name(F.col("worst_rank")), F.lit("none")))
+    order = Window.partitionBy("dataset").orderBy(F.desc_nulls_last("worst_rank"), F.desc("weak"), F.asc_nulls_last("page"))
+    return out.withColumn("place", F.row_number().over(order))
+
+
+def page_lookup(artifacts: DataFrame, packets: DataFrame, approved: DataFrame) -> DataFrame:
+    """``artifacts`` with ``page_range``: the packets' first one of the artifact, else the approved side's.
+
+    Both sides have (artifact_id, page_range, place), ``place`` being a row's position in its source; rows without a range say nothing.
+    """
+    side = lambda df, rank: df.where("page_range is not null and artifact_id is not null").select("artifact_id", F.struct(F.lit(rank).alias("source"), "place", "page_range").alias("r"))
+    first = side(packets, 0).unionByName(side(approved, 1)).groupBy("artifact_id").agg(F.min_by(F.col("r.page_range"), F.struct("r.source", "r.place")).alias("page_range"))
+    return artifacts.join(first, "artifact_id", "left")
 
 
 def failure_rows(artifacts: DataFrame, failures=FAILURES) -> DataFrame:
@@ -162,18 +182,30 @@ def highest_leverage(causes: DataFrame) -> DataFrame:
 def failure_clusters(failed: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Failures that spread over a whole dataset, over a page, or over what has no page.
 
-    A failure of 80 % of a dataset is one issue-wide cluster and forms no page clusters; on a page it
-    takes two artifacts and half of the page; without a page two artifacts.
+    A failure whose whole-number percentage reaches 80 is one issue-wide cluster and forms no page
+    clusters; on a page it takes two artifacts and half of the page. Among the unpaged, every failure
+    counts that two artifacts have, the issue-wide ones and ``unpaged`` itself too. ``percent`` is the share of the
+    dataset or page, and ``impact`` its band; the unpaged have neither.
     """
+    kind = ["dataset", "failure", "domain", "category", "severity"]
+    nothing = F.lit(None)
+    columns = [*kind, "scope", "page", "n", "of", "percent", "impact"]
+
+    def rows(df: DataFrame, scope: str, page: Column, share: Column | None) -> DataFrame:
+        out = df.withColumn("scope", F.lit(scope)).withColumn("page", page.cast("int")).withColumn("percent", (nothing if share is None else share).cast("int"))
+        return out.withColumn("impact", nothing.cast("string") if share is None else impact_band(F.col("percent"))).select(*columns)
+
+    share = percent(F.col("n"), F.col("of"))
     totals = artifacts.groupBy("dataset").agg(F.count("*").alias("of"))
-    wide = failed.groupBy("dataset", "failure").agg(F.count("*").alias("n")).join(totals, "dataset")
-    wide = wide.where(F.col("n") * 100 >= F.col("of") * ISSUE_WIDE).select("dataset", "failure", F.lit("issue_wide").alias("scope"), F.lit(None).cast("int").alias("page"), "n", "of")
-    rest = failed.where("failure <> 'unpaged'").join(wide.select("dataset", "failure"), ["dataset", "failure"], "left_anti")
+    counted = failed.groupBy(*kind).agg(F.count("*").alias("n")).join(totals, "dataset")
+    wide = counted.where(share >= ISSUE_WIDE)
+    rest = failed.join(wide.select("dataset", "failure"), ["dataset", "failure"], "left_anti")
     pages = artifacts.groupBy("dataset", "page").agg(F.count("*").alias("of"))
-    by_page = rest.where("page is not null").groupBy("dataset", "failure", "page").agg(F.count("*").alias("n")).join(pages, ["dataset", "page"])
-    by_page = by_page.where((F.col("n") >= PAGE_LEAST) & (F.col("n") * 100 >= F.col("of") * PAGE_SHARE)).select("dataset", "failure", F.lit("page").alias("scope"), "page", "n", "of")
-    unpaged = rest.where("page is null").groupBy("dataset", "failure").agg(F.count("*").alias("n")).join(pages.where("page is null").drop("page"), "dataset").where(F.col("n") >= PAGE_LEAST)
-    return wide.unionByName(by_page).unionByName(unpaged.select("dataset", "failure", F.lit("unpaged").alias("scope"), F.lit(None).cast("int").alias("page"), "n", "of"))
+    by_page = rest.where("page is not null").groupBy(*kind, "page").agg(F.count("*").alias("n")).join(pages, ["dataset", "page"])
+    by_page = by_page.where((F.col("n") >= PAGE_LEAST) & (F.col("n") * 100 >= F.col("of") * PAGE_SHARE))
+    unpaged = failed.where("page is null").groupBy(*kind).agg(F.count("*").alias("n")).where(F.col("n") >= PAGE_LEAST)
+    unpaged = unpaged.join(pages.where("page is null").drop("page"), "dataset")
+    return rows(wide, "issue_wide", nothing, share).unionByName(rows(by_page, "page", F.col("page"), share)).unionByName(rows(unpaged, "unpaged", nothing, None))
 
 
 def packet_coverage(refs: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -220,12 +252,17 @@ def approval_backlog(artifacts: DataFrame, approved_ids: DataFrame) -> DataFrame
     return artifacts.join(approved_ids, "artifact_id", "left_anti")
 
 
-def dataset_findings(scores: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Findings of a dataset: missing fields, backlog, thin coverage of characters and dialogue; only where something lacks."""
-    counts = signals(artifacts).groupBy("dataset").agg(
-        F.count("*").alias("n"), F.count_if(~F.col("has_tags")).alias("tags"), F.count_if(F.col("summary_length") == 0).alias("summary"), F.count_if(~F.col("approved")).alias("backlog"),
-    )
-    kinds = ("tags", "summary", "backlog")
-    rows = F.array(*[F.struct(F.lit(f"missing_{k}" if k != "backlog" else "approval_backlog").alias("finding"), F.col(k).alias("count")) for k in kinds])
-    shares = F.array(*[F.struct(F.lit(f"{k}_coverage").alias("finding"), (F.lit(100) - F.col(k)).cast("long").alias("count")) for k in ("characters", "dialogue")])
-    return counts.select("dataset", F.inline(rows)).unionByName(scores.select("dataset", F.inline(shares))).where("count > 0")
+def dataset_findings(artifacts: DataFrame) -> DataFrame:
+    """Findings of a dataset: each missing metadata field of each artifact, and what whole datasets lack.
+
+    A row has the artifact (null for the dataset as a whole), a code, its severity, and how many of how many
+    artifacts it concerns.
+    """
+    missing = F.filter(F.array(F.when(~F.col("has_tags"), "classification.tags"), F.when(F.col("summary_length") == 0, "narrative.summary")), lambda f: f.isNotNull())
+    each = artifacts.select("dataset", "artifact_id", F.explode(missing).alias("field"))
+    each = each.select("dataset", "artifact_id", F.lit("missing_field").alias("finding"), "field", F.lit("high").alias("severity"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("of"))
+    counts = artifacts.groupBy("dataset").agg(F.count("*").alias("of"), *[F.count_if(F.col(c)).alias(c) for c in ("approved", "reviewed", "has_characters", "has_dialogue")])
+    kinds = (("approval_backlog", "high", "approved"), ("review_backlog", "medium", "reviewed"), ("character_coverage", "medium", "has_characters"), ("dialogue_coverage", "medium", "has_dialogue"))
+    rows = F.array(*[F.struct(F.lit(f).alias("finding"), F.lit(s).alias("severity"), (F.col("of") - F.col(c)).alias("n")) for f, s, c in kinds])
+    whole = counts.select("dataset", "of", F.inline(rows)).where("n > 0")
+    return each.unionByName(whole.select("dataset", F.lit(None).cast("long").alias("artifact_id"), "finding", F.lit(None).cast("string").alias("field"), "severity", "n", "of"))

@@ -78,7 +78,7 @@ def priority_rank(spark, d):
 
 
 def page_heatmap(spark, d):
-    return Q.page_heatmap(_assessed(spark, d)).select("dataset", "page_label", "artifacts", "weak", "high", "medium", "low", "impact")
+    return Q.page_heatmap(_assessed(spark, d)).select("dataset", "page_label", "artifacts", "weak", "high", "medium", "low", "impact", "place")
 
 
 def root_cause(spark, d):
@@ -120,12 +120,20 @@ def approval_backlog(spark, d):
 
 
 def dataset_findings(spark, d):
-    return Q.dataset_findings(dataset_scores(spark, d), V.artifacts(spark, d))
+    return Q.dataset_findings(V.artifacts(spark, d))
+
+
+def page_lookup(spark, d):
+    turns = V.table(spark, d, "conversations").select((F.col("conv_id") * 7 + F.col("turn")).alias("artifact_id"), F.array(F.when(F.col("role") == "user", F.col("turn").cast("int") + 1)).alias("page_range"), (F.col("conv_id") * 100 + F.col("turn")).alias("place"))
+    packets = turns.withColumn("page_range", F.when(F.get("page_range", F.lit(0)).isNotNull(), F.col("page_range")))
+    approved = V.artifacts(spark, d).where("approved").select("artifact_id", F.when(F.col("page").isNotNull(), F.array("page")).alias("page_range"), F.col("artifact_id").alias("place"))
+    found = Q.page_lookup(V.artifacts(spark, d).select("dataset", "artifact_id"), packets, approved)
+    return found.select("dataset", "artifact_id", F.get("page_range", F.lit(0)).alias("page"))
 
 
 QUERIES = [
     dataset_scores, weak_queue, weak_summary, priority_rank, page_heatmap, root_cause, failure_samples, highest_leverage, failure_clusters,
-    packet_checks, packet_coverage, artifact_blockers, retrieval_readiness, approval_backlog, dataset_findings,
+    packet_checks, packet_coverage, artifact_blockers, retrieval_readiness, approval_backlog, dataset_findings, page_lookup,
 ]
 
 _ORDER = "case severity when 'high' then 3 when 'medium' then 2 else 1 end"
@@ -134,16 +142,18 @@ ORACLES = {
     "weak_queue": f"with {ASSESSED} select dataset, artifact_id, severity, score, primary_weakness, cast(effort as integer) effort, cast(row_number() over (partition by dataset order by severity_rank desc, score, artifact_id) as integer) place from assessed where severity is not null",
     "weak_summary": f"with {ASSESSED} select dataset, count(severity) flagged, count(*) filter (where severity = 'high') high, count(*) filter (where severity = 'medium') medium, count(*) filter (where severity = 'low') low from assessed group by 1",
     "priority_rank": f"with {ASSESSED} select dataset, artifact_id, severity, page, cast(effort as integer) effort, cast(row_number() over (partition by dataset order by severity_rank desc, page asc nulls last, effort, artifact_id) as integer) priority from assessed where severity is not null",
-    "page_heatmap": f"with {ASSESSED} select dataset, coalesce(page::varchar, 'unpaged') page_label, count(*) artifacts, count(severity) weak, count(*) filter (where severity = 'high') high, count(*) filter (where severity = 'medium') medium, count(*) filter (where severity = 'low') low, coalesce({_NAME('max(severity_rank)')}, 'none') impact from assessed group by dataset, page",
+    "page_heatmap": f"with {ASSESSED} select dataset, coalesce(page::varchar, 'unpaged') page_label, count(*) artifacts, count(severity) weak, count(*) filter (where severity = 'high') high, count(*) filter (where severity = 'medium') medium, count(*) filter (where severity = 'low') low, coalesce({_NAME('max(severity_rank)')}, 'none') impact, cast(row_number() over (partition by dataset order by max(severity_rank) desc nulls last, count(severity) desc, page asc nulls last) as integer) place from assessed group by dataset, page",
     "root_cause": f"with {ASSESSED} select dataset, failure, domain, severity, n, share, {_IMPACT('share')} impact, pages, truncated from causes",
     "failure_samples": f"with {ASSESSED} select * from (select dataset, failure, artifact_id, cast(row_number() over (partition by dataset, failure order by artifact_id) as integer) place from failed) where place <= {Q.SAMPLE_IDS}",
     "highest_leverage": f"with {ASSESSED} select dataset, failure, category, n, cast(case when category = 'content' then row_number() over (partition by dataset, category order by n desc, {_ORDER} desc, failure) end as integer) leverage_rank from causes",
-    "failure_clusters": f"""with {ASSESSED}, wide as (select dataset, failure, n, t from (select dataset, failure, count(*) n from failed group by 1, 2) join (select dataset, count(*) t from artifacts group by 1) using (dataset) where n * 100 >= t * 80),
-rest as (select * from failed f where failure <> 'unpaged' and not exists (select 1 from wide w where w.dataset = f.dataset and w.failure = f.failure)),
-pages as (select dataset, page, count(*) t from artifacts group by 1, 2)
-select dataset, failure, 'issue_wide' scope, cast(null as integer) page, n, t "of" from wide
-union all select r.dataset, failure, 'page', r.page, count(*), t from rest r join pages p on r.dataset = p.dataset and r.page = p.page group by all having count(*) >= 2 and count(*) * 100 >= t * 50
-union all select r.dataset, failure, 'unpaged', null, count(*), t from rest r join pages p on r.dataset = p.dataset and p.page is null where r.page is null group by all having count(*) >= 2""",
+    "failure_clusters": f"""with {ASSESSED}, counted as (select f.*, t from (select dataset, failure, domain, category, severity, count(*) n from failed group by all) f join (select dataset, count(*) t from artifacts group by 1) using (dataset)),
+wide as (select *, {_PCT('n', 't')} pct from counted where {_PCT('n', 't')} >= 80),
+pages as (select dataset, page, count(*) t from artifacts group by 1, 2),
+local as (select f.dataset, f.failure, f.domain, f.category, f.severity, f.page, count(*) n, p.t from failed f join pages p on p.dataset = f.dataset and p.page = f.page where not exists (select 1 from wide w where w.dataset = f.dataset and w.failure = f.failure) group by all),
+loose as (select f.dataset, f.failure, f.domain, f.category, f.severity, count(*) n, p.t from failed f join pages p on p.dataset = f.dataset and p.page is null where f.page is null group by all)
+select dataset, failure, domain, category, severity, 'issue_wide' scope, cast(null as integer) page, n, t "of", pct percent, {_IMPACT('pct')} impact from wide
+union all select dataset, failure, domain, category, severity, 'page', page, n, t, {_PCT('n', 't')}, {_IMPACT(_PCT('n', 't'))} from local where n >= 2 and n * 100 >= t * 50
+union all select dataset, failure, domain, category, severity, 'unpaged', null, n, t, null, null from loose where n >= 2""",
     "packet_checks": f"with {CHECKED} select *, checks_passed * 25 packet_score from checked",
     "packet_coverage": f"with {CHECKED} select *, case when coverage < 50 then 'high' when coverage < 100 then 'medium' end blocker from cover",
     "artifact_blockers": f"with {CHECKED} select *, {_IMPACT('share')} impact from blocked",
@@ -156,8 +166,13 @@ select dataset, coverage, grounding_quality, traceability, confidence_boundaries
   {', '.join("concat_ws(',', " + ', '.join(f"case when b{k} = '{s}' then '{x}' end" for k, x in enumerate(('coverage', 'grounding_quality', 'traceability', 'confidence_boundaries'))) + f") {n}" for s, n in (('strong', 'strengths'), ('weak', 'weaknesses')))},
   case when b1 = 'weak' then 'not_ready' when b0 = 'weak' or b2 = 'weak' or b3 = 'weak' then 'partially_ready' else 'ready' end verdict from b""",
     "approval_backlog": f"with {ASSESSED} select dataset, artifact_id, reviewed from artifacts where not approved",
-    "dataset_findings": f"""with {CHECKED} select * from (
-  select dataset, 'missing_tags' finding, count(*) filter (where not has_tags) "count" from sig group by 1 union all select dataset, 'missing_summary', count(*) filter (where summary_length = 0) from sig group by 1
-  union all select dataset, 'approval_backlog', count(*) filter (where not approved) from sig group by 1
-  union all select dataset, 'characters_coverage', 100 - characters from dscores union all select dataset, 'dialogue_coverage', 100 - dialogue from dscores) where "count" > 0""",
+    "dataset_findings": f"""with {V.ARTIFACTS}, c as (select dataset, count(*) t, count(*) filter (where approved) a, count(*) filter (where reviewed) r, count(*) filter (where has_characters) c, count(*) filter (where has_dialogue) g from artifacts group by 1)
+select dataset, artifact_id, 'missing_field' finding, 'classification.tags' field, 'high' severity, 1 n, 1 "of" from artifacts where not has_tags
+union all select dataset, artifact_id, 'missing_field', 'narrative.summary', 'high', 1, 1 from artifacts where summary_length = 0
+union all select dataset, null, 'approval_backlog', null, 'high', t - a, t from c where a < t union all select dataset, null, 'review_backlog', null, 'medium', t - r, t from c where r < t
+union all select dataset, null, 'character_coverage', null, 'medium', t - c, t from c where c < t union all select dataset, null, 'dialogue_coverage', null, 'medium', t - g, t from c where g < t""",
+    "page_lookup": f"""with {V.ARTIFACTS}, p as (select conv_id * 7 + turn artifact_id, turn + 1 page, 0 source, conv_id * 100 + turn place from conversations where role = 'user'
+ union all select artifact_id, page, 1, artifact_id from artifacts where approved and page is not null),
+k as (select artifact_id, arg_min(page, (source, place)) page from p group by 1)
+select dataset, a.artifact_id, cast(k.page as integer) page from artifacts a left join k on a.artifact_id = k.artifact_id""",
 }
