@@ -12,9 +12,9 @@ from folioscope.functions.columns import axes_key, changed_axes, rate
 PLACE = ("publisher", "title_group", "series", "issue")
 #: Level of the hierarchy -> the keys that make it up.
 LEVELS: Mapping[str, Sequence[str]] = {"issue": PLACE, "series": PLACE[:3], "publisher": PLACE[:1], "platform": ()}
-#: Failure modes and the rates beyond which a recommendation is due.
-FAILURE_MODES = ("split_rate", "merge_rate", "false_rate", "missing_rate")
-RECOMMENDATIONS: Mapping[str, tuple[float, str]] = {"merge_rate": (0.5, "review_merging"), "false_rate": (0.15, "review_false_panels")}
+#: Failure modes, and what is recommended beyond which rate of one.
+FAILURE_MODES = ("panel_splits", "panel_merges", "false_panels", "missing_page_panels", "spread_missing_panels")
+RECOMMENDATIONS: Mapping[str, tuple[float, str]] = {"panel_merges": (0.5, "geometry.under_segmentation"), "false_panels": (0.15, "geometry.precision_gap")}
 
 
 def keyed(reports: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -41,20 +41,22 @@ def segments(pts: DataFrame, scope: Sequence[str]) -> DataFrame:
 def hierarchy(pts: DataFrame) -> DataFrame:
     """The segments of all levels at once.
 
-    Points are summed per issue first, which is all that is ever shuffled in full; the levels are grouping
-    sets over those sums. Issues and series are counted by their whole key: a row is one issue already.
+    Points are summed per issue first, which is all that is ever shuffled in full, then per series; the levels above are
+    grouping sets over those sums, where a row is one series already.
     """
     issues = pts.groupBy(*PLACE, "comparability_key", "metric").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.count("*").alias("n"))
-    sets = [[*LEVELS[level], "comparability_key", "metric"] for level in LEVELS]
-    out = issues.groupingSets(sets, *PLACE, "comparability_key", "metric").agg(
-        F.grouping_id().alias("level_bits"), F.sum("num").alias("numerator"), F.sum("den").alias("denominator"), F.sum("n").alias("reports"),
-        F.count("*").alias("issues"), F.countDistinct("publisher", "title_group", "series").alias("series_count"),
+    # summed by series next, so that the levels above count series as rows and need no distinct count
+    per_issue = issues.select(*PLACE, "comparability_key", "metric", "num", "den", "n", F.lit(1).cast("long").alias("issues"), F.lit("issue").alias("level"))
+    series = issues.groupBy(*PLACE[:3], "comparability_key", "metric").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("n").alias("n"), F.count("*").alias("issues"))
+    upper = [[*LEVELS[level], "comparability_key", "metric"] for level in ("series", "publisher", "platform")]
+    sums = series.groupingSets(upper, *PLACE[:3], "comparability_key", "metric").agg(
+        F.grouping_id().alias("bits"), F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("n").alias("n"), F.sum("issues").alias("issues"), F.count("*").alias("series_count")
     )
-    bits = {"issue": 0b000000, "series": 0b000100, "publisher": 0b011100, "platform": 0b111100}
-    level = F.lit(None).cast("string")
-    for name, mask in bits.items():
-        level = F.when(F.col("level_bits") == mask, name).otherwise(level)
-    return out.withColumn("level", level).withColumn("value", rate(F.col("numerator"), F.col("denominator"), None)).drop("level_bits")
+    level = F.when(F.col("bits") == 0b00000, "series").when(F.col("bits") == 0b01100, "publisher").otherwise("platform")
+    sums = sums.withColumn("issue", F.lit(None).cast(issues.schema["issue"].dataType)).withColumn("level", level).drop("bits")
+    out = per_issue.withColumn("series_count", F.lit(1).cast("long")).unionByName(sums)
+    out = out.withColumnsRenamed({"num": "numerator", "den": "denominator", "n": "reports"})
+    return out.withColumn("value", rate(F.col("numerator"), F.col("denominator"), None))
 
 
 def series_boundaries(reports: DataFrame, scope: Sequence[str], axes: Sequence[str]) -> DataFrame:
@@ -74,18 +76,20 @@ def dual_time(reports: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def failure_modes(pts: DataFrame, scope: Sequence[str], modes: Sequence[str] = FAILURE_MODES) -> DataFrame:
-    """Geometry failure modes per segment, most frequent first; a rate over nothing is 0.0."""
+    """Geometry failure modes per segment, most frequent first; a rate over nothing is 0.0.
+
+    Each mode is a metric of the points, with its own denominator (approved or generated panels).
+    """
     out = pts.where(F.col("metric").isin(*modes) & F.col("comparability_key").isNotNull()).groupBy(*scope, "comparability_key", "metric").agg(F.sum("num").alias("failures"), F.sum("den").alias("of"))
     order = Window.partitionBy(*scope, "comparability_key").orderBy(F.desc("failures"), "metric")
     return out.withColumn("rate", rate(F.col("failures"), F.col("of"))).withColumn("rank", F.row_number().over(order))
 
 
 def recommendations(modes: DataFrame, rules: Mapping[str, tuple[float, str]] = RECOMMENDATIONS) -> DataFrame:
-    """Failure modes beyond their limit, with what to do."""
-    due: Column = F.lit(None).cast("string")
-    for metric, (limit, advice) in rules.items():
-        due = F.when((F.col("metric") == metric) & (F.col("rate") > limit), advice).otherwise(due)
-    return modes.withColumn("recommendation", due).where("recommendation is not null")
+    """One row for each recommendation that a segment's failure modes call for, with the rate as evidence."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(float(limit)).alias("limit"), F.lit(code).alias("code")) for m, (limit, code) in rules.items()])
+    due = F.filter(rows, lambda r: (r["metric"] == F.col("metric")) & (F.col("rate") > r["limit"]))
+    return modes.select(*[c for c in modes.columns if c != "code"], F.explode(F.transform(due, lambda r: r["code"])).alias("code"))
 
 
 def version_improvements(pts: DataFrame, scope: Sequence[str], axes: Sequence[str]) -> DataFrame:
