@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.columns import classify_grounding
+from folioscope.functions.columns import GROUNDING_CLASSES, GROUNDING_EDITS, classify_grounding, rate
 from folioscope.functions.columns import lookup as table_lookup
 from folioscope.storage import shared_table
 
 #: Scope levels from specific to general.
 LEVEL_RANK = {"issue": 0, "series": 1, "title_group": 2, "publisher": 3}
 OTHER_RANK = 99
+#: Versions of the resolution contract that are understood.
+CONTRACT_VERSIONS = ("1",)
 MAX_ROUNDS = 60
 
 
@@ -40,17 +44,32 @@ def effective(materials: DataFrame, edges: DataFrame, edition: str | None = None
     return left.where("status = 'publisher_approved'").drop("rank")
 
 
-def cross_check(computed: DataFrame, published: DataFrame) -> DataFrame:
-    """Per target and material: agree, computed only, published only, or another revision."""
+def material_key(files: Column) -> Column:
+    """Files of a material as one text: (file_id, revision) pairs in order, missing values last."""
+    pairs = F.transform(files, lambda f: F.struct(f["file_id"].isNull().alias("a"), f["file_id"].cast("string").alias("b"), f["revision"].isNull().alias("c"), f["revision"].cast("string").alias("d")))
+    return F.to_json(F.transform(F.array_sort(pairs), lambda p: F.struct(p["b"].alias("file_id"), p["d"].alias("revision"))))
+
+
+def cross_check(computed: DataFrame, published: DataFrame, versions: DataFrame, supported: Sequence[str] = CONTRACT_VERSIONS) -> DataFrame:
+    """Per target and material: agree, computed_only, published_only, file_mismatch or duplicate.
+
+    Both sides have (target_id, material_id, files); ``files`` is an array of (file_id, revision), of which the sorted set
+    counts. ``versions`` has (target_id, contract_version, published_version). A target of an unsupported contract is not
+    judged, nor one whose published snapshot is of another version: such a target is one row without a material.
+    """
     keys = ["target_id", "material_id"]
-    a = computed.groupBy(*keys).agg(F.max("revision").alias("computed_revision"))
-    b = published.groupBy(*keys).agg(F.max("revision").alias("published_revision"), F.count("*").alias("published_rows"))
-    both = a.join(b, keys, "full_outer")
+    key = material_key(F.col("files")).alias("k")
+    a = computed.select(*keys, key).groupBy(*keys).agg(F.max("k").alias("ours"))
+    b = published.select(*keys, key).groupBy(*keys).agg(F.max("k").alias("theirs"), F.count("*").alias("times"))
+    skew = F.when(~F.coalesce(F.col("contract_version").isin(*supported), F.lit(False)), "unsupported_resolution_contract_version").when(F.col("published_version") != F.col("contract_version"), "version_skew")
+    judged = versions.select("target_id", skew.alias("skew"))
     status = (
-        F.when(F.col("published_rows") > 1, "duplicate").when(F.col("published_revision").isNull(), "computed_only").when(F.col("computed_revision").isNull(), "published_only")
-        .when(F.col("computed_revision") == F.col("published_revision"), "agree").otherwise("file_mismatch")
+        F.when(F.col("times") > 1, "duplicate").when(F.col("times").isNull(), "computed_only").when(F.col("ours").isNull(), "published_only")
+        .when(F.col("ours") == F.col("theirs"), "agree").otherwise("file_mismatch")
     )
-    return both.select(*keys, status.alias("status"))
+    able = judged.where("skew is null").select("target_id")
+    rows = a.join(b, keys, "full_outer").join(able, "target_id").select(*keys, status.alias("status"))
+    return rows.unionByName(judged.where("skew is not null").select("target_id", F.lit(None).cast(rows.schema["material_id"].dataType).alias("material_id"), F.col("skew").alias("status")))
 
 
 def authoring_findings(materials: DataFrame, edges: DataFrame) -> DataFrame:
@@ -82,6 +101,8 @@ def lineage_conflicts(materials: DataFrame, edges: DataFrame) -> DataFrame:
         if labels.where("label <> old").isEmpty():
             break
         labels = labels.drop("old")
+    else:
+        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     approved = materials.where("status = 'publisher_approved'").select("target_id", F.col("material_id").alias("a")).distinct()
     held = labels.join(approved, ["target_id", "a"]).groupBy("target_id", F.col("label").alias("lineage"))
     return held.agg(F.count("*").alias("approved")).where("approved > 1").withColumn("code", F.lit("multiple_active_approved")).withColumn("severity", F.lit("FAIL"))
@@ -101,9 +122,23 @@ def grounding_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.withColumn("category", classify_grounding(*[F.col(c) for c in ("before", "after", "added", "removed", "revised")]))
 
 
-def grounding_benchmark(changes: DataFrame, group: str) -> DataFrame:
-    """Per group: artifacts of each class, and acceptance (unchanged among the grounded)."""
-    kinds = ("ungrounded", "unchanged", "added", "removed", "revised", "replaced")
-    out = changes.groupBy(group).agg(F.count("*").alias("artifacts"), *[F.count_if(F.col("category") == k).alias(f"n_{k}") for k in kinds])
-    grounded = F.col("artifacts") - F.col("n_ungrounded")
-    return out.withColumn("acceptance", F.when(grounded != 0, F.bround(F.col("n_unchanged") / grounded, 6)))
+def grounding_benchmark(outputs: DataFrame, group: str) -> DataFrame:
+    """Per group: outputs of each class, acceptance over fresh ones, version pins and whether they differ.
+
+    ``outputs`` has (category, disposition, generated_pin, approved_pin), a pin being null where the side is not grounded.
+    An output whose sides carry different pins is of no supported version, whatever changed. Preserved outputs,
+    abstentions and unsupported ones are no part of the acceptance.
+    """
+    pins = F.array("generated_pin", "approved_pin")
+    kind = F.when(F.col("generated_pin") != F.col("approved_pin"), "unsupported_version").otherwise(F.col("category"))
+    marked = outputs.withColumn("kind", kind).withColumn("fresh", F.col("disposition").isNull() | (F.col("disposition") == "fresh"))
+    k = F.col("kind")
+    out = marked.groupBy(group).agg(
+        F.count("*").alias("artifacts"), *[F.count_if(k == c).alias(f"n_{c}") for c in GROUNDING_CLASSES], F.count_if(k.isin(*GROUNDING_EDITS)).alias("grounding_edits"),
+        F.count_if(F.col("fresh") & (k == "accepted_unchanged")).alias("fresh_accepted"), F.count_if(F.col("fresh") & ~k.isin("abstention", "unsupported_version")).alias("fresh_comparable"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(pins, lambda p: p.isNotNull()))))).alias("pins"),
+    )
+    return out.select(
+        *[c for c in out.columns if c != "pins"], F.array_join("pins", ",").alias("version_pins"), rate(F.col("fresh_accepted"), F.col("fresh_comparable")).alias("acceptance"),
+        ((F.col("n_unsupported_version") > 0) | (F.size("pins") > 1)).alias("version_skew"),
+    )

@@ -51,8 +51,13 @@ def publisher_health(series: DataFrame) -> DataFrame:
 
 
 def cross_series_health(series: DataFrame) -> DataFrame:
-    """Series that need attention, with the share of their issues that do."""
-    return series.where("health = 'attention'").select(*SERIES, "issues", "attention", F.bround(F.col("attention") / F.col("issues"), 6).alias("attention_share"))
+    """The attention set: every series that is not healthy (unknown ones too), with its counts of issues."""
+    return series.where("health <> 'healthy'").select(*SERIES, "health", "issues", "healthy", "attention", "unknown")
+
+
+def series_summary(series: DataFrame) -> DataFrame:
+    """Series of the whole platform by health, and their issues."""
+    return series.groupBy("health").agg(F.count("*").alias("series_count"), F.sum("issues").alias("issues"))
 
 
 def rollup(registry: DataFrame) -> DataFrame:

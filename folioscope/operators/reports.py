@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,11 +44,14 @@ def verify_written(produced: DataFrame, read_back: DataFrame, key: str) -> DataF
     return a.join(b, key, "full_outer").select(key, why.alias("why")).where("why is not null")
 
 
-def upsert(entries: DataFrame, fresh: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Entries replaced by fresh ones of the same key; of several the one loaded last."""
-    both = entries.withColumn("_load", F.lit(0)).unionByName(fresh.withColumn("_load", F.lit(1)), allowMissingColumns=True)
-    order = Window.partitionBy(*key).orderBy(F.desc("_load"))
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_load")
+def upsert(entries: DataFrame, fresh: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Entries replaced by fresh ones of the same key; of several the one whose ``order`` (run or load number) is greatest.
+
+    A fresh entry wins over a stored one of equal order; what is still tied is settled by the rows' digests.
+    """
+    both = entries.withColumn("_fresh", F.lit(0)).unionByName(fresh.withColumn("_fresh", F.lit(1)), allowMissingColumns=True)
+    last = Window.partitionBy(*key).orderBy(F.desc_nulls_last(order), F.desc("_fresh"), F.xxhash64(*[c for c in both.columns if c != "_fresh"]))
+    return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_fresh")
 
 
 def ledger_state(attempts: DataFrame) -> DataFrame:
@@ -82,9 +85,51 @@ def search_index(index: DataFrame, equal: Mapping[str, object] | None = None, wi
 
 
 def archive(reports: DataFrame, failed_runs: DataFrame) -> DataFrame:
-    """Reports and failed runs in one table, newest first within a scope by ``place``."""
+    """Reports and failed runs in one table; ``place`` numbers a scope's from the newest, by time and then run number."""
     both = reports.withColumn("kind", F.lit("report")).unionByName(failed_runs.withColumn("kind", F.lit("failed_run")), allowMissingColumns=True)
-    return both
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc_nulls_last("at"), F.desc_nulls_last("run_seq"))))
+
+
+#: Other names of metrics.
+METRIC_ALIASES = {"metadata_unchanged_rate": "unchanged_metadata_rate", "editorial_intervention": "weighted_editorial_intervention_score"}
+_COMPARE: Mapping[str, Callable[[Column, object], Column]] = {
+    "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b, "==": lambda a, b: a == b,
+}
+
+
+def search_archive(
+    records: DataFrame, ranges: Sequence[tuple[str, str, float]] = (), fields: Mapping[str, object] | None = None, findings: Sequence[str] = (), severities: Sequence[str] = (), kinds: Sequence[str] = (), texts: Sequence[str] = ()
+) -> DataFrame:
+    """Archive records that meet all filters: metric ranges, fields, finding codes, severities with a count, kinds, parts of the advice.
+
+    Of the fields, ``date_from`` and ``date_to`` bound ``at``, ``revision`` may be either side's or the review's id, and
+    ``commit`` is a part of either commit; any other is a column. A missing value, or column, matches nothing.
+    """
+
+    def has(name: str) -> Column:
+        return F.col(name) if name in records.columns else F.lit(None).cast("string")
+
+    tests = []
+    for name, value in (fields or {}).items():
+        if name == "date_from":
+            tests.append(F.coalesce(has("at"), F.lit("")) >= value)
+        elif name == "date_to":
+            tests.append(F.coalesce(has("at"), F.lit("")) <= value)
+        elif name == "revision":
+            tests.append(F.lit(value).isin(*[has(c) for c in ("published_revision_id", "generated_snapshot_revision_id", "review_id")]))
+        elif name == "commit":
+            tests.append(F.contains(F.coalesce(has("publisher_commit"), F.lit("")), F.lit(value)) | F.contains(F.coalesce(has("audit_commit"), F.lit("")), F.lit(value)))
+        else:
+            tests.append(has(name) == value)
+    tests += [has("kind") == k for k in kinds]
+    tests += [F.array_contains("finding_codes", c) for c in findings]
+    tests += [F.coalesce(F.try_element_at("finding_counts", F.lit(s)), F.lit(0)) > 0 for s in severities]
+    tests += [_COMPARE[op](has(METRIC_ALIASES.get(m, m)).cast("double"), float(v)) for m, op, v in ranges]
+    tests += [F.contains(F.lower(F.coalesce(has("recommendation_text"), F.lit(""))), F.lit(t.lower())) for t in texts]
+    out = records
+    for test in tests:
+        out = out.where(test)
+    return out
 
 
 def archive_boundaries(reports: DataFrame, scope: Sequence[str]) -> DataFrame:

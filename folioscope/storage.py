@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, remembered in that setting, if it is unset."""
+    """The folder in spark.checkpoint.dir.
+
+    Where it is unset and everything runs in one process on one machine (tests), a temporary folder is made and
+    remembered in that setting; on a cluster, whose machines would each see a folder of their own, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -20,8 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet below the shared folder and read it back.
 
-    The table cuts the lineage: a lost executor costs a re-read. Without a configured folder (unit
-    tests on one machine) a temporary one is made.
+    The table cuts the lineage: a lost executor costs a re-read. It stays until whoever owns the folder clears it, as
+    results read it lazily.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -109,3 +109,44 @@ def test_ledger_success_clears_failure(spark):
 def test_null_metric_never_matches_a_range(spark):
     df = spark.createDataFrame([(1, None), (2, 0.5)], "id int, precision double")
     assert [r["id"] for r in S.search_index(df, within={"precision": (None, 1.0)}).collect()] == [2]
+
+
+def test_a_later_load_wins(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "id string, load int, v string")
+    new = spark.createDataFrame([("a", 3, "late"), ("a", 2, "early"), ("b", 1, "same load")], "id string, load int, v string")
+    assert {(r["id"], r["v"]) for r in S.upsert(old, new, ["id"], "load").collect()} == {("a", "late"), ("b", "same load")}
+
+
+def test_archive_search_meets_all_filters(spark):
+    rows = [(1, "s", "2024-01-02", 0.7, ["geometry.false_panels"], {"WARNING": 1}, "abc", "rev_1"), (2, "s", "2024-01-03", None, ["x"], {"WARNING": 0}, None, "rev_2"), (3, "s", "2024-01-03", 0.9, None, None, "zabz", "rev_3")]
+    df = spark.createDataFrame(rows, "run_seq int, scope string, at string, precision double, finding_codes array<string>, finding_counts map<string,int>, publisher_commit string, published_revision_id string")
+    both = S.archive(df, df.limit(0).drop("precision"))
+    ids = lambda **q: [r["run_seq"] for r in S.search_archive(both, **q).orderBy("place").collect()]
+    assert ids() == [3, 2, 1]
+    assert ids(ranges=[("precision", "<", 0.8)]) == [1] and ids(ranges=[("precision", ">=", 0.7)]) == [3, 1] and ids(ranges=[("recall", ">", 0)]) == []
+    assert ids(findings=["geometry.false_panels"]) == [1] and ids(severities=["WARNING"]) == [1] and ids(fields={"commit": "ab"}) == [3, 1]
+    assert ids(fields={"revision": "rev_2", "date_from": "2024-01-03"}) == [2] and ids(kinds=["failed_run"]) == [] and ids(texts=["nothing"]) == []
+
+
+def test_cross_check_compares_files_and_versions(spark):
+    f = lambda *p: [tuple(x) for x in p]
+    schema = "target_id string, material_id string, files array<struct<file_id:string,revision:string>>"
+    ours = spark.createDataFrame([("t", "a", f(("1", "x"), ("2", "y"))), ("t", "b", f(("1", "x"))), ("t", "c", f((None, None))), ("u", "a", [])], schema)
+    theirs = spark.createDataFrame([("t", "a", f(("2", "y"), ("1", "x"))), ("t", "b", f(("1", "z"))), ("t", "d", []), ("t", "c", f((None, None))), ("t", "c", []), ("v", "a", [])], schema)
+    versions = spark.createDataFrame([("t", "1", None), ("u", "1", "0"), ("v", "7", "7")], "target_id string, contract_version string, published_version string")
+    got = {(r["target_id"], r["material_id"]): r["status"] for r in M.cross_check(ours, theirs, versions).collect()}
+    assert got == {("t", "a"): "agree", ("t", "b"): "file_mismatch", ("t", "c"): "duplicate", ("t", "d"): "published_only", ("u", None): "version_skew", ("v", None): "unsupported_resolution_contract_version"}
+
+
+def test_unknown_series_need_attention_too(spark):
+    df = spark.createDataFrame([("p", "t", "s", "healthy"), ("p", "t", "y", "unknown"), ("p", "t", "z", "attention")], "publisher string, title_group string, series string, health string")
+    df = df.selectExpr("*", "1L issues", "1L healthy", "0L attention", "0L unknown")
+    assert {r["series"] for r in G.cross_series_health(df).collect()} == {"y", "z"}
+
+
+def test_stagnant_domains_and_changes(spark):
+    scores = spark.createDataFrame([("d", "1", 100), ("d", "2", 100), ("d", "3", 100)], "dataset string, day string, artifacts int")
+    failures = spark.createDataFrame([("d", "1", "a", 50), ("d", "1", "b", 10), ("d", "2", "c", 5), ("d", "3", "a", 51), ("d", "3", "c", 1)], "dataset string, day string, failure string, failures int")
+    assert [(r["domain"], r["first"], r["last"]) for r in H.stagnant_domains(failures, scores, {"a": "x", "b": "y", "q": "z"}).collect()] == [("x", 50, 51)]
+    assert {(r["failure"], r["status"]) for r in H.new_and_resolved(failures).collect()} == {("c", "new"), ("b", "resolved")}
+    assert {(r["failure"], r["status"]) for r in H.new_and_resolved(failures, newest=True).collect()} == {("a", "new")}
