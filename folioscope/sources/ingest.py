@@ -71,9 +71,9 @@ def extract_snapshots(pointers: DataFrame, snapshots: DataFrame, required: Seque
     decoded = F.try_to_binary("f.content_b64", F.lit("base64"))
     each = listed.select("issue_prefix", "revision_id", "f.path", decoded.alias("content"), F.col("f.sha256").alias("told"))
     each = each.withColumn("reject_reason", F.when(F.col("content").isNull(), "bad_base64").when(F.sha2("content", 256) != F.col("told"), "file_hash")).drop("told")
-    names = pointers.sparkSession.createDataFrame([(n,) for n in required], "path string")
     fine = each.where("reject_reason is null")
-    lacking = good.select("issue_prefix", "revision_id").crossJoin(F.broadcast(names)).join(fine.select("issue_prefix", "revision_id", "path"), ["issue_prefix", "revision_id", "path"], "left_anti")
+    named = good.select("issue_prefix", "revision_id", F.explode(F.array(*map(F.lit, required))).alias("path"))
+    lacking = named.join(fine.select("issue_prefix", "revision_id", "path"), ["issue_prefix", "revision_id", "path"], "left_anti")
     keys = ["issue_prefix", "revision_id", "path", "reject_reason"]
     rejected = (
         judged.where("reject_reason is not null").withColumn("path", F.lit(None).cast("string")).select(*keys)
