@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 from pyspark.sql import functions as F
@@ -37,18 +38,35 @@ def stream_revision_changes(spark, d):
 
 
 def stream_ledger(spark, d):
-    """Runs (user and day) audited once each, by way of the ledger; what the ledger holds in the end."""
+    """Runs (user and day) audited by two legs, by way of the ledger: the delta leg finds no evidence for every thirteenth
+    user, and a third leg breaks down. What the ledger holds in the end."""
     folder = _folder(spark)
-    runs = _events(spark, d).select(F.concat_ws("@", F.col("user_id").cast("string"), V.day(F.col("ts"))).alias("run_id"), "value")
-    handle = W.ledger_batch(f"{folder}/reports", f"{folder}/ledger", lambda fresh: fresh.select("run_id"))
-    W.watch(runs, handle, f"{folder}/state").awaitTermination()
-    return spark.read.schema("run_id string, status string, batch int").parquet(f"{folder}/ledger").select("run_id", "status")
+    runs = _events(spark, d).select(F.concat_ws("@", F.col("user_id").cast("string"), V.day(F.col("ts"))).alias("run_id"), "user_id", "value")
 
+    def broken(fresh):
+        raise ValueError("no such leg")
 
-QUERIES = [stream_revision_changes, stream_ledger]
+    legs = {"dataset": lambda fresh: fresh.select("run_id"), "delta": lambda fresh: fresh.where("user_id % 13 <> 0").select("run_id"), "broken": broken}
+    logging.getLogger("folioscope.streaming.watch").setLevel(logging.CRITICAL)  # the broken leg is meant to break
+    W.watch(runs, W.ledger_batch(f"{folder}/reports", f"{folder}/ledger", legs), f"{folder}/state").awaitTermination()
+    return spark.read.schema(W.LEDGER).parquet(f"{folder}/ledger").select("run_id", "leg", "status", "failure_stage")
+
+
+def stream_late_free(spark, d):
+    """Runs once each, however often they are published within the allowed lateness."""
+    folder = _folder(spark)
+    runs = _events(spark, d).select(F.concat_ws("@", F.col("user_id").cast("string"), V.day(F.col("ts"))).alias("run_id"), F.col("ts").alias("event_time"))
+    W.late_free(runs, lateness="40 days").select("run_id").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("run_id string").parquet(f"{folder}/out")
+
+
+QUERIES = [stream_revision_changes, stream_ledger, stream_late_free]
 
 ORACLES = {
     "stream_revision_changes": """with l as (select user_id::varchar issue, event_id seq, event_type revision, lag(event_type) over (partition by user_id order by strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), event_id) previous from events)
 select * from l where previous is null or previous <> revision""",
-    "stream_ledger": "select distinct user_id || '@' || strftime(ts, '%Y-%m-%d') run_id, 'processed' status from events",
+    "stream_ledger": """with r as (select distinct user_id, user_id || '@' || strftime(ts, '%Y-%m-%d') run_id from events)
+select run_id, 'dataset' leg, 'processed' status, cast(null as varchar) failure_stage from r union all select run_id, 'broken', 'failed', 'assemble' from r
+union all select run_id, 'delta', case when user_id % 13 <> 0 then 'processed' else 'failed' end, case when user_id % 13 = 0 then 'evidence' end from r""",
+    "stream_late_free": "select distinct user_id || '@' || strftime(ts, '%Y-%m-%d') run_id from events",
 }

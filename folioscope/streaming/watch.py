@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import logging
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from folioscope.operators.reports import verify_written
+from folioscope.storage import shared_table
+
 
 class RevisionChanges(StatefulProcessor):
     """Keeps the last revision of each issue; emits a row whenever a publication carries another one."""
@@ -68,26 +72,46 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def ledger_batch(reports_path: str, ledger_path: str, audit: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A micro-batch handler that audits what the ledger does not know and writes the ledger last.
+LEDGER = "run_id string, leg string, status string, failure_stage string, batch int"
+
 
-    Reports go to a folder of their batch, replaced if the batch runs again, and the ledger likewise: a batch
-    that failed half-way is repaired by its next run, and a run that came through is not done twice.
+def ledger_batch(reports_path: str, ledger_path: str, legs: Mapping[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A micro-batch handler that runs every leg on the runs that the ledger does not hold as processed by it, and writes the ledger last.
+
+    A leg takes runs and returns a row for each it could audit. Its rows are written, read back and compared; only then
+    are its runs processed. A run without a row failed for want of evidence; a leg that raises fails at ``assemble``, one whose
+    rows cannot be written or differ at ``persist_verify``. Failed runs are tried again when they come again, and a leg that fails
+    leaves the others alone. Folders are those of batch and leg, replaced if the batch runs again.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = batch.select("run_id").limit(0)
+    def earlier(spark: SparkSession, batch_id: int) -> DataFrame:
         try:
-            earlier = spark.read.parquet(ledger_path)
-            done = earlier.where(F.col("batch") != batch_id).select("run_id").distinct()
+            return spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("batch") != batch_id)
         except Exception as missing:  # the first batch finds no ledger
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-        fresh = batch.dropDuplicates(["run_id"]).join(done, "run_id", "left_anti")
-        audited = audit(fresh)
-        audited.write.mode("overwrite").parquet(f"{reports_path}/batch={batch_id}")
-        written = spark.read.parquet(f"{reports_path}/batch={batch_id}")
-        written.select("run_id", F.lit("processed").alias("status")).write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+            return spark.createDataFrame([], LEDGER)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = earlier(spark, batch_id).where("status = 'processed'")
+        runs = batch.dropDuplicates(["run_id"])
+        for leg, audit in legs.items():
+            fresh = shared_table(runs.join(known.where(F.col("leg") == leg).select("run_id"), "run_id", "left_anti"), "fresh")
+            path, stage = f"{reports_path}/leg={leg}/batch={batch_id}", "assemble"
+            state = fresh.select("run_id", F.lit("failed").alias("status"))
+            try:
+                made = shared_table(audit(fresh), "audited")
+                stage = "persist_verify"
+                made.write.mode("overwrite").parquet(path)
+                stored = spark.read.schema(made.schema).parquet(path)
+                if not verify_written(made, stored, "run_id").isEmpty():
+                    raise ValueError("what was stored differs from what was made")
+                done = stored.select("run_id").distinct().withColumn("_done", F.lit(True))
+                stage = "evidence"
+                state = fresh.join(done, "run_id", "left").select("run_id", F.when(F.col("_done"), "processed").otherwise("failed").alias("status"))
+            except Exception:  # the stage goes to the ledger; the next leg runs all the same
+                logging.getLogger(__name__).exception("leg %s of batch %s failed at %s", leg, batch_id, stage)
+            state.withColumn("failure_stage", F.when(F.col("status") == "failed", stage)).write.mode("overwrite").parquet(f"{ledger_path}/leg={leg}/batch={batch_id}")
 
     return handle

@@ -11,7 +11,7 @@ def write(spark, folder, rows):
 
 def test_ledger_makes_each_run_once(spark, tmp_path):
     source, reports, ledger = (str(tmp_path / n) for n in ("in", "reports", "ledger"))
-    handle = W.ledger_batch(reports, ledger, lambda fresh: fresh.select("run_id", F.lit(1).alias("score")))
+    handle = W.ledger_batch(reports, ledger, {"delta": lambda fresh: fresh.select("run_id", F.lit(1).alias("score"))})
     schema = spark.createDataFrame([], RUNS).schema
     write(spark, source, [("a", "2020-01-01"), ("a", "2020-01-01"), ("b", "2020-01-02")])
     for _ in range(2):
@@ -25,14 +25,36 @@ def test_ledger_makes_each_run_once(spark, tmp_path):
 def test_a_batch_that_failed_half_way_is_repaired(spark, tmp_path):
     reports, ledger = str(tmp_path / "reports"), str(tmp_path / "ledger")
     rows = spark.createDataFrame([("a",), ("b",)], "run_id string")
-    rows.limit(1).write.parquet(f"{reports}/batch=0")  # reports of a batch whose ledger was never written
-    handle = W.ledger_batch(reports, ledger, lambda fresh: fresh)
+    rows.limit(1).write.parquet(f"{reports}/leg=delta/batch=0")  # reports of a batch whose ledger was never written
+    handle = W.ledger_batch(reports, ledger, {"delta": lambda fresh: fresh})
     for batch in (0, 0, 1):
         handle(rows, batch)
     assert sorted(r["run_id"] for r in spark.read.parquet(reports).collect()) == ["a", "b"]
     assert {(r["run_id"], r["batch"]) for r in spark.read.parquet(ledger).where("batch = 0").collect()} == {("a", 0), ("b", 0)}
 
 
+def test_legs_fail_apart_and_are_tried_again(spark, tmp_path):
+    reports, ledger = str(tmp_path / "reports"), str(tmp_path / "ledger")
+    rows = spark.createDataFrame([("a",), ("b",)], "run_id string")
+    able = {"now": False}
+
+    def shaky(fresh):
+        if not able["now"]:
+            raise ValueError("not yet")
+        return fresh
+
+    handle = W.ledger_batch(reports, ledger, {"shaky": shaky, "partial": lambda fresh: fresh.where("run_id = 'a'"), "whole": lambda fresh: fresh})
+    state = lambda: {(r["leg"], r["run_id"], r["batch"]): (r["status"], r["failure_stage"]) for r in spark.read.schema(W.LEDGER).parquet(ledger).collect()}
+    handle(rows, 0)
+    assert state() == {
+        ("shaky", "a", 0): ("failed", "assemble"), ("shaky", "b", 0): ("failed", "assemble"), ("partial", "a", 0): ("processed", None), ("partial", "b", 0): ("failed", "evidence"),
+        ("whole", "a", 0): ("processed", None), ("whole", "b", 0): ("processed", None),
+    }
+    able["now"] = True
+    handle(rows, 1)
+    assert {k: v for k, v in state().items() if k[2] == 1} == {("shaky", "a", 1): ("processed", None), ("shaky", "b", 1): ("processed", None), ("partial", "b", 1): ("failed", "evidence")}
+
+
 def test_late_free_drops_repeats(spark, tmp_path):
     source = str(tmp_path / "in")
     write(spark, source, [("a", "2020-01-01 00:00:00"), ("a", "2020-01-01 05:00:00"), ("b", "2020-01-01 01:00:00")])
