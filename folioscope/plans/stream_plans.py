@@ -55,7 +55,7 @@ def stream_ledger(spark, d):
 def stream_late_free(spark, d):
     """Runs once each, however often they are published within the allowed lateness."""
     folder = _folder(spark)
-    runs = _events(spark, d).select(F.concat_ws("@", F.col("user_id").cast("string"), V.day(F.col("ts"))).alias("run_id"), F.col("ts").alias("event_time"))
+    runs = _events(spark, d).select(F.concat_ws("@", F.col("user_id").cast("string"), V.day(F.col("ts"))).alias("run_id"), F.col("ts").cast("timestamp").alias("event_time"))
     W.late_free(runs, lateness="40 days").select("run_id").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("run_id string").parquet(f"{folder}/out")
 
