@@ -265,23 +265,24 @@ def _cut(length: int):
     return run
 
 
-def _bucketed(texts: DataFrame, key: str) -> DataFrame:
-    """Write a table bucketed by ``key`` in the warehouse, so that later joins on it need not move the texts."""
+def _bucketed(texts: DataFrame, key: str, made: list[str]) -> DataFrame:
+    """Write a table bucketed by ``key`` in the warehouse, so that later joins on it need not move the texts; its name goes to ``made``."""
     spark = texts.sparkSession
     name = f"folioscope_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.write.bucketBy(buckets, key).sortBy(key).saveAsTable(name, format="parquet")
+    made.append(name)
     return spark.table(name)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int, made: list[str]) -> tuple[DataFrame, DataFrame]:
     """The bucketed table of distinct long texts (tid, text, copies), and each text's repeated windows.
 
     The second has (tid, starts, ends): windows starting at starts[i]..ends[i] occur elsewhere as well.
     """
-    tid = F.unhex(F.md5(whole_text().cast("binary")))
+    tid = F.unhex(F.sha2(whole_text().cast("binary"), 256))
     long_texts = docs.select(tid.alias("tid"), whole_text().alias("text")).where(F.octet_length("text") >= length)
-    texts = _bucketed(long_texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "tid")
+    texts = _bucketed(long_texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "tid", made)
     keyed = texts.select("tid", "text").mapInArrow(_anchor_keys(length), "tid binary, key long, n long")
     shared = keyed.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     wanted = keyed.select("tid", "key").join(shared, "key").groupBy("tid").agg(F.collect_list("key").alias("keys"))
@@ -305,22 +306,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     return texts, hits
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, made: list[str] | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the table,
     in the same text or another; all strings are judged on the input. Strings never span two rows.
     Equal texts are compared once: if a text occurs in two rows, all of it goes (given ``length``
     bytes). A null text is empty. Rows without a doc_id keep their place; an empty table gives no rows.
+    The result reads a table in the warehouse, whose name goes to ``made``; it can be dropped when the result has been used.
     """
-    texts, hits = repeated_spans(docs, length)
+    texts, hits = repeated_spans(docs, length, [] if made is None else made)
     once = texts.where("copies = 1").select("tid", "text").join(hits, "tid").select("tid", "text", "starts", "ends")
     changed = once.mapInArrow(_cut(length), "tid binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     whole = texts.where("copies > 1").select(
         "tid", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").cast("binary").alias("kept")
     )
     raw = whole_text().cast("binary")
-    rows = docs.select("doc_id", F.unhex(F.md5(raw)).alias("tid"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), raw.alias("raw"))
+    rows = docs.select("doc_id", F.unhex(F.sha2(raw, 256)).alias("tid"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), raw.alias("raw"))
     joined = rows.join(changed.unionByName(whole), "tid", "left")
     zero: Column = F.lit(0).cast("long")
     return joined.select(
@@ -332,4 +334,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document when repeated 400-byte strings go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    made: list[str] = []
+    out = shared_table(remove_repeats(docs, made=made).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), "repeats")
+    for name in made:
+        spark.sql(f"drop table if exists {name}")
+    return out
