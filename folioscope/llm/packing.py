@@ -21,8 +21,8 @@ DOCUMENT_END = 2
 DOCUMENT_CUT, SENTENCE_CUT, TRUNCATION = 0, 4, 24
 #: Tokens packed by one run of the dynamic program, and texts tokenised at a time.
 BLOCK_TOKENS, SLICE_BYTES = 128 * WINDOW, 1 << 20
-#: Words kept per Python worker with their ids; the table starts anew when it is full.
-CACHE_WORDS = 600_000
+#: Characters of the words that a Python worker keeps with their ids; the table starts anew when it is full.
+CACHE_CHARACTERS = 6_000_000
 
 # The tokenizer's own pattern, written out for Latin-1: contractions, letters, single numerals, other marks.
 _LETTERS, _NUMERALS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -45,6 +45,7 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.pieces: dict[str, bytes] = {}
         # the model sees bytes as printable characters: itself for most, from U+0100 on for the rest
         shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
@@ -68,13 +69,14 @@ class WordTokenizer:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the numbers of ids before which a sentence ends."""
-        if len(self.words) > CACHE_WORDS:
+        if self.held > CACHE_CHARACTERS:
             self.words.clear()
-        if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
+            self.held = 0
         words, known = text.replace("\n", " ").split(" "), self.words
         for word in set(words).difference(known):
             known[word] = self._word(word)
+            self.held += len(word)
         ids = np.frombuffer(b"".join([known[w] for w in words]), "<u4")
         return ids, np.flatnonzero(self.stops[ids]) + 1
 
