@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import mixing, near_dup, packing, quality, secrets
-from folioscope.llm.common import shared_table
+from folioscope.llm.common import shared_table, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a rule of the current policy go; the others stay as they are."""
-    judged = quality.annotate(docs, "_ledger")
-    return judged.where(quality.verdict(F.col("_ledger.failed"))).select(*docs.columns)
+    """Documents that break a rule of the current policy go; the others stay as they are.
+
+    A null or empty text has too few words and goes. Repeated rows are judged alike; columns of any name stay.
+    """
+    column = unused("_ledger", docs)
+    judged = quality.annotate(docs, column)
+    return judged.where(quality.verdict(F.col(f"{column}.failed"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +32,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; the secrets in it are masked."""
+    """Every document stays; the secrets in it are masked. Null texts stay null; an empty table stays empty."""
     return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeat, shorten or go so that the sources meet their target weights."""
+    """Rows repeat or go so that the sources meet their target weights; one row of each source at most is shortened.
+
+    A null source is one of its own; rows without a word go, as they add nothing to a mix.
+    """
     return mixing.mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, ids included."""
+    """Pieces of token sequences, ids included; a null doc_id stays null, a null text is the single end token."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
