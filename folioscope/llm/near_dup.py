@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import mix64, shared_table, slices, span_hashes, utf8, whole_text, word_spans
@@ -20,6 +20,10 @@ TREES, TREE_DEPTH = 24, 6
 TARGET_RECALL = 0.99999
 #: Pairs of which fewer signature values agree are not followed (of TREES * TREE_DEPTH; 7 deviations below 0.8).
 LEAST_AGREEMENT = 0.58
+#: Members of a trie node that are compared in one go; a fuller node is dealt into parts.
+PART_MEMBERS = 4096
+#: Sets of a large cluster from which its centre is made. The centre saves comparisons; results do not depend on it.
+CENTRE_SETS = 64
 #: Documents and shingles that one block of the exact comparison holds on average, and shingles multiplied at a time.
 BLOCK_DOCUMENTS, BLOCK_SHINGLES, BLOCK_COLUMNS = 512, 1_000_000, 4096
 SLICE_BYTES = 2 << 20
@@ -28,16 +32,12 @@ _VALUES = TREES * TREE_DEPTH
 _MULTIPLIERS = mix64(np.arange(1, _VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def prefix_depth(threshold: float, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = TREE_DEPTH) -> int:
-    """The longest prefix that still finds a pair at the threshold with the target chance.
-
-    From full depth down, the first k at which 1 - (1 - s**k)**trees reaches the target. It depends on
-    these values only, not on what is found.
-    """
+def prefix_depths(threshold: float, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = TREE_DEPTH) -> list[int]:
+    """Prefix lengths to try, longest first: down to the first k at which 1 - (1 - threshold**k)**trees reaches the target."""
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
         depth -= 1
-    return depth
+    return list(range(deepest, depth - 1, -1))
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -93,62 +93,89 @@ def sketch(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(_sketches, "doc_id long, text_key string, set_key binary, n_shingles long, signature binary")
 
 
-def _links(keys: list[bytes], short: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the pairs in one bucket whose signatures agree often enough.
+def _links(keys: list[bytes], labels: np.ndarray, short: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[bytes]]:
+    """Links between members of one trie node whose signatures agree often enough, and one member of each group that results.
 
-    Grown breadth first from a pivot; what a member takes in is never compared again, so a bucket of
-    close copies costs one pass over it.
+    Members of equal label are connected already. Grown breadth first; what a group takes in, with all
+    of its label, is never compared again, so a node of close copies costs one pass over it.
     """
     least = int(LEAST_AGREEMENT * _VALUES)
-    out, free, queue = [], np.arange(1, len(keys)), [0]
-    while len(free) or queue:
-        if not queue:
-            queue, free = [int(free[0])], free[1:]
-        at = queue.pop()
-        if not len(free):
+    order = np.argsort(labels, kind="stable")
+    bounds = np.searchsorted(labels[order], labels[order], "left"), np.searchsorted(labels[order], labels[order], "right")
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    free, out, roots = np.ones(len(keys), bool), [], []
+    for root in range(len(keys)):
+        if not free[root]:
             continue
-        near = (short[free] == short[at]).sum(1) >= least
-        taken = free[near].tolist()
-        out += [(keys[at], keys[i]) for i in taken]
-        queue += taken
-        free = free[~near]
-    return out
-
+        roots.append(keys[root])
+        queue = order[bounds[0][place[root]] : bounds[1][place[root]]].tolist()
+        free[queue] = False
+        while queue:
+            at = queue.pop()
+            others = np.flatnonzero(free)
+            if not len(others):
+                break
+            for k in others[(short[others] == short[at]).sum(1) >= least].tolist():
+                if free[k]:
+                    out.append((keys[at], keys[k]))
+                    taken = order[bounds[0][place[k]] : bounds[1][place[k]]]
+                    free[taken] = False
+                    queue += taken.tolist()
+    return out, roots
+
+
+_NODE_LINKS = "a binary, b binary, bucket long"
+
+
+def _node_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) within each part of a trie node; rows come sorted by node and part.
+
+    Of a node that was dealt into parts, each part also names its groups' first members, as (member, null, node).
+    """
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each bucket; rows come sorted by bucket."""
+    def flush() -> list[tuple]:
+        if not keys:
+            return []
+        links, roots = _links(keys, np.array(labels, np.int64), np.frombuffer(b"".join(shorts), np.uint8).reshape(len(keys), _VALUES))
+        return [(a, b, None) for a, b in links] + ([(r, None, node[0]) for r in roots] if parts > 1 else [])
 
-    def flush() -> list[tuple[bytes, bytes]]:
-        return _links(keys, np.frombuffer(b"".join(shorts), np.uint8).reshape(len(keys), _VALUES)) if len(keys) > 1 else []
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "bucket"])
 
-    bucket, keys, shorts, out = None, [], [], []
+    node, parts, keys, labels, shorts, out = None, 1, [], [], [], []
     for batch in batches:
-        for b, k, s in zip(*(batch.column(c).to_pylist() for c in ("bucket", "set_key", "short"))):
-            if b != bucket:
+        for b, part, n, k, x, s in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "parts", "set_key", "label", "short"))):
+            if (b, part) != node:
                 out += flush()
-                bucket, keys, shorts = b, [], []
+                node, parts, keys, labels, shorts = (b, part), n, [], [], []
             keys.append(k)
+            labels.append(x)
             shorts.append(s)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            yield table(out)
             out = []
     out = flush()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        yield table(out)
 
 
-def _prefixes(depth: int):
+def _entries(depth: int):
+    """One row for each set and tree: the trie node of ``depth`` values (hash of tree and prefix) and the values below it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(n, TREES, TREE_DEPTH)
-            bucket = np.tile(np.arange(TREES, dtype=np.uint64), (n, 1))
+            node = np.tile(np.arange(TREES, dtype=np.uint64), (n, 1))
             for k in range(depth):
-                bucket = mix64(bucket + values[:, :, k].astype(np.uint64))
+                node = mix64(node + values[:, :, k].astype(np.uint64))
+            tail = np.ascontiguousarray(values[:, :, depth:]).reshape(n * TREES, -1)
             keys = batch.column("set_key").take(pa.array(np.repeat(np.arange(n), TREES)))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), keys], names=["bucket", "set_key"])
+            tails = pa.array([t.tobytes() for t in tail], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), tails, keys], names=["node", "tail", "set_key"])
 
     return run
 
@@ -160,24 +187,56 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(short, pa.binary())], names=["set_key", "short"])
 
 
-def candidate_links(sets: DataFrame, threshold: float = THRESHOLD[0] / THRESHOLD[1]) -> DataFrame:
-    """Links (a, b) of set keys that share a prefix in some tree and whose signatures agree.
+def forest(sets: DataFrame, depth: int) -> DataFrame:
+    """(node, tail, set_key): the tries cut at ``depth``, without the nodes that hold one set only.
 
-    Every tree is one band, hashed at the fixed depth of ``prefix_depth``; sets with a prefix of their own drop out before
-    anything wide is moved. A bucket yields a spanning forest, never its pairs.
+    A set appears once for each tree; below its node hang the remaining values of its signature in that tree.
     """
-    depth = prefix_depth(threshold)
-    entries = sets.select("set_key", "signature").mapInArrow(_prefixes(depth), "bucket long, set_key binary")
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("set_key").alias("least")).where("n > 1").select("bucket")
-    together = entries.join(shared, "bucket")
-    short = sets.select("set_key", "signature").mapInArrow(_short, "set_key binary, short binary")
-    return (
-        together.join(short, "set_key")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "set_key")
-        .mapInArrow(_bucket_links, "a binary, b binary")
-        .distinct()
-    )
+    entries = sets.select("set_key", "signature").mapInArrow(_entries(depth), "node long, tail binary, set_key binary")
+    shared = shared_table(entries.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "nodes")
+    return shared_table(entries.join(shared, "node"), "forest")
+
+
+def node_links(tries: DataFrame, shorts: DataFrame, labels: DataFrame | None, below: int) -> DataFrame:
+    """New links (a, b) from the trie nodes ``below`` values under the forest's cut that do not lie within one label yet.
+
+    Nodes are judged by a count and the least and greatest label (combined before the shuffle); a node
+    whose members are connected already, or that has one member, costs nothing more. A crowded node is
+    dealt into parts of some PART_MEMBERS by hash; the parts' groups are then joined to one another
+    without a look at their signatures, which may widen a cluster but loses nothing.
+    """
+    held = tries if labels is None else tries.join(labels, "set_key", "left")
+    label = F.col("set_key") if labels is None else F.coalesce("label", "set_key")
+    entries = held.select(F.xxhash64("node", F.substring("tail", 1, 4 * below)).alias("bucket"), "set_key", F.xxhash64(label).alias("label"))
+    nodes = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    nodes = nodes.select("bucket", F.ceil(F.col("n") / PART_MEMBERS).cast("int").alias("parts"))
+    together = entries.join(nodes, "bucket").withColumn("part", F.expr("cast(pmod(xxhash64(set_key, bucket), parts) as int)"))
+    found = together.join(shorts, "set_key").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "set_key").mapInArrow(_node_links, _NODE_LINKS)
+    found = shared_table(found, "found")
+    roots = found.where("b is null")
+    stars = roots.select("a", "bucket").join(roots.groupBy("bucket").agg(F.min("a").alias("b")), "bucket").select("a", "b")
+    return found.where("b is not null").select("a", "b").union(stars).where("a <> b").distinct()
+
+
+def forest_clusters(sets: DataFrame, threshold: float = THRESHOLD[0] / THRESHOLD[1]) -> DataFrame | None:
+    """(set_key, label): clusters of the sets that the MinHash forest connects; None if it connects none.
+
+    Prefixes are matched at full depth first. Then they are shortened, level by level, down to the depth
+    of the target recall, but only in trie nodes that still hold sets of different clusters.
+    """
+    depths = prefix_depths(threshold)
+    tries = forest(sets, depths[-1])
+    members = tries.select("set_key").distinct()
+    shorts = shared_table(sets.select("set_key", "signature").join(members, "set_key").mapInArrow(_short, "set_key binary, short binary"), "shorts")
+    labels = None
+    for depth in depths:
+        links = shared_table(node_links(tries, shorts, labels, depth - depths[-1]), "links")
+        if links.isEmpty():
+            continue
+        if labels is not None:
+            links = links.union(labels.where("set_key <> label"))
+        labels = components(links).select(F.col("vertex").alias("set_key"), F.col("component").alias("label"))
+    return labels
 
 
 def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,78 +272,159 @@ def shared_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarr
     return np.rint(total).astype(np.int64)
 
 
-def _verify(key: tuple, table: pa.Table) -> pa.Table:
-    """Exact links between two blocks of a cluster (or within one): counts for each set, and a spanning forest."""
-    keys, copies = table.column("set_key").to_pylist(), np.array(table.column("copies").to_pylist(), np.int64)
-    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-    block = np.array(table.column("block").to_pylist())
-    i, j = key[1].as_py(), key[2].as_py()
-    rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    inter = shared_shingles([sets[k] for k in rows], [sets[k] for k in cols])
+def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of two lists of sets reach the threshold."""
+    inter = shared_shingles(left, right)
     top, bottom = THRESHOLD
-    linked = bottom * inter >= top * (sizes[rows][:, None] + sizes[cols][None, :] - inter)
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
+    return bottom * inter >= top * (sizes[0][:, None] + sizes[1][None, :] - inter)
+
+
+def _groups(pairs: np.ndarray, names: list[bytes]) -> list[bytes]:
+    """The least name in the connected group of each vertex, given the matrix of pairs."""
+    root = np.full(len(names), -1)
+    for seed in sorted(range(len(names)), key=names.__getitem__):
+        if root[seed] >= 0:
+            continue
+        root[seed], queue = seed, [seed]
+        while queue:
+            near = np.flatnonzero(pairs[queue.pop()] & (root < 0))
+            root[near] = seed
+            queue += near.tolist()
+    return [names[r] for r in root.tolist()]
+
+
+def _sets(table: pa.Table) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    return table.column("set_key").to_pylist(), [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()], np.array(table.column("copies").to_pylist(), np.int64)
+
+
+_COUNTS = "set_key binary, label binary, n_texts long, n_docs long"
+
+
+def _within(table: pa.Table) -> pa.Table:
+    """Exact links within one block: each set's counts, and the least key of the group it belongs to there."""
+    keys, sets, copies = _sets(table)
+    pairs = linked(sets, sets)
+    np.fill_diagonal(pairs, False)
+    labels = _groups(pairs, keys)
+    return pa.table({"set_key": pa.array(keys, pa.binary()), "label": pa.array(labels, pa.binary()), "n_texts": pa.array(pairs.sum(1).astype(np.int64)), "n_docs": pa.array((pairs @ copies).astype(np.int64))})
+
+
+def _between(table: pa.Table) -> pa.Table:
+    """Exact links between two blocks: counts for each set that has some, and links (set_key, label) of the blocks' groups.
+
+    At most one link is returned for each group that another takes in, so blocks whose groups are one already return few.
+    """
+    keys, sets, copies = _sets(table)
+    labels, first = table.column("label").to_pylist(), np.array(table.column("first").to_pylist())
+    rows, cols = np.flatnonzero(first), np.flatnonzero(~first)
+    if not len(rows) or not len(cols):
+        return pa.table({"set_key": pa.array([], pa.binary()), "label": pa.array([], pa.binary()), "n_texts": pa.array([], pa.int64()), "n_docs": pa.array([], pa.int64())})
+    pairs = linked([sets[k] for k in rows], [sets[k] for k in cols])
     texts, docs = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    if i == j:
-        np.fill_diagonal(linked, False)
-    texts[rows] += linked.sum(1)
-    docs[rows] += linked @ copies[cols]
-    if i != j:
-        texts[cols] += linked.sum(0)
-        docs[cols] += linked.T @ copies[rows]
-    root = list(range(len(keys)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    other: list[tuple[int, int]] = []
-    if linked.any():
-        free = np.ones(len(keys), bool)
-        full = np.zeros((len(keys), len(keys)), bool)
-        full[np.ix_(rows, cols)] = linked
-        full |= full.T
-        for seed in np.flatnonzero(full.any(1)).tolist():
-            if not free[seed]:
-                continue
-            free[seed], queue = False, [seed]
-            while queue:
-                at = queue.pop()
-                taken = np.flatnonzero(full[at] & free).tolist()
-                free[taken] = False
-                other += [(at, k) for k in taken]
-                queue += taken
+    texts[rows], texts[cols] = pairs.sum(1), pairs.sum(0)
+    docs[rows], docs[cols] = pairs @ copies[cols], pairs.T @ copies[rows]
+    names = sorted(set(labels))
+    number = {x: k for k, x in enumerate(names)}
+    group = np.array([number[x] for x in labels])
+    touch = np.zeros((len(names), len(names)), bool)
+    i, j = np.nonzero(pairs)
+    touch[group[rows[i]], group[cols[j]]] = True
+    touch |= touch.T
+    joined = [(x, y) for x, y in zip(names, _groups(touch, names)) if x != y]
     counted = np.flatnonzero(texts).tolist()
     return pa.table(
         {
-            "set_key": pa.array([keys[k] for k in counted] + [keys[a] for a, _ in other], pa.binary()),
-            "other": pa.array([None] * len(counted) + [keys[b] for _, b in other], pa.binary()),
-            "n_texts": pa.array(texts[counted].tolist() + [0] * len(other), pa.int64()),
-            "n_docs": pa.array(docs[counted].tolist() + [0] * len(other), pa.int64()),
+            "set_key": pa.array([keys[k] for k in counted] + [x for x, _ in joined], pa.binary()),
+            "label": pa.array([None] * len(counted) + [y for _, y in joined], pa.binary()),
+            "n_texts": pa.array(texts[counted].tolist() + [0] * len(joined), pa.int64()),
+            "n_docs": pa.array(docs[counted].tolist() + [0] * len(joined), pa.int64()),
         }
     )
 
 
-def exact_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Exact comparison of all sets within each candidate cluster, by pairs of blocks.
+def _centre(table: pa.Table) -> pa.Table:
+    """The shingles that at least half of a cluster's sampled sets hold."""
+    every, n = np.unique(np.concatenate(_sets(table)[1]), return_counts=True)
+    return pa.table({"component": table.column("component").slice(0, 1), "centre": pa.array([every[2 * n >= table.num_rows].tobytes()], pa.binary())})
 
-    ``clusters`` gives a set's cluster; it is dealt into blocks by number and by size of its sets, and each
-    pair of blocks is a task's group of its own, so none holds more than two blocks.
-    Returns rows (set_key, other, n_texts, n_docs): partial counts, and edges where ``other`` is set.
-    """
-    within = clusters.withColumnRenamed("vertex", "set_key").join(sets.select("set_key", "rep_id", "rep_text", "copies", "n_shingles"), "set_key")
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``core``: whether a set is within half the allowed distance of its cluster's centre."""
+    top, bottom = THRESHOLD
+    for batch in batches:
+        flags = []
+        for s, c in zip(batch.column("shingles").to_pylist(), batch.column("centre").to_pylist()):
+            own, centre = np.frombuffer(s, np.uint64), np.frombuffer(c, np.uint64)
+            both = len(np.intersect1d(own, centre, assume_unique=True))
+            flags.append(2 * bottom * both >= (bottom + top) * (len(own) + len(centre) - both))
+        names = [n for n in batch.schema.names if n != "centre"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(flags, pa.bool_())], names=[*names, "core"])
+
+
+def _dealt(members: DataFrame, *zone: str) -> DataFrame:
+    """``members`` with ``block`` and ``blocks``: each zone dealt by hash into blocks of bounded mean number and size."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCUMENTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = within.groupBy("component").agg(blocks.alias("blocks"))
-    members = within.join(sizes, "component").withColumn("block", F.expr("cast(pmod(xxhash64(set_key), blocks) as int)"))
+    sizes = members.groupBy(*zone).agg(blocks.alias("blocks"))
+    return members.join(sizes, list(zone)).withColumn("block", F.expr("cast(pmod(xxhash64(set_key), blocks) as int)"))
+
+
+def member_sets(docs: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(set_key, component, copies, n_shingles, block, blocks, shingles) of all sets in clusters, from one text each."""
+    within = clusters.withColumnRenamed("label", "component").join(sets.select("set_key", "rep_id", "rep_text", "copies", "n_shingles"), "set_key")
+    members = shared_table(_dealt(within, "component"), "within")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(whole_text().cast("binary")).alias("text_key"), whole_text().alias("text"))
     found = members.join(texts, (members["rep_text"] == texts["text_key"]) & members["rep_id"].eqNullSafe(texts["doc_id"]))
-    found = found.select("set_key", "component", "blocks", "block", "copies", "text").dropDuplicates(["set_key"])
-    with_sets = found.mapInArrow(_member_sets, "set_key binary, component binary, blocks int, block int, copies long, shingles binary")
-    paired = with_sets.withColumn("other_block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    paired = paired.withColumn("i", F.least("block", "other_block")).withColumn("j", F.greatest("block", "other_block"))
-    return paired.groupBy("component", "i", "j").applyInArrow(_verify, "set_key binary, other binary, n_texts long, n_docs long")
+    found = found.select("set_key", "component", "copies", "n_shingles", "block", "blocks", "text").dropDuplicates(["set_key"])
+    return shared_table(found.mapInArrow(_member_sets, "set_key binary, component binary, copies long, n_shingles long, block int, blocks int, shingles binary"), "members")
+
+
+def exact_links(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Partial counts (set_key, n_texts, n_docs) and links (a, b) that connect linked sets, from exact comparison.
+
+    A cluster of one block is compared in one task. In a larger one, sets within half the allowed
+    distance of the cluster's centre (the shingles that most of CENTRE_SETS sets hold) form its core:
+    Jaccard distance is a metric, so all pairs of core sets are linked and are counted without being
+    compared. The other sets are compared block by block among themselves, which also
+    names each block's groups, and then with the other blocks and those of the core. Between two blocks
+    only links of different groups are returned.
+    """
+    core_name = lambda c: F.concat(F.lit(b"core"), c)
+    one = members.where("blocks = 1").select("component", "set_key", "copies", "shingles", "block")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        done = shared_table(one.groupBy("component", "block").applyInArrow(_within, _COUNTS), "within")
+        return done.select("set_key", "n_texts", "n_docs"), done.where("set_key <> label").select(F.col("set_key").alias("a"), F.col("label").alias("b"))
+    first = large.withColumn("at", F.row_number().over(Window.partitionBy("component").orderBy("set_key"))).where(F.col("at") <= CENTRE_SETS)
+    centres = first.select("component", "set_key", "copies", "shingles").groupBy("component").applyInArrow(_centre, "component binary, centre binary")
+    # a centre goes to each block of its cluster, so that the cluster does not meet at one key
+    per_block = large.select("component", "block").distinct().join(centres, "component")
+    schema = "component binary, set_key binary, copies long, n_shingles long, shingles binary, core boolean"
+    cored = shared_table(large.drop("blocks").join(per_block, ["component", "block"]).select("component", "set_key", "copies", "n_shingles", "shingles", "centre").mapInArrow(_cores, schema), "cores")
+    zoned = _dealt(cored, "component", "core")
+    outer, inner = zoned.where("not core"), zoned.where("core")
+    within = shared_table(one.unionByName(outer.select("component", "set_key", "copies", "shingles", "block")).groupBy("component", "block").applyInArrow(_within, _COUNTS), "within")
+    counts, links = within.select("set_key", "n_texts", "n_docs"), within.where("set_key <> label").select(F.col("set_key").alias("a"), F.col("label").alias("b"))
+    # all pairs of the core
+    sums = cored.where("core").groupBy("component").agg(F.count("*").alias("sets"), F.sum("copies").alias("docs"))
+    counts = counts.union(cored.where("core").join(sums, "component").select("set_key", (F.col("sets") - 1).alias("n_texts"), (F.col("docs") - F.col("copies")).alias("n_docs")))
+    links = links.union(cored.where("core").select(F.col("set_key").alias("a"), core_name(F.col("component")).alias("b")))
+    # blocks of other sets meet each other and the core's
+    zones = zoned.groupBy("component").agg(F.coalesce(F.max(F.when(~F.col("core"), F.col("blocks"))), F.lit(0)).alias("outer_blocks"), F.coalesce(F.max(F.when(F.col("core"), F.col("blocks"))), F.lit(0)).alias("core_blocks"))
+    pair = lambda i, j, first: F.struct(i.alias("i"), j.alias("j"), first.alias("first"))
+    yes, no = F.lit(True), F.lit(False)
+    own, n_outer, n_core = F.col("block"), F.col("outer_blocks"), F.col("core_blocks")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    mates = F.filter(upto(n_outer), lambda k: k != own)
+    of_outer = F.concat(F.transform(mates, lambda k: pair(F.least(own, k), F.greatest(own, k), own < k)), F.transform(upto(n_core), lambda k: pair(own, -1 - k, yes)))
+    of_core = F.transform(upto(n_outer), lambda k: pair(k, -1 - own, no))
+    labels = within.select("set_key", "label")
+    columns = ("component", "set_key", "copies", "shingles", "label")
+    left = outer.join(labels, "set_key").join(zones, "component").select(*columns, F.inline(of_outer))
+    right = inner.withColumn("label", core_name(F.col("component"))).join(zones, "component").select(*columns, F.inline(of_core))
+    across = shared_table(left.unionByName(right).groupBy("component", "i", "j").applyInArrow(_between, _COUNTS), "between")
+    counts = counts.union(across.where("label is null").select("set_key", "n_texts", "n_docs"))
+    return counts, links.union(across.where("label is not null").select("set_key", "label"))
 
 
 def similarity_join(docs: DataFrame) -> DataFrame:
@@ -307,10 +447,13 @@ def similarity_join(docs: DataFrame) -> DataFrame:
         ).select("set_key", "copy_id", "copies", "signature", "n_shingles", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text")),
         "sets",
     )
-    clusters = components(candidate_links(sets))
-    checked = shared_table(exact_links(docs, sets, clusters), "links")
-    classes = components(checked.where("other is not null").select(F.col("set_key").alias("a"), F.col("other").alias("b")))
-    counts = checked.where("other is null").groupBy("set_key").agg(F.sum("n_texts").alias("n_text_links"), F.sum("n_docs").alias("other_docs"))
+    clusters = forest_clusters(sets)
+    if clusters is None:
+        classes, counts = sets.select(F.col("set_key").alias("vertex"), F.col("set_key").alias("component")), sets.select("set_key", F.lit(0).alias("n_texts"), F.lit(0).alias("n_docs"))
+    else:
+        counts, links = exact_links(member_sets(docs, sets, clusters))
+        classes = components(links)
+    counts = counts.groupBy("set_key").agg(F.sum("n_texts").alias("n_text_links"), F.sum("n_docs").alias("other_docs"))
     placed = sets.select("set_key", "copy_id", "copies").join(classes.withColumnRenamed("vertex", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = placed.groupBy("component").agg(F.min("copy_id").alias("class_id"))
     by_set = placed.join(least, "component").join(counts, "set_key", "left").select(
