@@ -194,7 +194,8 @@ def forest(sets: DataFrame, depth: int) -> DataFrame:
     """
     entries = sets.select("set_key", "signature").mapInArrow(_entries(depth), "node long, tail binary, set_key binary")
     shared = shared_table(entries.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "nodes")
-    return shared_table(entries.join(shared, "node"), "forest")
+    # a merge join at every size, as the nodes grow with the table
+    return shared_table(entries.join(shared.hint("merge"), "node"), "forest")
 
 
 def node_links(tries: DataFrame, shorts: DataFrame, labels: DataFrame | None, below: int) -> DataFrame:
@@ -374,7 +375,8 @@ def member_sets(docs: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFr
     within = clusters.withColumnRenamed("label", "component").join(sets.select("set_key", "rep_id", "rep_text", "copies", "n_shingles"), "set_key")
     members = shared_table(_dealt(within, "component"), "within")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(whole_text().cast("binary")).alias("text_key"), whole_text().alias("text"))
-    found = members.join(texts, (members["rep_text"] == texts["text_key"]) & members["rep_id"].eqNullSafe(texts["doc_id"]))
+    # a merge join at every size, as the texts of a large table will not meet a broadcast side
+    found = members.hint("merge").join(texts, (members["rep_text"] == texts["text_key"]) & members["rep_id"].eqNullSafe(texts["doc_id"]))
     found = found.select("set_key", "component", "copies", "n_shingles", "block", "blocks", "text").dropDuplicates(["set_key"])
     return shared_table(found.mapInArrow(_member_sets, "set_key binary, component binary, copies long, n_shingles long, block int, blocks int, shingles binary"), "members")
 

@@ -42,3 +42,24 @@ def test_stages(spark, sf):
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+
+
+def test_stages_on_odd_rows_and_none(spark, sf):
+    """Null ids, texts and sources, repeated rows, clashing names, and an empty table."""
+    words = lambda k: " ".join(f"w{k}_{i}" for i in range(30))
+    rows = [(1, words(1), None), (1, words(1), None), (2, words(1), "a"), (None, words(2), "b"), (None, None, None), (3, None, "a"), (4, "", "a"), (5, words(3) + " token=abcdef123", None), (6, "few words", "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'clash' _ledger", "'clash' _mix", "'clash' _key", "'clash' quota_source")
+    docs, kept = table, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = shared_table(stage(spark, docs, sf), name)
+        kept.append(docs.collect())
+        if name != "pack_sequences":
+            assert docs.columns == table.columns and all(r["_ledger"] == r["_mix"] == r["_key"] == r["quota_source"] == "clash" for r in kept[-1])
+    assert sorted(str(r["doc_id"]) for r in kept[0]) == ["1", "1", "2", "5", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept[1]) == ["1", "5", "None"]
+    assert [r["text"] for r in kept[2] if r["doc_id"] == 5] == [words(3) + " [secret]"]
+    assert {r["doc_id"] for r in kept[3]} <= {1, 5, None} and sum(r["length"] for r in kept[4]) > 0
+    docs = table.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = shared_table(stage(spark, docs, sf), name)
+        assert docs.count() == 0
