@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import geometry as G
 from folioscope.plans import views as V
+from folioscope.storage import shared_table
 
 
 def _all(spark, d):
@@ -13,6 +14,12 @@ def _all(spark, d):
     return generated, approved, G.matches(generated, approved)
 
 
+def _stored(spark, d):
+    """The same with the pairs written once, for operators that use them several times."""
+    generated, approved, pairs = _all(spark, d)
+    return generated, approved, shared_table(pairs, "matches")
+
+
 def iou_matches(spark, d):
     return _all(spark, d)[2].select("review_id", "stratum", "page_scope", "gen_id", "app_id", F.bround("iou", 6).alias("iou"))
 
@@ -22,11 +29,11 @@ def best_match(spark, d):
 
 
 def geometry_delta(spark, d):
-    return G.geometry_delta(*_all(spark, d)).drop("earned", "credited")
+    return G.geometry_delta(*_stored(spark, d)).drop("earned", "credited")
 
 
 def segmentation_accuracy(spark, d):
-    return G.segmentation_accuracy(G.geometry_delta(*_all(spark, d)))
+    return G.segmentation_accuracy(G.geometry_delta(*_stored(spark, d)))
 
 
 def resize_bias(spark, d):
@@ -46,15 +53,15 @@ def reading_order(spark, d):
 
 
 def panel_size_recall(spark, d):
-    return G.panel_size_recall(*_all(spark, d))
+    return G.panel_size_recall(*_stored(spark, d))
 
 
 def page_diagnostics(spark, d):
-    return G.page_diagnostics(*_all(spark, d)).withColumn("page_scope", F.col("page_scope").cast("long"))
+    return G.page_diagnostics(*_stored(spark, d)).withColumn("page_scope", F.col("page_scope").cast("long"))
 
 
 def box_corrections(spark, d):
-    return G.correction_ledger(*_all(spark, d))
+    return G.correction_ledger(*_stored(spark, d))
 
 
 QUERIES = [iou_matches, best_match, geometry_delta, segmentation_accuracy, resize_diag, resize_bias, page_overlap, reading_order, panel_size_recall, page_diagnostics, box_corrections]

@@ -19,7 +19,7 @@ from folioscope.plans import views as V
 from folioscope.sources import adapters as A
 from folioscope.sources import ingest as I
 from folioscope.sources.schemas import APPROVED_ENTRY, PANEL
-from folioscope.storage import shared_folder
+from folioscope.storage import shared_folder, shared_table
 
 text = lambda c: F.col(c).cast("string")
 
@@ -217,7 +217,7 @@ def index_details(spark, d):
 
 def _reviews(spark, d):
     """Reviews with the figures of both deltas, their evidence and what was certified."""
-    delta = G.geometry_delta(*geometry_plans._all(spark, d))
+    delta = shared_table(G.geometry_delta(*geometry_plans._stored(spark, d)), "delta")
     c = F.col
     total = delta.where("stratum = 'total'").select("review_id", *["precision", "recall", "split_rate", "merge_rate"], c("approved").alias("geo_approved"), c("generated").alias("geo_generated"), c("corrections").alias("geo_corrections"), F.bround(c("false_rate") * c("generated"), 0).cast("long").alias("geo_false"))
     part = lambda s, name: delta.where(c("stratum") == s).select("review_id", F.bround(c("missing_rate") * c("approved"), 0).cast("long").alias(name))
