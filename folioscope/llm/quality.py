@@ -148,6 +148,15 @@ def verdict(failed: Column, policy: str = CURRENT) -> Column:
     return failed.bitwiseAND(F.lit(rule_mask(POLICIES[policy]))) == 0
 
 
+def sole_rule(failed: Column, policy: str = CURRENT) -> Column:
+    """The one rule for which alone a policy rejects a document: without it the document would stay. Null if there is none."""
+    only = failed.bitwiseAND(F.lit(rule_mask(POLICIES[policy])))
+    out = F.lit(None).cast("string")
+    for k, rule in enumerate(RULES):
+        out = F.when(only == 1 << k, rule).otherwise(out)
+    return out
+
+
 def ablations(failed: DataFrame, column: str = "failed", policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
     """For each policy version and rule: rows the rule fails, and rows only it rejects under that policy.
 
@@ -165,14 +174,14 @@ def ablations(failed: DataFrame, column: str = "failed", policies: Mapping[str,
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements, base verdict and the current policy's verdict of every document."""
+    """Measurements, base verdict, the current policy's verdict of every document, and the rule that alone rejects it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     judged = annotate(docs).select("doc_id", "ledger.*")
     base_failed = ~verdict(F.col("failed"), "base")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), (~base_failed & verdict(F.col("failed"))).alias("kept"),
-        "n_lines", "n_bangs", "n_stutters", F.col("failed").alias("failed_bits"),
+        "n_lines", "n_bangs", "n_stutters", F.col("failed").alias("failed_bits"), sole_rule(F.col("failed")).alias("sole_rule"),
     )
 
 
@@ -199,6 +208,7 @@ m as (select d.doc_id, coalesce(n_words, 0) n_words, cast(coalesce(word_chars, 0
       from d left join wm using (rid) left join rw using (rid) left join l using (rid)),
 b as (select *, cast(%s as bigint) failed_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       failed_bits & 3 <> 0 base_failed, failed_bits & %d = 0 kept, n_lines, n_bangs, n_stutters, failed_bits
+       failed_bits & 3 <> 0 base_failed, failed_bits & %d = 0 kept, n_lines, n_bangs, n_stutters, failed_bits,
+       case failed_bits & %d %s end sole_rule
 from b
-""" % (" + ".join(f"(case when {rule} then {1 << k} else 0 end)" for k, rule in enumerate(RULES.values())), rule_mask(POLICIES[CURRENT]))
+""" % (" + ".join(f"(case when {rule} then {1 << k} else 0 end)" for k, rule in enumerate(RULES.values())), rule_mask(POLICIES[CURRENT]), rule_mask(POLICIES[CURRENT]), " ".join(f"when {1 << k} then '{rule}'" for k, rule in enumerate(RULES)))
