@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_fold, mix64, slices, span_hashes, utf8, whole_text
+from folioscope.llm.common import id_fold, mix64, shared_table, slices, span_hashes, utf8, whole_text
 
 #: At most so many labelled documents are learned from; those of least hash.
 SAMPLE_DOCUMENTS = 8000
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...] =
 
     What reaches the driver are the features of at most SAMPLE_DOCUMENTS texts, as numbers.
     """
-    sample = training_sample(docs, labels)
+    sample = shared_table(training_sample(docs, labels), "sample")
     n, bad = sample.agg(F.count("*"), F.sum("toxic")).first()
     bad = int(bad or 0)
     none = np.zeros(0, np.uint64)
