@@ -16,6 +16,9 @@ _NAMES = {
     "op8_secret_scan": "secrets",
     "op9_toxicity": "toxicity",
     "op10_html_text": "html_text",
+    "op11_token_counts": "token_counts",
+    "op12_merkle_manifest": "merkle",
+    "op13_centroid_clusters": "clustering",
 }
 
 
@@ -29,6 +32,8 @@ _ORACLES = {
     "op5_quality_rules": ("quality", "ORACLE_SQL"),
     "op6_near_duplicates": ("near_dup", "ORACLE_SQL"),
     "op8_secret_scan": ("secrets", "ORACLE_SQL"),
+    "op12_merkle_manifest": ("merkle", "ORACLE_SQL"),
+    "op13_centroid_clusters": ("clustering", "ORACLE_SQL"),
 }
 
 
