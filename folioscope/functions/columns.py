@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once for each row however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def rate(n: Column, d: Column, empty: float | None = 0.0) -> Column:
     """n / d to six decimals, half to even; ``empty`` where d is 0 (deltas: 0.0, benchmarks: null)."""
     return F.when(d != 0, F.bround(n.cast("double") / d, 6)).otherwise(F.lit(empty).cast("double"))
@@ -65,9 +70,9 @@ def page_of(page_range: Column, artifact_id: Column) -> Column:
 
 
 def page_scope(artifact_id: Column, carried: Column) -> Column:
-    """A carried page number, else leading digits of the id's head, else its last number between underscores, else the head."""
+    """A carried page number, else the id's head if it is a number, else its last number between underscores, else the head."""
     head = F.split_part(artifact_id, F.lit("::"), F.lit(1))
-    leading = F.regexp_extract(head, r"^(\d+)", 1)
+    leading = F.regexp_extract(head, r"^(\d+)$", 1)
     inner = F.element_at(F.filter(F.split(head, "_"), lambda p: p.rlike(r"^\d+$")), -1)
     inner = F.when(F.exists(F.split(head, "_"), lambda p: p.rlike(r"^\d+$")), inner)
     return F.coalesce(carried.cast("string"), F.when(leading != "", leading), inner, head)
@@ -95,10 +100,30 @@ def resize_diag(gx: Column, gy: Column, gw: Column, gh: Column, ax: Column, ay:
     }
 
 
+def _shared(a: Column, b: Column, start: Callable[[Column, Column], Column]) -> Column:
+    """Length of the longest start that two texts share, by halving steps; ``start`` takes so many characters of a text."""
+    most = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    longer = lambda n, k: F.when((n + k <= most) & (start(a, n + k) == start(b, n + k)), n + k).otherwise(n)
+    return F.aggregate(F.filter(steps, lambda k: k <= most), F.lit(0), longer)
+
+
+def _changed(a: Column, b: Column) -> Column:
+    """The middles of two texts without what both begin and end with."""
+    ends = let(_shared(a, b, F.left), lambda n: F.struct(F.substr(a, n + 1).alias("a"), F.substr(b, n + 1).alias("b")))
+    cut = lambda t, n: F.left(t, F.length(t) - n)
+    return let(ends, lambda e: let(_shared(e["a"], e["b"], F.right), lambda n: F.struct(cut(e["a"], n).alias("a"), cut(e["b"], n).alias("b"))))
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance over the longer length; 0 for two empty strings."""
+    """Levenshtein distance over the longer length; 0 for two empty strings.
+
+    What both texts begin and end with never changes the distance and is cut off first, so the quadratic work is that of
+    the changed part; equal texts cost nothing.
+    """
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer > 0, F.levenshtein(a, b).cast("double") / longer).otherwise(0.0)
+    far = let(_changed(a, b), lambda m: F.levenshtein(m["a"], m["b"]))
+    return F.when(a == b, 0.0).when(longer > 0, far.cast("double") / longer).otherwise(0.0)
 
 
 def token_set(text: Column) -> Column:
@@ -124,17 +149,6 @@ GROUNDING_EDITS = ("grounding_added", "grounding_removed", "revision_changed", "
 GROUNDING_CLASSES = ("accepted_unchanged", *GROUNDING_EDITS, "abstention", "unsupported_version")
 
 
-def classify_revision(generated: Column, approved: Column, distance: Column, same: Column | None = None) -> Column:
-    """Class of an edit between two rendered values (null is empty); ``same`` is structural equality."""
-    none_left = F.coalesce(generated, F.lit("")) == ""
-    none_right = F.coalesce(approved, F.lit("")) == ""
-    out = F.when(none_left & none_right, "abstention").when(none_left, "added").when(none_right, "removed")
-    out = out.when(generated == approved if same is None else same, "accepted_unchanged")
-    for most, name in REVISION_LIMITS:
-        out = out.when(distance <= most, name)
-    return out.otherwise("complete_replacement")
-
-
 def revision_weight(category: Column) -> Column:
     """Weight of a class; null for abstentions and unsupported schemas."""
     return lookup(category, REVISION_WEIGHTS)
@@ -186,17 +200,3 @@ def review_id(revision_id: Column) -> Column:
 def is_empty_value(value: Column) -> Column:
     """Whether a VARIANT is absent, JSON null, an empty string, list or object."""
     return F.coalesce(F.to_json(value).isin("null", '""', "[]", "{}"), F.lit(True))
-
-
-def canonical_text(value: Column) -> Column:
-    """Rendering of a flat VARIANT: a string as it is, a list line by line, an object as sorted name=value lines, else its JSON."""
-    kind = F.schema_of_variant(value)
-    listed = F.try_variant_get(value, "$", "array<string>")
-    mapped = F.try_variant_get(value, "$", "map<string,string>")
-    lines = F.transform(F.array_sort(F.map_entries(mapped)), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return (
-        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(kind.startswith("ARRAY") & listed.isNotNull(), F.array_join(listed, "\n"))
-        .when(kind.startswith("OBJECT") & mapped.isNotNull(), F.array_join(lines, "\n"))
-        .otherwise(F.to_json(value))
-    )

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.columns import EDITS, REVISION_WEIGHTS, REWRITES, classify_revision, edit_distance, rate, revision_weight, set_distance, token_set
+from folioscope.functions.columns import EDITS, REVISION_LIMITS, REVISION_WEIGHTS, REWRITES, edit_distance, is_empty_value, let, rate, revision_weight, set_distance, token_set
+from folioscope.functions.variants import canonical, measures
 
-CATEGORIES = ("abstention", *REVISION_WEIGHTS)
+CATEGORIES = ("abstention", "unsupported_schema", *REVISION_WEIGHTS)
+#: Classes of pairs that are not compared.
+UNCOMPARED = ("abstention", "unsupported_schema")
 ACCURACY_TARGET = 0.75
 
 
@@ -16,13 +19,45 @@ def counts_toward_acceptance(origin: Column, has_origin: Column, disposition: Co
     return F.when(has_origin, origin.isin("generated", "regenerated") & origin.isNotNull()).otherwise(disposition.isNull() | (disposition == "fresh"))
 
 
+def _judged(distance: Column, empty_left: Column, empty_right: Column, same: Column, skewed: Column) -> Column:
+    """(category, distance) of a pair of values; nothing is compared across schema versions."""
+    edited = F.lit("complete_replacement")
+    for most, name in reversed(REVISION_LIMITS):
+        edited = F.when(distance <= most, name).otherwise(edited)
+    category = F.when(skewed, "unsupported_schema").when(empty_left & empty_right, "abstention").when(empty_left, "added").when(empty_right, "removed").when(same, "accepted_unchanged").otherwise(edited)
+    moved = F.when(skewed | (empty_left & empty_right), F.lit(None).cast("double")).when(empty_left | empty_right, 1.0).when(same, 0.0).otherwise(distance)
+    return F.struct(category.alias("category"), moved.alias("distance"))
+
+
+def _skewed(pairs: DataFrame) -> Column:
+    return F.coalesce(F.col("status") == "schema_mismatch", F.lit(False)) if "status" in pairs.columns else F.lit(False)
+
+
 def classify(pairs: DataFrame) -> DataFrame:
-    """Adds category, distance (null for abstentions) and weight to rows with ``generated`` and ``approved`` texts."""
-    d = edit_distance(F.col("generated"), F.col("approved"))
-    category = classify_revision(F.col("generated"), F.col("approved"), d)
-    out = pairs.withColumn("category", category)
-    distance = F.when(F.col("category").isin("added", "removed"), 1.0).when(F.col("category") != "abstention", d)
-    return out.withColumn("distance", distance).withColumn("weight", revision_weight(F.col("category")))
+    """Adds category, distance and weight to rows with ``generated`` and ``approved`` texts (null is empty).
+
+    Distance and weight are null where nothing is compared: both sides empty, or a ``status`` of ``schema_mismatch``. The edit distance
+    is taken once for each row that needs one.
+    """
+    g, a, skewed = F.coalesce("generated", F.lit("")), F.coalesce("approved", F.lit("")), _skewed(pairs)
+    needed = ~skewed & (g != "") & (a != "") & (g != a)
+    judged = let(F.struct(g.alias("g"), a.alias("a"), F.when(needed, edit_distance(g, a)).alias("d"), skewed.alias("s")), lambda t: _judged(t["d"], t["g"] == "", t["a"] == "", t["g"] == t["a"], t["s"]))
+    out = pairs.withColumn("_judged", judged)
+    return out.select(*pairs.columns, "_judged.category", "_judged.distance").withColumn("weight", revision_weight(F.col("category")))
+
+
+def classify_values(pairs: DataFrame) -> DataFrame:
+    """The same for VARIANT values ``generated_value`` and ``approved_value`` of any shape, with their texts and all ``measures``.
+
+    A pair is accepted only if the values are the same in structure: two that render alike but differ are an edit. Emptiness is
+    that of the value (null, an empty text, list or object), not of its text. Measures are null where nothing is compared.
+    """
+    g, a, skewed = F.col("generated_value"), F.col("approved_value"), _skewed(pairs)
+    left, right = is_empty_value(g), is_empty_value(a)
+    out = pairs.withColumns({"generated": canonical(g), "approved": canonical(a), "measures": F.when(~skewed & ~(left & right), measures(g, a))})
+    judged = _judged(F.col("measures.distance"), left, right, F.coalesce(F.col("measures.same"), F.lit(False)), skewed)
+    out = out.withColumn("_judged", judged)
+    return out.select(*[c for c in out.columns if c != "_judged"], "_judged.category", "_judged.distance").withColumn("weight", revision_weight(F.col("category")))
 
 
 def pair_fields(generated: DataFrame, approved: DataFrame) -> DataFrame:
@@ -69,7 +104,7 @@ def revision_benchmark(classed: DataFrame) -> DataFrame:
     """
     counts = [F.count_if(F.col("category") == k).alias(k) for k in CATEGORIES]
     out = classed.groupingSets([["review_id", "field"], ["review_id"]], "review_id", "field").agg(
-        F.count_if(F.col("category") != "abstention").alias("comparable"), F.countDistinct("artifact_id").alias("artifacts"), *counts,
+        F.count_if(~F.col("category").isin(*UNCOMPARED)).alias("comparable"), F.countDistinct("artifact_id").alias("artifacts"), *counts,
         F.bround(F.sum("weight"), 6).alias("weight_sum"), F.bround(F.sum("distance"), 6).alias("distance_sum"), F.bround(F.median("distance"), 6).alias("distance_median"),
     )
     corrections = sum((F.col(k) for k in EDITS), F.lit(0))
@@ -94,7 +129,7 @@ def metadata_accuracy(classed: DataFrame) -> DataFrame:
     """
     c, own = F.col("category"), ~F.col("has_origin")
     out = classed.groupBy("review_id").agg(
-        F.count_if(F.col("fresh") & (c == "accepted_unchanged")).alias("accepted"), F.count_if(F.col("fresh") & (c != "abstention")).alias("comparable"),
+        F.count_if(F.col("fresh") & (c == "accepted_unchanged")).alias("accepted"), F.count_if(F.col("fresh") & ~c.isin(*UNCOMPARED)).alias("comparable"),
         F.count_if(own).alias("generation_path"), F.count_if(own & F.col("disposition").isNotNull()).alias("flagged"),
     )
     coverage = F.when(F.col("flagged") == 0, "none").when(F.col("flagged") == F.col("generation_path"), "all").otherwise("partial")
@@ -114,7 +149,7 @@ def editorial_burden(classed: DataFrame) -> DataFrame:
     words = set_distance(token_set(F.col("generated")), token_set(F.col("approved")))
     if "generated_elements" in classed.columns:
         words = F.when(F.col("generated_elements").isNotNull() & F.col("approved_elements").isNotNull(), set_distance(F.col("generated_elements"), F.col("approved_elements"))).otherwise(words)
-    fresh = classed.where(F.col("fresh") & (F.col("category") != "abstention"))
+    fresh = classed.where(F.col("fresh") & ~F.col("category").isin(*UNCOMPARED))
     fields = fresh.groupBy("field").agg(
         F.count("*").alias("comparable"), F.count_if(F.col("category") == "accepted_unchanged").alias("accepted"), F.count_if(edited).alias("edited"),
         F.coalesce(F.bround(F.avg(F.when(edited, F.bround(words, 6))), 6), F.lit(0.0)).alias("effort"),
@@ -131,7 +166,7 @@ def edit_class_totals(classed: DataFrame) -> DataFrame:
 def weak_fields(classed: DataFrame) -> DataFrame:
     """Per field: acceptance and edit rates over comparable rows, the most edited first."""
     c = F.col("category")
-    out = classed.where("category <> 'abstention'").groupBy("field").agg(F.count("*").alias("comparable"), F.count_if(c == "accepted_unchanged").alias("accepted"), F.count_if(c.isin(*EDITS)).alias("edited"))
+    out = classed.where(~c.isin(*UNCOMPARED)).groupBy("field").agg(F.count("*").alias("comparable"), F.count_if(c == "accepted_unchanged").alias("accepted"), F.count_if(c.isin(*EDITS)).alias("edited"))
     out = out.withColumn("acceptance_rate", rate(F.col("accepted"), F.col("comparable"))).withColumn("edit_rate", rate(F.col("edited"), F.col("comparable")))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("edit_rate"), "field")))
 

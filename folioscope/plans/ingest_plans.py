@@ -18,7 +18,6 @@ from folioscope.plans import benchmark_plans, geometry_plans, revision_plans
 from folioscope.plans import views as V
 from folioscope.sources import adapters as A
 from folioscope.sources import ingest as I
-from folioscope.sources.schemas import APPROVED_ENTRY, PANEL
 from folioscope.storage import shared_folder, shared_table
 
 text = lambda c: F.col(c).cast("string")
@@ -88,94 +87,8 @@ def evidence(spark, d):
     return I.evidence_manifest(rows.select("issue_prefix"), objects)
 
 
-def contract_violations(spark, d):
-    """Parts as documents: a name is required, a size is a number, the kind is one of a few."""
-    doc = F.struct(F.when(F.col("p_size") % 9 != 0, F.col("p_name")).alias("name"), F.when(F.col("p_size") % 5 == 0, F.to_json(F.struct(text("p_size").alias("s")))).alias("extra"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind"), F.col("p_size").alias("size"))
-    docs = V.table(spark, d, "part").select(F.col("p_partkey").alias("doc_key"), F.parse_json(F.to_json(doc)).alias("doc"))
-    rules = [{"path": "$.name", "type": "STRING", "required": True}, {"path": "$.extra", "type": "BIGINT"}, {"path": "$.kind", "enum": KINDS}]
-    return I.conformance(docs, rules)
 
 
-KINDS = ("STANDARD", "SMALL", "MEDIUM")
-
-
-def version_gate(spark, d):
-    """Orders as reviews; versions by priority, kinds by status."""
-    version = F.when(F.col("o_orderpriority").startswith("1"), "1.0").when(F.col("o_orderpriority").startswith("2"), "1.1").when(F.col("o_orderpriority").startswith("3"), "9.9").otherwise("2.0")
-    side = lambda k: F.when(F.col("o_custkey") % k == 0, "0.1").otherwise("2.0")
-    reviews = V.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("review_id"), version.alias("review_version"), F.when(F.col("o_orderstatus") == "P", "manual").otherwise("snapshot").alias("generated_kind"), (F.col("o_totalprice") > 150000).alias("has_generated"), side(3).alias("generated_metadata_version"), side(6).alias("approved_metadata_version")
-    )
-    good, bad = A.gate_versions(reviews)
-    return good.select("review_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(bad.select("review_id", "reject_reason"))
-
-
-def _line_ids():
-    """Panel ids of three shapes by line number."""
-    n = F.col("l_linenumber") % 3
-    return F.when(n == 0, F.concat(F.lit("12_x::p"), text("l_linenumber"))).when(n == 1, F.concat(F.lit("page_7_panel_"), text("l_linenumber"))).otherwise(F.concat(F.lit("cover::"), text("l_linenumber")))
-
-
-def adapted_generated_geometry(spark, d):
-    """Orders as reviews, their lines as generated panels; a box without its left edge starts at 0."""
-    lines = V.table(spark, d, "lineitem").where("l_orderkey is not null")
-    q = F.col("l_quantity")
-    panel = F.struct(
-        _line_ids().alias("panel_key"), F.struct(F.when(q % 2 == 0, q / 100).alias("x"), (q / 50).alias("y"), F.lit(0.25).alias("width"), F.lit(0.5).alias("height")).alias("bounds"),
-        F.when(F.col("l_returnflag") == "R", "spread").otherwise("page").alias("coordinate_space"), F.when(q % 4 == 0, q.cast("int")).alias("page"), F.col("l_linenumber").alias("reading_order"),
-    )
-    docs = lines.groupBy(F.col("l_orderkey").alias("review_id")).agg(F.to_json(F.collect_list(panel)).alias("doc"))
-    return A.generated_geometry(docs.select("review_id", F.from_json("doc", f"array<{PANEL}>").alias("panels")))
-
-
-def adapted_approved_geometry(spark, d):
-    """The same lines as a map of approved panels with an order of their own; a structural key is no panel."""
-    lines = V.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
-    q = F.col("l_quantity")
-    box = lambda x: F.struct(x.alias("x"), (q / 50).alias("y"), F.lit(0.25).alias("width"), F.lit(0.5).alias("height"))
-    spread = F.col("l_returnflag") == "R"
-    entry = F.struct(box(q / 100).alias("geometry"), F.when(q % 2 == 0, box(q / 200)).alias("stage_geometry"), spread.alias("is_spread"), ((F.col("l_linestatus") == "F") & (q % 10 == 1)).alias("deleted"), F.when(q % 4 == 0, q.cast("int")).alias("page"))
-    by_line = F.array_sort(F.collect_list(F.struct("l_linenumber", _line_ids().alias("id"), F.to_json(entry).alias("e"))))
-    docs = lines.groupBy(F.col("l_orderkey").alias("review_id")).agg(by_line.alias("l"))
-    extra = F.create_map(F.lit("version"), F.lit("{}"))
-    entries = F.map_concat(F.map_from_entries(F.transform("l", lambda x: F.struct(x["id"], x["e"]))), extra)
-    reviews = docs.select("review_id", F.transform_values(entries, lambda k, v: F.from_json(v, APPROVED_ENTRY)).alias("entries"), F.transform(F.filter("l", lambda x: x["l_linenumber"] != 3), lambda x: x["id"]).alias("panel_order"))
-    return A.approved_geometry(reviews)
-
-
-LEAVES = (("narrative.summary", "$.narrative.summary"), ("classification.tags", "$.classification.tags"), ("entities.objects", "$.entities.objects"), ("colors", "$.colors"))
-
-
-def adapted_metadata(spark, d):
-    """Parts as enriched outputs: a summary, tags, an object of properties, colours; how each renders, whether it is empty or editorial, its provenance."""
-    odd = F.col("p_size") % 4 == 0
-    doc = F.struct(
-        F.struct(F.when(F.col("p_size") % 6 == 0, "").otherwise(F.col("p_name")).alias("summary")).alias("narrative"), F.struct(F.when(odd, F.array().cast("array<string>")).otherwise(F.split("p_type", " ")).alias("tags")).alias("classification"),
-        F.struct(F.struct(F.col("p_brand").alias("brand"), text("p_size").alias("size")).alias("objects")).alias("entities"), F.lit("red").alias("colors"),
-    )
-    origin = F.when(F.col("p_partkey") % 3 == 0, '{"origin": "regenerated"}').when(F.col("p_partkey") % 3 == 1, '{"origin": null}').otherwise("{}")
-    outputs = V.table(spark, d, "part").select(
-        (F.col("p_partkey") % 50).alias("review_id"), F.col("p_partkey").alias("artifact_id"), F.lit("2").alias("schema_version"), F.parse_json(F.to_json(doc)).alias("output"), F.parse_json(origin).alias("provenance"),
-        F.when(odd, F.create_map(F.lit("classification.tags"), F.lit("human"))).otherwise(F.create_map(F.lit("x"), F.lit("llm"))).alias("field_sources"), F.lit("fresh").alias("generation_disposition"),
-    )
-    long = A.metadata_long(outputs, LEAVES)
-    return long.select("artifact_id", "field", C.canonical_text(F.col("value")).alias("value"), C.is_empty_value(F.col("value")).alias("empty"), "editorial", "origin", "has_origin", F.when(F.col("field") == "narrative.summary", C.value_sha256(F.col("value"))).alias("summary_sha256"))
-
-
-def adapted_grounding(spark, d):
-    """Lines as context of an output: returned ones are another kind; two files each, written in order."""
-    entry = F.struct(
-        F.when(F.col("l_returnflag") == "R", "style_guide").otherwise("supporting_material").alias("kind"), F.when(F.col("l_quantity") % 5 != 0, F.concat(F.lit("m"), (F.col("l_partkey") % 50).cast("string"))).alias("id"),
-        F.array(F.struct(F.lit("z").alias("file_id"), text("l_linenumber").alias("revision")), F.struct(F.lit("b").alias("file_id"), F.lit("1").alias("revision"))).alias("files"),
-    )
-    outputs = V.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 200).alias("review_id"), F.col("l_orderkey").alias("artifact_id")).agg(F.collect_list(entry).alias("context_source")).withColumn("side", F.lit("generated"))
-    return A.grounding(outputs)
-
-
-def generator_models(spark, d):
-    """Reviews of a customer's orders: the model (the clerk's priority) of the fresh ones."""
-    outputs = V.table(spark, d, "orders").select(F.col("o_custkey").alias("review_id"), F.col("o_orderpriority").alias("model"), (F.col("o_orderstatus") == "P").alias("fresh"))
-    return A.generator_identity(outputs, "model")
 
 
 def certified_states(spark, d):
@@ -269,14 +182,12 @@ def materialized_projections(spark, d):
 
 
 QUERIES = [
-    discovered_issues, identity_conflicts, resolved_pointers, snapshot_files, contract_records, evidence, contract_violations, version_gate, adapted_generated_geometry, adapted_approved_geometry, adapted_metadata,
-    adapted_grounding, generator_models, certified_states, review_identifiers, methodology_fingerprints, written_differences, index_details, review_findings, delta_summary, state_comparison, report_rows, materialized_projections,
+    discovered_issues, identity_conflicts, resolved_pointers, snapshot_files, contract_records, evidence,
+    certified_states, review_identifiers, methodology_fingerprints, written_differences, index_details, review_findings, delta_summary, state_comparison, report_rows, materialized_projections,
 ]
 
 _PLACES = "customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
 _PREFIX = "'publishers/' || r_name || '/title_groups/' || n_name || '/series/' || c_mktsegment || '/issues/' || c_custkey"
-_LINE_ID = "case l_linenumber % 3 when 0 then '12_x::p' || l_linenumber when 1 then 'page_7_panel_' || l_linenumber else 'cover::' || l_linenumber end"
-_SCOPE = "case when q % 4 = 0 then cast(cast(q as integer) as varchar) else case l_linenumber % 3 when 0 then '12' when 1 then l_linenumber::varchar else 'cover' end end"
 _FILES = ", ".join(f"'{f}'" for f in I.REQUIRED_FILES)
 _REVIEWS = f"""gd as ({geometry_plans.ORACLES['geometry_delta']}), md as ({revision_plans.ORACLES['metadata_delta']}),
 base as (select t.review_id, t."precision", t.recall, t.split_rate, t.merge_rate, t.approved, t.corrections, cast(round_even(t.false_rate * t.generated, 0) as bigint) f, coalesce(cast(round_even(p.missing_rate * p.approved, 0) as bigint), 0) m, coalesce(cast(round_even(s.missing_rate * s.approved, 0) as bigint), 0) sm,
@@ -308,21 +219,6 @@ union all select issue_prefix, path, null, 'missing_file' from f where (k = 2 an
     "evidence": f"""with s as (select s_suppkey::varchar issue_prefix, s_nationkey n, s_acctbal < 0 owing, s_name, unnest([{', '.join(f"'{r}'" for r in I.ROLES)}]) "role", unnest([0, 1, 2, 3]) k from supplier),
 e as (select issue_prefix, "role", k, case when (n + k) % 5 <> 0 then 'read' when not owing then 'missing' when n % 2 = 0 then 'denied' else 'error' end status, case when (n + k) % 5 <> 0 then s_name || '/' || "role" end c from s)
 select issue_prefix, "role", status, cast(strlen(c) as bigint) size, sha256(c) sha256, count(*) filter (where status = 'read') over w loaded, count(*) over w expected, count(*) filter (where status = 'read' and k < 2) over w = 2 audit_ready from e window w as (partition by issue_prefix)""",
-    "contract_violations": f"""select p_partkey doc_key, '$.name' path, 'missing' violation from part where p_size % 9 = 0 union all select p_partkey, '$.extra', 'type:STRING' from part where p_size % 5 = 0
-union all select p_partkey, '$.kind', 'enum' from part where split_part(p_type, ' ', 1) not in ({', '.join(f"'{k}'" for k in KINDS)})""",
-    "version_gate": """select o_orderkey review_id, case when o_orderpriority like '3%' then 'review_version' when o_orderstatus = 'P' and o_totalprice > 150000 then 'manual_with_generated' when o_custkey % 6 = 0 then 'metadata_version' end reject_reason from orders""",
-    "adapted_generated_geometry": f"""with l as (select *, l_quantity q from lineitem) select l_orderkey review_id, {_LINE_ID} artifact_id, case when q % 2 = 0 then q / 100 else 0.0 end x, q / 50 y, cast(0.25 as double) w, cast(0.5 as double) h, {_SCOPE} page_scope, l_linenumber ord, l_returnflag = 'R' is_spread from l""",
-    "adapted_approved_geometry": f"""with l as (select l_orderkey, l_linenumber, max(l_quantity) q, max(l_returnflag) rf, max(l_linestatus) ls from lineitem group by 1, 2)
-select l_orderkey review_id, {_LINE_ID} artifact_id, case when rf = 'R' and q % 2 = 0 then q / 200 else q / 100 end x, q / 50 y, cast(0.25 as double) w, cast(0.5 as double) h, {_SCOPE} page_scope,
- case when l_linenumber <> 3 then cast(row_number() over (partition by l_orderkey, l_linenumber <> 3 order by l_linenumber) - 1 as integer) end ord, rf = 'R' is_spread, ls = 'F' and q % 10 = 1 deleted from l""",
-    "adapted_metadata": """with p as (select *, case when p_size % 6 = 0 then '' else p_name end s from part), o as (select p_partkey artifact_id, case when p_partkey % 3 = 0 then 'regenerated' end origin, p_partkey % 3 <> 2 has_origin, p_size, p_type, p_brand, s from p)
-select artifact_id, 'narrative.summary' field, s "value", s = '' "empty", true editorial, origin, has_origin, sha256('"' || s || '"') summary_sha256 from o
-union all select artifact_id, 'classification.tags', case when p_size % 4 = 0 then '' else replace(p_type, ' ', chr(10)) end, p_size % 4 = 0, p_size % 4 <> 0, origin, has_origin, null from o
-union all select artifact_id, 'entities.objects', 'brand=' || p_brand || chr(10) || 'size=' || p_size, false, true, origin, has_origin, null from o
-union all select artifact_id, 'colors', 'red', false, false, origin, has_origin, null from o""",
-    "adapted_grounding": "select l_orderkey % 200 review_id, 'generated' side, l_orderkey artifact_id, 'm' || (l_partkey % 50) material_id, 'b@1,z@' || l_linenumber revision from lineitem where l_returnflag <> 'R' and l_quantity % 5 <> 0",
-    "generator_models": """with r as (select o_custkey review_id, list_sort(list_distinct(list(o_orderpriority) filter (where o_orderstatus = 'P'))) s from orders group by 1)
-select review_id, case when len(s) = 1 then s[1] when len(s) > 1 then 'mixed:' || substr(sha256(array_to_string(s, '|')), 1, 12) end model, coalesce(len(s), 0) > 1 heterogeneous from r""",
     "certified_states": "select o_orderkey review_id, case o_orderstatus when 'F' then 'platform_' || o_orderpriority when 'O' then 'creator_approved' else 'draft' end certified_state from orders",
     "review_identifiers": "select o_orderkey, 'rev_' || substr(sha256(o_orderkey::varchar), 1, 12) review_id, cast(case when o_orderstatus = 'F' then 24 else o_custkey end as integer) page from orders",
     "methodology_fingerprints": "select 'fp_' || substr(sha256('algorithm_version=' || o_orderpriority || '|evaluation_version=1|report_version=' || o_orderstatus), 1, 12) fingerprint, count(*) runs from orders group by 1",

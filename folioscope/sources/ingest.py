@@ -1,4 +1,4 @@
-"""Reading published revisions: discovery, pointers, snapshots, contract lists, evidence, conformance.
+"""Reading published revisions: discovery, pointers, snapshots, contract lists, evidence.
 
 Nothing here raises on a bad record. Functions that can reject return the accepted rows and the rejected
 ones with a reason, so that one record cannot stop a job over all issues.
@@ -6,9 +6,9 @@ ones with a reason, so that one record cannot stop a job over all issues.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.sources.schemas import POINTER, SNAPSHOT
@@ -18,7 +18,9 @@ POINTER_NAME = "/approved/published.json"
 CHAIN = ("publishers", "title_groups", "series", "issues")
 IDS = ("publisher_id", "title_group_id", "series_id", "issue_id")
 REQUIRED_FILES = ("approved_dataset.json", "approved_llm_outputs.json", "retrieval_evidence_packets.json")
-ROLES = ("published_pointer", "snapshot", "review", "approval")
+# The objects that make up the evidence for a review.
+ROLES = ("approved_pointer", "processing_snapshot", "review_report", "platform_approval")
+EVIDENCE_VERSION = "v1"
 
 
 def files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
@@ -105,25 +107,3 @@ def evidence_manifest(issues: DataFrame, objects: DataFrame, roles: Sequence[str
         F.count_if(F.col("status") == "read").alias("loaded"), F.count("*").alias("expected"), (F.count_if((F.col("status") == "read") & F.col("role").isin(*needed)) == len(needed)).alias("audit_ready")
     )
     return each.join(totals, "issue_prefix")
-
-
-def conformance(docs: DataFrame, rules: Sequence[Mapping], key: str = "doc_key", content: str = "doc") -> DataFrame:
-    """Violations (key, path, violation) of rules over VARIANT documents.
-
-    A rule is {"path": "$.a", "type": "STRING", "required": True, "enum": [...]}; types are those that
-    ``schema_of_variant`` prints (ARRAY and OBJECT by their beginning).
-    """
-
-    def check(rule: Mapping) -> Column:
-        value = F.try_variant_get(F.col(content), rule["path"], "variant")
-        absent = value.isNull()
-        kind = F.schema_of_variant(value)
-        out = F.when(absent, F.lit("missing") if rule.get("required") else F.lit(None).cast("string"))
-        if rule.get("type"):
-            out = out.when(~kind.startswith(rule["type"]), F.concat(F.lit("type:"), kind))
-        if rule.get("enum"):
-            out = out.when(~F.coalesce(F.try_variant_get(value, "$", "string").isin(*rule["enum"]), F.lit(False)), "enum")
-        return F.struct(F.lit(rule["path"]).alias("path"), out.alias("violation"))
-
-    found = F.filter(F.array(*[check(r) for r in rules]), lambda v: v["violation"].isNotNull())
-    return docs.select(key, F.inline(found))

@@ -2,6 +2,3 @@
 
 POINTER = "revision_id string, revision_key string"
 SNAPSHOT = "artifacts array<struct<path:string,content_b64:string,sha256:string,size:bigint>>"
-BOX = "struct<x:double,y:double,width:double,height:double>"
-PANEL = f"struct<panel_key:string,bounds:{BOX},coordinate_space:string,page:int,reading_order:int>"
-APPROVED_ENTRY = f"struct<geometry:{BOX},stage_geometry:{BOX},is_spread:boolean,deleted:boolean,page:int>"

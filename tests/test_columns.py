@@ -1,7 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import columns as C
+from folioscope.functions import variants as X
 from folioscope.operators import revisions as R
 
 
@@ -46,7 +49,22 @@ def test_revision_classes(spark, generated, approved, category, distance):
 
 
 def test_equal_text_of_other_structure_is_an_edit(spark):
-    assert one(spark, C.classify_revision(F.lit("a"), F.lit("a"), F.lit(0.0), F.lit(False))) == "minor_wording_edit"
+    rows = [('{"a":"x\\nb=y"}', '{"a":"x","b":"y"}'), ('["a","b"]', '["a","b"]'), ('{"a":1,"b":2}', '{"b":2,"a":1}'), ("[]", "null"), ('[""]', "[]"), ('""', '"a"'), (None, None)]
+    df = spark.createDataFrame(rows, "g string, a string").select(F.try_parse_json("g").alias("generated_value"), F.try_parse_json("a").alias("approved_value"))
+    got = [(r["category"], r["distance"]) for r in R.classify_values(df).collect()]
+    assert got == [("minor_wording_edit", 0.0), ("accepted_unchanged", 0.0), ("accepted_unchanged", 0.0), ("abstention", None), ("removed", 1.0), ("added", 1.0), ("abstention", None)]
+
+
+def test_other_schema_versions_are_not_compared(spark):
+    row = R.classify(spark.createDataFrame([("a", "b", "schema_mismatch")], "generated string, approved string, status string")).first()
+    assert (row["category"], row["distance"], row["weight"]) == ("unsupported_schema", None, None)
+
+
+@pytest.mark.parametrize("a, b", [("kitten", "sitting"), ("", "abc"), ("same", "same"), ("prefix middle suffix", "prefix mitte suffix"), ("aaa", "aaaa"), ("abab", "baba"), ("é😀x", "é😀y"), ("x" * 5000 + "a" + "y" * 5000, "x" * 5000 + "bc" + "y" * 5000)])
+def test_edit_distance_of_the_changed_part(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    got, plain = df.select(C.edit_distance(F.col("a"), F.col("b")), F.levenshtein("a", "b")).first()
+    assert got == plain / max(len(a), len(b))
 
 
 @pytest.mark.parametrize("origin, has, disposition, fresh", [(None, False, None, True), (None, False, "preserved", False), ("generated", True, "preserved", True), ("carried_forward", True, "fresh", False), (None, True, "fresh", False)])
@@ -55,11 +73,28 @@ def test_freshness(spark, origin, has, disposition, fresh):
     assert df.select(R.counts_toward_acceptance(F.col("o"), F.col("h"), F.col("d")).alias("x")).first()["x"] is fresh
 
 
+def plain_canon(v):
+    if v is None:
+        return ""
+    if isinstance(v, str):
+        return v
+    if isinstance(v, list):
+        return "\n".join(map(plain_canon, v))
+    if isinstance(v, dict):
+        return "\n".join(f"{k}={plain_canon(v[k])}" for k in sorted(v))
+    return json.dumps(v)
+
+
+NESTED = ['["a","b"]', '{"b":"2","a":"1"}', '"s"', "null", '{"b":1,"a":null,"c":[1,{"z":"2","y":["q","r"]},[]],"d":{}}', '["a",["b",["c",[[["d"]]]]]]', '"q\\"[{"', '[[],{},""]', "true", "12", '{"k":"\\\\","j":["{"]}', '{"é":{"Z":{"a":[false]}}}']
+
+
 def test_canonical_text(spark):
-    df = spark.createDataFrame([('["a","b"]',), ('{"b":"2","a":"1"}',), ('"s"',), ("null",)], "j string").select(F.parse_json("j").alias("v"))
-    got = [r["x"] for r in df.select(C.canonical_text(F.col("v")).alias("x")).collect()]
-    assert got[:3] == ["a\nb", "a=1\nb=2", "s"]
-    assert [r["x"] for r in df.select(C.is_empty_value(F.col("v")).alias("x")).collect()] == [False, False, False, True]
+    df = spark.createDataFrame([(j,) for j in NESTED], "j string").select("j", F.parse_json("j").alias("v"))
+    rows = df.select("j", X.canonical(F.col("v")).alias("x"), C.is_empty_value(F.col("v")).alias("empty"), X.kind(F.col("v")).alias("kind")).collect()
+    names = {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer", type(None): "null"}
+    for r in rows:
+        v = json.loads(r["j"])
+        assert r["x"] == plain_canon(v) and r["empty"] == (v in (None, "", [], {})) and r["kind"] == names[type(v)]
 
 
 def test_axes_key_ignores_the_order_of_axes(spark):

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from folioscope.sources import adapters as A
+from folioscope.sources import contracts as K
 from folioscope.sources import ingest as I
 
 PREFIX = "publishers/p/title_groups/t/series/s/issues/i{}"
@@ -51,15 +52,46 @@ def test_contract_list_bare_and_wrapped(spark):
 
 def test_manifest(spark):
     issues = spark.createDataFrame([("i",)], "issue_prefix string")
-    objects = spark.createDataFrame([("i", "published_pointer", b"x", None), ("i", "snapshot", b"yy", None), ("i", "review", None, "denied")], "issue_prefix string, role string, content binary, error string")
+    objects = spark.createDataFrame([("i", "approved_pointer", b"x", None), ("i", "processing_snapshot", b"yy", None), ("i", "review_report", None, "denied")], "issue_prefix string, role string, content binary, error string")
     rows = {r["role"]: r for r in I.evidence_manifest(issues, objects).collect()}
-    assert (rows["review"]["status"], rows["approval"]["status"], rows["snapshot"]["size"], rows["review"]["loaded"], rows["review"]["audit_ready"]) == ("denied", "missing", 2, 2, True)
-
-
-def test_conformance(spark):
-    docs = spark.createDataFrame([(1, '{"a":"x"}'), (2, '{"a":5}'), (3, "{}")], "doc_key int, j string").select("doc_key", F.parse_json("j").alias("doc"))
-    rows = {r["doc_key"]: r["violation"] for r in I.conformance(docs, [{"path": "$.a", "type": "STRING", "required": True, "enum": ["x"]}]).collect()}
-    assert rows == {2: "type:BIGINT", 3: "missing"}
+    assert (rows["review_report"]["status"], rows["platform_approval"]["status"], rows["processing_snapshot"]["size"], rows["review_report"]["loaded"], rows["review_report"]["audit_ready"]) == ("denied", "missing", 2, 2, True)
+
+
+def plain_violations(doc, schema, path="$"):
+    kinds = {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer", float: "number", type(None): "null"}
+    kind, wanted = kinds[type(doc)], schema.get("type")
+    names = [wanted] if isinstance(wanted, str) else wanted
+    if names and kind not in names and not (kind == "integer" and "number" in names):
+        return [(path, f"type:{kind}")]
+    out = [(path, "enum:" + json.dumps(doc, separators=(",", ":")))] if "enum" in schema and not any(doc == e and type(doc) is type(e) for e in schema["enum"]) else []
+    out += [(path, k) for k in ("oneOf", "anyOf") if k in schema and all(plain_violations(doc, s) for s in schema[k])]
+    if kind == "object":
+        out += [(path, f"missing:{n}") for n in schema.get("required", ()) if n not in doc]
+        for n, s in schema.get("properties", {}).items():
+            out += plain_violations(doc[n], s, f"{path}.{n}") if n in doc else []
+    if kind == "array" and "items" in schema:
+        for i, x in enumerate(doc):
+            out += plain_violations(x, schema["items"], f"{path}[{i}]")
+    return out
+
+
+LEAF = {"oneOf": [{"type": "integer"}, {"type": "array", "items": {"type": ["string", "null"]}}]}
+CONTRACT = {
+    "type": "object", "required": ["n", "a"],
+    "properties": {"n": {"type": ["string", "null"]}, "a": {"type": "array", "items": {"type": "object", "required": ["b"], "properties": {"b": LEAF, "e": {"enum": ["x", 1, None]}, "f": {"type": "number"}, "d": {"items": {"items": LEAF}}}}}},
+}
+DOCS = [
+    '{"n":null,"a":[{"b":1},{"b":["q",null]},{"b":"no"},{"e":"y","b":[2]},5,{"b":3,"e":null,"f":2},{"b":4,"e":1,"f":2.5}]}', '{"n":1}', "[1]", '{"n":"x","a":[{"b":true,"f":true}]}', '{"n":"x","a":[]}', "null", '"s"',
+    '{"n":"x","a":[{"b":1,"d":[[1,["z"],"bad"],"skipped",[[4]]]}],"more":{"deep":[1]}}',
+]
+
+
+def test_conformance_of_nested_documents(spark):
+    df = spark.createDataFrame([(k, j) for k, j in enumerate([*DOCS, "no json"])], "doc_key int, j string").select("doc_key", F.try_parse_json("j").alias("doc"))
+    got = sorted(tuple(r) for r in K.conformance(df, CONTRACT).collect())
+    want = [(k, p, v) for k, j in enumerate(DOCS) for p, v in plain_violations(json.loads(j), CONTRACT)] + [(len(DOCS), "$", "no_json")]
+    assert got == sorted(want)
+    assert K.conformance(df.limit(0), CONTRACT).count() == 0
 
 
 def test_identity_conflicts(spark):
@@ -67,31 +99,85 @@ def test_identity_conflicts(spark):
     assert [r["b"] for r in I.identity_conflicts(df, "a", "b").collect()] == ["publishers/q"]
 
 
-def test_approved_geometry(spark):
-    box = "struct<x:double,y:double,width:double,height:double>"
-    schema = f"review_id int, entries map<string,struct<geometry:{box},stage_geometry:{box},is_spread:boolean,deleted:boolean,page:int>>, panel_order array<string>"
-    g, s = (0.1, 0.2, 0.3, 0.4), (0.0, 0.0, 1.0, 1.0)
-    df = spark.createDataFrame([(1, {"page_1_panel_2": (g, None, None, None, None), "sp": (g, s, True, True, 7), "version": (None, None, None, None, None)}, ["sp", "page_1_panel_2"])], schema)
-    rows = {r["artifact_id"]: r for r in A.approved_geometry(df).collect()}
-    assert set(rows) == {"page_1_panel_2", "sp"} and rows["sp"]["w"] == 1.0 and rows["sp"]["deleted"] and rows["sp"]["ord"] == 0 and rows["sp"]["page_scope"] == "7"
-
-
-def test_metadata_long_and_generators(spark):
-    df = spark.createDataFrame([(1, "a", "2", {"title": "human"}, None, '{"origin":null}', '{"t":{"title":"x"},"colors":["r"]}')], "review_id int, artifact_id string, schema_version string, field_sources map<string,string>, generation_disposition string, p string, o string")
-    df = df.withColumn("provenance", F.parse_json("p")).withColumn("output", F.parse_json("o"))
-    rows = {r["field"]: r for r in A.metadata_long(df, [("title", "$.t.title"), ("colors", "$.colors"), ("mood", "$.mood")]).collect()}
-    assert not rows["title"]["editorial"] and not rows["colors"]["editorial"] and rows["mood"]["editorial"] and rows["mood"]["has_origin"] and rows["mood"]["origin"] is None
-    outs = spark.createDataFrame([(1, "m1", True), (1, "m1", True), (2, "m1", True), (2, "m2", True), (3, "m1", False)], "review_id int, model string, fresh boolean")
-    got = {r["review_id"]: (r["model"], r["heterogeneous"]) for r in A.generator_identity(outs, "model").collect()}
-    assert got[1] == ("m1", False) and got[2][0].startswith("mixed:") and got[3] == (None, False)
-
-
-def test_gates_and_states(spark):
-    df = spark.createDataFrame([(1, "1.0", "auto", True, "1.0", "2.0"), (2, "9", "auto", True, "1.0", "1.0"), (3, "1.0", "manual", True, "1.0", "1.0"), (4, "1.0", "auto", True, "7", "7")],
-                               "review_id int, review_version string, generated_kind string, has_generated boolean, generated_metadata_version string, approved_metadata_version string")
-    ok, refused = A.gate_versions(df)
-    assert [r["review_id"] for r in ok.collect()] == [1]
-    assert {r["review_id"]: r["reject_reason"] for r in refused.collect()} == {2: "review_version", 3: "manual_with_generated", 4: "metadata_version"}
+def record(**changes):
+    base = {
+        "review_report_version": "v1", "review_id": "r", "provenance": {"published_revision_id": "rev_1", "generated_vs_approved": {"state": "generated_publication", "generated_snapshot_revision_id": "g1"}},
+        "generated_geometry": {"total_pages": 3, "panels": [
+            {"panel_key": "x_1_12::p1", "bounds": {"x": 0.9, "y": 0.2, "width": 0.3, "height": 0.4}, "order": 4}, {"panel_key": "x_1_12::p1", "bounds": {"x": 0.1, "y": 0.2, "width": 0.3, "height": 0.4}, "order": 0},
+            {"panel_key": "spread_1::p1", "bounds": [0, 0, 1, 1], "coordinate_space": "spread", "page_range": "1-2"}]},
+        "approved_geometry": {
+            "panel_order": {"12": ["x_1_12::p1"]}, "spread_artifacts": [], "spread_order": {"1-2": []}, "x_1_12::p1": {"x": 0.1, "y": 0.2, "width": 0.3, "height": 0.4, "deleted": True},
+            "spread_1::p1": {"isSpreadPanel": True, "stage_geometry": {"x": 0, "y": 0, "width": 1, "height": 1}, "page_range": "1-2"}},
+        "generated_metadata": {"llm_enrichment_output_version": "v2", "llm_enrichment_outputs": [{
+            "artifact_id": "a", "output": {"narrative": {"summary": "s"}, "classification": {"colors": ["r"], "tags": {"mood": "m"}}}, "field_sources": {"output.narrative.summary": "human", "output.classification.colors": "llm"}, "origin": None,
+            "metadata_generation_provenance": "fresh", "generation_provenance": {"model": "m1", "prompt_version": ""}, "publisher_notes": "n",
+            "context_source": [{"kind": "supporting_material", "material_id": "m", "files": [{"file_id": "z", "revision": 1}, {"file_id": "a", "revision": "2"}]}, {"kind": "registry_entity", "material_id": "q"}, {"kind": "supporting_material"}]}]},
+        "approved_metadata": {"llm_enrichment_output_version": "v1.1", "llm_enrichment_outputs": [{"artifact_id": "a", "output": {"classification": {"tags": ["x"]}}}]},
+    }
+    return base | changes
+
+
+def adapted(spark, records):
+    """Records by key: the report, or the report with an approval and a snapshot."""
+    rows = [(k, *(json.dumps(x) if x is not None else None for x in (r if isinstance(r, tuple) else (r, None, None)))) for k, r in records.items()]
+    df = spark.createDataFrame(rows, "review_key string, r string, a string, s string")
+    return A.adapt(df.select("review_key", F.try_parse_json("r").alias("report"), F.try_parse_json("a").alias("approval"), F.try_parse_json("s").alias("snapshot")))
+
+
+def test_a_record_is_adapted(spark):
+    made = adapted(spark, {"k": (record(), {"platform_approval_version": "v1", "canonical_dataset_state": "platform_approved"}, {"generated_snapshot_version": "v1"})})
+    assert made.rejected.count() == 0
+    r = made.reviews.first()
+    assert (r["review_id"], r["applicability"], r["generated_snapshot_revision_id"], r["certified_state"], r["total_pages"]) == ("r", "generated_publication", "g1", "platform_approved", 3)
+    panels = {(p["side"], p["artifact_id"]): p for p in made.geometry.collect()}
+    assert len(panels) == 4 and panels["generated", "x_1_12::p1"]["x"] == 0.1 and panels["approved", "x_1_12::p1"]["deleted"] and panels["approved", "x_1_12::p1"]["ord"] == 0
+    assert panels["generated", "x_1_12::p1"]["page_scope"] == "12" and panels["approved", "spread_1::p1"]["is_spread"] and panels["approved", "spread_1::p1"]["w"] == 1.0
+    leaves = {(m["side"], m["field"]): m for m in made.metadata.select("side", "field", F.to_json("value").alias("value"), "editorial", "has_origin", "origin").collect()}
+    assert {f for s, f in leaves if s == "approved"} == set(A.LEAVES_V1) and {f for s, f in leaves if s == "generated"} == {*A.LEAVES_V2, "publisher_notes"}
+    recorded = {f for (s, f), m in leaves.items() if not m["editorial"]}
+    assert recorded == {"narrative.summary", "classification.colors", "publisher_notes"} and all(leaves["generated", f]["value"] is None for f in recorded)
+    assert leaves["generated", "classification.tags.mood"]["value"] == '"m"' and leaves["generated", "entities.objects"]["has_origin"] and not leaves["approved", "narrative.summary"]["has_origin"]
+    assert [(g["material_id"], g["revision"]) for g in made.grounding.collect()] == [("m", "a@2,z@1")]
+    g = made.generators.first()
+    assert (g["model"], g["prompt_version"], g["heterogeneous"]) == ("m1", None, False)
+
+
+def test_records_that_cannot_be_read(spark):
+    manual = {"published_revision_id": "r", "generated_vs_approved": A.MANUAL}
+    geometry = record()["approved_geometry"]
+    unknown = {"llm_enrichment_output_version": "v9", "llm_enrichment_outputs": []}
+    approval = {"platform_approval_version": "v1", "canonical_dataset_state": "x"}
+    without = lambda name: {k: v for k, v in record().items() if k != name}
+    cases = {
+        "fine": (record(), None), "manual": (record(provenance=manual, generated_geometry=None, generated_metadata=None), None), "none": (None, "no_json"), "version": (record(review_report_version="v2"), "review_report_version"),
+        "id": (without("review_id"), "review_id"), "geometry": (record(approved_geometry=[]), "approved_geometry"), "told": (record(provenance={**manual, "generated_vs_approved": "x"}), "generated_vs_approved"),
+        "half": (record(generated_geometry=None), "generated_side"), "both": (record(generated_metadata=unknown, approved_metadata=unknown), "metadata_version"), "skew": (record(generated_metadata=unknown), None),
+        "approval": ((record(), approval | {"platform_approval_version": "v2"}, None), "platform_approval_version"), "snapshot": ((record(), approval, {"generated_snapshot_version": "v3"}), "generated_snapshot_version"),
+        "member": (record(approved_geometry=geometry | {"odd": "x"}), "unknown_member"), "stage": (record(approved_geometry=geometry | {"s": {"isSpreadPanel": True}}), "stage_geometry"), "shape": (record(approved_geometry=geometry | {"s": {"z": 1}}), "unknown_geometry"),
+        "bounds": (record(generated_geometry={"panels": [{"panel_key": "k", "bounds": [1, 2]}]}), "bounds"), "key": (record(generated_geometry={"panels": [{"bounds": [1, 2, 3, 4]}]}), "panel_key"), "panels": (record(generated_geometry={}), "panels"),
+        "outputs": (record(approved_metadata={"llm_enrichment_outputs": "x"}), "outputs"), "artifact": (record(approved_metadata={"llm_enrichment_outputs": [{}]}), "artifact_id"),
+    }
+    made = adapted(spark, {k: r for k, (r, _) in cases.items()})
+    assert {r["review_key"]: r["reason"] for r in made.rejected.collect()} == {k: why for k, (_, why) in cases.items() if why}
+    good = {k for k, (_, why) in cases.items() if not why}
+    for part in (made.reviews, made.geometry, made.metadata):
+        assert {r["review_key"] for r in part.select("review_key").distinct().collect()} == good
+    nothing = adapted(spark, {"x": None}).reviews
+    assert nothing.count() == 0
+
+
+def test_generators_agree_mix_or_are_old(spark):
+    outs = lambda *models, **more: {"llm_enrichment_output_version": "v2", "llm_enrichment_outputs": [{"artifact_id": str(k), "metadata_generation_provenance": d, "generation_provenance": {"model": m}} for k, (m, d) in enumerate(models)], **more}
+    cases = {
+        "one": outs(("m1", "fresh"), ("m1", "fresh"), ("m2", "preserved_approved")), "mixed": outs(("m1", "fresh"), ("m2", "fresh")), "empty": outs(("", "fresh"), ("m3", "fresh")), "old": outs(enrichment_model="m4", model=""), "none": outs(("m1", None)),
+    }
+    got = {r["review_key"]: r for r in adapted(spark, {k: record(generated_metadata=m) for k, m in cases.items()}).generators.collect()}
+    digest = "mixed:" + hashlib.sha256(b"m1|m2").hexdigest()[:12]
+    assert {k: r["model"] for k, r in got.items()} == {"one": "m1", "mixed": digest, "empty": "m3", "old": "m4", "none": None}
+    assert got["mixed"]["heterogeneous"] and not got["empty"]["heterogeneous"] and got["old"]["fresh_outputs"] == 0
+
+
+def test_certified_states(spark):
     reviews = spark.createDataFrame([(1, True), (2, False), (3, True)], "review_id int, creator_approved boolean")
     states = A.certified_state(reviews, spark.createDataFrame([(3, "platform_approved")], "review_id int, state string"))
     assert {r["review_id"]: r["certified_state"] for r in states.collect()} == {1: "creator_approved", 2: "draft", 3: "platform_approved"}
