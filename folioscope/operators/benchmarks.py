@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.columns import axes_key, changed_axes, rate
+from folioscope.operators.ordered import placed, ranked, settled, with_previous, with_running_sum
 
 PLACE = ("publisher", "title_group", "series", "issue")
 #: Level of the hierarchy -> the keys that make it up.
@@ -61,18 +62,19 @@ def hierarchy(pts: DataFrame) -> DataFrame:
 
 def series_boundaries(reports: DataFrame, scope: Sequence[str], axes: Sequence[str]) -> DataFrame:
     """Reports of a scope in order of their run: whether the method changed, in which axes, and the segment's number."""
-    order = Window.partitionBy(*scope).orderBy("run_seq")
-    before = {a: F.lag(a).over(order) for a in axes}
-    first = F.lag("run_seq").over(order).isNull()
-    change = ~first & ~F.col("comparability_key").eqNullSafe(F.lag("comparability_key").over(order))
-    out = reports.withColumn("changed", change).withColumn("changed_axes", F.when(change, changed_axes({a: F.col(a) for a in axes}, before)).otherwise(""))
-    return out.withColumn("segment", F.sum(F.col("changed").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    names = {f"_was_{a}": a for a in (*axes, "comparability_key")}
+    rows = with_previous(placed(reports, scope, [F.col("run_seq")]), scope, names)
+    change = F.col("_has_previous") & ~F.col("comparability_key").eqNullSafe(F.col("_was_comparability_key"))
+    moved = changed_axes({a: F.col(a) for a in axes}, {a: F.col(f"_was_{a}") for a in axes})
+    out = rows.withColumn("changed", change).withColumn("changed_axes", F.when(F.col("changed"), moved).otherwise(""))
+    return settled(with_running_sum(out, scope, F.col("changed").cast("int"), "segment")).drop(*names)
 
 
 def dual_time(reports: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Place of each report by event time and by measurement time, then by run; a null time comes first."""
-    place = lambda c: F.row_number().over(Window.partitionBy(*scope).orderBy(F.coalesce(c, F.lit("")), F.coalesce("run_seq", F.lit(0))))
-    return reports.withColumn("event_place", place("event")).withColumn("measured_place", place("measured")).withColumn("late", F.col("event_place") < F.col("measured_place"))
+    by = lambda c: [F.coalesce(c, F.lit("")), F.coalesce("run_seq", F.lit(0))]
+    both = ranked(ranked(reports, scope, by("event"), "event_place"), scope, by("measured"), "measured_place")
+    return both.withColumn("late", F.col("event_place") < F.col("measured_place"))
 
 
 def failure_modes(pts: DataFrame, scope: Sequence[str], modes: Sequence[str] = FAILURE_MODES) -> DataFrame:

@@ -2,38 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.columns import area_band, iou, rate, resize_diag
+from folioscope.operators.ordered import exact_medians
+from folioscope.storage import shared_table
 
 MATCH, OVERLAP = 0.5, 0.2
+#: Boxes of both sides on a page up to which all of them are compared.
+CROWDED = 256
 TARGET = (0.95, 0.99)
 #: A page within a review; ``page_key`` is the page's name, or a mark for a missing one, and never null.
 PAGE = ("review_id", "stratum", "page_key")
 KEYS = (*PAGE, "page_scope")
 
 
+def paged(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with their ``page_key``. A missing page is one page of its own, so that it matches a missing page and no other."""
+    if "page_key" in boxes.columns:
+        return boxes
+    return boxes.withColumn("page_key", F.coalesce(F.col("page_scope").cast("string"), F.lit("\0")))
+
+
 def located(boxes: DataFrame) -> DataFrame:
-    """``boxes`` with their ``page_key``, dealt out by page: all joins, counts and windows below stay within that.
+    """``boxes`` with their ``page_key``, dealt out by page for the counts and windows that stay within one."""
+    return boxes if "page_key" in boxes.columns else paged(boxes).repartition(*PAGE)
+
+
+def _crowds(boxes: DataFrame) -> DataFrame:
+    return boxes.groupBy(*PAGE).agg(F.count("*").alias("_boxes"))
+
+
+def _level(size: Column) -> Column:
+    return F.floor(F.log2(size)).cast("int")
+
+
+def _centre_cell(start: Column, size: Column) -> Column:
+    """Level of a box's width (or height), and the cell of that level in which its centre lies; a cell is up to twice as wide as the box."""
+    return F.concat_ws(":", _level(size), F.floor((start + size / 2) / F.pow(F.lit(2.0), _level(size) + 1)))
 
-    A missing page is one page of its own, so that it matches a missing page and no other.
+
+def _cells(start: Column, size: Column, least: float) -> Column:
+    """All cells in which the centre of a box can lie whose IoU with this one reaches ``least``.
+
+    The IoU is at most the smaller width over the larger one, which leaves a few levels; and at most what the boxes share of the
+    larger width, which bounds how far their centres are apart.
     """
-    if "page_key" in boxes.columns:
-        return boxes
-    return boxes.withColumn("page_key", F.coalesce(F.col("page_scope").cast("string"), F.lit("\0"))).repartition(*PAGE)
+    reach = math.ceil(math.log2(1 / least))
+
+    def at(step: Column) -> Column:
+        level = _level(size) + step
+        cell = F.pow(F.lit(2.0), level + 1)
+        far = ((size + cell) / 2 - least * F.greatest(size, cell / 2)) * (1 + 1e-9) + 1e-12
+        first, last = (F.floor((start + size / 2 + sign * far) / cell) for sign in (-1, 1))
+        return F.transform(F.sequence(first, last), lambda i: F.concat_ws(":", level, i))
 
+    return F.flatten(F.transform(F.array(*map(F.lit, range(-reach, reach + 1))), at))
 
-def matches(generated: DataFrame, approved: DataFrame, least: float = MATCH) -> DataFrame:
+
+def _celled(boxes: DataFrame, crowds: DataFrame, crowded: int, least: float | None) -> DataFrame:
+    """``boxes`` with the cells of a crowded page in which they are compared; other pages have one cell.
+
+    With ``least`` a box stands in every cell that a partner's centre can lie in, else in its own centre's. A box without an extent
+    reaches no IoU and drops out of a crowded page.
+    """
+    told = boxes.join(crowds, list(PAGE))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    busy = F.col("_boxes") > crowded
+    solid = (w > 0) & (h > 0)
+    if least is None:
+        mine = F.array(F.concat_ws("/", _centre_cell(x, w), _centre_cell(y, h)))
+    else:
+        mine = F.flatten(F.transform(_cells(x, w, least), lambda a: F.transform(_cells(y, h, least), lambda b: F.concat_ws("/", a, b))))
+    return told.withColumn("_cell", F.explode(F.when(~busy, F.array(F.lit(""))).when(solid, mine))).drop("_boxes")
+
+
+def matches(generated: DataFrame, approved: DataFrame, least: float = MATCH, crowded: int = CROWDED) -> DataFrame:
     """All pairs of a generated and a kept approved box on the same page and stratum whose IoU reaches ``least``.
 
     The page is part of the join key (a missing page equals a missing page), so the work is the product of
-    the boxes within a page, never within a review; the IoU is what is left to test.
+    the boxes within a page, never within a review; the IoU is what is left to test. On a page with more than ``crowded`` boxes the
+    key has a cell as well: a generated box stands in its centre's, an approved one in all that a partner's centre can lie in, so a pair meets
+    once and only boxes that are near and alike in size meet at all.
     """
-    g = located(generated).select(*PAGE, *[F.col(c).alias(f"g{c}") for c in "xywh"], F.col("box_id").alias("gen_id"), F.col("ord").alias("gen_ord"))
-    a = located(approved.where("not deleted")).select(*KEYS, *[F.col(c).alias(f"a{c}") for c in "xywh"], F.col("box_id").alias("app_id"), F.col("ord").alias("app_ord"))
+    generated, approved = paged(generated), paged(approved.where("not deleted"))
+    crowds = _crowds(generated.select(*PAGE).unionByName(approved.select(*PAGE)))
+    generated, approved = _celled(generated, crowds, crowded, None), _celled(approved, crowds, crowded, least)
+    g = generated.select(*PAGE, "_cell", *[F.col(c).alias(f"g{c}") for c in "xywh"], F.col("box_id").alias("gen_id"), F.col("ord").alias("gen_ord"))
+    a = approved.select(*KEYS, "_cell", *[F.col(c).alias(f"a{c}") for c in "xywh"], F.col("box_id").alias("app_id"), F.col("ord").alias("app_ord"))
     score = iou(*[F.col(f"{side}{c}") for side in "ga" for c in "xywh"])
-    pairs = g.join(a, list(PAGE)).withColumn("iou", score).where(F.col("iou") >= least)
+    pairs = g.join(a, [*PAGE, "_cell"]).withColumn("iou", score).where(F.col("iou") >= least)
     return pairs.select(*KEYS, "gen_id", "app_id", "gen_ord", "app_ord", *[f"{side}{c}" for side in "ga" for c in "xywh"], "iou")
 
 
@@ -104,15 +165,21 @@ def resize_diagnostics(best: DataFrame) -> DataFrame:
 def resize_bias(best: DataFrame) -> DataFrame:
     """Mean and median of area ratio, width error and height error over best pairs, by review."""
     names = ("area_ratio", "dw_pct", "dh_pct")
-    stats = [f(c).alias(f"{name}_{c}") for c in names for name, f in (("mean", lambda x: F.bround(F.avg(x), 6)), ("median", lambda x: F.bround(F.median(x), 6)))]
-    return resize_diagnostics(best).groupBy("review_id").agg(F.count("*").alias("pairs"), *stats)
-
-
-def page_overlaps(generated: DataFrame, least: float = OVERLAP) -> DataFrame:
-    """Pairs of generated boxes on one page that overlap each other."""
-    side = lambda p: located(generated).select(*PAGE, *[F.col(c).alias(f"{p}_{c}") for c in ("page_scope", "box_id", "x", "y", "w", "h")])
+    rows = shared_table(resize_diagnostics(best).select("review_id", *names), "resized")
+    means = rows.groupBy("review_id").agg(F.count("*").alias("pairs"), *[F.bround(F.avg(c), 6).alias(f"mean_{c}") for c in names])
+    long = rows.select("review_id", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names])))
+    medians = exact_medians(long, ["review_id", "name"], "value").groupBy("review_id").agg(*[F.bround(F.max(F.when(F.col("name") == c, F.col("median"))), 6).alias(f"median_{c}") for c in names])
+    order = [f"{kind}_{c}" for c in names for kind in ("mean", "median")]
+    return means.join(medians, "review_id", "left").select("review_id", "pairs", *order)
+
+
+def page_overlaps(generated: DataFrame, least: float = OVERLAP, crowded: int = CROWDED) -> DataFrame:
+    """Pairs of generated boxes on one page that overlap each other, found as ``matches`` finds its pairs."""
+    boxes = paged(generated)
+    crowds = _crowds(boxes)
+    side = lambda p, reach: _celled(boxes, crowds, crowded, reach).select(*PAGE, "_cell", *[F.col(c).alias(f"{p}_{c}") for c in ("page_scope", "box_id", "x", "y", "w", "h")])
     score = iou(*[F.col(f"{p}_{c}") for p in "ab" for c in "xywh"])
-    pairs = side("a").join(side("b"), list(PAGE)).where((F.col("a_box_id") < F.col("b_box_id")) & (score >= least))
+    pairs = side("a", None).join(side("b", least), [*PAGE, "_cell"]).where((F.col("a_box_id") < F.col("b_box_id")) & (score >= least))
     return pairs.select("review_id", F.col("a_page_scope").alias("page_scope"), F.col("a_box_id").alias("first_id"), F.col("b_box_id").alias("second_id"), F.bround(score, 6).alias("iou"), "page_key")
 
 

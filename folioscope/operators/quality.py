@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.columns import impact_band, percent, readiness_band, severity_name, severity_rank
+from folioscope.operators.ordered import Down, ranked
 
 #: Conditions over an artifact row. Each list may be extended or replaced by callers.
 #: The reasons for which an artifact is weak, in order, with their severities.
@@ -99,14 +100,14 @@ def packet_checks(refs: DataFrame, approved_ids: DataFrame) -> DataFrame:
 
 def priority_rank(assessed: DataFrame) -> DataFrame:
     """Weak artifacts of a dataset ranked by severity, page (unpaged last), effort and id."""
-    order = Window.partitionBy("dataset").orderBy(F.desc("severity_rank"), F.asc_nulls_last("page"), "effort", "artifact_id")
-    return assessed.where("severity is not null").withColumn("priority", F.row_number().over(order))
+    weak = assessed.where("severity is not null")
+    return ranked(weak, ["dataset"], [Down(F.col("severity_rank")), F.col("page").isNull(), F.col("page"), F.col("effort"), F.col("artifact_id")], "priority")
 
 
 def weak_queue(assessed: DataFrame, most: int | None = None) -> DataFrame:
     """Weak artifacts by severity, score and id, with their place in the queue."""
-    order = Window.partitionBy("dataset").orderBy(F.desc("severity_rank"), "score", "artifact_id")
-    queue = assessed.where("severity is not null").withColumn("place", F.row_number().over(order))
+    weak = assessed.where("severity is not null")
+    queue = ranked(weak, ["dataset"], [Down(F.col("severity_rank")), F.col("score"), F.col("artifact_id")], "place")
     return queue if most is None else queue.where(F.col("place") <= most)
 
 

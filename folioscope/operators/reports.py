@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.ordered import Down, placed, ranked, settled, with_previous
+
 #: Worst first.
 FINDING_ORDER = ("FAIL", "WARNING", "INFO", "PASS")
 
@@ -16,12 +18,18 @@ def run_id(*parts: Column) -> Column:
     return F.concat(F.lit("run_"), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16))
 
 
+def numbered_id(run_seq: Column) -> Column:
+    """run and the number in six digits, or in as many as it has."""
+    digits = run_seq.cast("string")
+    return F.concat(F.lit("run"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0")))
+
+
 def number_runs(fresh: DataFrame, stored: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Continues each scope's run numbers behind the greatest stored one, in order of ``at`` and run id."""
     last = stored.groupBy(*scope).agg(F.max("run_seq").alias("_last"))
     order = Window.partitionBy(*scope).orderBy("at", "run_id")
     out = fresh.join(last, list(scope), "left").withColumn("run_seq", (F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).cast("long"))
-    return out.drop("_last").withColumn("report_id", F.concat(F.lit("run"), F.lpad(F.col("run_seq").cast("string"), 6, "0")))
+    return out.drop("_last").withColumn("report_id", numbered_id(F.col("run_seq")))
 
 
 def publish(fresh: DataFrame, stored: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -37,11 +45,16 @@ def latest(reports: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def verify_written(produced: DataFrame, read_back: DataFrame, key: str) -> DataFrame:
-    """Rows that differ between what was produced and what is stored, with the reason; empty if all is well."""
-    digest = lambda df: df.select(key, F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("digest"))
-    a, b = digest(produced).withColumnRenamed("digest", "made"), digest(read_back).withColumnRenamed("digest", "kept")
-    why = F.when(F.col("kept").isNull(), "missing").when(F.col("made").isNull(), "unexpected").when(F.col("made") != F.col("kept"), "differs")
-    return a.join(b, key, "full_outer").select(key, why.alias("why")).where("why is not null")
+    """Keys whose rows differ between what was produced and what is stored, with the reason; empty if all is well.
+
+    A key may stand on several rows, equal ones too: both sides must hold each row as often. Null is a key like any other.
+    """
+    digest = lambda df, made: df.select(key, F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("digest"), F.lit(made).alias("made"))
+    both = digest(produced, 1).unionByName(digest(read_back, 0))
+    rows = both.groupBy(key, "digest").agg(F.sum("made").alias("made"), F.count("*").alias("all"))
+    keys = rows.groupBy(key).agg(F.sum("made").alias("made"), F.sum(F.col("all") - F.col("made")).alias("kept"), F.bool_or(F.col("all") != 2 * F.col("made")).alias("differs"))
+    why = F.when(F.col("kept") == 0, "missing").when(F.col("made") == 0, "unexpected").when(F.col("differs"), "differs")
+    return keys.select(key, why.alias("why")).where("why is not null")
 
 
 def upsert(entries: DataFrame, fresh: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -87,7 +100,7 @@ def search_index(index: DataFrame, equal: Mapping[str, object] | None = None, wi
 def archive(reports: DataFrame, failed_runs: DataFrame) -> DataFrame:
     """Reports and failed runs in one table; ``place`` numbers a scope's from the newest, by time and then run number."""
     both = reports.withColumn("kind", F.lit("report")).unionByName(failed_runs.withColumn("kind", F.lit("failed_run")), allowMissingColumns=True)
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc_nulls_last("at"), F.desc_nulls_last("run_seq"))))
+    return ranked(both, ["scope"], [Down(F.col("at")), Down(F.col("run_seq"))], "place")
 
 
 #: Other names of metrics.
@@ -134,9 +147,9 @@ def search_archive(
 
 def archive_boundaries(reports: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Each report against the next newer one: whether the method changes there."""
-    order = Window.partitionBy(*scope).orderBy(F.desc("run_seq"))
-    newer = F.lag("comparability_key").over(order)
-    return reports.withColumn("newer_key", newer).withColumn("boundary", newer.isNotNull() & (newer != F.col("comparability_key")))
+    rows = settled(with_previous(placed(reports, scope, [Down(F.col("run_seq"))]), scope, {"newer_key": "comparability_key"}))
+    newer = F.col("newer_key")
+    return rows.withColumn("boundary", newer.isNotNull() & (newer != F.col("comparability_key")))
 
 
 def worst_finding(severities: Column) -> Column:

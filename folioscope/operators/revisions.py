@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.columns import EDITS, REVISION_LIMITS, REVISION_WEIGHTS, REWRITES, edit_distance, is_empty_value, let, rate, revision_weight, set_distance, token_set
 from folioscope.functions.variants import canonical, measures
+from folioscope.operators.ordered import exact_medians
+from folioscope.storage import shared_table
 
 CATEGORIES = ("abstention", "unsupported_schema", *REVISION_WEIGHTS)
 #: Classes of pairs that are not compared.
@@ -100,16 +102,21 @@ def metadata_delta(classed: DataFrame) -> DataFrame:
 def revision_benchmark(classed: DataFrame) -> DataFrame:
     """Per review, and per review and field: rows of each class, weighted intervention, distances.
 
-    ``field`` is ``*`` on the rows for a whole review. Counts stay beside the ratios.
+    ``field`` is ``*`` on the rows for a whole review. Counts stay beside the ratios. Medians are taken from counts of
+    values, so that no task holds a review's distances.
     """
+    classed = shared_table(classed.select("review_id", "artifact_id", F.coalesce("field", F.lit("")).alias("field"), "category", "distance", "weight"), "classed")
     counts = [F.count_if(F.col("category") == k).alias(k) for k in CATEGORIES]
     out = classed.groupingSets([["review_id", "field"], ["review_id"]], "review_id", "field").agg(
         F.count_if(~F.col("category").isin(*UNCOMPARED)).alias("comparable"), F.countDistinct("artifact_id").alias("artifacts"), *counts,
-        F.bround(F.sum("weight"), 6).alias("weight_sum"), F.bround(F.sum("distance"), 6).alias("distance_sum"), F.bround(F.median("distance"), 6).alias("distance_median"),
-    )
+        F.bround(F.sum("weight"), 6).alias("weight_sum"), F.bround(F.sum("distance"), 6).alias("distance_sum"),
+    ).withColumn("field", F.coalesce("field", F.lit("*")))
+    levels = classed.select("review_id", F.explode(F.array("field", F.lit("*"))).alias("field"), "distance")
+    medians = exact_medians(levels, ["review_id", "field"], "distance").select("review_id", "field", F.bround("median", 6).alias("distance_median"))
+    out = out.join(medians, ["review_id", "field"], "left")
     corrections = sum((F.col(k) for k in EDITS), F.lit(0))
     return out.select(
-        "review_id", F.coalesce("field", F.lit("*")).alias("field"), "comparable", "artifacts", *CATEGORIES, "distance_sum", "distance_median",
+        "review_id", "field", "comparable", "artifacts", *CATEGORIES, "distance_sum", "distance_median",
         rate(F.col("accepted_unchanged"), F.col("comparable")).alias("accepted_rate"), rate(F.col("weight_sum"), F.col("comparable")).alias("weighted_intervention"),
         rate(F.col("distance_sum"), F.col("comparable")).alias("distance_mean"), rate(corrections, F.col("artifacts")).alias("corrections_per_artifact"),
     )

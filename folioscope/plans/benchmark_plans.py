@@ -138,7 +138,7 @@ from (select *, publisher p, title_group g, series s, issue i from points) group
     "benchmark_points": f"""with {V.POINTS} select report_id, comparability_key, metric, num, den, {_V('num', 'den')} "value" from points where metric in ('precision', 'recall')""",
     "benchmark_series_boundaries": f"""with {V.REPORTS}, c as (select *, coalesce(comparability_key <> lag(comparability_key) over w, false) changed, {_AXES('w')} axes from keyed window w as (partition by publisher, title_group, series, issue order by run_seq))
 select publisher, title_group, series, issue, run_seq, comparability_key, changed, case when changed then axes else '' end changed_axes, cast(sum(changed::int) over (partition by publisher, title_group, series, issue order by run_seq) as bigint) segment from c""",
-    "series_dual_time": f"""with {V.REPORTS}, p as (select *, cast(row_number() over (partition by publisher, title_group, series order by coalesce(event, ''), run_seq) as integer) event_place, cast(row_number() over (partition by publisher, title_group, series order by coalesce(measured, ''), run_seq) as integer) measured_place from reports)
+    "series_dual_time": f"""with {V.REPORTS}, p as (select *, row_number() over (partition by publisher, title_group, series order by coalesce(event, ''), run_seq) event_place, row_number() over (partition by publisher, title_group, series order by coalesce(measured, ''), run_seq) measured_place from reports)
 select report_id, event, measured, event_place, measured_place, event_place < measured_place late from p""",
     "failure_modes": f'with {MODES} select publisher, title_group, series, comparability_key, metric, failures, t "of", rate, "rank" from modes',
     "geometry_recommendations": f"with {MODES} select publisher, title_group, series, comparability_key, metric, rate, case metric when 'panel_merges' then 'geometry.under_segmentation' else 'geometry.precision_gap' end code from modes where (metric = 'panel_merges' and rate > 0.5) or (metric = 'false_panels' and rate > 0.15)",

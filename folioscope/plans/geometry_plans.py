@@ -10,8 +10,8 @@ from folioscope.storage import shared_table
 
 
 def _all(spark, d):
-    generated, approved = (G.located(x) for x in V.boxes(spark, d))
-    return generated, approved, G.matches(generated, approved)
+    generated, approved = V.boxes(spark, d)
+    return G.located(generated), G.located(approved), G.matches(generated, approved)
 
 
 def _stored(spark, d):

@@ -38,6 +38,21 @@ def discovered_issues(spark, d):
     return I.discover_issues(paths.union(paths).union(paths.select(F.concat(F.col("path"), F.lit(".bak")))))
 
 
+def scanned_issues(spark, d):
+    """The same pointers as files in a folder: written there, then found by a listing that reads no content, then resolved."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    broken = F.concat_ws("/", F.lit("publishers"), F.col("r_name"), F.lit("issues"), text("c_custkey"))
+    place = F.when(F.col("c_acctbal") < 0, broken).otherwise(_prefix())
+    pointer = F.to_json(F.struct(F.concat(F.lit("rev_"), text("c_custkey")).alias("revision_id"), F.when(F.col("c_custkey") % 9 != 0, F.concat(F.lit("k/"), text("c_custkey"))).alias("revision_key")))
+    documents = _places(spark, d).select(F.concat(place, F.lit("/approved/published.json")).alias("path"), pointer.alias("content"))
+    shared_table(I.write_files(documents, root), "written")
+    found = I.discover_issues(I.files(spark, root).select("path"))
+    contents = I.files(spark, root, "published.json").select(F.regexp_extract("path", r"(publishers/.+)/approved/published.json$", 1).alias("issue_prefix"), "content")
+    able, refused = I.resolve_pointers(contents)
+    every = able.select("issue_prefix", "revision_key", F.lit(None).cast("string").alias("reject_reason")).unionByName(refused.select("issue_prefix", F.lit(None).cast("string").alias("revision_key"), "reject_reason"))
+    return found.join(every, "issue_prefix")
+
+
 def identity_conflicts(spark, d):
     """Orders filed under a series other than their customer's."""
     orders = V.table(spark, d, "orders").join(_places(spark, d), F.col("o_custkey") == F.col("c_custkey"))
@@ -182,7 +197,7 @@ def materialized_projections(spark, d):
 
 
 QUERIES = [
-    discovered_issues, identity_conflicts, resolved_pointers, snapshot_files, contract_records, evidence,
+    discovered_issues, scanned_issues, identity_conflicts, resolved_pointers, snapshot_files, contract_records, evidence,
     certified_states, review_identifiers, methodology_fingerprints, written_differences, index_details, review_findings, delta_summary, state_comparison, report_rows, materialized_projections,
 ]
 
@@ -209,6 +224,8 @@ _AXES_KEY = lambda *pairs: "'cmp_' || substr(sha256(" + " || '|' || ".join(pairs
 
 ORACLES = {
     "discovered_issues": f"select {_PREFIX} issue_prefix, r_name publisher_id, n_name title_group_id, c_mktsegment series_id, c_custkey::varchar issue_id from {_PLACES} where c_acctbal >= 0",
+    "scanned_issues": f"""select {_PREFIX} issue_prefix, r_name publisher_id, n_name title_group_id, c_mktsegment series_id, c_custkey::varchar issue_id,
+ case when c_custkey % 9 <> 0 then 'k/' || c_custkey end revision_key, case when c_custkey % 9 = 0 then 'no_revision_key' end reject_reason from {_PLACES} where c_acctbal >= 0""",
     "identity_conflicts": f"select o_orderkey from orders join ({_PLACES}) on o_custkey = c_custkey where o_orderpriority like '1%' and c_mktsegment <> 'MACHINERY'".replace(f"({_PLACES})", "customer"),
     "resolved_pointers": "select o_orderkey::varchar issue_prefix, case when o_orderstatus <> 'O' then 'rev_' || o_orderkey end revision_id, case when o_orderstatus <> 'P' then 'k/' || o_orderkey else '' end revision_key, case o_orderstatus when 'O' then 'no_revision_id' when 'P' then 'no_revision_key' end reject_reason from orders",
     "snapshot_files": f"""with s as (select s_suppkey::varchar issue_prefix, s_nationkey % 7 k, s_name from supplier), f as (select *, unnest([{_FILES}]) path, unnest([0, 1, 2]) i from s)

@@ -139,9 +139,9 @@ QUERIES = [
 _ORDER = "case severity when 'high' then 3 when 'medium' then 2 else 1 end"
 ORACLES = {
     "dataset_scores": f"with {CHECKED} select *, cast(round_even((metadata * 30 + characters * 25 + dialogue * 25 + retrieval * 20) / 100.0, 0) as integer) quality from dscores",
-    "weak_queue": f"with {ASSESSED} select dataset, artifact_id, severity, score, primary_weakness, cast(effort as integer) effort, cast(row_number() over (partition by dataset order by severity_rank desc, score, artifact_id) as integer) place from assessed where severity is not null",
+    "weak_queue": f"with {ASSESSED} select dataset, artifact_id, severity, score, primary_weakness, cast(effort as integer) effort, row_number() over (partition by dataset order by severity_rank desc, score, artifact_id) place from assessed where severity is not null",
     "weak_summary": f"with {ASSESSED} select dataset, count(severity) flagged, count(*) filter (where severity = 'high') high, count(*) filter (where severity = 'medium') medium, count(*) filter (where severity = 'low') low from assessed group by 1",
-    "priority_rank": f"with {ASSESSED} select dataset, artifact_id, severity, page, cast(effort as integer) effort, cast(row_number() over (partition by dataset order by severity_rank desc, page asc nulls last, effort, artifact_id) as integer) priority from assessed where severity is not null",
+    "priority_rank": f"with {ASSESSED} select dataset, artifact_id, severity, page, cast(effort as integer) effort, row_number() over (partition by dataset order by severity_rank desc, page asc nulls last, effort, artifact_id) priority from assessed where severity is not null",
     "page_heatmap": f"with {ASSESSED} select dataset, coalesce(page::varchar, 'unpaged') page_label, count(*) artifacts, count(severity) weak, count(*) filter (where severity = 'high') high, count(*) filter (where severity = 'medium') medium, count(*) filter (where severity = 'low') low, coalesce({_NAME('max(severity_rank)')}, 'none') impact, cast(row_number() over (partition by dataset order by max(severity_rank) desc nulls last, count(severity) desc, page asc nulls last) as integer) place from assessed group by dataset, page",
     "root_cause": f"with {ASSESSED} select dataset, failure, domain, severity, n, share, {_IMPACT('share')} impact, pages, truncated from causes",
     "failure_samples": f"with {ASSESSED} select * from (select dataset, failure, artifact_id, cast(row_number() over (partition by dataset, failure order by artifact_id) as integer) place from failed) where place <= {Q.SAMPLE_IDS}",

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope.operators import benchmarks as B
 from folioscope.operators import materials as M
 from folioscope.operators import registry as G
 from folioscope.operators import reports as S
+from folioscope.operators import tables as T
 from folioscope.functions.columns import GROUNDING_CLASSES
 from folioscope.plans import views as V
 from folioscope.plans.benchmark_plans import _reports
+from folioscope.storage import shared_folder
 
 PLACE = ["publisher", "title_group", "series", "issue"]
 
@@ -105,6 +109,28 @@ def ledger_state(spark, d):
     return S.ledger_state(V.attempts(spark, d))
 
 
+def ledger_maintained(spark, d):
+    """The ledger kept as a table: attempts come in three loads, the last of which runs twice as if it had broken off."""
+    log = V.attempts(spark, d)
+    table = T.ledger_table(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", buckets=16)
+    for number in (0, 1, 2, 2):
+        part = log.where(F.pmod(F.xxhash64("attempt"), F.lit(3)) == number)
+        table.load(T.ledger_of(part), number, T.fold_ledger)
+    return T.ledger_rows(table.read()).withColumn("revision", F.col("revision").cast(log.schema["revision"].dataType))
+
+
+def index_incremental(spark, d):
+    """The index kept as a table: all reports, then those of finished orders anew, then a few of them once more."""
+    schema = "report_id long, at string, comparability_key string, load int"
+    entries = B.keyed(V.reports(spark, d), V.AXES).select(F.col("report_id").cast("long").alias("report_id"), F.col("measured").alias("at"), "comparability_key", "iou_threshold", F.lit(0).alias("load"))
+    done = entries.where("iou_threshold = 'F'").withColumn("load", F.lit(1)).withColumn("comparability_key", F.lit("cmp_first"))
+    few = done.where("report_id % 97 = 1").withColumn("load", F.lit(2)).withColumn("comparability_key", F.lit("cmp_second"))
+    table = T.KeyedTable(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", ["report_id"], schema, buckets=16)
+    for number, part in enumerate((entries, done, few)):
+        table.load(part.drop("iou_threshold"), number, T.keep_latest(["report_id"], "load"))
+    return table.read().drop("load")
+
+
 def unprocessed_eligible(spark, d):
     log = V.attempts(spark, d)
     return S.unprocessed(log.select("revision").distinct(), log, "fp_0120")
@@ -186,7 +212,7 @@ def index_upsert(spark, d):
 
 QUERIES = [
     registry_linkage, issue_health, series_health, publisher_health, cross_series_health, series_summary, registry_rollup, effective_materials, materials_cross_check, authoring_findings, lineage_conflicts,
-    grounding_categories, grounding_benchmark, ledger_state, unprocessed_eligible, multi_issue_status, run_seq_assign, idempotent_publish, report_index_query, archive_search, archive_findings, archive_counts,
+    grounding_categories, grounding_benchmark, ledger_state, ledger_maintained, index_incremental, unprocessed_eligible, multi_issue_status, run_seq_assign, idempotent_publish, report_index_query, archive_search, archive_findings, archive_counts,
     archive_boundaries, latest_reports, index_upsert,
 ]
 
@@ -211,7 +237,7 @@ RUNS = V.REPORTS + f", runs as (select distinct publisher, title_group, series,
 _ARCHIVE = f"""{V.REPORTS}, {V.ATTEMPTS}, both_kinds as (
  select 'report' kind, report_id run_seq, series "scope", measured "at", round_even("precision" / den, 6) "precision", round_even(recall / den, 6) recall, issue, false_rate, missing_rate, geometry_detector_version advice, null failure_stage from keyed
  union all select 'failed_run', attempt, fingerprint, "at", null, null, null, null, null, null, failure_stage from attempts where status = 'failed'),
-placed as (select *, cast(row_number() over (partition by "scope" order by "at" desc, run_seq desc) as integer) place from both_kinds)"""
+placed as (select *, row_number() over (partition by "scope" order by "at" desc, run_seq desc) place from both_kinds)"""
 
 ORACLES = {
     "registry_linkage": f"""with {V.REGISTRY}, {V.ATTEMPTS}, l as (select * from attempts where fingerprint = 'fp_0115'), f as (select revision, arg_max(failure_stage, attempt) failure_stage from l where status = 'failed' group by 1),
@@ -253,6 +279,9 @@ n as (select review_id, count(*) artifacts, {', '.join(f"count(*) filter (where
 select *, coalesce(round_even(cast(fresh_accepted as double) / nullif(fresh_comparable, 0), 6), 0.0) acceptance, n_unsupported_version > 0 or version_pins like '%,%' version_skew from n""",
     "ledger_state": f"""with {V.ATTEMPTS}, l as (select revision, fingerprint, count(*) attempts, min("at") first_seen, max("at") updated_at from attempts group by 1, 2), z as (select * from attempts qualify row_number() over (partition by revision, fingerprint order by "at" desc, attempt desc) = 1)
 select l.*, status, case when status <> 'processed' then failure_stage end failure_stage from l join z using (revision, fingerprint)""",
+    "ledger_maintained": f"""with {V.ATTEMPTS}, l as (select revision, fingerprint, count(*) attempts, min("at") first_seen, max("at") updated_at from attempts group by 1, 2), z as (select * from attempts qualify row_number() over (partition by revision, fingerprint order by "at" desc, attempt desc) = 1)
+select l.*, status, case when status <> 'processed' then failure_stage end failure_stage from l join z using (revision, fingerprint)""",
+    "index_incremental": f"""with {V.REPORTS} select report_id, measured "at", case when iou_threshold = 'F' then case when report_id % 97 = 1 then 'cmp_second' else 'cmp_first' end else comparability_key end comparability_key from keyed""",
     "unprocessed_eligible": f"with {V.ATTEMPTS} select distinct revision from attempts where revision not in (select revision from attempts where fingerprint = 'fp_0120' and status = 'processed')",
     "multi_issue_status": f'with {V.ATTEMPTS} select fingerprint, status, count(*) "rows" from attempts group by 1, 2',
     "run_seq_assign": f"""with {RUNS}, n as (select *, case when issue % 2 = 0 then 10 else 0 end + row_number() over (partition by publisher, title_group, series, issue order by "at", run_id) run_seq from runs)

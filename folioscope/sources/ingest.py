@@ -6,8 +6,9 @@ ones with a reason, so that one record cannot stop a job over all issues.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,28 @@ def files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
 
 
+def write_files(documents: DataFrame, root: str) -> DataFrame:
+    """Write each document (path, content) as a file of its own below ``root``, a folder that all executors share; returns (path, length).
+
+    A file is replaced if it is there, so a task that runs again does no harm. A null content is an empty file; rows without a path drop out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            paths, contents = batch.column("path").to_pylist(), batch.column("content").to_pylist()
+            for path, content in zip(paths, contents):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([len(c or b"") for c in contents], pa.int64())], names=["path", "length"])
+
+    rows = documents.where("path is not null").select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(run, "path string, length long")
+
+
 def parse_identity(df: DataFrame, prefix: str = "issue_prefix") -> DataFrame:
     """Adds the four ids of an issue's path, null where the chain lacks a part."""
     parts = F.split(F.col(prefix), "/")

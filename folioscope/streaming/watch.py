@@ -16,7 +16,11 @@ from folioscope.storage import shared_table
 
 
 class RevisionChanges(StatefulProcessor):
-    """Keeps the last revision of each issue; emits a row whenever a publication carries another one."""
+    """Keeps the last revision of each issue; emits a row whenever a publication carries another one.
+
+    Order holds within a micro-batch; equal times follow ``seq``, and a null revision is a revision like any other but is not
+    remembered.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "revision string")
@@ -37,6 +41,51 @@ class RevisionChanges(StatefulProcessor):
         pass
 
 
+class OrderedRevisionChanges(StatefulProcessor):
+    """The same in order of event time across micro-batches.
+
+    Publications are held until the watermark has passed the ``step`` of time in which they lie; then those of the step are
+    put in order and compared with the issue's last revision. An issue holds what lies within the allowed lateness, and a
+    timer looks at that and takes out what is due.
+    """
+
+    def __init__(self, step_ms: int) -> None:
+        self.step_ms = step_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "revision string")
+        self.held = handle.getMapState("held", "ms long, seq long", "at string, revision string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = set()
+        for part in rows:
+            for ms, at, seq, revision in zip(part["ms"], part["at"], part["seq"], part["revision"]):
+                self.held.updateValue((int(ms), int(seq)), (at, revision))
+                due.add((int(ms) // self.step_ms + 1) * self.step_ms)
+        for ms in due:
+            self.handle.registerTimer(ms)
+        yield pd.DataFrame([], columns=_CHANGE)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted((k[0], v[0], k[1], v[1]) for k, v in self.held.iterator() if k[0] < until)
+        known = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for ms, at, seq, revision in due:
+            if revision != known:
+                out.append((key[0], at, seq, revision, known))
+                known = revision
+            self.held.removeKey((ms, seq))
+        if known is not None:
+            self.last.update((known,))
+        yield pd.DataFrame(out, columns=_CHANGE)
+
+    def close(self) -> None:
+        pass
+
+
+_CHANGE = ["issue", "at", "seq", "revision", "previous"]
 CHANGES = "issue string, at string, seq long, revision string, previous string"
 
 
@@ -49,6 +98,20 @@ def revision_changes(publications: DataFrame) -> DataFrame:
     return publications.select("issue", "at", "seq", "revision").groupBy("issue").transformWithStateInPandas(RevisionChanges(), CHANGES, "Append", "None")
 
 
+def ordered_revision_changes(publications: DataFrame, lateness: str = "1 hour", step_ms: int = 60_000) -> DataFrame:
+    """The same changes, right also where publications come out of order over several micro-batches.
+
+    ``publications`` streams (issue, event_time, seq, revision). A row is judged when the watermark (the latest event time less
+    ``lateness``) has passed the end of its step of ``step_ms``; rows that come later than that are dropped, as of any watermark. Of
+    rows of one issue, millisecond and ``seq`` the last to come counts. Rows without an event time drop out. State is
+    bounded by what an issue publishes within the lateness and one step.
+    """
+    at = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    rows = publications.where("event_time is not null").withWatermark("event_time", lateness)
+    rows = rows.select("issue", "event_time", F.unix_millis("event_time").alias("ms"), at.alias("at"), F.col("seq").cast("long").alias("seq"), "revision")
+    return rows.groupBy("issue").transformWithStateInPandas(OrderedRevisionChanges(step_ms), CHANGES, "Append", "EventTime")
+
+
 def late_free(runs: DataFrame, event_time: str = "event_time", key: str = "run_id", lateness: str = "1 day") -> DataFrame:
     """Each run once within the lateness allowed by event time. (Watermarks are this engine's own addition.)"""
     return runs.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])

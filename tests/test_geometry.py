@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from folioscope.operators import geometry as G
@@ -71,3 +73,22 @@ def test_size_bands(spark, area, band):
     g, a, m = sides(spark, [], [("page", "1", "a1", 1, (0.0, 0.0, *area), False)])
     row = G.panel_size_recall(g, a, m).first()
     assert (row["size_band"], row["recall"]) == (band, 0.0)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.2])
+def test_crowded_pages_find_the_same_pairs(spark, least):
+    rng = random.Random(3)
+    boxes = []
+    for k in range(400):
+        w, h = 2.0 ** rng.uniform(-6, 0), 2.0 ** rng.uniform(-6, 0)
+        boxes.append(("r", "page", rng.choice(["1", "1", "1", None]), k, rng.uniform(-0.2, 1), rng.uniform(-0.2, 1), rng.choice([w, w, 0.25, 0.0]), rng.choice([h, h, 0.5]), k, False))
+        x, y = boxes[-1][4:6]
+        boxes.append(("r", "page", boxes[-1][2], 1000 + k, x + rng.uniform(-0.1, 0.1) * boxes[-1][6], y, boxes[-1][6] * rng.choice([1, 0.5, 2]), boxes[-1][7], k, k % 17 == 0))
+    df = spark.createDataFrame(boxes, "review_id string, stratum string, page_scope string, box_id int, x double, y double, w double, h double, ord int, deleted boolean")
+    found = lambda crowded: {(r["gen_id"], r["app_id"]) for r in G.matches(df, df, least, crowded).collect()}
+    rows = [(r["gen_id"], r["app_id"]) for r in G.matches(df, df, least, 0).collect()]
+    assert len(rows) == len(set(rows)) > 500 and set(rows) == found(1 << 30)
+    pairs = lambda crowded: {(r["first_id"], r["second_id"]) for r in G.page_overlaps(df, least, crowded).collect()}
+    assert pairs(0) == pairs(1 << 30)
+    compared = G._celled(G.paged(df), G._crowds(G.paged(df)), 0, None).join(G._celled(G.paged(df), G._crowds(G.paged(df)), 0, least).select(*G.PAGE, "_cell"), [*G.PAGE, "_cell"]).count()
+    assert compared < 0.2 * 800 * 800

@@ -30,6 +30,16 @@ def test_discovery_reads_paths_only(spark, tmp_path):
     assert sorted(r["issue_id"] for r in I.discover_issues(paths).collect()) == ["i0", "i1"]
 
 
+def test_documents_are_written_and_listed_without_their_content(spark, tmp_path):
+    rows = [(f"{PREFIX.format(k)}/approved/published.json", b"x" * k if k else None) for k in range(5)] + [(None, b"lost")]
+    made = I.write_files(spark.createDataFrame(rows, "path string, content binary"), f"file://{tmp_path}/store")
+    assert sorted(r["length"] for r in made.collect()) == [0, 1, 2, 3, 4]
+    listed = I.discover_issues(I.files(spark, f"{tmp_path}/store").select("path"))
+    assert sorted(r["issue_id"] for r in listed.collect()) == [f"i{k}" for k in range(5)]
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema:")[1].splitlines()[0]
+
+
 def test_snapshots_and_quarantine(spark):
     good, short, bad64, badfile = snapshot(I.REQUIRED_FILES), snapshot(I.REQUIRED_FILES[:2]), snapshot(I.REQUIRED_FILES, "base64"), snapshot(I.REQUIRED_FILES, "file")
     rev = lambda b: "rev_" + hashlib.sha256(b).hexdigest()

@@ -62,3 +62,28 @@ def test_late_free_drops_repeats(spark, tmp_path):
     out = str(tmp_path / "out")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["run_id"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+EVENTS = [("a", "2020-01-01 10:00:00", 1, "r1"), ("a", "2020-01-01 10:00:20", 2, "r2"), ("a", "2020-01-01 10:00:40", 3, "r1"), ("a", "2020-01-01 10:05:00", 4, "r1"), ("b", "2020-01-01 10:00:10", 5, "s1"), ("b", "2020-01-01 10:03:00", 6, "s1"),
+          ("a", "2020-01-01 10:06:00", 7, "r3"), ("a", "2020-01-01 10:06:00", 8, "r4"), ("b", "2020-01-01 10:04:00", 9, "s2"), ("z", "2020-01-01 12:00:00", 10, "end")]
+
+
+def test_order_holds_across_batches(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+        for rows in ([EVENTS[2], EVENTS[4]], [EVENTS[1], EVENTS[6], EVENTS[8]], [EVENTS[0], EVENTS[3], EVENTS[5], EVENTS[7]], [EVENTS[9]]):
+            made = spark.createDataFrame(rows, "issue string, t string, seq long, revision string").select("issue", F.to_timestamp("t").alias("event_time"), "seq", "revision")
+            made.coalesce(1).write.mode("append").parquet(source)
+            changes = W.ordered_revision_changes(W.file_stream(spark, source, made.schema, 1), "1 hour")
+            changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    want, last = [], {}
+    for issue, at, seq, revision in sorted(EVENTS[:9], key=lambda e: (e[1], e[2])):
+        if revision != last.get(issue):
+            want.append((issue, seq, revision, last.get(issue)))
+            last[issue] = revision
+    assert sorted(tuple(r) for r in spark.read.parquet(out).select("issue", "seq", "revision", "previous").collect()) == sorted(want)
