@@ -45,7 +45,8 @@ def classify(pairs: DataFrame) -> DataFrame:
     needed = ~skewed & (g != "") & (a != "") & (g != a)
     judged = let(F.struct(g.alias("g"), a.alias("a"), F.when(needed, edit_distance(g, a)).alias("d"), skewed.alias("s")), lambda t: _judged(t["d"], t["g"] == "", t["a"] == "", t["g"] == t["a"], t["s"]))
     out = pairs.withColumn("_judged", judged)
-    return out.select(*pairs.columns, "_judged.category", "_judged.distance").withColumn("weight", revision_weight(F.col("category")))
+    empty = [(g == "").alias("generated_empty"), (a == "").alias("approved_empty")]
+    return out.select(*pairs.columns, "_judged.category", "_judged.distance", *empty).withColumn("weight", revision_weight(F.col("category")))
 
 
 def classify_values(pairs: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def classify_values(pairs: DataFrame) -> DataFrame:
     out = pairs.withColumns({"generated": canonical(g), "approved": canonical(a), "measures": F.when(~skewed & ~(left & right), measures(g, a))})
     judged = _judged(F.col("measures.distance"), left, right, F.coalesce(F.col("measures.same"), F.lit(False)), skewed)
     out = out.withColumn("_judged", judged)
-    return out.select(*[c for c in out.columns if c != "_judged"], "_judged.category", "_judged.distance").withColumn("weight", revision_weight(F.col("category")))
+    kept = [c for c in out.columns if c != "_judged"]
+    return out.select(*kept, "_judged.category", "_judged.distance", left.alias("generated_empty"), right.alias("approved_empty")).withColumn("weight", revision_weight(F.col("category")))
 
 
 def pair_fields(generated: DataFrame, approved: DataFrame) -> DataFrame:
@@ -99,29 +101,58 @@ def metadata_delta(classed: DataFrame) -> DataFrame:
     )
 
 
+#: On which rows a benchmark rests: all common outputs, or those that a model has made in this revision.
+BASES = ("all_common", "fresh")
+
+
 def revision_benchmark(classed: DataFrame) -> DataFrame:
-    """Per review, and per review and field: rows of each class, weighted intervention, distances.
+    """Per review and basis, and per field of them: rows of each class, weighted intervention, distances, populated sides.
 
-    ``field`` is ``*`` on the rows for a whole review. Counts stay beside the ratios. Medians are taken from counts of
-    values, so that no task holds a review's distances.
+    ``field`` is ``*`` on the rows for a whole review; ``basis`` is ``all_common`` or, for the rows that are ``fresh``, ``fresh``. Counts stay beside
+    the ratios. Corrections are over the review's artifacts whose schema versions agree, on every row. Fields are summed first and
+    reviews made of their sums; medians are taken from counts of values, so that no task holds a review's rows.
     """
-    classed = shared_table(classed.select("review_id", "artifact_id", F.coalesce("field", F.lit("")).alias("field"), "category", "distance", "weight"), "classed")
-    counts = [F.count_if(F.col("category") == k).alias(k) for k in CATEGORIES]
-    out = classed.groupingSets([["review_id", "field"], ["review_id"]], "review_id", "field").agg(
-        F.count_if(~F.col("category").isin(*UNCOMPARED)).alias("comparable"), F.countDistinct("artifact_id").alias("artifacts"), *counts,
-        F.bround(F.sum("weight"), 6).alias("weight_sum"), F.bround(F.sum("distance"), 6).alias("distance_sum"),
-    ).withColumn("field", F.coalesce("field", F.lit("*")))
-    levels = classed.select("review_id", F.explode(F.array("field", F.lit("*"))).alias("field"), "distance")
-    medians = exact_medians(levels, ["review_id", "field"], "distance").select("review_id", "field", F.bround("median", 6).alias("distance_median"))
-    out = out.join(medians, ["review_id", "field"], "left")
+    bases = F.when(F.col("fresh"), F.array(*map(F.lit, BASES))).otherwise(F.array(F.lit(BASES[0])))
+    rows = classed.select("review_id", "artifact_id", "field", "category", "distance", "weight", "generated_empty", "approved_empty", F.explode(bases).alias("basis"))
+    rows = shared_table(rows, "classed")
+    keys = ["review_id", "basis"]
+    counts = ("comparable", "generated_populated", "approved_populated", *CATEGORIES)
+    fields = rows.groupBy(*keys, "field").agg(
+        F.count_if(~F.col("category").isin(*UNCOMPARED)).alias("comparable"), F.count_if(~F.col("generated_empty")).alias("generated_populated"), F.count_if(~F.col("approved_empty")).alias("approved_populated"),
+        *[F.count_if(F.col("category") == k).alias(k) for k in CATEGORIES], F.sum("weight").alias("weight_sum"), F.sum("distance").alias("distance_sum"),
+    )
+    fields = shared_table(fields, "fields")
+    whole = fields.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*counts, "weight_sum", "distance_sum")]).withColumn("field", F.lit("*"))
+    artifacts = rows.where("category <> 'unsupported_schema'").select(*keys, "artifact_id").distinct().groupBy(*keys).agg(F.count("*").alias("artifacts"))
+    levels = rows.select(*keys, F.explode(F.array("field", F.lit("*"))).alias("field"), "distance")
+    medians = exact_medians(levels, [*keys, "field"], "distance").select(*keys, "field", F.bround("median", 6).alias("distance_median"))
+    out = fields.unionByName(whole).join(artifacts, keys, "left").join(medians, [*keys, "field"], "left").fillna(0, ["artifacts"])
+    out = out.withColumns({"weight_sum": F.bround("weight_sum", 6), "distance_sum": F.bround("distance_sum", 6)})
     corrections = sum((F.col(k) for k in EDITS), F.lit(0))
     return out.select(
-        "review_id", "field", "comparable", "artifacts", *CATEGORIES, "distance_sum", "distance_median",
+        *keys, "field", "comparable", "artifacts", "generated_populated", "approved_populated", *CATEGORIES, "distance_sum", "distance_median",
         rate(F.col("accepted_unchanged"), F.col("comparable")).alias("accepted_rate"), rate(F.col("weight_sum"), F.col("comparable")).alias("weighted_intervention"),
         rate(F.col("distance_sum"), F.col("comparable")).alias("distance_mean"), rate(corrections, F.col("artifacts")).alias("corrections_per_artifact"),
     )
 
 
+def paired_values(metadata: DataFrame) -> DataFrame:
+    """The adapted leaves of both sides (``adapters.metadata_long``) side by side, as ``classify_values`` takes them.
+
+    Only outputs on both sides are compared. Where their schema versions agree, a leaf must be editorial on both sides; where they
+    differ, every leaf that is editorial on the generated side is a row of its own, which is not compared. Provenance is the generated side's.
+    """
+    keys = ["review_key", "artifact_id"]
+    g, a = (metadata.where(F.col("side") == s) for s in ("generated", "approved"))
+    versions = a.select(*keys, F.col("schema_version").alias("_other")).distinct()
+    left = g.where("editorial").select(*keys, "field", "schema_version", F.col("value").alias("generated_value"), "generation_disposition", "origin", "has_origin").join(versions, keys)
+    right = a.where("editorial").select(*keys, "field", F.col("value").alias("approved_value"), F.lit(True).alias("_there"))
+    same = F.col("schema_version").eqNullSafe(F.col("_other"))
+    both = left.join(right, [*keys, "field"], "left").where(~same | F.col("_there"))
+    status = F.when(same, "common").otherwise("schema_mismatch")
+    return both.select(F.col("review_key").alias("review_id"), "artifact_id", "field", status.alias("status"), "generated_value", "approved_value", F.col("generation_disposition").alias("disposition"), "origin", "has_origin")
+
+
 def with_freshness(classed: DataFrame) -> DataFrame:
     """Adds ``fresh`` from a record's ``origin``, ``has_origin`` and ``disposition``."""
     return classed.withColumn("fresh", counts_toward_acceptance(F.col("origin"), F.col("has_origin"), F.col("disposition")))
@@ -132,17 +163,23 @@ def metadata_accuracy(classed: DataFrame) -> DataFrame:
 
     ``coverage`` tells whether the disposition flag stands on none, some or all of the outputs that carry no origin.
     If on some only, fresh and preserved outputs cannot be told apart: the result is provisional
-    and the target is withheld, as it is where nothing fresh can be compared.
+    and the target is withheld, as it is where nothing fresh can be compared. ``excluded_fields`` counts what could be
+    compared but was taken over from before. Acceptance of everything without one edit looks like approval without inspection
+    (``no_inspection``), which is said and changes nothing else.
     """
-    c, own = F.col("category"), ~F.col("has_origin")
+    c, own, fresh = F.col("category"), ~F.col("has_origin"), F.col("fresh")
+    scored = ~c.isin(*UNCOMPARED)
     out = classed.groupBy("review_id").agg(
-        F.count_if(F.col("fresh") & (c == "accepted_unchanged")).alias("accepted"), F.count_if(F.col("fresh") & ~c.isin(*UNCOMPARED)).alias("comparable"),
-        F.count_if(own).alias("generation_path"), F.count_if(own & F.col("disposition").isNotNull()).alias("flagged"),
+        F.count_if(fresh & (c == "accepted_unchanged")).alias("accepted"), F.count_if(fresh & scored).alias("comparable"), F.count_if(fresh & c.isin(*EDITS)).alias("edited"),
+        F.count_if(~fresh & scored).alias("excluded_fields"), F.count_if(own).alias("generation_path"), F.count_if(own & F.col("disposition").isNotNull()).alias("flagged"),
     )
     coverage = F.when(F.col("flagged") == 0, "none").when(F.col("flagged") == F.col("generation_path"), "all").otherwise("partial")
     value = rate(F.col("accepted"), F.col("comparable"))
     able = (coverage != "partial") & (F.col("comparable") > 0)
-    return out.select("review_id", "accepted", "comparable", coverage.alias("coverage"), value.alias("accuracy"), (coverage == "partial").alias("provisional"), F.when(able, value >= ACCURACY_TARGET).alias("meets_target"))
+    return out.select(
+        "review_id", "accepted", "comparable", "edited", "excluded_fields", coverage.alias("coverage"), value.alias("accuracy"), (coverage == "partial").alias("provisional"),
+        F.when(able, value >= ACCURACY_TARGET).alias("meets_target"), ((F.col("comparable") > 0) & (value == 1.0) & (F.col("edited") == 0)).alias("no_inspection"),
+    )
 
 
 def editorial_burden(classed: DataFrame) -> DataFrame:

@@ -98,13 +98,15 @@ ORACLES = {
  count(*) filter (where is_rewrite) edited, {_N('removed')} deleted, {_N('added')} added from weighted group by 1)
 select *, {_R('accepted', 'generated_populated')} acceptance_rate, {_R('edited', 'generated_populated')} edit_rate, {_R('deleted', 'generated_populated')} deletion_rate, {_R('(edited + deleted)', 'generated_populated')} hallucination_proxy,
  {_R('added', 'approved_populated')} addition_rate, {_R('approved_populated', 'expected')} completeness from c""",
-    "revision_benchmark": f"""{W}, b as (select review_id, coalesce(field, '*') field, count(*) filter (where category <> 'abstention') comparable, count(distinct artifact_id) artifacts, {', '.join(f'{_N(k)} {k}' for k in R.CATEGORIES)},
- round_even(sum(cast(weight as double)), 6) ws, round_even(sum(distance), 6) distance_sum, round_even(median(distance), 6) distance_median from weighted group by grouping sets ((review_id, field), (review_id)))
-select * exclude (ws), {_R('accepted_unchanged', 'comparable')} accepted_rate, {_R('ws', 'comparable')} weighted_intervention, {_R('distance_sum', 'comparable')} distance_mean, {_R('(minor_wording_edit + moderate_rewrite + major_rewrite + complete_replacement + added + removed)', 'artifacts')} corrections_per_artifact from b""",
-    "metadata_accuracy": f"""{W}, a as (select review_id, count(*) filter (where fresh and category = 'accepted_unchanged') accepted, count(*) filter (where fresh and category <> 'abstention') comparable,
- count(*) filter (where not has_origin) path, count(*) filter (where not has_origin and disposition is not null) flagged from weighted group by 1),
+    "revision_benchmark": f"""{W}, r as (select *, unnest(case when fresh then ['all_common', 'fresh'] else ['all_common'] end) basis from weighted), l as (select *, unnest([field, '*']) f from r),
+n as (select review_id, basis, count(distinct artifact_id) artifacts from r group by 1, 2),
+b as (select review_id, basis, f field, count(*) filter (where category <> 'abstention') comparable, count(*) filter (where generated <> '') generated_populated, count(*) filter (where approved <> '') approved_populated, {', '.join(f'{_N(k)} {k}' for k in R.CATEGORIES)},
+ round_even(sum(cast(weight as double)), 6) ws, round_even(sum(distance), 6) distance_sum, round_even(median(distance), 6) distance_median from l group by 1, 2, 3)
+select * exclude (ws), {_R('accepted_unchanged', 'comparable')} accepted_rate, {_R('ws', 'comparable')} weighted_intervention, {_R('distance_sum', 'comparable')} distance_mean, {_R('(minor_wording_edit + moderate_rewrite + major_rewrite + complete_replacement + added + removed)', 'artifacts')} corrections_per_artifact from b join n using (review_id, basis)""",
+    "metadata_accuracy": f"""{W}, a as (select review_id, count(*) filter (where fresh and category = 'accepted_unchanged') accepted, count(*) filter (where fresh and category <> 'abstention') comparable, count(*) filter (where fresh and is_edit) edited,
+ count(*) filter (where not fresh and category <> 'abstention') excluded_fields, count(*) filter (where not has_origin) path, count(*) filter (where not has_origin and disposition is not null) flagged from weighted group by 1),
 c as (select *, case when flagged = 0 then 'none' when flagged = path then 'all' else 'partial' end coverage, {_R('accepted', 'comparable')} accuracy from a)
-select review_id, accepted, comparable, coverage, accuracy, coverage = 'partial' provisional, case when coverage <> 'partial' and comparable > 0 then accuracy >= 0.75 end meets_target from c""",
+select review_id, accepted, comparable, edited, excluded_fields, coverage, accuracy, coverage = 'partial' provisional, case when coverage <> 'partial' and comparable > 0 then accuracy >= 0.75 end meets_target, comparable > 0 and accuracy = 1.0 and edited = 0 no_inspection from c""",
     "editorial_burden": f"""{W}, t as (select *, list_distinct(list_filter(regexp_split_to_array(lower(generated), '[ \\t\\r\\n\\f\\v]+'), lambda x: x <> '')) g, list_distinct(list_filter(regexp_split_to_array(lower(approved), '[ \\t\\r\\n\\f\\v]+'), lambda x: x <> '')) a from weighted where fresh and category <> 'abstention'),
 e as (select *, case when len(list_distinct(list_concat(g, a))) > 0 then 1.0 - cast(len(list_intersect(g, a)) as double) / len(list_distinct(list_concat(g, a))) else 0.0 end eff from t),
 f as (select field, count(*) comparable, {_N('accepted_unchanged')} accepted, count(*) filter (where is_edit) edited, coalesce(round_even(avg(round_even(eff, 6)) filter (where is_edit), 6), 0.0) effort from e group by 1)

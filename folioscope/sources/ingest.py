@@ -25,7 +25,7 @@ EVIDENCE_VERSION = "v1"
 
 
 def files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
-    """Every file below ``root``: path, length, modificationTime, content. Unused columns are not read."""
+    """Every file below ``root`` that is not empty: path, length, modificationTime, content. Unused columns are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
 
 
