@@ -18,6 +18,37 @@ FAILURE_MODES = ("panel_splits", "panel_merges", "false_panels", "missing_page_p
 RECOMMENDATIONS: Mapping[str, tuple[float, str]] = {"panel_merges": (0.5, "geometry.under_segmentation"), "false_panels": (0.15, "geometry.precision_gap")}
 
 
+# The versions of this audit's own methods, which are axes of what may be compared.
+METHODS = {
+    "metric_definition_version": "v1", "geometry_detector_version": "v2", "iou_threshold": "0.5", "normalization_version": "v1",
+    "metadata_revision_distance_version": "v1", "metadata_accuracy_version": "v3", "evaluation_version": "v2",
+}
+# The axes of either task.
+GEOMETRY_AXES = ("task", "metric_definition_version", "geometry_detector_version", "iou_threshold", "normalization_version")
+METADATA_AXES = (
+    "task", "metric_definition_version", "metadata_prompt_version", "metadata_prompt_sha256", "metadata_model", "metadata_schema_version",
+    "metadata_revision_distance_version", "metadata_accuracy_version", "normalization_version", "evaluation_version",
+)
+
+
+def comparability(reviews: DataFrame, generators: DataFrame, methods: Mapping[str, str] = METHODS) -> DataFrame:
+    """``reviews`` with all axes of both tasks and the comparability key of each.
+
+    ``reviews`` and ``generators`` are those of an adapted record. The axes of a task depend on the versions of the audit's ``methods``;
+    those of metadata also on who made it (a mix has an axis value of its own) and on both sides' schema versions. A changed
+    axis changes the key, so that nothing is joined to one series that was not measured alike.
+    """
+    schemas = F.concat_ws("/", F.coalesce("generated_metadata_version", F.lit("None")), F.coalesce("approved_metadata_version", F.lit("None")))
+    told = {"metadata_prompt_version": F.col("prompt_version"), "metadata_prompt_sha256": F.col("prompt_sha256"), "metadata_model": F.col("model"), "metadata_schema_version": schemas}
+    value = lambda task, axis: F.lit(task) if axis == "task" else told.get(axis, F.lit(methods.get(axis)))
+    rows = reviews.join(generators.select("review_key", "model", "prompt_version", "prompt_sha256"), "review_key", "left")
+    for task, axes in (("geometry", GEOMETRY_AXES), ("metadata", METADATA_AXES)):
+        of = {a: value(task, a) for a in axes}
+        rows = rows.withColumn(f"{task}_axes", F.struct(*[c.cast("string").alias(a) for a, c in of.items()]))
+        rows = rows.withColumn(f"{task}_comparability_key", axes_key("cmp", of))
+    return rows.drop("model", "prompt_version", "prompt_sha256")
+
+
 def keyed(reports: DataFrame, axes: Sequence[str]) -> DataFrame:
     """Adds the comparability key: reports with different keys are never added up."""
     return reports.withColumn("comparability_key", axes_key("cmp", {a: F.col(a) for a in axes}))
@@ -120,6 +151,32 @@ def series_comparison(pts: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return seg.groupBy(*scope, "comparability_key", "methods").agg(*wide, F.max("reports").alias("reports")).withColumn("several_methods", F.col("methods") > 1)
 
 
+def compare_series(tasks: Mapping[str, tuple[DataFrame, Sequence[str]]], health: DataFrame) -> DataFrame:
+    """Series side by side: of each task the figures of its newest run's method and how many methods it has seen, and the health.
+
+    ``tasks`` maps a task's name to its points and metrics; tasks are keyed apart, so one may have changed its method where another has not
+    (``<task>_several_methods``). ``health`` has a row per series (publisher, title group and series together); one without any
+    benchmark stays, with nulls.
+    """
+    scope = list(PLACE[:3])
+    out = health
+    for task, (pts, metrics) in tasks.items():
+        part = series_comparison(pts, metrics)
+        names = {c: f"{task}_{c}" for c in ("comparability_key", "methods", "reports", "several_methods")}
+        out = out.join(part.withColumnsRenamed(names), scope, "left")
+    return out
+
+
+#: Fields edited more often than this are worth a look at the prompt.
+REWORK = 0.4
+
+
+def prompt_refinements(weak: DataFrame, most: float = REWORK) -> DataFrame:
+    """The weak fields whose rate of edits says that the prompt might be refined, with the advice; nothing is changed by it."""
+    found = weak.where((F.col("edit_rate") > most) & (F.col("comparable") > 0))
+    return found.select("field", "edit_rate", F.lit("high editorial rework").alias("reason"), F.lit("metadata.prompt_refinement").alias("code"))
+
+
 def scope_filter(entries: DataFrame, level: str, root: str, path: str = "path") -> DataFrame:
     """Entries at a scope's root or below it; all for the platform. A longer name that merely begins alike is outside."""
     if level == "platform":

@@ -11,7 +11,12 @@ from folioscope.functions.columns import axes_key
 from folioscope.operators.reports import FINDING_ORDER, run_id, worst_finding
 
 #: Roles without which the evidence counts as not loaded.
-REQUIRED_ROLES = ("published_pointer", "snapshot", "review")
+REQUIRED_ROLES = ("approved_pointer", "processing_snapshot", "review_report")
+
+
+def roles_of(manifest: DataFrame, key: str = "issue_prefix") -> DataFrame:
+    """(key, roles): each role's read status as a map, from ``ingest.evidence_manifest``; a manifest has a handful of roles."""
+    return manifest.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "status")))).alias("roles"))
 
 
 def _finding(code: str, severity: Column | str, detail: Column) -> Column:

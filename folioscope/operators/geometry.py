@@ -143,10 +143,23 @@ def geometry_delta(generated: DataFrame, approved: DataFrame, pairs: DataFrame)
         "review_id", "stratum", "generated", "approved", rate(c("matched_generated"), c("generated")).alias("precision"), rate(c("matched_approved"), c("approved")).alias("recall"),
         rate(c("split"), c("approved")).alias("split_rate"), rate(c("merged"), c("generated")).alias("merge_rate"), rate(c("false_panels"), c("generated")).alias("false_rate"),
         rate(c("missing"), c("approved")).alias("missing_rate"), rate(c("unchanged"), c("approved")).alias("unchanged_geometry_rate"),
-        corrections.alias("corrections"), rate(corrections, c("pages")).alias("corrections_per_page"), "earned", "credited",
+        corrections.alias("corrections"), rate(corrections, c("pages")).alias("corrections_per_page"), "earned", "credited", "pages",
     )
 
 
+def corrections_per_page(delta: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per review: corrections over its story pages, else all its pages, else the distinct pages of its generated boxes.
+
+    ``delta`` is ``geometry_delta``'s, ``pages`` has (review_id, total_story_pages, total_pages), of which either may be null or 0. Which
+    number was taken is said in ``page_basis``.
+    """
+    known = lambda c: F.when(F.col(c) > 0, F.col(c))
+    rows = delta.where("stratum = 'total'").join(pages, "review_id", "left")
+    taken = F.coalesce(known("total_story_pages"), known("total_pages"), F.col("pages"))
+    basis = F.when(known("total_story_pages").isNotNull(), "story_pages").when(known("total_pages").isNotNull(), "total_pages").otherwise("generated_pages")
+    return rows.select("review_id", "corrections", taken.alias("pages"), basis.alias("page_basis"), rate(F.col("corrections"), taken).alias("corrections_per_page"))
+
+
 def segmentation_accuracy(delta: DataFrame) -> DataFrame:
     """Earned credit over approved boxes plus generated ones that earned none, and whether it reaches the target band."""
     whole = F.col("approved") + F.col("generated") - F.col("credited")

@@ -86,6 +86,22 @@ def new_and_resolved(failures: DataFrame, newest: bool = False) -> DataFrame:
     return new.unionByName(before.join(last, keys, "left_anti").join(able, "dataset").withColumn("status", F.lit("resolved")))
 
 
+def failure_deltas(failures: DataFrame, scores: DataFrame) -> DataFrame:
+    """Per dataset and failure type: share of artifacts in the last two snapshots that carry failure data, the change, and whether it is new or resolved.
+
+    A type that one of the two lacks counts as 0 there; one that both lack is left out. Datasets with a single such snapshot have no rows.
+    """
+    days = failures.select("dataset", "day").distinct()
+    last = days.withColumn("_n", F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("day")))).where("_n <= 2")
+    both = last.join(last.where("_n = 2").select("dataset"), "dataset").join(scores.select("dataset", "day", "artifacts"), ["dataset", "day"], "left")
+    rows = failures.where("failures > 0").join(both, ["dataset", "day"])
+    side = lambda n, value: F.coalesce(F.max(F.when(F.col("_n") == n, value)), F.lit(0))
+    share = percent(F.col("failures"), F.coalesce("artifacts", F.lit(0)))
+    out = rows.groupBy("dataset", "failure").agg(side(2, share).alias("before"), side(1, share).alias("now"), F.count_if(F.col("_n") == 2).alias("_b"), F.count_if(F.col("_n") == 1).alias("_a"))
+    status = F.when(F.col("_b") == 0, "new").when(F.col("_a") == 0, "resolved").otherwise("known")
+    return out.select("dataset", "failure", "before", "now", (F.col("now") - F.col("before")).alias("delta"), status.alias("status"))
+
+
 def stagnant_domains(failures: DataFrame, scores: DataFrame, domains: Mapping[str, str]) -> DataFrame:
     """Domains whose mean share of failures has hardly moved between the first and the last snapshot and is above 0.
 

@@ -142,3 +142,28 @@ def grounding_benchmark(outputs: DataFrame, group: str) -> DataFrame:
         *[c for c in out.columns if c != "pins"], F.array_join("pins", ",").alias("version_pins"), rate(F.col("fresh_accepted"), F.col("fresh_comparable")).alias("acceptance"),
         ((F.col("n_unsupported_version") > 0) | (F.size("pins") > 1)).alias("version_skew"),
     )
+
+
+def grounding_applicability(outputs: DataFrame, manual: DataFrame) -> DataFrame:
+    """Per review: whether its grounding can be compared, why not, and the artifacts that are grounded on one side alone.
+
+    ``outputs`` has (review_key, side, artifact_id, materials): both sides' outputs with the number of supporting materials;
+    ``manual`` the review keys of manual publications. Grounding on an output of one side counts as grounding of the review, though there
+    is nothing to compare it with. The ids are counted, and listed in ``grounded_on_one_side``.
+    """
+    one = outputs.groupBy("review_key", "artifact_id").agg(
+        F.max(F.when(F.col("side") == "generated", F.col("materials"))).alias("g"), F.max(F.when(F.col("side") == "approved", F.col("materials"))).alias("a")
+    )
+    rows = one.groupBy("review_key").agg(
+        F.count_if((F.coalesce("g", F.lit(0)) > 0) | (F.coalesce("a", F.lit(0)) > 0)).alias("grounded"), F.count_if(F.col("a").isNull() & (F.col("g") > 0)).alias("grounded_only_generated"),
+        F.count_if(F.col("g").isNull() & (F.col("a") > 0)).alias("grounded_only_approved"),
+    )
+    marked = rows.join(manual.select("review_key", F.lit(True).alias("_manual")), "review_key", "left")
+    reason = F.when(F.col("_manual"), "manual_publication").when(F.col("grounded") == 0, "no_materials_grounding")
+    return marked.select("review_key", reason.isNull().alias("applicable"), reason.alias("reason"), "grounded_only_generated", "grounded_only_approved")
+
+
+def grounded_on_one_side(outputs: DataFrame) -> DataFrame:
+    """(review_key, side, artifact_id) of the grounded outputs that the other side does not have."""
+    seen = outputs.groupBy("review_key", "artifact_id").agg(F.count("*").alias("sides"), F.max("side").alias("side"), F.max("materials").alias("materials"))
+    return seen.where("sides = 1 and materials > 0").select("review_key", "side", "artifact_id")

@@ -63,3 +63,29 @@ def series_summary(series: DataFrame) -> DataFrame:
 def rollup(registry: DataFrame) -> DataFrame:
     """Issues at each level of the hierarchy; null marks a level that is summed over."""
     return registry.rollup(*SERIES).agg(F.count("*").alias("issues"), F.count("revision").alias("published"), F.grouping_id().alias("level_bits"))
+
+
+def members(registry: DataFrame) -> DataFrame:
+    """One row per level, group and issue: which issues lie in each publisher, title group and series.
+
+    Groups are those of one level's name alone, so a title group or series that several publishers have is one group. As rows
+    a group may hold any number of issues.
+    """
+    levels = F.array(*[F.struct(F.lit(s).alias("level"), F.col(s).cast("string").alias("value")) for s in SERIES])
+    return registry.select(F.inline(levels), F.concat_ws("/", *SERIES, F.col("issue").cast("string")).alias("issue_path"))
+
+
+def tree(registry: DataFrame) -> DataFrame:
+    """The nesting of publishers, title groups, series and issues, a row per node: path, parent's path, level, name, children, issues.
+
+    Issues below a node are summed up level by level.
+    """
+    names = (*SERIES, "issue")
+    path = lambda k: F.concat_ws("/", *[F.col(n).cast("string") for n in names[:k]])
+    nodes = registry.groupBy(*names).agg(F.lit(0).cast("long").alias("children"), F.lit(1).cast("long").alias("issues"))
+    out = None
+    for k in range(len(names), 0, -1):
+        part = nodes.select(path(k).alias("path"), (path(k - 1) if k > 1 else F.lit(None).cast("string")).alias("parent"), F.lit(names[k - 1]).alias("level"), F.col(names[k - 1]).cast("string").alias("name"), "children", "issues")
+        out = part if out is None else out.unionByName(part)
+        nodes = nodes.groupBy(*names[: k - 1]).agg(F.count("*").alias("children"), F.sum("issues").alias("issues")) if k > 1 else nodes
+    return out

@@ -83,9 +83,24 @@ def unprocessed(current: DataFrame, attempts: DataFrame, fingerprint: str, force
     return current.join(done, "revision", "left_anti")
 
 
-def search_index(index: DataFrame, equal: Mapping[str, object] | None = None, within: Mapping[str, tuple[float | None, float | None]] | None = None, contains: Mapping[str, str] | None = None, dates: tuple[str, str, str] | None = None) -> DataFrame:
-    """Index entries by equality, ranges of metrics (a null never matches), parts of texts, and a range of dates."""
+def search_index(
+    index: DataFrame, equal: Mapping[str, object] | None = None, within: Mapping[str, tuple[float | None, float | None]] | None = None, contains: Mapping[str, str] | None = None, dates: tuple[str, str, str] | None = None,
+    revision: str | None = None, finding: str | None = None, severity: str | None = None, commit: str | None = None,
+) -> DataFrame:
+    """Index entries by equality, ranges of metrics (a null never matches), parts of texts, and a range of dates.
+
+    ``revision`` is that of either side, ``finding`` a code among ``finding_codes``, ``severity`` one of which ``finding_counts`` has any,
+    ``commit`` a part of the publisher's or the audit's commit.
+    """
     out = index
+    if revision is not None:
+        out = out.where(F.lit(revision).eqNullSafe(F.col("published_revision_id")) | F.lit(revision).eqNullSafe(F.col("generated_snapshot_revision_id")))
+    if finding is not None:
+        out = out.where(F.coalesce(F.array_contains("finding_codes", finding), F.lit(False)))
+    if severity is not None:
+        out = out.where(F.coalesce(F.try_element_at("finding_counts", F.lit(severity)), F.lit(0)) > 0)
+    if commit is not None:
+        out = out.where(F.contains(F.coalesce("publisher_commit", F.lit("")), F.lit(commit)) | F.contains(F.coalesce("audit_commit", F.lit("")), F.lit(commit)))
     for column, value in (equal or {}).items():
         out = out.where(F.col(column) == value)
     for column, (low, high) in (within or {}).items():
@@ -170,6 +185,19 @@ def consolidated(blocks: Mapping[str, DataFrame]) -> DataFrame:
     return out.withColumn("first", F.row_number().over(order) == 1)
 
 
+def correction_ledger(boxes: DataFrame, metadata: DataFrame) -> DataFrame:
+    """All corrections of a review in one numbered ledger: boxes first, then metadata, each by operation and artifact.
+
+    ``boxes`` are the geometry's (review_id, operation, page_scope, box_id, hits), ``metadata`` the revisions' (review_id, operation,
+    artifact_id, fields); ``amount`` is the number of matches or of fields. The number is the row's place within its review.
+    """
+    review, none = F.col("review_id").cast("string").alias("review_id"), F.lit(None).cast("string")
+    first = boxes.select(review, F.lit(0).alias("part"), F.lit("geometry").alias("task"), "operation", F.col("box_id").cast("string").alias("artifact_id"), F.col("page_scope").cast("string").alias("page_scope"), F.col("hits").cast("long").alias("amount"))
+    second = metadata.select(review, F.lit(1).alias("part"), F.lit("metadata").alias("task"), "operation", F.col("artifact_id").cast("string").alias("artifact_id"), none.alias("page_scope"), F.col("fields").cast("long").alias("amount"))
+    order = [F.col(c) for c in ("part", "operation", "artifact_id", "page_scope", "amount")]
+    return ranked(first.unionByName(second), ["review_id"], order, "number").drop("part")
+
+
 def status_counts(rows: DataFrame, by: Sequence[str], status: str = "status") -> DataFrame:
     """Rows of each status."""
     return rows.groupBy(*by, status).agg(F.count("*").alias("rows"))

@@ -29,7 +29,15 @@ def best_match(spark, d):
 
 
 def geometry_delta(spark, d):
-    return G.geometry_delta(*_stored(spark, d)).drop("earned", "credited")
+    return G.geometry_delta(*_stored(spark, d)).drop("earned", "credited", "pages")
+
+
+def corrections_per_page(spark, d):
+    """Reviews (parts) that tell their story pages, all their pages, or neither."""
+    delta = G.geometry_delta(*_stored(spark, d))
+    r = F.col("review_id")
+    pages = delta.where("stratum = 'total'").select("review_id", F.when(r % 3 == 0, r % 7).alias("total_story_pages"), F.when(r % 2 == 0, r % 5 + 1).alias("total_pages"))
+    return G.corrections_per_page(delta, pages)
 
 
 def segmentation_accuracy(spark, d):
@@ -64,7 +72,7 @@ def box_corrections(spark, d):
     return G.correction_ledger(*_stored(spark, d))
 
 
-QUERIES = [iou_matches, best_match, geometry_delta, segmentation_accuracy, resize_diag, resize_bias, page_overlap, reading_order, panel_size_recall, page_diagnostics, box_corrections]
+QUERIES = [iou_matches, best_match, geometry_delta, corrections_per_page, segmentation_accuracy, resize_diag, resize_bias, page_overlap, reading_order, panel_size_recall, page_diagnostics, box_corrections]
 
 SIDES = V.BOXES + """,
 best as (select * from (select *, row_number() over (partition by review_id, stratum, page_scope, app_id order by iou desc, gen_id) k from matches) where k = 1),
@@ -102,6 +110,9 @@ ORACLES = {
     "best_match": f"with {SIDES} select review_id, page_scope, app_id, gen_id, round_even(iou, 6) iou from best",
     "geometry_delta": f"""with {SIDES} select review_id, stratum, generated, approved, {_R('mg', 'generated')} "precision", {_R('ma', 'approved')} recall, {_R('split', 'approved')} split_rate, {_R('merged', 'generated')} merge_rate, {_R('fp', 'generated')} false_rate,
  {_R('missing', 'approved')} missing_rate, {_R('unchanged', 'approved')} unchanged_geometry_rate, fp + missing + split + merged corrections, {_R('(fp + missing + split + merged)', 'pages')} corrections_per_page from summed""",
+    "corrections_per_page": f"""with {SIDES}, t as (select review_id, fp + missing + split + merged corrections, case when review_id % 3 = 0 and review_id % 7 > 0 then review_id % 7 end sp, case when review_id % 2 = 0 then review_id % 5 + 1 end tp, pages from summed where stratum = 'total'),
+n as (select review_id, corrections, cast(coalesce(sp, tp, pages) as bigint) pages, case when sp is not null then 'story_pages' when tp is not null then 'total_pages' else 'generated_pages' end page_basis from t)
+select *, {_R('corrections', 'pages')} corrections_per_page from n""",
     "segmentation_accuracy": f"""with {SIDES}, v as (select *, approved + generated - credited possible, coalesce(round_even(earned / nullif(approved + generated - credited, 0), 6), 0.0) accuracy from summed)
 select review_id, stratum, round_even(earned, 6) earned, possible, accuracy, case when accuracy >= 0.99 then 'above' when accuracy >= 0.95 then 'within' else 'below' end target from v""",
     "resize_diag": f"with {SIDES}, {_DIAG} select review_id, page_scope, app_id, gen_id, area_ratio, dx, dy, dw_pct, dh_pct from diag",

@@ -152,11 +152,14 @@ def _reviews(spark, d):
     meta = E.metadata_delta(revision_plans._classed(spark, d)).select("review_id", c("expected").alias("meta_expected"), c("acceptance_rate").alias("meta_acceptance_rate"), c("edit_rate").alias("meta_edit_rate"), c("addition_rate").alias("meta_addition_rate"))
     rows = total.join(part("page", "geo_missing"), "review_id", "left").join(part("spread", "geo_spread_missing"), "review_id", "left").join(meta, "review_id", "left")
     r = c("review_id")
-    status = lambda k: F.when(r % 11 == k, "missing").when(r % 13 == k, "denied").otherwise("read")
-    roles = F.map_from_arrays(F.array(*map(F.lit, (*P.REQUIRED_ROLES, "platform_approval"))), F.array(*[status(k) for k in range(4)]))
+    each = rows.select("review_id", F.inline(F.array(*[F.struct(F.lit(name).alias("role"), F.lit(k).alias("k")) for k, name in enumerate(I.ROLES)])))
+    denied = r % 13 == c("k")
+    objects = each.where(r % 11 != c("k")).select(c("review_id").alias("issue_prefix"), "role", F.when(~denied, c("role").cast("binary")).alias("content"), F.when(denied, "denied").alias("error"))
+    roles = P.roles_of(I.evidence_manifest(rows.select(c("review_id").alias("issue_prefix")), objects)).withColumnRenamed("issue_prefix", "review_id")
+    rows = rows.join(roles, "review_id")
     there = c("meta_expected").isNotNull()
     return rows.select(
-        "review_id", roles.alias("roles"), F.when(r % 17 == 5, "unsupported review_version").alias("adapter_error"), F.when(r % 4 == 0, "platform_approved").otherwise("creator_approved").alias("certified_state"), (r % 4 != 3).alias("passes_integrity"),
+        "review_id", "roles", F.when(r % 17 == 5, "unsupported review_version").alias("adapter_error"), F.when(r % 4 == 0, "platform_approved").otherwise("creator_approved").alias("certified_state"), (r % 4 != 3).alias("passes_integrity"),
         there.alias("meta_applicable"), F.when(r % 5 != 0, c("meta_expected")).otherwise(0).alias("meta_compared"), F.when(r % 5 == 0, c("meta_expected")).otherwise(0).alias("meta_mismatched"), F.when(~there, "manual_publication").alias("meta_reason"),
         "meta_acceptance_rate", "meta_edit_rate", "meta_addition_rate", (r % 19 != 7).alias("geo_applicable"), F.when(r % 19 == 7, "manual_publication").alias("geo_reason"),
         *[c(n).alias(f"geo_{n}") for n in ("precision", "recall", "split_rate", "merge_rate")], "geo_approved", F.coalesce("geo_missing", F.lit(0)).alias("geo_missing"), F.coalesce("geo_spread_missing", F.lit(0)).alias("geo_spread_missing"), "geo_false",
@@ -209,7 +212,7 @@ base as (select t.review_id, t."precision", t.recall, t.split_rate, t.merge_rate
    expected, acceptance_rate, edit_rate, addition_rate, expected is not null applicable
   from gd t left join gd p on p.review_id = t.review_id and p.stratum = 'page' left join gd s on s.review_id = t.review_id and s.stratum = 'spread' left join md on md.review_id = t.review_id where t.stratum = 'total'),
 reviews as (select *, {', '.join(f"case when review_id % 11 = {k} then 'missing' when review_id % 13 = {k} then 'denied' else 'read' end r{k}" for k in range(4))}, review_id % 17 = 5 bad, review_id % 19 <> 7 geo, case when review_id % 5 <> 0 then expected else 0 end compared, case when review_id % 5 = 0 then expected else 0 end mismatched from base)"""
-_FINDINGS = f"""{_REVIEWS}, lacking as (select review_id, array_to_string(list_filter([case when r0 <> 'read' then 'published_pointer' end, case when r1 <> 'read' then 'snapshot' end, case when r2 <> 'read' then 'review' end], lambda x: x is not null), ', ') l from reviews),
+_FINDINGS = f"""{_REVIEWS}, lacking as (select review_id, array_to_string(list_filter([case when r0 <> 'read' then 'approved_pointer' end, case when r1 <> 'read' then 'processing_snapshot' end, case when r2 <> 'read' then 'review_report' end], lambda x: x is not null), ', ') l from reviews),
 findings as (
  select review_id, 'evidence.loaded' code, case when l = '' then 'PASS' else 'FAIL' end severity, ((r0 = 'read')::int + (r1 = 'read')::int + (r2 = 'read')::int + (r3 = 'read')::int) || '/4 objects read' || case when l <> '' then '; required not read: ' || l else '' end detail from reviews join lacking using (review_id)
  union all select review_id, 'platform.approval', case r3 when 'read' then 'PASS' when 'missing' then 'WARNING' else 'FAIL' end, r3 from reviews

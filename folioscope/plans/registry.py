@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from folioscope.plans import benchmark_plans, digest_plans, geometry_plans, ingest_plans, quality_plans, review_plans, revision_plans, store_plans, stream_plans
+from folioscope.plans import benchmark_plans, digest_plans, geometry_plans, ingest_plans, quality_plans, report_plans, review_plans, revision_plans, store_plans, stream_plans
 
-MODULES = (benchmark_plans, quality_plans, geometry_plans, revision_plans, store_plans, digest_plans, ingest_plans, review_plans, stream_plans)
+MODULES = (benchmark_plans, quality_plans, geometry_plans, revision_plans, store_plans, digest_plans, ingest_plans, review_plans, report_plans, stream_plans)
 
 
 def queries() -> dict[str, Callable]:
