@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,27 +115,43 @@ def _sides(generated: DataFrame, approved: DataFrame, pairs: DataFrame) -> tuple
     return g, a
 
 
+def marked(pairs: DataFrame) -> DataFrame:
+    """Pairs with their boxes' numbers of matches (``g_hits``, ``a_hits``), marks that count each box once, and the best pairs.
+
+    ``g_first`` and ``a_first`` stand on one pair of each box, ``best`` on the best pair of an approved one, ``credited`` on one pair of a generated box that has
+    any best pair. Pairs are dealt by page once; all windows stay within that.
+    """
+    gen, app = Window.partitionBy(*PAGE, "gen_id"), Window.partitionBy(*PAGE, "app_id")
+    rows = pairs.select(*PAGE, "gen_id", "app_id", "iou").repartition(*PAGE)
+    rows = rows.withColumns({"g_hits": F.count("*").over(gen), "a_hits": F.count("*").over(app), "best": F.row_number().over(app.orderBy(F.desc("iou"), "gen_id")) == 1})
+    rows = rows.withColumns({"g_first": F.row_number().over(gen.orderBy(F.desc("best"), "app_id")) == 1, "a_first": F.col("best")})
+    return rows.withColumn("credited", F.col("g_first") & F.col("best"))
+
+
+def _matched(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts of matched boxes by ``keys``, summed where the marks lie."""
+    c = F.col
+    return marks.groupBy(*keys).agg(
+        F.count_if("g_first").alias("matched_generated"), F.count_if(c("g_first") & (c("g_hits") > 1)).alias("merged"), F.count_if("a_first").alias("matched_approved"), F.count_if(c("a_first") & (c("a_hits") > 1)).alias("split"),
+        F.count_if((c("g_hits") == 1) & (c("a_hits") == 1)).alias("unchanged"), F.count_if("credited").alias("credited"), F.sum(F.when(c("best"), c("iou"))).alias("earned"),
+    )
+
+
 def geometry_delta(generated: DataFrame, approved: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per review and stratum, and over all strata (``total``): counts and ratios of matched boxes.
 
     Earned credit is the sum of best IoUs, rounded by stratum before strata are added. Every ratio has the
-    counts beside it, so that higher levels can be re-added.
+    counts beside it, so that higher levels can be re-added. Boxes are only counted, and pairs counted where they lie; what is joined is
+    one row per review and stratum.
     """
-    g, a = _sides(generated, approved, pairs)
-    best = best_matches(pairs)
-    g_part = g.groupBy("review_id", "stratum").agg(
-        F.count("*").alias("generated"), F.count_if(F.col("hits") >= 1).alias("matched_generated"), F.count_if(F.col("hits") > 1).alias("merged"), F.count_if(F.col("hits") == 0).alias("false_panels"), F.countDistinct("page_key").alias("pages")
-    )
-    a_part = a.groupBy("review_id", "stratum").agg(
-        F.count("*").alias("approved"), F.count_if(F.col("hits") >= 1).alias("matched_approved"), F.count_if(F.col("hits") > 1).alias("split"), F.count_if(F.col("hits") == 0).alias("missing")
-    )
-    one_to_one = pairs.withColumn("_g", F.count("*").over(Window.partitionBy(*KEYS, "gen_id"))).withColumn("_a", F.count("*").over(Window.partitionBy(*KEYS, "app_id")))
-    same = one_to_one.where("_g = 1 and _a = 1").groupBy("review_id", "stratum").agg(F.count("*").alias("unchanged"))
-    earned = best.groupBy("review_id", "stratum").agg(F.bround(F.sum("iou"), 6).alias("earned"), F.countDistinct("page_key", "gen_id").alias("credited"))
     keys = ["review_id", "stratum"]
-    joined = g_part.join(a_part, keys, "full_outer").join(same, keys, "left").join(earned, keys, "left")
+    found = _matched(marked(pairs), keys).withColumn("earned", F.bround("earned", 6))
+    g_part = paged(generated).groupBy(*PAGE).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("generated"), F.count("*").alias("pages"))
+    a_part = approved.where("not deleted").groupBy(*keys).agg(F.count("*").alias("approved"))
+    joined = g_part.join(a_part, keys, "full_outer").join(found, keys, "left")
     counts = ("generated", "matched_generated", "merged", "false_panels", "pages", "approved", "matched_approved", "split", "missing", "unchanged", "credited")
-    filled = joined.fillna(0, list(counts)).fillna(0.0, ["earned"])
+    filled = joined.fillna(0, [n for n in counts if n not in ("false_panels", "missing")]).fillna(0.0, ["earned"])
+    filled = filled.withColumns({"false_panels": F.col("generated") - F.col("matched_generated"), "missing": F.col("approved") - F.col("matched_approved")})
     both = filled.groupingSets([["review_id", "stratum"], ["review_id"]], "review_id", "stratum").agg(*[F.sum(c).alias(c) for c in (*counts, "earned")])
     out = both.withColumn("stratum", F.coalesce("stratum", F.lit("total")))
     c = F.col
@@ -220,15 +237,16 @@ def panel_size_recall(generated: DataFrame, approved: DataFrame, pairs: DataFram
 def page_diagnostics(generated: DataFrame, approved: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per page: boxes on both sides, recall, overlaps, order agreement, false, missing and deleted boxes."""
     keys = ["review_id", "page_key"]
-    g, a = _sides(generated, approved, pairs)
-    g_part = g.groupBy(*keys).agg(F.count("*").alias("generated"), F.count_if(F.col("hits") == 0).alias("false_panels"))
-    a_part = a.groupBy(*keys).agg(F.count("*").alias("approved"), F.count_if(F.col("hits") > 0).alias("matched"), F.count_if(F.col("hits") == 0).alias("missing"))
-    deleted = located(approved).groupBy(*keys).agg(F.count_if("deleted").alias("deleted"))
+    found = _matched(marked(pairs), keys).select(*keys, "matched_generated", F.col("matched_approved").alias("matched"))
+    sides = paged(generated).select(*keys, F.lit(1).alias("g"), F.lit(0).alias("a"), F.lit(0).alias("d")).unionByName(
+        paged(approved).select(*keys, F.lit(0).alias("g"), F.when(F.col("deleted"), 0).otherwise(1).alias("a"), F.when(F.col("deleted"), 1).otherwise(0).alias("d"))
+    )
+    boxes = sides.groupBy(*keys).agg(F.sum("g").alias("generated"), F.sum("a").alias("approved"), F.sum("d").alias("deleted")).where("generated > 0 or approved > 0")
     overlaps = page_overlaps(generated).groupBy(*keys).agg(F.count("*").alias("overlap_pairs"))
     order = reading_order(best_matches(pairs)).select(*keys, "agreement")
-    out = g_part.join(a_part, keys, "full_outer").join(deleted, keys, "left").join(overlaps, keys, "left").join(order, keys, "left")
-    out = out.fillna(0, ["generated", "false_panels", "approved", "matched", "missing", "deleted", "overlap_pairs"]).fillna(1.0, ["agreement"])
-    return out.withColumn("recall", rate(F.col("matched"), F.col("approved"))).withColumn("page_scope", F.nullif(F.col("page_key"), F.lit("\0"))).drop("page_key")
+    out = boxes.join(found, keys, "left").join(overlaps, keys, "left").join(order, keys, "left").fillna(0, ["matched_generated", "matched", "overlap_pairs"]).fillna(1.0, ["agreement"])
+    counted = out.withColumns({"false_panels": F.col("generated") - F.col("matched_generated"), "missing": F.col("approved") - F.col("matched")})
+    return counted.withColumn("recall", rate(F.col("matched"), F.col("approved"))).withColumn("page_scope", F.nullif(F.col("page_key"), F.lit("\0"))).drop("page_key", "matched_generated")
 
 
 def correction_ledger(generated: DataFrame, approved: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -221,6 +221,27 @@ def packet_coverage(refs: DataFrame, artifacts: DataFrame) -> DataFrame:
     )
 
 
+# What a failed check of a packet is, and how severe.
+PACKET_GAPS = (
+    ("has_confidence", "confidence_not_scored", "high", "score_confidence"), ("has_matched", "no_matched_fields", "high", "record_matched_fields"),
+    ("has_scope", "empty_scope", "medium", "define_scope"), ("all_approved", "unapproved_artifacts", "high", "approve_artifacts"),
+)
+
+
+def packet_findings(packets: DataFrame) -> DataFrame:
+    """One row per check that a packet fails (dataset, packet_id, gap, severity, recommendation); ``packets`` are those of ``packet_checks``."""
+    failed = _flags([(gap, severity, advice, f"not {check}") for check, gap, severity, advice in PACKET_GAPS], lambda g: F.struct(F.lit(g[0]).alias("gap"), F.lit(g[1]).alias("severity"), F.lit(g[2]).alias("recommendation")))
+    return packets.select("dataset", "packet_id", F.inline(failed))
+
+
+def packet_blockers(findings: DataFrame, coverage: DataFrame, packets: DataFrame) -> DataFrame:
+    """Per dataset and gap the packets that have it; too low a coverage is a blocker that concerns all packets."""
+    by_gap = findings.groupBy("dataset", F.col("gap").alias("blocker"), "severity").agg(F.count("*").alias("packets"))
+    totals = packets.groupBy("dataset").agg(F.count("*").alias("packets"))
+    low = coverage.where("blocker is not null").select("dataset", F.lit("low_packet_coverage").alias("blocker"), F.col("blocker").alias("severity"))
+    return by_gap.unionByName(low.join(totals, "dataset", "left").fillna(0, ["packets"]))
+
+
 def artifact_blockers(artifacts: DataFrame, blockers=BLOCKERS) -> DataFrame:
     """Per dataset and blocker: count, share, band; blockers that nobody has are left out."""
     flags = _flags(blockers, lambda b: F.struct(F.lit(b[0]).alias("blocker"), F.lit(b[1]).alias("severity")))

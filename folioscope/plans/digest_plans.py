@@ -31,7 +31,9 @@ def daily_digest(spark, d):
 def consolidated_findings(spark, d):
     causes = P.root_cause(spark, d).where("impact <> 'low'").select("dataset", "severity", F.col("failure").alias("finding"), F.concat(F.lit("fix_"), "domain").alias("recommendation"))
     blockers = P.artifact_blockers(spark, d).where("impact <> 'low'").select("dataset", "severity", F.col("blocker").alias("finding"), F.concat(F.lit("fix_"), F.when(F.col("blocker").startswith("missing"), "enrichment").otherwise("retrieval")).alias("recommendation"))
-    return S.consolidated({"root_cause": causes, "retrieval": blockers}).select("dataset", "source", "severity", "finding", "recommendation", "first")
+    backlogs = P.dataset_findings(spark, d).where("artifact_id is null").select("dataset", "severity", "finding", F.concat(F.lit("fix_"), F.split_part("finding", F.lit("_"), F.lit(1))).alias("recommendation"))
+    gaps = P.packet_blockers(spark, d).select("dataset", "severity", F.col("blocker").alias("finding"), F.lit("fix_retrieval").alias("recommendation"))
+    return S.consolidated({"root_cause": causes, "dataset": backlogs, "packets": gaps, "retrieval": blockers}).select("dataset", "source", "severity", "finding", "recommendation", "first")
 
 
 QUERIES = [daily_digest, consolidated_findings]
@@ -57,6 +59,7 @@ left join {_sub('highest_leverage')} l on l.dataset = s.dataset and leverage_ran
 left join (select dataset, string_agg(artifact_id::varchar, ',' order by priority) review_first from {_sub('priority_rank')} where priority <= 5 group by 1) q on q.dataset = s.dataset
 left join nw on nw.dataset = s.dataset left join rs on rs.dataset = s.dataset left join st on st.dataset = s.dataset""",
     "consolidated_findings": f"""with f as (select dataset, 'root_cause' source, 0 k, severity, failure finding, 'fix_' || domain recommendation from {_sub('root_cause')} where impact <> 'low'
- union all select dataset, 'retrieval', 1, severity, blocker, 'fix_' || case when blocker like 'missing%' then 'enrichment' else 'retrieval' end from {_sub('artifact_blockers')} where impact <> 'low')
+ union all select dataset, 'dataset', 1, severity, finding, 'fix_' || split_part(finding, '_', 1) from {_sub('dataset_findings')} where artifact_id is null union all select dataset, 'packets', 2, severity, blocker, 'fix_retrieval' from {_sub('packet_blockers')}
+ union all select dataset, 'retrieval', 3, severity, blocker, 'fix_' || case when blocker like 'missing%' then 'enrichment' else 'retrieval' end from {_sub('artifact_blockers')} where impact <> 'low')
 select dataset, source, severity, finding, recommendation, row_number() over (partition by dataset, recommendation order by k, finding) = 1 "first" from f""",
 }

@@ -106,6 +106,14 @@ def packet_coverage(spark, d):
     return Q.packet_coverage(V.packets(spark, d), V.artifacts(spark, d))
 
 
+def packet_findings(spark, d):
+    return Q.packet_findings(_packets(spark, d))
+
+
+def packet_blockers(spark, d):
+    return Q.packet_blockers(packet_findings(spark, d), packet_coverage(spark, d), _packets(spark, d))
+
+
 def artifact_blockers(spark, d):
     return Q.artifact_blockers(V.artifacts(spark, d))
 
@@ -133,7 +141,7 @@ def page_lookup(spark, d):
 
 QUERIES = [
     dataset_scores, weak_queue, weak_summary, priority_rank, page_heatmap, root_cause, failure_samples, highest_leverage, failure_clusters,
-    packet_checks, packet_coverage, artifact_blockers, retrieval_readiness, approval_backlog, dataset_findings, page_lookup,
+    packet_checks, packet_findings, packet_blockers, packet_coverage, artifact_blockers, retrieval_readiness, approval_backlog, dataset_findings, page_lookup,
 ]
 
 _ORDER = "case severity when 'high' then 3 when 'medium' then 2 else 1 end"
@@ -155,6 +163,9 @@ select dataset, failure, domain, category, severity, 'issue_wide' scope, cast(nu
 union all select dataset, failure, domain, category, severity, 'page', page, n, t, {_PCT('n', 't')}, {_IMPACT(_PCT('n', 't'))} from local where n >= 2 and n * 100 >= t * 50
 union all select dataset, failure, domain, category, severity, 'unpaged', null, n, t, null, null from loose where n >= 2""",
     "packet_checks": f"with {CHECKED} select *, checks_passed * 25 packet_score from checked",
+    "packet_findings": f"with {CHECKED} " + " union all ".join(f"select dataset, packet_id, '{gap}' gap, '{severity}' severity, '{advice}' recommendation from checked where not {check}" for check, gap, severity, advice in Q.PACKET_GAPS),
+    "packet_blockers": f"with {CHECKED} " + " union all ".join(f"select dataset, '{gap}' blocker, '{severity}' severity, count(*) packets from checked where not {check} group by 1" for check, gap, severity, _ in Q.PACKET_GAPS)
+    + " union all select dataset, 'low_packet_coverage', case when coverage < 50 then 'high' else 'medium' end, coalesce(n, 0) from cover left join (select dataset, count(*) n from checked group by 1) using (dataset) where coverage < 100",
     "packet_coverage": f"with {CHECKED} select *, case when coverage < 50 then 'high' when coverage < 100 then 'medium' end blocker from cover",
     "artifact_blockers": f"with {CHECKED} select *, {_IMPACT('share')} impact from blocked",
     "retrieval_readiness": f"""with {CHECKED}, w as (
