@@ -212,3 +212,16 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        case failed_bits & %d %s end sole_rule
 from b
 """ % (" + ".join(f"(case when {rule} then {1 << k} else 0 end)" for k, rule in enumerate(RULES.values())), rule_mask(POLICIES[CURRENT]), rule_mask(POLICIES[CURRENT]), " ".join(f"when {1 << k} then '{rule}'" for k, rule in enumerate(RULES)))
+
+
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each policy version and rule, over all documents: how many the rule fails, how many it alone rejects, how many are rejected."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ablations(annotate(docs).select("ledger.failed"))
+
+
+_TOLD = ", ".join(f"('{p}', '{r}', {rule_mask(rules)}, {1 << list(RULES).index(r)})" for p, rules in POLICIES.items() for r in rules)
+ABLATIONS_SQL = f"""
+select policy, rule, count(*) filter (failed_bits & bit <> 0) failed_rows, count(*) filter (failed_bits & mask = bit) rejected_by_it_alone, count(*) filter (failed_bits & mask <> 0) rejected_rows
+from ({ORACLE_SQL}) ledger, (values {_TOLD}) told(policy, rule, mask, bit) group by policy, rule
+"""

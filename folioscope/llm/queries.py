@@ -19,6 +19,7 @@ _NAMES = {
     "op11_token_counts": "token_counts",
     "op12_merkle_manifest": "merkle",
     "op13_centroid_clusters": "clustering",
+    "quality_rule_ablations": "quality",
 }
 
 
@@ -32,6 +33,7 @@ _ORACLES = {
     "op5_quality_rules": ("quality", "ORACLE_SQL"),
     "op6_near_duplicates": ("near_dup", "ORACLE_SQL"),
     "op8_secret_scan": ("secrets", "ORACLE_SQL"),
+    "quality_rule_ablations": ("quality", "ABLATIONS_SQL"),
     "op12_merkle_manifest": ("merkle", "ORACLE_SQL"),
     "op13_centroid_clusters": ("clustering", "ORACLE_SQL"),
 }

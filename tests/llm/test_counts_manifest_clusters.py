@@ -216,7 +216,7 @@ def test_dictionaries_lose_nothing(spark, sf):
             assert all(len(np.unique(entries, axis=0)) == len(entries) for _, entries, _ in parts)
 
 
-@pytest.mark.parametrize("name", ["op12_merkle_manifest", "op13_centroid_clusters"])
+@pytest.mark.parametrize("name", ["op12_merkle_manifest", "op13_centroid_clusters", "quality_rule_ablations"])
 def test_matches_sql(spark, sf, name):
     ours = queries.queries()[name](spark, sf)
     con = duckdb.connect()
