@@ -46,11 +46,10 @@ MARKS = frozenset(
 #: Words in a class, id or role that mark the article's own element.
 ARTICLE_MARKS = frozenset("article articlebody content entry main maincontent post story".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
-#: A start tag of the left closes an open one of its set.
-#: An end tag of the left closes at most up to the nearest of the right; a start tag closes an open one of its set.
 #: Elements that hold one run of text; a container is wider than they are.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote caption figcaption summary legend center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A start tag of the left closes an open one of its set.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،؟]")
 
@@ -161,7 +160,8 @@ def path_scores(found: list[Block], hinted: set[int]) -> dict[tuple, float]:
 
     Per path: text outside of links, and punctuation marks, each by the number of blocks on the path. The two
     ratios are smoothed over the paths in page order and fused by their product with the path's own text. Marks of
-    boilerplate or of an article are a prior that multiplies the score; they decide nothing by themselves.
+    boilerplate or of an article multiply the score. (Blocks under a mark of boilerplate are left out of the result
+    whatever their score, and an element marked as an article is taken where the best path lies in it.)
     """
     paths: dict[tuple, list[float]] = {}
     for b in found:
