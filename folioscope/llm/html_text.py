@@ -19,8 +19,8 @@ THRESHOLD = 0.25
 SMOOTHING = (0.25, 0.5, 0.25)
 #: Share of all score that the content's container must hold.
 HELD = 0.7
-#: What a tag or mark of boilerplate, and one of an article, multiplies a path's score by.
-BARRED_PRIOR, ARTICLE_PRIOR = 0.002, 8.0
+#: What a tag or mark of boilerplate, a doubtful mark, and one of an article multiplies a path's score by.
+BARRED_PRIOR, DOUBT_PRIOR, ARTICLE_PRIOR = 0.002, 0.002, 8.0
 #: Text that a wider container may add, as a share of what it held.
 WIDENING = 0.2
 
@@ -37,12 +37,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article.
 BOILERPLATE = frozenset("nav footer aside form button select option dialog menu head fieldset object canvas audio video map".split())
-#: Words in a class, id or role that mark such an element.
+#: Words in a class, id or role that name what an article does not hold: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 MARKS = frozenset(
-    "ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form "
-    "header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply respond search share sharing sidebar signup "
-    "skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
+    "ad ads adv advert advertisement adverts breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer form "
+    "header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion replies reply respond sidebar signup "
+    "sponsor sponsored subscribe subscription topbar".split()
 )
+#: Words that often stand on such elements and as often on parts of an article; they are a prior, the text decides.
+DOUBTS = frozenset("alert banner complementary related search share sharing skip social toolbar widget".split())
 #: Words in a class, id or role that mark the article's own element.
 ARTICLE_MARKS = frozenset("article articlebody content entry main maincontent post story".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -60,10 +62,15 @@ class Block:
     ``path`` has the tags, ``chain`` the numbers of these elements; ``barred`` tells whether one is marked as boilerplate.
     """
 
-    __slots__ = ("path", "chain", "text", "link", "barred")
+    __slots__ = ("path", "chain", "text", "link", "barred", "doubted")
 
-    def __init__(self, path: tuple[str, ...], chain: tuple[int, ...], text: str, link: int, barred: bool) -> None:
-        self.path, self.chain, self.text, self.link, self.barred = path, chain, text, link, barred
+    def __init__(self, path: tuple[str, ...], chain: tuple[int, ...], text: str, link: int, barred: bool, doubted: bool = False) -> None:
+        self.path, self.chain, self.text, self.link, self.barred, self.doubted = path, chain, text, link, barred, doubted
+
+    @property
+    def kind(self) -> tuple:
+        """What its path is counted under."""
+        return self.path, self.barred, self.doubted
 
 
 def _marks(attributes: str) -> set[str]:
@@ -79,7 +86,7 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
     hinted: set[int] = set()
     names: list[str] = []  # open block elements
     numbers: list[int] = []
-    barred = 0  # depth, from 1, of the outermost open boilerplate element; 0 if none is open
+    barred = doubted = 0  # depth, from 1, of the outermost open element of boilerplate and with a doubtful mark; 0 if none is open
     parts: list[str] = []
     link, in_link, made = 0, False, 0
 
@@ -89,14 +96,16 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append(Block(tuple(names), tuple(numbers), text, link, barred > 0))
+                out.append(Block(tuple(names), tuple(numbers), text, link, barred > 0, doubted > 0))
         link = 0
 
     def pop(depth: int) -> None:
-        nonlocal barred
+        nonlocal barred, doubted
         del names[depth:], numbers[depth:]
         if barred > depth:
             barred = 0
+        if doubted > depth:
+            doubted = 0
 
     def text(raw: str) -> None:
         nonlocal link
@@ -147,6 +156,8 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
             marks = _marks(m[4])
             if tag in BOILERPLATE or marks & MARKS or (tag == "header" and hinted.isdisjoint(numbers)):
                 barred = len(names)
+            elif marks & DOUBTS:
+                doubted = doubted or len(names)
             elif marks & ARTICLE_MARKS:
                 hinted.add(made)
     if at < len(page):
@@ -155,17 +166,17 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
     return out, hinted
 
 
-def path_scores(found: list[Block], hinted: set[int]) -> dict[tuple, float]:
-    """The fused score of each tag path (paths inside and outside marked boilerplate count apart).
+def path_scores(found: list[Block], hinted: set[int]) -> dict[tuple, tuple[float, float]]:
+    """The fused score of each tag path, and its ratios alone (paths inside and outside of marked elements count apart).
 
     Per path: text outside of links, and punctuation marks, each by the number of blocks on the path. The two
-    ratios are smoothed over the paths in page order and fused by their product with the path's own text. Marks of
-    boilerplate or of an article multiply the score. (Blocks under a mark of boilerplate are left out of the result
-    whatever their score, and an element marked as an article is taken where the best path lies in it.)
+    ratios are smoothed over the paths in page order and fused by their product; the score is that times the path's own text and, as a prior, what
+    marks of boilerplate, doubtful ones or those of an article say. (Blocks under a mark of boilerplate are left out of the result whatever their
+    score, and an element marked as an article is taken where the best path lies in it.)
     """
     paths: dict[tuple, list[float]] = {}
     for b in found:
-        entry = paths.setdefault((b.path, b.barred), [0.0, 0.0, 0.0, 0.0])
+        entry = paths.setdefault(b.kind, [0.0, 0.0, 0.0, 0.0])
         entry[0] += max(len(b.text) - b.link, 0)
         entry[1] += len(PUNCTUATION.findall(b.text))
         entry[2] += 1
@@ -177,8 +188,10 @@ def path_scores(found: list[Block], hinted: set[int]) -> dict[tuple, float]:
 
     lengths = smooth([e[0] / e[2] for e in paths.values()])
     marks = smooth([e[1] / e[2] for e in paths.values()])
-    prior = lambda p, e: (BARRED_PRIOR if p[1] else 1.0) * (ARTICLE_PRIOR if 2 * e[3] > e[2] else 1.0)
-    return {p: prior(p, e) * (1 + x) * (1 + y) * e[0] for (p, e), x, y in zip(paths.items(), lengths, marks)}
+    prior = lambda p, e: (BARRED_PRIOR if p[1] else DOUBT_PRIOR if p[2] else 1.0) * (ARTICLE_PRIOR if 2 * e[3] > e[2] else 1.0)
+    fused = {p: (1 + x) * (1 + y) for p, x, y in zip(paths, lengths, marks)}
+    own = {p: (1 + e[0] / e[2]) * (1 + e[1] / e[2]) for p, e in paths.items()}
+    return {p: (prior(p, e) * fused[p] * e[0], own[p]) for p, e in paths.items()}
 
 
 def content(found: list[Block], hinted: set[int]) -> list[Block]:
@@ -187,23 +200,28 @@ def content(found: list[Block], hinted: set[int]) -> list[Block]:
     The container is the deepest element whose blocks hold most of the score, blocks of one path sharing it by their length.
     It is widened while what that adds is little, is headed or on paths of enough score, and is no
     mere links; up to an element marked as an article at once. What stands in the container is content, its title and
-    short lines included, unless it is marked as boilerplate or its part of the container is mere links.
+    short lines included, unless it is marked as boilerplate, stands under a doubtful mark and does not read like the best path, or its part of the
+    container is mere links.
     """
-    score = path_scores(found, hinted)
+    scored = path_scores(found, hinted)
+    score = {p: x for p, (x, _) in scored.items()}
     top = max(score.values(), default=0.0)
+    usual = max((own for p, (x, own) in scored.items() if x == top), default=0.0)
+    # under a doubtful mark only what reads like the best path: text and punctuation of its order, and no links
+    fits = lambda b: not b.doubted or 2 * b.link <= len(b.text) and scored[b.kind][1] >= THRESHOLD * usual
     size: dict[tuple, int] = {}
     for b in found:
-        size[b.path, b.barred] = size.get((b.path, b.barred), 0) + len(b.text)
-    weight = [score[b.path, b.barred] * len(b.text) / max(size[b.path, b.barred], 1) for b in found]
+        size[b.kind] = size.get(b.kind, 0) + len(b.text)
+    weight = [score[b.kind] * len(b.text) / max(size[b.kind], 1) for b in found]
     if top <= 0:
-        return [b for b in found if not b.link and not b.barred]
+        return [b for b in found if not b.link and not b.barred and not b.doubted]
     held: dict[int, float] = {}
     for b, w in zip(found, weight):
         for n in b.chain:
             held[n] = held.get(n, 0.0) + w
     container = max((n for n, w in held.items() if w >= HELD * sum(weight)), default=None)
     if container is None:
-        return [b for b in found if not b.barred and score[b.path, b.barred] >= THRESHOLD * top]
+        return [b for b in found if not b.barred and score[b.kind] >= THRESHOLD * top]
     best = next(b for b in found if container in b.chain)
     depth = best.chain.index(container)
     while depth > 0 and best.path[depth] in LEAVES:
@@ -215,13 +233,13 @@ def content(found: list[Block], hinted: set[int]) -> list[Block]:
     else:
         while depth > 0 and best.path[depth] not in ("body", "html"):
             held_now = sum(len(b.text) for b in inside(depth))
-            added = [b for b in inside(depth - 1) if best.chain[depth] not in b.chain and not b.barred]
-            good = all(b.path[-1] in HEADINGS or score[b.path, b.barred] >= THRESHOLD * top for b in added)
+            added = [b for b in inside(depth - 1) if best.chain[depth] not in b.chain and not b.barred and not b.doubted]
+            good = all(b.path[-1] in HEADINGS or score[b.kind] >= THRESHOLD * top for b in added)
             links = sum(b.link for b in added)
-            if not good or 2 * links > sum(len(b.text) for b in added) or sum(len(b.text) for b in added) > WIDENING * held_now and not all(score[b.path, b.barred] >= THRESHOLD * top for b in added):
+            if not good or 2 * links > sum(len(b.text) for b in added) or sum(len(b.text) for b in added) > WIDENING * held_now and not all(score[b.kind] >= THRESHOLD * top for b in added):
                 break
             depth -= 1
-    kept = [b for b in inside(depth) if not b.barred]
+    kept = [b for b in inside(depth) if not b.barred and fits(b)]
     parts: dict[int, list[int]] = {}
     for b in kept:
         if len(b.chain) > depth + 1:
