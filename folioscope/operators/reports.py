@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +26,15 @@ def numbered_id(run_seq: Column) -> Column:
 
 
 def number_runs(fresh: DataFrame, stored: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Continues each scope's run numbers behind the greatest stored one, in order of ``at`` and run id."""
-    last = stored.groupBy(*scope).agg(F.max("run_seq").alias("_last"))
-    order = Window.partitionBy(*scope).orderBy("at", "run_id")
-    out = fresh.join(last, list(scope), "left").withColumn("run_seq", (F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).cast("long"))
-    return out.drop("_last").withColumn("report_id", numbered_id(F.col("run_seq")))
+    """Continues each scope's run numbers behind the greatest stored one, in order of ``at`` and run id.
+
+    Null scopes are scopes. Runs are numbered by range, so a first load of one scope need not fit a task.
+    """
+    last = stored.groupBy(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(scope)]).agg(F.max("run_seq").alias("_last"))
+    numbered = ranked(fresh, scope, [F.col("at"), F.col("run_id")], "_n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{k}")) for k, c in enumerate(scope)])
+    out = numbered.join(last, same, "left").withColumn("run_seq", (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("long"))
+    return out.drop("_last", "_n", *[f"_s{k}" for k in range(len(scope))]).withColumn("report_id", numbered_id(F.col("run_seq")))
 
 
 def publish(fresh: DataFrame, stored: DataFrame, scope: Sequence[str]) -> DataFrame:
