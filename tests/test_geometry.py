@@ -92,3 +92,15 @@ def test_crowded_pages_find_the_same_pairs(spark, least):
     assert pairs(0) == pairs(1 << 30)
     compared = G._celled(G.paged(df), G._crowds(G.paged(df)), 0, None).join(G._celled(G.paged(df), G._crowds(G.paged(df)), 0, least).select(*G.PAGE, "_cell"), [*G.PAGE, "_cell"]).count()
     assert compared < 0.2 * 800 * 800
+
+
+def test_reading_order_counts_every_pair(spark):
+    rng = random.Random(5)
+    rows = [("r", "page", page, page, k, rng.choice([None, *range(size)]), rng.choice([None, *range(size)])) for page, size in (("1", 60), ("2", 3), ("3", 1), ("4", 200)) for k in range(size)]
+    best = spark.createDataFrame(rows, "review_id string, stratum string, page_key string, page_scope string, app_id int, gen_ord int, app_ord int")
+    want = {}
+    for page in "1234":
+        of = [(g, a) for _, _, p, _, _, g, a in rows if p == page and g is not None and a is not None]
+        turns = [(g1 - g2) * (a1 - a2) for i, (g1, a1) in enumerate(of) for g2, a2 in of[:i]]
+        want[page] = (sum(t > 0 for t in turns), sum(t < 0 for t in turns))
+    assert {r["page_scope"]: (r["concordant"], r["discordant"]) for r in G.reading_order(best).collect()} == want
