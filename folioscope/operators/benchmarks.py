@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.columns import axes_key, changed_axes, rate
 from folioscope.operators.ordered import placed, ranked, settled, with_previous, with_running_sum
+from folioscope.storage import shared_table
 
 PLACE = ("publisher", "title_group", "series", "issue")
 #: Level of the hierarchy -> the keys that make it up.
@@ -98,7 +99,8 @@ def series_boundaries(reports: DataFrame, scope: Sequence[str], axes: Sequence[s
     change = F.col("_has_previous") & ~F.col("comparability_key").eqNullSafe(F.col("_was_comparability_key"))
     moved = changed_axes({a: F.col(a) for a in axes}, {a: F.col(f"_was_{a}") for a in axes})
     out = rows.withColumn("changed", change).withColumn("changed_axes", F.when(F.col("changed"), moved).otherwise(""))
-    return settled(with_running_sum(out, scope, F.col("changed").cast("int"), "segment")).drop(*names)
+    out = shared_table(out.drop(*names), "changes")  # two reads follow
+    return settled(with_running_sum(out, scope, F.col("changed").cast("int"), "segment"))
 
 
 def dual_time(reports: DataFrame, scope: Sequence[str]) -> DataFrame:
