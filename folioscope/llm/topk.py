@@ -21,8 +21,8 @@ QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 4096, 16_384, 2048
 #: Longest vectors, against which every query gets its first threshold.
 SEEDS = 1024
 MAX_RANGES = 10_000
-#: Leading rotated components of the first partial sum, as a share of all.
-HEAD = 0.5
+#: Leading rotated components of the partial sums, as shares of all.
+HEADS = (0.125, 0.25, 0.5)
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -76,8 +76,9 @@ def best_of_group(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray,
     """(query index, id, score) of each query's k best among ``found``, of which none below ``floor`` is needed.
 
     Candidates come longest first. A chunk is left out for queries whose length times the chunk's
-    greatest length stays below their threshold; of the rest, pairs whose partial sum over the leading
-    axes plus the product of the residual lengths stays below it are not multiplied out.
+    greatest length stays below their threshold. Of the rest, pairs whose partial sum over the leading
+    axes plus the product of the residual lengths stays below it are not multiplied out; this is asked at each of
+    HEADS, and a query or candidate without any pair left takes no part in the longer sums.
     """
     order = np.argsort(-(found.astype(float) ** 2).sum(1), kind="stable")
     found, ids = found[order], ids[order]
@@ -86,21 +87,27 @@ def best_of_group(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray,
     q_exact, c_exact = queries.astype(kind), found.astype(kind)
     whole = (lambda x: np.rint(x).astype(np.int64)) if kind is float else (lambda x: x)
     q_turned, c_turned = queries @ axes, found @ axes
-    head = max(1, int(HEAD * axes.shape[1]))
+    heads = sorted({max(1, int(share * axes.shape[1])) for share in HEADS})
     q_len, c_len = np.linalg.norm(q_turned, axis=1), np.linalg.norm(c_turned, axis=1)
-    q_rest, c_rest = np.linalg.norm(q_turned[:, head:], axis=1), np.linalg.norm(c_turned[:, head:], axis=1)
+    rests = [(np.linalg.norm(q_turned[:, h:], axis=1), np.linalg.norm(c_turned[:, h:], axis=1)) for h in heads]
     slack = 1e-6 * (1 + q_len.max(initial=0) * c_len.max(initial=0))  # for rounding of the floating-point bounds
     level = floor.astype(float).copy()
     kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object if kind is object else np.int64)]
     for at in range(0, len(ids), CHUNK):
-        part = slice(at, at + CHUNK)
+        part = np.arange(at, min(at + CHUNK, len(ids)))
         rows = np.flatnonzero(q_len * c_len[at] + slack >= level)
         if not len(rows):
             break  # all later candidates are shorter
-        bound = q_turned[rows, :head] @ c_turned[part, :head].T
-        bound += np.outer(q_rest[rows], c_rest[part])
-        i, j = np.nonzero(bound + slack >= level[rows][:, None])
-        if len(i) > 0.1 * bound.size:
+        sums, done = np.zeros((len(rows), len(part))), 0
+        for head, (q_rest, c_rest) in zip(heads, rests):
+            sums += q_turned[rows, done:head] @ c_turned[part, done:head].T
+            able = sums + np.outer(q_rest[rows], c_rest[part]) + slack >= level[rows][:, None]
+            some, any_of = able.any(axis=1), able.any(axis=0)
+            if not (some.all() and any_of.all()):
+                rows, part, sums, able = rows[some], part[any_of], sums[some][:, any_of], able[some][:, any_of]
+            done = head
+        i, j = np.nonzero(able)
+        if len(i) > 0.1 * able.size:
             score = whole((q_exact[rows] @ c_exact[part].T)[i, j])
         else:
             score = np.concatenate([kept[2][:0]] + [whole((q_exact[rows[i[a : a + 65536]]] * c_exact[part][j[a : a + 65536]]).sum(1)) for a in range(0, len(i), 65536)])
