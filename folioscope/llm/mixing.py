@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import WORD_PATTERN, let, running, shared_table, unused, whole_text
+from folioscope.operators.ordered import placed, settled, with_running_sum
 
 #: Weights by rank of the source's name, repeating.
 WEIGHTS = (1, 2, 3)
 #: A source is used at most so many times.
 MOST_EPOCHS = 3
-#: Rows that one output shard holds on average, words of a block (the unit of the quotas), and words behind
-#: a quota whose rows may be given what whole blocks leave.
-SHARD_ROWS, BLOCK_WORDS, MARGIN_WORDS = 4096, 64, 512
+#: Rows that one output shard holds on average, words of a block (the unit of the quotas), and rows of each
+#: shard among which what whole blocks and equal shares leave is dealt.
+SHARD_ROWS, BLOCK_WORDS, POOL_ROWS = 4096, 64, 4
 
 
 def _uniform(*parts: Column | int) -> Column:
@@ -132,30 +133,51 @@ def _quotas(shards: DataFrame, targets: DataFrame, depth: int, seed: int) -> Dat
 
 
 def _rounded(light: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
-    """``quotas`` with ``quota`` moved to the ends of rows, so that each source gives what it is to give.
+    """``quotas`` with ``picks``: rows of the shard, named by the words before them, that are given beyond the quota.
 
-    The shards' quotas are whole blocks and cover fewer words than the source is to give. What is missing is
-    dealt to the rows that follow the covered ones within MARGIN_WORDS, whole ones, the first of every
-    shard in hashed order before the second of any, until none is left; only the row that meets the last word is
-    given a part. The window over a source holds these few rows of each of its shards.
+    A row that lies within its shard's quota is given whole, a row that meets the quota's end is not. What the source
+    then lacks is filled with whole rows that follow in hashed order. First every shard takes rows as far as its equal share
+    reaches; then the next POOL_ROWS rows of every shard that fit are dealt, the first of each shard before the second of
+    any; last, one row comes or not, the one that brings the source nearest to its goal. Each step reads per source one sum,
+    and running sums over a source are made by range, so no task holds a source.
     """
     joined = light.join(quotas, light["source"].eqNullSafe(quotas["quota_source"]) & (light["shard"] == quotas["quota_shard"]))
     in_shard = Window.partitionBy("source", "shard")
-    upto = in_shard.orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = joined.where("source_rest > 0 and size > 0").withColumn("before", F.sum("size").over(upto) - F.col("size"))
-    covered = placed.where("before + size <= quota").groupBy("source", "shard").agg(F.sum("size").alias("covered"))
-    sums = covered.groupBy("source").agg(F.sum("covered").alias("given"))
-    beyond = placed.where(F.expr("before + size > quota") & (F.col("before") < F.col("quota") + MARGIN_WORDS))
-    beyond = beyond.withColumn("nth", F.row_number().over(in_shard.orderBy("before", "spot", "doc_id"))).withColumn("turn", F.xxhash64("spot", F.lit(seed + 2)))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    dealt = Window.partitionBy("source").orderBy("nth", "turn", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    room = beyond.join(sums, same(beyond, sums), "left").select(beyond["source"], "shard", "size", "source_rest", "given", "nth", "turn")
-    left = F.col("source_rest") - F.coalesce("given", F.lit(0)) - (F.sum("size").over(dealt) - F.col("size"))
-    more = room.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), left))).groupBy("source", "shard").agg(F.sum("more").alias("more"))
-    parts = covered.withColumn("more", F.lit(0).cast("long")).unionByName(more.withColumn("covered", F.lit(0).cast("long")))
-    final = parts.groupBy(F.col("source").alias("s"), F.col("shard").alias("n")).agg((F.sum("covered") + F.sum("more")).alias("final"))
-    out = quotas.join(final, quotas["quota_source"].eqNullSafe(final["s"]) & (quotas["quota_shard"] == final["n"]), "left")
-    return out.select("quota_source", "quota_shard", "epochs", F.coalesce("final", F.lit(0)).alias("quota"))
+    upto = lambda *by: in_shard.orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = joined.where("source_rest > 0 and size > 0").withColumn("before", F.sum("size").over(upto("spot", "doc_id")) - F.col("size"))
+    rows = rows.withColumn("given", F.col("before") + F.col("size") <= F.col("quota")).withColumn("turn", F.xxhash64("spot", F.lit(seed + 2)))
+    rows = shared_table(rows.select("source", "shard", "size", "before", "turn", "given", "source_rest"), "rows")
+    parts = quotas.groupBy(F.col("quota_source").alias("source")).agg(F.count("*").alias("parts"))
+
+    def lacking(table: DataFrame, given: Column, rest: str, name: str, *others: str) -> DataFrame:
+        sums = table.groupBy("source").agg((F.first(rest) - F.sum(F.when(given, F.col("size")).otherwise(0))).alias(name), *[F.first(o).alias(o) for o in others])
+        return sums.withColumnRenamed("source", "of")
+
+    def beside(table: DataFrame, told: DataFrame) -> DataFrame:
+        return table.join(told, table["source"].eqNullSafe(told["of"])).drop("of")
+
+    first = lacking(rows, F.col("given"), "source_rest", "lack")
+    first = first.join(parts, first["of"].eqNullSafe(parts["source"])).select("of", "lack", F.expr("lack div parts").alias("share"))
+    fits = F.col("size") <= F.col("share")
+    shared = beside(rows.where("not given"), first).withColumn("sum", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(upto("before")))
+    shared = shared_table(shared.withColumn("given", fits & (F.col("sum") <= F.col("share"))).select("source", "shard", "size", "before", "turn", "given", "lack"), "rows")
+
+    open_rows = beside(shared.where("not given").drop("lack"), lacking(shared, F.col("given"), "lack", "lack"))
+    large = F.col("size") > F.col("lack")
+    nth = F.row_number().over(in_shard.orderBy(large, "before"))
+    open_rows = open_rows.withColumn("nth", nth).withColumn("pooled", ~large & (F.col("nth") <= POOL_ROWS))
+    pool = with_running_sum(placed(open_rows.where("pooled"), ["source"], [F.col("nth"), F.col("turn"), F.col("shard")]), ["source"], F.col("size"), "sum")
+    pool = settled(pool).withColumn("given", F.col("sum") <= F.col("lack")).drop("sum")
+    dealt = shared_table(pool.unionByName(open_rows.where("not pooled")), "rows")
+
+    last = beside(dealt.where("not given").drop("lack"), lacking(dealt, F.col("given"), "lack", "lack"))
+    off = F.abs(F.col("size") - F.col("lack"))
+    nearest = last.where(off < F.col("lack")).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("turn"), F.col("shard"), F.col("before"))).alias("row"))
+    name = ("source", "shard", "before")
+    picked = shared.where("given").select(*name).unionByName(dealt.where("given").select(*name)).unionByName(nearest.select("source", "row.shard", "row.before"))
+    picks = picked.groupBy(F.col("source").alias("s"), F.col("shard").alias("n")).agg(F.collect_list("before").alias("picks"))  # within one shard
+    out = quotas.join(picks, quotas["quota_source"].eqNullSafe(picks["s"]) & (quotas["quota_shard"] == picks["n"]), "left")
+    return out.select("quota_source", "quota_shard", "epochs", "quota", F.coalesce("picks", F.array().cast("array<long>")).alias("picks"))
 
 
 def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, seed: int = 7, column: str = "mix") -> DataFrame:
@@ -165,9 +187,10 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
     ``epochs`` times, and ``part`` words more from rows drawn without replacement. Rows are dealt by
     hash into shards of some SHARD_ROWS rows; the blocks to draw beyond whole rounds are split down a binary tree
     over the shards by the multivariate hypergeometric law, and within its shard each source's rows
-    are taken whole in hashed order as far as the quota reaches. What the shards' quotas leave is dealt
-    over the shards to whole rows again (``_rounded``), so a source's sum is exact and one row of a
-    source at most is taken in part. ``place`` is the row's position in its shard's own shuffle.
+    are taken whole in hashed order as far as the quota reaches. What the shards' quotas leave is filled
+    with whole rows again (``_rounded``). No row is taken in part (``part`` is 0 or the row's size), so a source
+    misses its target by a fraction of one row: a source of few rows by at most half of one,
+    mostly. ``place`` is the row's position in its shard's own shuffle.
 
     The draw depends on (seed, doc_id, text) only, so reruns agree. Equal rows are told apart by nothing
     and may swap places. A null source is a source of its own, a null or empty text has size 0 and is
@@ -187,13 +210,14 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
     at, part_of = unused("_quota_source", docs), unused("_quota_shard", docs)
     named = targets.select(F.col("source").alias("target_source"), "source_size", "target")
     all_given = quotas.join(named, quotas["quota_source"].eqNullSafe(named["target_source"]))
-    all_given = all_given.select(F.col("quota_source").alias(at), F.col("quota_shard").alias(part_of), F.struct("source_size", "target", "epochs", "quota").alias(given))
+    all_given = all_given.select(F.col("quota_source").alias(at), F.col("quota_shard").alias(part_of), F.struct("source_size", "target", "epochs", "quota", "picks").alias(given))
     sized = docs.withColumn(own, F.struct(size.alias("size"), spot.alias("spot"), shard.alias("shard")))
     joined = sized.join(all_given, F.col("source").eqNullSafe(F.col(at)) & (F.col(f"{own}.shard") == F.col(part_of)), "left")
     order = Window.partitionBy("source", f"{own}.shard").orderBy(f"{own}.spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     drawn = joined.withColumn(before, F.sum(f"{own}.size").over(order) - F.col(f"{own}.size"))
     n, start = F.col(f"{own}.size"), F.col(before)
-    part = F.coalesce(F.greatest(F.lit(0), F.least(n, F.col(f"{given}.quota") - start)), F.lit(0))
+    is_given = (start + n <= F.col(f"{given}.quota")) | F.array_contains(f"{given}.picks", start)
+    part = F.when((n > 0) & F.coalesce(is_given, F.lit(False)), n).otherwise(0)
     rounds = F.coalesce(f"{given}.epochs", F.lit(0))
     mix = F.struct(
         n.alias("size"), F.coalesce(f"{given}.source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce(f"{given}.target", F.lit(0.0)).alias("target"),
@@ -203,22 +227,17 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows themselves: each row once per whole round, and its first ``part`` words once more.
+    """The mixed rows themselves: each row once per whole round, and once more if it is drawn beyond them.
 
-    A text is cut only where ``part`` is below its size, in one row of a source at most. Columns are those of ``docs``, whatever
-    their names; rows come shard by shard in the shard's own shuffle. Rows without a word are left out; an empty table stays empty.
+    Texts are whole. Columns are those of ``docs``, whatever their names; rows come shard by shard in the shard's own
+    shuffle. Rows without a word are left out; an empty table stays empty.
     """
     mix, copy = unused("_mix", docs), unused("_copy", docs)
-    mixed = draw(docs, **options, column=mix)
     of = lambda name: F.col(f"{mix}.{name}")
-    whole = of("epochs") + (of("part") > 0).cast("long")
-    copies = mixed.where(of("taken") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), whole)))
-    cut = (F.col(copy) > of("epochs")) & (of("part") < of("size"))
-    words = F.regexp_extract_all(whole_text(), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    out = copies.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), of("part").cast("int")), "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.sortWithinPartitions(f"{mix}.shard", f"{mix}.place", copy).select(*docs.columns)
+    mixed = draw(docs, **options, column=mix).where(of("taken") > 0)
+    times = of("epochs") + (of("part") > 0).cast("long")
+    copies = mixed.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return copies.sortWithinPartitions(f"{mix}.shard", f"{mix}.place", copy).select(*docs.columns)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
