@@ -37,7 +37,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeat or go so that the sources meet their target weights; one row of each source at most is shortened.
+    """Rows repeat or go so that the sources come near their target weights; texts stay whole.
 
     A null source is one of its own; rows without a word go, as they add nothing to a mix.
     """
