@@ -138,8 +138,8 @@ def _rounded(light: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
     A row that lies within its shard's quota is given whole, a row that meets the quota's end is not. What the source
     then lacks is filled with whole rows that follow in hashed order. First every shard takes rows as far as its equal share
     reaches; then the next POOL_ROWS rows of every shard that fit are dealt, the first of each shard before the second of
-    any; last, one row comes or not, the one that brings the source nearest to its goal. Each step reads per source one sum,
-    and running sums over a source are made by range, so no task holds a source.
+    any; last, one row comes or not, the one that brings the source nearest to its goal. A source's sums are told
+    to each of its shards, and running sums over a source are made by range, so no task holds a source.
     """
     joined = light.join(quotas, light["source"].eqNullSafe(quotas["quota_source"]) & (light["shard"] == quotas["quota_shard"]))
     in_shard = Window.partitionBy("source", "shard")
@@ -153,8 +153,12 @@ def _rounded(light: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
         sums = table.groupBy("source").agg((F.first(rest) - F.sum(F.when(given, F.col("size")).otherwise(0))).alias(name), *[F.first(o).alias(o) for o in others])
         return sums.withColumnRenamed("source", "of")
 
+    shards = quotas.select(F.col("quota_source").alias("in_source"), F.col("quota_shard").alias("in_part"))
+
     def beside(table: DataFrame, told: DataFrame) -> DataFrame:
-        return table.join(told, table["source"].eqNullSafe(told["of"])).drop("of")
+        # told once for each shard, so that rows are dealt by shard and a large source is not one key
+        each = shards.join(told, shards["in_source"].eqNullSafe(told["of"])).drop("of")
+        return table.join(each, table["source"].eqNullSafe(each["in_source"]) & (table["shard"] == each["in_part"])).drop("in_source", "in_part")
 
     first = lacking(rows, F.col("given"), "source_rest", "lack")
     first = first.join(parts, first["of"].eqNullSafe(parts["source"])).select("of", "lack", F.expr("lack div parts").alias("share"))
