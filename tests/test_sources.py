@@ -2,11 +2,15 @@ import base64
 import hashlib
 import json
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from folioscope.functions import variants as X
+from folioscope.plans import review_plans
 from folioscope.sources import adapters as A
 from folioscope.sources import contracts as K
 from folioscope.sources import ingest as I
+from folioscope.storage import shared_table
 
 PREFIX = "publishers/p/title_groups/t/series/s/issues/i{}"
 
@@ -191,3 +195,26 @@ def test_certified_states(spark):
     reviews = spark.createDataFrame([(1, True), (2, False), (3, True)], "review_id int, creator_approved boolean")
     states = A.certified_state(reviews, spark.createDataFrame([(3, "platform_approved")], "review_id int, state string"))
     assert {r["review_id"]: r["certified_state"] for r in states.collect()} == {1: "creator_approved", 2: "draft", 3: "platform_approved"}
+
+
+def test_kinds_and_presence_by_path(spark):
+    docs = ['{"a": {"b": [1, {"c": null}]}}', '{"a": "x"}', '{"a": null}', "[1]", "7", "null", '{"a": []}', '{"a": {}}']
+    v = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, d string").select("k", F.parse_json("d").alias("v"))
+    got = v.orderBy("k").select(X.kind("v"), X.kind("v", "$.a"), X.has("v", "$.a"), X.is_list("v", "$.a.b"), X.kind(F.col("v"), "$.a.b[1].c"), X.canonical(F.col("v")))
+    assert [tuple(r) for r in got.collect()] == [
+        ("object", "object", True, True, "null", "a=b=1\nc="), ("object", "string", True, False, None, "a=x"), ("object", "null", True, False, None, "a="), ("array", None, False, False, None, "1"),
+        ("integer", None, False, False, None, "7"), ("null", None, False, False, None, ""), ("object", "array", True, False, None, "a="), ("object", "object", True, False, None, "a="),
+    ]
+
+
+def test_shared_documents_are_not_split_into_columns(spark, tmp_path):
+    rows = spark.range(2000).select("id", F.parse_json(F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit("}"))).alias("v"))
+    kept = shared_table(rows, "documents")
+    assert kept.where(F.variant_get("v", "$.n", "long") == F.col("id")).count() == 2000
+    file = kept.inputFiles()[0].removeprefix("file://")
+    assert len(pq.ParquetFile(file).schema) == 3  # id, value and metadata
+
+
+def test_lines_are_dealt_by_order_once(spark, sf):
+    plan = review_plans.reports(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("lineitem.parquet") == 1
