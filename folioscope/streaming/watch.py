@@ -44,9 +44,10 @@ class RevisionChanges(StatefulProcessor):
 class OrderedRevisionChanges(StatefulProcessor):
     """The same in order of event time across micro-batches.
 
-    Publications are held until the watermark has passed the ``step`` of time in which they lie; then those of the step are
-    put in order and compared with the issue's last revision. An issue holds what lies within the allowed lateness, and a
-    timer looks at that and takes out what is due.
+    Publications are held until the watermark has passed the ``step`` of time in which they lie; then they are put in order and compared
+    with the issue's last revision. An issue holds what lies within the allowed lateness, as one list. Its timer stands at the first step
+    that is held; when that has passed, all that is due by then leaves at once and the timer moves on to what stays. So an issue costs a few calls
+    of the state store a batch, however many publications and steps it has there.
     """
 
     def __init__(self, step_ms: int) -> None:
@@ -55,31 +56,39 @@ class OrderedRevisionChanges(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "revision string")
-        self.held = handle.getMapState("held", "ms long, seq long", "at string, revision string")
+        self.held = handle.getListState("held", "ms long, at string, seq long, revision string")
+
+    def _due(self, ms: int) -> int:
+        return (ms // self.step_ms + 1) * self.step_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = set()
-        for part in rows:
-            for ms, at, seq, revision in zip(part["ms"], part["at"], part["seq"], part["revision"]):
-                self.held.updateValue((int(ms), int(seq)), (at, revision))
-                due.add((int(ms) // self.step_ms + 1) * self.step_ms)
-        for ms in due:
-            self.handle.registerTimer(ms)
-        yield pd.DataFrame([], columns=_CHANGE)
+        fresh = [(int(ms), at, int(seq), revision) for part in rows for ms, at, seq, revision in zip(part["ms"], part["at"], part["seq"], part["revision"])]
+        if fresh:
+            self.held.appendList(fresh)
+            self.handle.registerTimer(self._due(min(r[0] for r in fresh)))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((k[0], v[0], k[1], v[1]) for k, v in self.held.iterator() if k[0] < until)
-        known = self.last.get()[0] if self.last.exists() else None
+        until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = {(ms, seq): (ms, at, seq, revision) for ms, at, seq, revision in self.held.get()}  # the last to come counts
+        if not held:  # a timer before this one took all
+            return iter(())
+        due = sorted((r for r in held.values() if self._due(r[0]) <= until), key=lambda r: r[:3])
+        known = before = self.last.get()[0] if self.last.exists() else None
         out = []
-        for ms, at, seq, revision in due:
+        for _, at, seq, revision in due:
             if revision != known:
                 out.append((key[0], at, seq, revision, known))
                 known = revision
-            self.held.removeKey((ms, seq))
-        if known is not None:
+        if known is not None and known != before:
             self.last.update((known,))
-        yield pd.DataFrame(out, columns=_CHANGE)
+        stay = [r for r in held.values() if self._due(r[0]) > until]
+        if stay:
+            self.held.put(stay)
+            self.handle.registerTimer(self._due(min(r[0] for r in stay)))
+        else:
+            self.held.clear()
+        return iter([pd.DataFrame(out, columns=_CHANGE)] if out else ())
 
     def close(self) -> None:
         pass

@@ -1,4 +1,6 @@
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from folioscope.streaming import watch as W
 
@@ -87,3 +89,48 @@ def test_order_holds_across_batches(spark, tmp_path):
             want.append((issue, seq, revision, last.get(issue)))
             last[issue] = revision
     assert sorted(tuple(r) for r in spark.read.parquet(out).select("issue", "seq", "revision", "previous").collect()) == sorted(want)
+
+
+class CountedState:
+    """A list, value or map state, and a handle of them, in a dict; counts what is asked of it."""
+
+    def __init__(self, calls, kept):
+        self.calls, self.kept = calls, kept
+
+    def __getattr__(self, name):
+        if name.startswith("get") and name.endswith("State"):
+            return lambda state, *_: CountedState(self.calls, self.kept.setdefault(state, {}))
+
+        def call(*a):
+            self.calls.append(name)
+            k = self.kept
+            if name in ("appendList", "put"):
+                k["rows"] = [*(k.get("rows", []) if name == "appendList" else []), *a[0]]
+            elif name == "update":
+                k["value"] = a[0]
+            elif name == "updateValue":
+                k[a[0]] = a[1]
+            elif name == "removeKey":
+                del k[a[0]]
+            elif name == "clear":
+                k.clear()
+            elif name == "registerTimer":
+                k.setdefault("timers", set()).add(a[0])
+            return {"exists": "value" in k, "get": k["value"] if "value" in k else k.get("rows", []), "iterator": list(k.items())}.get(name)
+
+        return call
+
+
+def test_many_publications_take_few_calls_of_the_store():
+    calls, n = [], 400
+    handle = CountedState(calls, {})
+    audit = W.OrderedRevisionChanges(1000)
+    audit.init(handle)
+    rows = pd.DataFrame({"ms": [k * 700 for k in reversed(range(n))], "at": [f"{k:04}" for k in reversed(range(n))], "seq": [*reversed(range(n))], "revision": [f"r{k // 2}" for k in reversed(range(n))]})
+    list(audit.handleInputRows(("a",), iter([rows]), TimerValues(0, 0)))
+    until, got = 140_000, []
+    while due := sorted(t for t in handle.kept["timers"] if t <= until):
+        handle.kept["timers"].remove(due[0])
+        got += [tuple(r) for part in audit.handleExpiredTimer(("a",), TimerValues(0, until), ExpiredTimerInfo(due[0])) for r in part.itertuples(index=False)]
+    assert got == [("a", f"{k:04}", k, f"r{k // 2}", f"r{k // 2 - 1}" if k else None) for k in range(0, 200, 2)]
+    assert len(calls) < 20
