@@ -3,6 +3,7 @@ import random
 import pytest
 
 from folioscope.operators import geometry as G
+from folioscope.plans import views as V
 
 G_SCHEMA = "review_id int, stratum string, page_scope string, box_id string, ord int, x double, y double, w double, h double"
 
@@ -104,3 +105,10 @@ def test_reading_order_counts_every_pair(spark):
         turns = [(g1 - g2) * (a1 - a2) for i, (g1, a1) in enumerate(of) for g2, a2 in of[:i]]
         want[page] = (sum(t > 0 for t in turns), sum(t < 0 for t in turns))
     assert {r["page_scope"]: (r["concordant"], r["discordant"]) for r in G.reading_order(best).collect()} == want
+
+
+def test_lines_are_summed_once_and_no_box_is_sorted_for_its_count(spark, sf):
+    generated, approved = V.boxes(spark, sf)
+    plan = G.matches(generated, approved)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= 1
