@@ -72,12 +72,31 @@ def segments(pts: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def hierarchy(pts: DataFrame) -> DataFrame:
-    """The segments of all levels at once.
+    """The segments of all levels at once, of points."""
+    return _levels(pts.groupBy(*PLACE, "comparability_key", "metric").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.count("*").alias("n")))
 
-    Points are summed per issue first, which is all that is ever shuffled in full, then per series; the levels above are
-    grouping sets over those sums, where a row is one series already.
+
+def hierarchy_of_reports(reports: DataFrame, metrics: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """``hierarchy(points(reports, metrics))``, with all metrics of an issue summed side by side before they become rows.
+
+    An issue has few reports under one key, so points would go to the shuffle nearly as they are, one row for each metric.
+    """
+    name = lambda kind, m: f"_{kind}_{m}"
+    sums = []
+    for m, (num, den) in metrics.items():
+        there = F.col(den).cast("long")
+        sums += [F.sum(F.when(there.isNotNull(), F.col(num).cast("long"))).alias(name("num", m)), F.sum(there).alias(name("den", m)), F.count(there).alias(name("n", m))]
+    wide = reports.groupBy(*PLACE, "comparability_key").agg(*sums)
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(name(kind, m)).alias(kind) for kind in ("num", "den", "n")]) for m in metrics])
+    return _levels(wide.select(*PLACE, "comparability_key", F.inline(rows)).where("n > 0"))
+
+
+def _levels(issues: DataFrame) -> DataFrame:
+    """All levels from sums per issue, key and metric (num, den, n).
+
+    They are stored, since two reads follow, and summed per series; the levels above are grouping sets over those sums, where a row is one series already.
     """
-    issues = pts.groupBy(*PLACE, "comparability_key", "metric").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.count("*").alias("n"))
+    issues = shared_table(issues, "issues")
     # summed by series next, so that the levels above count series as rows and need no distinct count
     per_issue = issues.select(*PLACE, "comparability_key", "metric", "num", "den", "n", F.lit(1).cast("long").alias("issues"), F.lit("issue").alias("level"))
     series = issues.groupBy(*PLACE[:3], "comparability_key", "metric").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("n").alias("n"), F.count("*").alias("issues"))

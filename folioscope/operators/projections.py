@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.reports import verify_written
+from folioscope.storage import shared_table
 
 
 def rebuild(spark: SparkSession, folder: str, projections: Mapping[str, tuple[DataFrame, str, Sequence[str]]], generated_at: str) -> DataFrame:
@@ -21,7 +22,9 @@ def rebuild(spark: SparkSession, folder: str, projections: Mapping[str, tuple[Da
         path = f"{folder}/{name}"
         try:
             made = rows.withColumn("generated_at", F.lit(generated_at)).withColumn("_key", F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in key]))
-            made.write.mode("overwrite").partitionBy(partition).parquet(path)
+            made = shared_table(made, "projection")  # made once: it is written and compared with what is read back
+            # a task sorts its rows by partition before it writes them; rebalanced, it holds no more for a larger table
+            made.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(path)
             stored = spark.read.schema(made.schema).parquet(path)
             wrong = not verify_written(made, stored, "_key").isEmpty()
             done.append((name, "differs" if wrong else "rebuilt"))

@@ -24,7 +24,7 @@ def _points(spark, d):
 
 
 def benchmark_hierarchy(spark, d):
-    return B.hierarchy(_points(spark, d))
+    return B.hierarchy_of_reports(_reports(spark, d), METRICS)
 
 
 def benchmark_points(spark, d):

@@ -4,6 +4,7 @@ from folioscope.operators import benchmarks as B
 from folioscope.operators import history as H
 from folioscope.operators import materials as M
 from folioscope.operators import registry as G
+from folioscope.operators import projections as J
 from folioscope.operators import reports as S
 
 PLACE = "publisher string, title_group string, series string, issue int, run_seq int, comparability_key string, metric string, num long, den long"
@@ -150,3 +151,18 @@ def test_stagnant_domains_and_changes(spark):
     assert [(r["domain"], r["first"], r["last"]) for r in H.stagnant_domains(failures, scores, {"a": "x", "b": "y", "q": "z"}).collect()] == [("x", 50, 51)]
     assert {(r["failure"], r["status"]) for r in H.new_and_resolved(failures).collect()} == {("c", "new"), ("b", "resolved")}
     assert {(r["failure"], r["status"]) for r in H.new_and_resolved(failures, newest=True).collect()} == {("a", "new")}
+
+
+def test_reports_are_summed_by_issue_before_metrics_become_rows(spark):
+    rows = [("p", "t", "s", k % 3, f"k{k % 2}", k, None if k == 4 else 10, k * 2, 7) for k in range(12)]
+    reports = spark.createDataFrame(rows, "publisher string, title_group string, series string, issue int, comparability_key string, a long, den long, b long, of long")
+    metrics = {"a": ("a", "den"), "b": ("b", "of")}
+    plain = lambda df: sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
+    made = B.hierarchy_of_reports(reports, metrics)
+    assert plain(made) == plain(B.hierarchy(B.points(reports, metrics)))
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()  # rows per metric come after what is stored
+
+
+def test_a_projection_is_made_once(spark, tmp_path):
+    rows = spark.range(40).select((F.col("id") % 3).alias("level"), "id", F.uuid().alias("made"))  # another one each time that it is made
+    assert J.rebuild(spark, str(tmp_path), {"p": (rows, "level", ("id",))}, "now").collect() == [("p", "rebuilt")]
