@@ -218,3 +218,7 @@ def test_shared_documents_are_not_split_into_columns(spark, tmp_path):
 def test_lines_are_dealt_by_order_once(spark, sf):
     plan = review_plans.reports(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("lineitem.parquet") == 1
+
+
+def test_values_of_a_small_file_are_dealt_out(spark, sf):
+    assert review_plans.value_categories(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
