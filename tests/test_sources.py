@@ -222,3 +222,16 @@ def test_lines_are_dealt_by_order_once(spark, sf):
 
 def test_values_of_a_small_file_are_dealt_out(spark, sf):
     assert review_plans.value_categories(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_parts_stay_in_their_review(spark):
+    out = lambda a, text: {"artifact_id": a, "output": {"narrative": {"summary": text}}}
+    meta = {"llm_enrichment_output_version": "v2", "llm_enrichment_outputs": [out("a", "1"), out("b", "2"), out("a", "3"), out(None, "4"), out(None, "5")]}
+    bounds = {"x": 0, "y": 0, "width": 1, "height": 1}
+    twice = {"panels": [{"panel_key": "k", "bounds": [1]}, {"panel_key": "k", "bounds": bounds}, {"panel_key": "l", "bounds": bounds}]}
+    made = adapted(spark, {"k": record(generated_metadata=meta), "bad": record(generated_geometry=twice)})
+    assert [tuple(r) for r in made.rejected.collect()] == [("bad", "bounds", "k")]  # the earlier of two panels cannot be read
+    plan = made.metadata._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = made.metadata.where("side = 'generated' and field = 'narrative.summary'").select("artifact_id", F.to_json("value").alias("v")).collect()
+    assert sorted(map(tuple, got), key=repr) == [("a", '"3"'), ("b", '"2"'), (None, '"5"')]
