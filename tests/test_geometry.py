@@ -2,8 +2,10 @@ import random
 
 import pytest
 
+from folioscope import storage
 from folioscope.operators import geometry as G
 from folioscope.plans import views as V
+from folioscope.storage import shared_table
 
 G_SCHEMA = "review_id int, stratum string, page_scope string, box_id string, ord int, x double, y double, w double, h double"
 
@@ -112,3 +114,13 @@ def test_lines_are_summed_once_and_no_box_is_sorted_for_its_count(spark, sf):
     plan = G.matches(generated, approved)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan
     assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= 1
+
+
+def test_more_boxes_take_more_tasks(spark, sf, monkeypatch):
+    generated, approved = V.boxes(spark, sf)
+    few = G.matches(generated, approved)
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    many = shared_table(G.matches(generated, approved), "pairs")
+    best, tasks = G.best_matches(many), -(-many.count() // 500)
+    assert tasks > 4 and best.rdd.getNumPartitions() == tasks and G.marked(many).rdd.getNumPartitions() == tasks
+    assert sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, few.collect()), key=repr)
