@@ -124,3 +124,11 @@ def test_more_boxes_take_more_tasks(spark, sf, monkeypatch):
     best, tasks = G.best_matches(many), -(-many.count() // 500)
     assert tasks > 4 and best.rdd.getNumPartitions() == tasks and G.marked(many).rdd.getNumPartitions() == tasks
     assert sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, few.collect()), key=repr)
+
+
+def test_reports_of_more_lines_take_more_tasks(spark, sf, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    tasks = -(-V.table(spark, sf, "lineitem").count() // 500)
+    plan = V.reports(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert tasks > 4 and all(f", {tasks}), REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in line or "Exchange hashpartitioning(o_orderkey" in line)
+    assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2
