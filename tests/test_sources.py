@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import variants as X
 from folioscope.plans import review_plans
+from folioscope import storage
 from folioscope.sources import adapters as A
 from folioscope.sources import contracts as K
 from folioscope.sources import ingest as I
@@ -235,3 +236,22 @@ def test_parts_stay_in_their_review(spark):
     assert "Exchange" not in plan and "Join" not in plan
     got = made.metadata.where("side = 'generated' and field = 'narrative.summary'").select("artifact_id", F.to_json("value").alias("v")).collect()
     assert sorted(map(tuple, got), key=repr) == [("a", '"3"'), ("b", '"2"'), (None, '"5"')]
+
+
+def test_lines_of_reviews_take_tasks_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert review_plans._lines(spark, sf).rdd.getNumPartitions() == -(-rows // 500)
+
+
+def test_leaves_of_an_output_are_told_in_its_row(spark, sf):
+    plan = review_plans.adapted_metadata(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_odd_members_and_flags(spark):
+    box = {"x": 0.1, "y": 0.2, "width": 0.3, "height": 0.4}
+    map_ = {"list": [1, 2], "null": None, "flag": box | {"isSpreadPanel": "yes"}, "off": box | {"isSpreadPanel": None}, "no": {"isSpreadPanel": False, "x": None}, "stage": {"isSpreadPanel": 1, "stage_geometry": [0, 0, 1, 1]}}
+    made = adapted(spark, {"k": record(approved_geometry=map_), "fine": record(approved_geometry={n: map_[n] for n in ("off", "no")})})
+    assert {tuple(r) for r in made.rejected.collect()} == {("k", "unknown_member", "list"), ("k", "unknown_member", "null"), ("k", "stage_geometry", "flag"), ("k", "stage_geometry", "stage")}
+    assert {r["artifact_id"]: r["is_spread"] for r in made.geometry.where("side = 'approved'").collect()} == {"off": False, "no": False}
