@@ -40,45 +40,42 @@ def violations(value: Column, schema: Mapping, path: Column) -> Column:
     violations. Members that the schema does not name are no violation. The tree of schemas becomes one
     Column; lists of any length and nesting are walked by the rows' own elements.
     """
-    none = F.array().cast(_FOUND)
+    present = F.coalesce(value, F.parse_json(F.lit("null")))
+    return let(F.struct(present.alias("v"), kind(present).alias("k")), lambda bound: _judged(bound["v"], bound["k"], schema, path))
 
-    def judged(bound: Column) -> Column:
-        v, k = bound["v"], bound["k"]
-        parts = []
-        if "enum" in schema:
-            allowed = [_literal(x) for x in schema["enum"]]
-            parts.append(F.when(~F.to_json(v).isin(*allowed), _one(path, F.concat(F.lit("enum:"), F.to_json(v)))))
-        for combiner in _ALTERNATIVES:
-            if combiner in schema:
-                fits = F.lit(False)
-                for other in schema[combiner]:
-                    fits = fits | (F.size(violations(v, other, path)) == 0)
-                parts.append(F.when(~fits, _one(path, F.lit(combiner))))
-        if schema.get("required") or schema.get("properties"):
-            parts.append(F.when(k == "object", let(members(v), lambda m: _members(m, schema, path))))
-        if "items" in schema:
-            walk = F.transform(elements(v), lambda x, i: violations(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
-            parts.append(F.when(k == "array", F.flatten(walk)))
-        found = F.concat(none, *[F.coalesce(p, none) for p in parts])
-        if "type" not in schema:
-            return found
-        wrong = _one(path, F.concat(F.lit("type:"), k))
-        return F.when(_fits(k, schema["type"]), found).otherwise(wrong)
 
-    present = F.coalesce(value, F.parse_json(F.lit("null")))
-    return let(F.struct(present.alias("v"), kind(present).alias("k")), judged)
+def _judged(v: Column, k: Column, schema: Mapping, path: Column) -> Column:
+    """Violations of a value whose kind is known; alternatives are judged by the same kind."""
+    none = F.array().cast(_FOUND)
+    parts = []
+    if "enum" in schema:
+        allowed = [_literal(x) for x in schema["enum"]]
+        parts.append(F.when(~F.to_json(v).isin(*allowed), _one(path, F.concat(F.lit("enum:"), F.to_json(v)))))
+    for combiner in _ALTERNATIVES:
+        if combiner in schema:
+            fits = F.lit(False)
+            for other in schema[combiner]:
+                fits = fits | (F.size(_judged(v, k, other, path)) == 0)
+            parts.append(F.when(~fits, _one(path, F.lit(combiner))))
+    if schema.get("required") or schema.get("properties"):
+        parts.append(F.when(k == "object", let(members(v), lambda m: _members(m, schema, path))))
+    if "items" in schema:
+        walk = F.transform(elements(v), lambda x, i: violations(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        parts.append(F.when(k == "array", F.flatten(walk)))
+    found = F.concat(*[F.coalesce(p, none) for p in parts]) if parts else none
+    if "type" not in schema:
+        return found
+    wrong = _one(path, F.concat(F.lit("type:"), k))
+    return F.when(_fits(k, schema["type"]), found).otherwise(wrong)
 
 
 def _members(named: Column, schema: Mapping, path: Column) -> Column:
     """Violations of an object's members: required ones that are absent, then those of the members that the schema knows."""
     none = F.array().cast(_FOUND)
-    out = none
-    for name in schema.get("required", ()):
-        out = F.concat(out, F.when(~F.map_contains_key(named, name), _one(path, F.lit(f"missing:{name}"))).otherwise(none))
-    for name, sub in schema.get("properties", {}).items():
-        found = violations(F.try_element_at(named, F.lit(name)), sub, F.concat(path, F.lit(f".{name}")))
-        out = F.concat(out, F.when(F.map_contains_key(named, name), found).otherwise(none))
-    return out
+    missing = [F.when(~F.map_contains_key(named, name), _one(path, F.lit(f"missing:{name}"))).otherwise(none) for name in schema.get("required", ())]
+    known = schema.get("properties", {}).items()
+    found = [F.when(F.map_contains_key(named, name), violations(F.try_element_at(named, F.lit(name)), sub, F.concat(path, F.lit(f".{name}")))).otherwise(none) for name, sub in known]
+    return F.concat(*missing, *found)
 
 
 def conformance(docs: DataFrame, schema: Mapping, key: str = "doc_key", content: str = "doc") -> DataFrame:

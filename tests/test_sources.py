@@ -255,3 +255,10 @@ def test_odd_members_and_flags(spark):
     made = adapted(spark, {"k": record(approved_geometry=map_), "fine": record(approved_geometry={n: map_[n] for n in ("off", "no")})})
     assert {tuple(r) for r in made.rejected.collect()} == {("k", "unknown_member", "list"), ("k", "unknown_member", "null"), ("k", "stage_geometry", "flag"), ("k", "stage_geometry", "stage")}
     assert {r["artifact_id"]: r["is_spread"] for r in made.geometry.where("side = 'approved'").collect()} == {"off": False, "no": False}
+
+
+def test_documents_of_a_contract_take_tasks_by_their_lines(spark, sf, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    plan = review_plans.contract_violations(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(l_orderkey" in plan and f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan and plan.count("lineitem.parquet") == 1
