@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from folioscope.functions import variants as X
+from folioscope.operators import revisions as E
 from folioscope.plans import review_plans
 from folioscope import storage
 from folioscope.sources import adapters as A
@@ -262,3 +263,24 @@ def test_documents_of_a_contract_take_tasks_by_their_lines(spark, sf, monkeypatc
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     plan = review_plans.contract_violations(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(l_orderkey" in plan and f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan and plan.count("lineitem.parquet") == 1
+
+
+def test_values_are_paired_in_their_row(spark):
+    out = lambda a, text, **more: {"artifact_id": a, "output": {"narrative": {"summary": text}}} | more
+    meta = lambda version, *outs: {"llm_enrichment_output_version": version, "llm_enrichment_outputs": list(outs)}
+    generated = (out("b", {"t": [1]}, origin=None), out("a", "1"), out(None, "2"), out("c", "x"), out("a", "3", field_sources={"output.narrative.summary": "human"}))
+    approved = (out("c", "y", publisher_notes="n"), out("a", "1"), out("b", {"t": [2]}), out(None, "2"), out("d", "z"))
+    made = adapted(spark, {f"{v} {w}": record(generated_metadata=meta(v, *generated), approved_metadata=meta(w, *approved)) for v, w in (("v1", "v1"), ("v2", "v2"), ("v1.1", "v2"), ("v2", "v1"))} | {"none": record(approved_metadata=meta("v1"))})
+    plan = made.value_pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    rows = lambda df: sorted((tuple(r) for r in df.withColumns({n: F.to_json(n) for n in ("generated_value", "approved_value")}).collect()), key=repr)
+    want = E.paired_values(made.metadata)
+    assert made.value_pairs.columns == want.columns and rows(made.value_pairs) == rows(want) and len(rows(want)) > 50
+
+
+def test_equal_values_are_not_rendered(spark):
+    pairs = spark.createDataFrame([('{"b":[1,"x"],"a":{}}', '{"a":{},"b":[1,"x"]}'), ('"s"', '"s"'), ("1e0", "1"), ("[1]", "[2]")], "g string, a string")
+    got = pairs.select(X.measures(F.parse_json("g"), F.parse_json("a")).alias("m")).select("m.*")
+    assert [tuple(r) for r in got.collect()] == [
+        (0.0, 0.0, 0.0, 1.0, True, "object", "object"), (0.0, 0.0, None, 1.0, True, "string", "string"), (0.666667, 1.0, None, 0.333333, False, "number", "integer"), (1.0, 1.0, 1.0, 1.0, False, "array", "array"),
+    ]
