@@ -92,9 +92,8 @@ def review_axes(spark, d):
 
 def _materials(made):
     """Outputs of adapted records with their number of supporting materials; half of the generated ones are gone."""
-    counted = made.grounding.groupBy("review_key", "side", "artifact_id").agg(F.count("*").alias("materials"))
-    every = made.outputs.select("review_key", "side", "artifact_id").distinct()
-    return every.where("side = 'approved' or artifact_id not like '12%'").join(counted, ["review_key", "side", "artifact_id"], "left").fillna(0, ["materials"])
+    every = made.supported.where("side = 'approved' or artifact_id not like '12%'")
+    return every.select("review_key", "side", "artifact_id", F.size("materials").alias("materials"))
 
 
 def grounding_applicability(spark, d):

@@ -284,3 +284,15 @@ def test_equal_values_are_not_rendered(spark):
     assert [tuple(r) for r in got.collect()] == [
         (0.0, 0.0, 0.0, 1.0, True, "object", "object"), (0.0, 0.0, None, 1.0, True, "string", "string"), (0.666667, 1.0, None, 0.333333, False, "number", "integer"), (1.0, 1.0, 1.0, 1.0, False, "array", "array"),
     ]
+
+
+def test_materials_are_told_in_their_row(spark):
+    out = lambda a, source: {"artifact_id": a, "output": {}, "context_source": source}
+    one = {"kind": "supporting_material", "material_id": 7, "files": [{}, "x", None, {"file_id": "b", "revision": 2.5}, {"file_id": "a"}]}
+    sources = [("a", [one]), ("b", [one, {"kind": "supporting_material", "material_id": ""}, "x", None, {"material_id": "m"}]), ("a", [{"kind": "supporting_material", "material_id": "n", "files": {"file_id": "a"}}]), ("c", {"kind": "x"}), ("d", None)]
+    meta = {"llm_enrichment_output_version": "v1", "llm_enrichment_outputs": [out(*s) for s in sources]}
+    made = adapted(spark, {"k": record(generated_metadata=meta, approved_metadata=meta | {"llm_enrichment_outputs": []})})
+    plan = made.supported._jdf.queryExecution().executedPlan().toString()
+    assert "variant" not in made.supported.schema.simpleString() and "Exchange" not in plan and "Join" not in plan
+    assert sorted((r["artifact_id"], len(r["materials"])) for r in made.supported.collect()) == [("a", 1), ("b", 1), ("c", 0), ("d", 0)]
+    assert sorted((g["artifact_id"], g["material_id"], g["revision"]) for g in made.grounding.collect()) == [("a", "n", ""), ("b", "7", "None@None,a@None,b@2.5")]
