@@ -296,3 +296,22 @@ def test_materials_are_told_in_their_row(spark):
     assert "variant" not in made.supported.schema.simpleString() and "Exchange" not in plan and "Join" not in plan
     assert sorted((r["artifact_id"], len(r["materials"])) for r in made.supported.collect()) == [("a", 1), ("b", 1), ("c", 0), ("d", 0)]
     assert sorted((g["artifact_id"], g["material_id"], g["revision"]) for g in made.grounding.collect()) == [("a", "n", ""), ("b", "7", "None@None,a@None,b@2.5")]
+
+
+def test_the_gate_walks_a_report_once(spark):
+    df = spark.createDataFrame([("k", json.dumps(record()))], "review_key string, r string").select("review_key", F.try_parse_json("r").alias("report"), *[F.lit(None).cast("variant").alias(n) for n in ("approval", "snapshot")])
+    plan = A.gate(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.review_report_version") == 0 and plan.count("$.generated_metadata.llm_enrichment_output_version") == 0 and plan.count("AS _head#") == 1
+
+
+def test_odd_heads_keep_their_reasons(spark):
+    own = lambda **c: record()["provenance"] | c
+    odd = {
+        "review_report_version": record(review_report_version=None), "provenance.published_revision_id": record(provenance="x"), "provenance.generated_vs_approved": record(provenance={"published_revision_id": None}),
+        "generated_vs_approved": record(provenance=own(generated_vs_approved=None)), "approved_geometry": record(approved_geometry=[]), "approved_metadata": record(approved_metadata=None),
+        "generated_side": record(generated_geometry=None), "generated_metadata": record(generated_metadata="x"),
+    }
+    fine = {"null id": record(review_id=None), "list": record(generated_geometry={"panels": [], "total_pages": "x"}), "by hand": record(provenance=own(generated_vs_approved=A.MANUAL))}
+    made = adapted(spark, odd | fine)
+    assert {(r["review_key"], r["reason"]) for r in made.rejected.collect()} == {(k, k) for k in odd}
+    assert {(r["review_key"], r["review_id"], r["applicability"], r["total_pages"]) for r in made.reviews.collect()} == {("null id", None, A.GENERATED, 3), ("list", "r", A.GENERATED, None), ("by hand", "r", "manual", 3)}
