@@ -315,3 +315,13 @@ def test_odd_heads_keep_their_reasons(spark):
     made = adapted(spark, odd | fine)
     assert {(r["review_key"], r["reason"]) for r in made.rejected.collect()} == {(k, k) for k in odd}
     assert {(r["review_key"], r["review_id"], r["applicability"], r["total_pages"]) for r in made.reviews.collect()} == {("null id", None, A.GENERATED, 3), ("list", "r", A.GENERATED, None), ("by hand", "r", "manual", 3)}
+
+
+def test_places_are_told_in_their_row(spark):
+    box = {"x": 0.1, "y": 0.2, "width": 0.3, "height": 0.4}
+    orders = {"1": ["a", "b", "a", None, "lost"], "2": ["c", "b"], "10": None, "3": []}
+    made = adapted(spark, {"k": record(approved_geometry={"panel_order": orders} | {n: box for n in ("d", "c", "b", "a")}), "none": record(approved_geometry={"a": box}), "list": record(approved_geometry={"panel_order": ["a"], "a": box}), "empty": record(approved_geometry={})})
+    panels = made.geometry.where("side = 'approved'")
+    plan = panels._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {(p["review_key"], p["artifact_id"]): p["ord"] for p in panels.collect()} == {("k", "a"): 2, ("k", "b"): 1, ("k", "c"): 0, ("k", "d"): None, ("none", "a"): None, ("list", "a"): None}
