@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import variants as X
 from folioscope.operators import revisions as E
-from folioscope.plans import review_plans
+from folioscope.plans import ingest_plans, review_plans
 from folioscope import storage
 from folioscope.sources import adapters as A
 from folioscope.sources import contracts as K
@@ -325,3 +325,25 @@ def test_places_are_told_in_their_row(spark):
     plan = panels._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert {(p["review_key"], p["artifact_id"]): p["ord"] for p in panels.collect()} == {("k", "a"): 2, ("k", "b"): 1, ("k", "c"): 0, ("k", "d"): None, ("none", "a"): None, ("list", "a"): None}
+
+
+def test_tasks_list_and_read_a_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "STEPS", 2)
+    monkeypatch.setattr(I, "BATCH_ROWS", 3)
+    monkeypatch.setattr(I, "BATCH_BYTES", 5)
+    want = {f"{PREFIX.format(k)}/approved/published.json": b"x" * (k + 1) for k in range(9)} | {"top.json": b"t", "a b/c%20d/\u00e9.json": b"e", "_p=1/kept": b"k"}
+    for path, content in (want | {"_gone/f": b"1", ".gone": b"1", "a b/f._COPYING_": b"1", "a b/empty": b""}).items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(content)
+    (tmp_path / "no/files").mkdir(parents=True)
+    root = f"file://{tmp_path}"
+    listed = I.listed_files(spark, root)
+    assert sorted(map(tuple, listed.collect())) == sorted((p, len(c)) for p, c in want.items())
+    assert {r["path"]: bytes(r["content"]) for r in I.read_files(I.dealt_files(listed, 12, "path"), root).collect()} == want
+    (tmp_path / "no").rename(tmp_path / "alone")
+    assert I.listed_files(spark, f"file://{tmp_path}/alone").count() == 0
+
+
+def test_pointers_are_read_once_and_listed_by_tasks(spark, sf):
+    plan = ingest_plans.scanned_issues(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "binaryFile" not in plan and "Broadcast" not in plan
