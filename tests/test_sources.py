@@ -347,3 +347,32 @@ def test_tasks_list_and_read_a_folder(spark, tmp_path, monkeypatch):
 def test_pointers_are_read_once_and_listed_by_tasks(spark, sf):
     plan = ingest_plans.scanned_issues(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "binaryFile" not in plan and "Broadcast" not in plan
+
+
+def test_plain_values_are_read_off_their_json(spark, monkeypatch):
+    monkeypatch.setattr(X, "_opened", lambda item: F.array(F.struct(F.lit("opened").alias("lead"), item["value"].alias("value"))).cast(X._ITEMS))
+    values = {
+        '[{"name": "x", "line": ["a:,", "b\\n\\"\\\\n{"]}, null, {}, [], 1.50, true]': 'line=a:,\nb\n"\\n{\nname=x\n\n\n\n1.5\ntrue', '{"b": {"c": null}, "a": [["x"], "null"]}': "a=x\nnull\nb=c=",
+        '"plain"': "plain", '"a\\tb"': "a\tb", "null": "", "[]": "", "2": "2", '"\U0001f600"': "\U0001f600", None: "",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in values.items()] + [('["\\u0001"]', "opened")], "j string, want string").withColumn("v", F.try_parse_json("j"))
+    got = df.select("want", X.canonical(F.col("v")).alias("got"), X.json_text(F.col("v")).eqNullSafe(F.to_json("v")).alias("same")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got] and all(r["same"] for r in got)
+
+
+def _odd_sides(spark):
+    out = lambda a, text, **more: {"artifact_id": a, "output": {"narrative": {"summary": text, "dialogue": [{"name": text, "line": [1, {}]}]}, "entities": {"characters": more.pop("who", [])}}} | more
+    meta = lambda version, *outs: {"llm_enrichment_output_version": version, "llm_enrichment_outputs": list(outs)}
+    generated = (out("b", {"t": [1]}, origin=None), out("a", "1"), out(None, "2"), out("c", "x\"y"), out("a", "3 abc", field_sources={"output.narrative.summary": "human"}, who="w"), out("e", 1.0), out("f", "same"))
+    approved = (out("c", "y", publisher_notes="n"), out("a", "3 abd"), out("b", {"t": [2]}), out(None, "2"), out("d", "z"), out("e", 1), out("f", "same"))
+    return adapted(spark, {f"{v} {w}": record(generated_metadata=meta(v, *generated), approved_metadata=meta(w, *approved)) for v, w in (("v1", "v1"), ("v2", "v2"), ("v1.1", "v2"))} | {"none": record(approved_metadata=meta("v1")), "bad": record(approved_geometry=[])})
+
+
+def test_leaves_are_stored_as_text(spark):
+    made = _odd_sides(spark)
+    own = ["review_key", "side", "artifact_id", "schema_version", "generation_disposition", "origin", "has_origin"]
+    assert "variant" not in made.leaf_texts.schema.simpleString()
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    value = F.col("leaf.value")
+    want = made.leaves.select(*own, F.explode("leaves").alias("leaf")).select(*own, "leaf.field", "leaf.editorial", F.to_json(value).alias("json"), F.when(F.col("leaf.editorial"), X.canonical(value)).alias("text"))
+    assert rows(made.leaf_texts.select(*own, F.inline("leaves"))) == rows(want) and want.count() > 100
