@@ -376,3 +376,15 @@ def test_leaves_are_stored_as_text(spark):
     value = F.col("leaf.value")
     want = made.leaves.select(*own, F.explode("leaves").alias("leaf")).select(*own, "leaf.field", "leaf.editorial", F.to_json(value).alias("json"), F.when(F.col("leaf.editorial"), X.canonical(value)).alias("text"))
     assert rows(made.leaf_texts.select(*own, F.inline("leaves"))) == rows(want) and want.count() > 100
+
+
+def test_pairs_are_judged_in_their_row(spark):
+    made = _odd_sides(spark)
+    names = ["review_id", "artifact_id", "field", "status", "disposition", "origin", "has_origin", *E.JUDGED]
+    judged = made.judged_pairs(E.judge_values, *E.JUDGED)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert judged.columns == names and "Exchange" not in plan and "Join" not in plan and "variant" not in judged.schema.simpleString()
+    rows = lambda df: sorted((tuple(r) for r in df.select(names).collect()), key=repr)
+    want = rows(E.classify_values(made.value_pairs))
+    assert rows(judged) == want and len({r[7] for r in want}) > 5
+    assert made.reviews.count() == 4 and made.generators.count() == 4 and "judgements" not in made.reviews.columns
