@@ -73,10 +73,10 @@ def correction_ledger(spark, d):
 def acceptance_by_generator(spark, d):
     """Acceptance of fresh outputs by prompt, model and schema versions of published records."""
     made = A.adapt(review_plans.reports(spark, d))
-    judged = E.with_freshness(E.classify_values(made.value_pairs))
-    accepted = E.metadata_accuracy(judged).select(c("review_id").alias("review_key"), c("accepted").alias("num"), c("comparable").alias("den"))
+    accepted = E.metadata_accuracy(review_plans.judged_pairs(made)).select(c("review_id").alias("review_key"), c("accepted").alias("num"), c("comparable").alias("den"))
     schemas = made.reviews.select("review_key", c("generated_metadata_version").alias("schema_version"))
-    return B.correlation(made.generators.join(accepted, "review_key").join(schemas, "review_key"), ["prompt_version", "model", "schema_version"])
+    # all three have a row for each review; of a table without its parts, Spark would take what is left for small
+    return B.correlation(made.generators.hint("merge").join(accepted.hint("merge"), "review_key").join(schemas.hint("merge"), "review_key"), ["prompt_version", "model", "schema_version"])
 
 
 def prompt_refinements(spark, d):

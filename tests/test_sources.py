@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import variants as X
 from folioscope.operators import revisions as E
-from folioscope.plans import ingest_plans, review_plans
+from folioscope.plans import ingest_plans, report_plans, review_plans
 from folioscope import storage
 from folioscope.sources import adapters as A
 from folioscope.sources import contracts as K
@@ -388,3 +388,8 @@ def test_pairs_are_judged_in_their_row(spark):
     want = rows(E.classify_values(made.value_pairs))
     assert rows(judged) == want and len({r[7] for r in want}) > 5
     assert made.reviews.count() == 4 and made.generators.count() == 4 and "judgements" not in made.reviews.columns
+
+
+def test_tables_by_review_are_not_broadcast(spark, sf):
+    for query in (review_plans.review_benchmark, report_plans.acceptance_by_generator):
+        assert "Broadcast" not in query(spark, sf)._jdf.queryExecution().executedPlan().toString()
